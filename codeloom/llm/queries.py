@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import exact_dedup, packing, quality, token_counts, url_filter, warc
+from codeloom.llm import exact_dedup, minhash_dedup, packing, quality, token_counts, url_filter, warc
 from codeloom.llm._common import shared_folder, table
 
 TOKENIZER = "byte_bpe_50k"
@@ -19,6 +19,10 @@ def tokenizer_path(suffix: str) -> str:
     return public_tokenizers.path(f"{TOKENIZER}.{suffix}")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_groups(table(spark, sf_dir, "documents"), width=3, per_cent=85, bands=16)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -49,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_url_filter, op4_quality, op5_token_counts, op6_exact_dedup, op7_warc, op10_packing]
+    found = [op1_minhash_dedup, op3_url_filter, op4_quality, op5_token_counts, op6_exact_dedup, op7_warc, op10_packing]
     return {f.__name__: f for f in found}
 
 
