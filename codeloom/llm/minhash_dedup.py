@@ -4,10 +4,15 @@
 2. Signatures of the classes are cut into bands; classes that share a band meet in a bucket.
 3. Each bucket pairs its members with its smallest one.  Signatures of a pair are compared batch by batch; the pair is
    pruned as soon as the posterior probability that its similarity reaches the threshold falls below ``miss``.
-   Survivors are verified exactly on full sets, and verified links are joined into components.
-4. A bucket whose members are not yet in one component still has untried pairs: its members are compared between
-   components, in cells of two blocks, by the same pruning and verification.  Pairs inside one component cannot change
-   the result and are never made, so groups of copies cost time in proportion to their size.
+   Survivors are verified exactly on full sets.  Verified links make components, survivors make (larger) families.
+4. A family with several components has untried pairs.  Its members are dealt into blocks, a large component into blocks
+   of its own; a cell of two blocks compares members of different components by the same pruning and verification and
+   stops at what its own links have joined, so it returns fewer links than it has members.  Blocks of one component never
+   meet.
+5. Buckets with members of several families are compared between families in the same way, but survivors are few there
+   and are verified as pairs.
+Pairs inside one component cannot change the result and are never made, so groups of copies cost time in proportion to
+their size.
 
 Banding leaves a pair at the threshold out with probability (1 - t**rows)**bands (7e-6 for 0.85 and 16 bands of 4).
 
@@ -190,6 +195,68 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, per_cent: int) -> Da
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _inside(families: DataFrame, groups: DataFrame, classes: DataFrame, texts: DataFrame, fewest: dict[int, int], width: int, per_cent: int) -> DataFrame:
+    """Links between the components of each family."""
+    placed = families.join(groups, "node", "left").select("family", F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))
+    sizes = placed.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"))
+    mixed = sizes.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("all"), F.sum(F.when(F.col("m") < BLOCK, F.col("m")).otherwise(0)).alias("small")).filter("k > 1 and all > 2")
+    whole = F.col("m") >= BLOCK
+    parts = F.ceil(F.when(whole, F.col("m")).otherwise(F.col("small")) / BLOCK).cast("int")
+    dealt = placed.join(sizes.join(mixed.select("family", "small"), "family"), ["family", "component"])
+    dealt = saved(dealt.select("family", "rep", "component", F.when(whole, F.col("component")).alias("pure"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part")), "dealt")
+    blocks = dealt.select("family", "pure", "part").distinct()
+    one, two = (blocks.select("family", *(F.col(c).alias(f"{c}{k}") for c in ("pure", "part"))) for k in (1, 2))
+    rank1, rank2 = (F.struct(F.coalesce(f"pure{k}", F.lit(-1)), f"part{k}") for k in (1, 2))
+    apart = F.col("pure1").isNull() | F.col("pure2").isNull() | (F.col("pure1") != F.col("pure2"))
+    cells = saved(one.join(two, "family").filter((rank1 <= rank2) & apart).withColumn("cell", F.monotonically_increasing_id()), "cells")
+    ends = cells.select("family", "cell", F.col("pure1").alias("pure"), F.col("part1").alias("part")).union(cells.select("family", "cell", "pure2", "part2")).distinct()
+    same = [dealt["family"] == ends["family"], dealt["part"] == ends["part"], dealt["pure"].eqNullSafe(ends["pure"])]
+    rows = dealt.join(ends, same[0] & same[1] & same[2]).select("cell", dealt["pure"], dealt["part"], "component", "rep")
+    rows = rows.join(classes, "rep").join(texts, F.col("rep") == F.col("id")).select("cell", "pure", "part", "component", "rep", "sig", "text").repartition("cell").sortWithinPartitions("cell", "rep")
+
+    def links(held: list[tuple]) -> Iterator[tuple[int, int]]:
+        sig = np.frombuffer(b"".join(r[5] for r in held), np.uint32).reshape(len(held), -1)
+        root = {r[3]: r[3] for r in held}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        component = np.array([r[3] for r in held])
+        p, q = np.nonzero(np.triu(component[:, None] != component[None, :], 1))
+        stay = _surviving(sig[p], sig[q], fewest)
+        p, q = p[stay], q[stay]
+        order = np.argsort(-(sig[p] == sig[q]).sum(axis=1), kind="stable")
+        for x, y in zip(p[order].tolist(), q[order].tolist()):
+            a, b = top(held[x][3]), top(held[y][3])
+            if a != b:
+                s, t = held[x][6], held[y][6]
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * both >= per_cent * (len(s) + len(t) - both):
+                    root[max(a, b)] = min(a, b)
+                    yield held[x][4], held[y][4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if found := list(links(held)):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for part, data, at in slices(batch, "text", SLICE):
+                for row in zip(*(part.column(k).to_pylist() for k in range(6)), sets(data, at, width)):
+                    if held and row[0] != held[0][0]:
+                        yield from out()
+                        held = []
+                    held.append(row)
+        if held:
+            yield from out()
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, per_cent: int = 80, bands: int = 24, miss: float = 1e-6) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
     ship(docs.sparkSession)
@@ -206,14 +273,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("m")).filter("centre <> last")
     grouped = saved(banded.join(buckets.drop("last"), "key"), "buckets")
     ids = grouped.select(F.col("rep").alias("id")).distinct()
-    texts = saved(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
+    texts = saved(docs.join(ids.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")  # one plan at every size
     star = saved(_prune(grouped.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), classes, fewest), "pairs")
     links = saved(_verify(star, texts, width, per_cent), "links")
     groups = components(links)
 
-    # Buckets that still hold several components, and more than the pairs with their centre.
-    placed = grouped.filter("m > 2").join(groups, grouped["rep"] == groups["node"], "left").select("key", "rep", "m", F.coalesce("component", "rep").alias("component"))
-    placed = saved(placed, "placed")
+    families = components(star).withColumnRenamed("component", "family")
+    found = _inside(families, groups, classes, texts, fewest, width, per_cent)
+
+    # Buckets whose members are of several families, and more than the pairs with their centre.
+    placed = saved(grouped.filter("m > 2").join(families, grouped["rep"] == families["node"], "left").select("key", "rep", "m", F.coalesce("family", "rep").alias("component")), "placed")
     unsettled = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     rest = saved(placed.join(unsettled, "key", "left_semi"), "open")
     if not rest.isEmpty():
@@ -224,9 +293,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         cells = cells.join(classes, "rep").select("key", "i", "j", "block", "rep", "component", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         more = _between(cells, fewest).distinct()
         tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = saved(_verify(saved(more.join(tried, ["a", "b"], "left_anti"), "pairs"), texts, width, per_cent), "links")
-        if not found.isEmpty():
-            groups = components(links.unionByName(found))
+        found = found.unionByName(_verify(saved(more.join(tried, ["a", "b"], "left_anti"), "pairs"), texts, width, per_cent))
+    found = saved(found, "links")
+    if not found.isEmpty():
+        groups = components(links.unionByName(found))
 
     linked = members.join(groups, members["rep"] == groups["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     empty = sketch.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
