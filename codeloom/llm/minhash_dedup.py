@@ -9,8 +9,7 @@
    of its own; a cell of two blocks compares members of different components by the same pruning and verification and
    stops at what its own links have joined, so it returns fewer links than it has members.  Blocks of one component never
    meet.
-5. Buckets with members of several families are compared between families in the same way, but survivors are few there
-   and are verified as pairs.
+5. Buckets with members of several families are compared between families in the same way.
 Pairs inside one component cannot change the result and are never made, so groups of copies cost time in proportion to
 their size.
 
@@ -131,38 +130,6 @@ def _prune(pairs: DataFrame, classes: DataFrame, fewest: dict[int, int]) -> Data
     return pairs.join(two, "b").join(one, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _between(cells: DataFrame, fewest: dict[int, int]) -> DataFrame:
-    """Surviving pairs of different components in each cell; rows come sorted by (key, i, j)."""
-
-    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        _, i, j = rows[0][:3]
-        left = [r for r in rows if r[3] == i]
-        right = rows if i == j else [r for r in rows if r[3] == j]
-        x, y = (np.frombuffer(b"".join(r[6] for r in s), np.uint32).reshape(len(s), -1) for s in (left, right))
-        ids, other = np.array([r[4] for r in left]), np.array([r[4] for r in right])
-        apart = np.array([r[5] for r in left])[:, None] != np.array([r[5] for r in right])[None, :]
-        if i == j:
-            apart &= ids[:, None] < other[None, :]
-        p, q = np.nonzero(apart)
-        stay = _surviving(x[p], y[q], fewest)
-        a, b = ids[p[stay]], other[q[stay]]
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:3] != held[0][:3]:
-                    yield from pairs(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from pairs(held)
-
-    return cells.mapInArrow(run, "a long, b long")
-
-
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, per_cent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= per_cent * union.
 
@@ -195,47 +162,49 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, per_cent: int) -> Da
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _inside(families: DataFrame, groups: DataFrame, classes: DataFrame, texts: DataFrame, fewest: dict[int, int], width: int, per_cent: int) -> DataFrame:
-    """Links between the components of each family."""
-    placed = families.join(groups, "node", "left").select("family", F.col("node").alias("rep"), F.coalesce("component", "node").alias("component"))
-    sizes = placed.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("all"), F.sum(F.when(F.col("m") < BLOCK, F.col("m")).otherwise(0)).alias("small")).filter("k > 1 and all > 2")
+def _inside(placed: DataFrame, classes: DataFrame, texts: DataFrame, fewest: dict[int, int], width: int, per_cent: int) -> DataFrame:
+    """Links between members of different kinds in each group; ``placed``: grp, rep, kind, component.
+
+    Pairs of one component are skipped, and so are those that links found in the cell have joined by then.
+    """
+    sizes = placed.groupBy("grp", "kind").agg(F.count(F.lit(1)).alias("m"))
+    mixed = sizes.groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("all"), F.sum(F.when(F.col("m") < BLOCK, F.col("m")).otherwise(0)).alias("small")).filter("k > 1 and all > 2")
     whole = F.col("m") >= BLOCK
     parts = F.ceil(F.when(whole, F.col("m")).otherwise(F.col("small")) / BLOCK).cast("int")
-    dealt = placed.join(sizes.join(mixed.select("family", "small"), "family"), ["family", "component"])
-    dealt = saved(dealt.select("family", "rep", "component", F.when(whole, F.col("component")).alias("pure"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part")), "dealt")
-    blocks = dealt.select("family", "pure", "part").distinct()
-    one, two = (blocks.select("family", *(F.col(c).alias(f"{c}{k}") for c in ("pure", "part"))) for k in (1, 2))
+    dealt = placed.join(sizes.join(mixed.select("grp", "small"), "grp"), ["grp", "kind"])
+    dealt = saved(dealt.select("grp", "rep", "kind", "component", F.when(whole, F.col("kind")).alias("pure"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part")), "dealt")
+    blocks = dealt.select("grp", "pure", "part").distinct()
+    one, two = (blocks.select("grp", *(F.col(c).alias(f"{c}{k}") for c in ("pure", "part"))) for k in (1, 2))
     rank1, rank2 = (F.struct(F.coalesce(f"pure{k}", F.lit(-1)), f"part{k}") for k in (1, 2))
     apart = F.col("pure1").isNull() | F.col("pure2").isNull() | (F.col("pure1") != F.col("pure2"))
-    cells = saved(one.join(two, "family").filter((rank1 <= rank2) & apart).withColumn("cell", F.monotonically_increasing_id()), "cells")
-    ends = cells.select("family", "cell", F.col("pure1").alias("pure"), F.col("part1").alias("part")).union(cells.select("family", "cell", "pure2", "part2")).distinct()
-    same = [dealt["family"] == ends["family"], dealt["part"] == ends["part"], dealt["pure"].eqNullSafe(ends["pure"])]
-    rows = dealt.join(ends, same[0] & same[1] & same[2]).select("cell", dealt["pure"], dealt["part"], "component", "rep")
-    rows = rows.join(classes, "rep").join(texts, F.col("rep") == F.col("id")).select("cell", "pure", "part", "component", "rep", "sig", "text").repartition("cell").sortWithinPartitions("cell", "rep")
+    cells = saved(one.join(two, "grp").filter((rank1 <= rank2) & apart).withColumn("cell", F.monotonically_increasing_id()), "cells")
+    ends = cells.select("grp", "cell", F.col("pure1").alias("pure"), F.col("part1").alias("part")).union(cells.select("grp", "cell", "pure2", "part2")).distinct()
+    same = (dealt["grp"] == ends["grp"]) & (dealt["part"] == ends["part"]) & dealt["pure"].eqNullSafe(ends["pure"])
+    rows = dealt.join(ends, same).select("cell", "kind", "component", "rep")
+    rows = rows.join(classes, "rep").join(texts, F.col("rep") == F.col("id")).select("cell", "kind", "component", "rep", "sig", "text").repartition("cell").sortWithinPartitions("cell", "rep")
 
     def links(held: list[tuple]) -> Iterator[tuple[int, int]]:
-        sig = np.frombuffer(b"".join(r[5] for r in held), np.uint32).reshape(len(held), -1)
-        root = {r[3]: r[3] for r in held}
+        sig = np.frombuffer(b"".join(r[4] for r in held), np.uint32).reshape(len(held), -1)
+        root = {r[2]: r[2] for r in held}
 
         def top(c: int) -> int:
             while root[c] != c:
                 c = root[c]
             return c
 
-        component = np.array([r[3] for r in held])
-        p, q = np.nonzero(np.triu(component[:, None] != component[None, :], 1))
+        kind = np.array([r[1] for r in held])
+        p, q = np.nonzero(np.triu(kind[:, None] != kind[None, :], 1))
         stay = _surviving(sig[p], sig[q], fewest)
         p, q = p[stay], q[stay]
         order = np.argsort(-(sig[p] == sig[q]).sum(axis=1), kind="stable")
         for x, y in zip(p[order].tolist(), q[order].tolist()):
-            a, b = top(held[x][3]), top(held[y][3])
+            a, b = top(held[x][2]), top(held[y][2])
             if a != b:
-                s, t = held[x][6], held[y][6]
+                s, t = held[x][5], held[y][5]
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 if 100 * both >= per_cent * (len(s) + len(t) - both):
                     root[max(a, b)] = min(a, b)
-                    yield held[x][4], held[y][4]
+                    yield held[x][3], held[y][3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -246,7 +215,7 @@ def _inside(families: DataFrame, groups: DataFrame, classes: DataFrame, texts: D
 
         for batch in batches:
             for part, data, at in slices(batch, "text", SLICE):
-                for row in zip(*(part.column(k).to_pylist() for k in range(6)), sets(data, at, width)):
+                for row in zip(*(part.column(k).to_pylist() for k in range(5)), sets(data, at, width)):
                     if held and row[0] != held[0][0]:
                         yield from out()
                         held = []
@@ -279,22 +248,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = components(links)
 
     families = components(star).withColumnRenamed("component", "family")
-    found = _inside(families, groups, classes, texts, fewest, width, per_cent)
+    component = F.coalesce("component", "rep").alias("component")
+    inside = families.join(groups, "node", "left").select(F.col("family").alias("grp"), F.col("node").alias("rep"), F.coalesce("component", "node").alias("kind"), F.coalesce("component", "node").alias("component"))
 
     # Buckets whose members are of several families, and more than the pairs with their centre.
-    placed = saved(grouped.filter("m > 2").join(families, grouped["rep"] == families["node"], "left").select("key", "rep", "m", F.coalesce("family", "rep").alias("component")), "placed")
-    unsettled = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    rest = saved(placed.join(unsettled, "key", "left_semi"), "open")
-    if not rest.isEmpty():
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        rows = rest.select("key", "rep", "component", blocks.alias("n"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
-        other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-        cells = rows.select("*", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
-        cells = cells.join(classes, "rep").select("key", "i", "j", "block", "rep", "component", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        more = _between(cells, fewest).distinct()
-        tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = found.unionByName(_verify(saved(more.join(tried, ["a", "b"], "left_anti"), "pairs"), texts, width, per_cent))
-    found = saved(found, "links")
+    kinds = grouped.filter("m > 2").join(families, grouped["rep"] == families["node"], "left").select("key", "rep", F.coalesce("family", "rep").alias("kind"))
+    across = kinds.join(groups, kinds["rep"] == groups["node"], "left").select(F.col("key").alias("grp"), "rep", "kind", component)
+    found = [_inside(saved(x, "placed"), classes, texts, fewest, width, per_cent) for x in (inside, across)]
+    found = saved(found[0].unionByName(found[1]), "links")
     if not found.isEmpty():
         groups = components(links.unionByName(found))
 

@@ -78,7 +78,7 @@ def judge_templates(paths: DataFrame, depth: int, z: float, min_labelled: int, w
         gap = F.col("b") / F.col("l") - (F.col("all_b") - F.col("b")) / others
         distinct = (F.col("l") >= min_labelled) & (others > 0) & (gap * gap > F.lit(z * z) * pooled * (1 - pooled) * (1 / F.col("l") + 1 / others))
         branch = own.join(all_, parent).select(*parent, f"s{i}", F.when(F.coalesce(F.try_divide(F.lit(1), F.col("all_l")).isNotNull() & F.when((F.col("l") > 0) & (others > 0), distinct), F.lit(False)), F.col(f"s{i}")).otherwise(F.lit("*")).alias(f"t{i}"))
-        tree = tree.join(branch, [*parent, f"s{i}"])
+        tree = saved(tree.join(branch, [*parent, f"s{i}"]), "tree")  # the next level reads it twice
     template = [f"t{i}" for i in range(1, depth + 1)]
     total, blocked = paths.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     base = blocked / total if total else 0.0
