@@ -16,7 +16,6 @@ repeated rows each get a row; an empty table gives no rows; other columns are ne
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -154,20 +153,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model:
     return fit([g for _, g in rows], np.array([r.y for r, _ in rows]))
 
 
-def scores(docs: DataFrame, models: list[Model], names: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+def scores(docs: DataFrame, models: list[Model], names: list[str], more: tuple[str, ...] = (), words_as: str = "n_words") -> DataFrame:
     """The columns ``more`` of every row of ``docs``, its number of words, and each model's score under its name."""
     sc = docs.sparkSession.sparkContext
     ship(docs.sparkSession)
     sent = sc.broadcast(models)  # a fixed size: 2**18 buckets for each model
-    kept = docs.select(*more, F.col("text").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "n_words long", *(f"`{n}` double" for n in names)])
+    kept = docs.select(*more, F.col("text").alias("__text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), f"`{words_as}` long", *(f"`{n}` double" for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indicators = Indicators()
         space = np.zeros(256, bool)
         space[[9, 10, 11, 12, 13, 32]] = True
         for batch in batches:
-            for part, data, at in slices(batch, "_text", SLICE):
+            for part, data, at in slices(batch, "__text", SLICE):
                 margins = np.empty((len(models), len(at) - 1))
                 gap = space[data]
                 begins = np.flatnonzero(~gap & np.append(True, gap[:-1])) if len(data) else np.zeros(0, np.int64)
@@ -179,7 +178,7 @@ def scores(docs: DataFrame, models: list[Model], names: list[str], more: tuple[s
                         margins[k, i] = m.margin(grams)
                 columns = [part.column(c) for c in more]
                 columns += [pa.array(words, pa.int64()), *(pa.array(m.score(margins[k]), pa.float64()) for k, m in enumerate(sent.value))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*more, "n_words", *names])
+                yield pa.RecordBatch.from_arrays(columns, names=[*more, words_as, *names])
 
     return kept.mapInArrow(run, schema)
 
@@ -192,5 +191,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFram
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def crc32_of(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode())
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:
+    """``docs`` without the rows that are predicted to be of low quality; all columns stay."""
+    found = scores(docs, [train(docs, labels, sample)], ["__score"], tuple(docs.columns), "__words")
+    return found.filter(F.col("__score") >= 0.5).select(*docs.columns)

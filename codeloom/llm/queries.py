@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import exact_dedup, minhash_dedup, packing, quality, token_counts, url_filter, warc
+from codeloom.llm import exact_dedup, minhash_dedup, mixing, packing, quality, token_counts, topk, url_filter, warc
 from codeloom.llm._common import shared_folder, table
 
 TOKENIZER = "byte_bpe_50k"
@@ -45,6 +45,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder)
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,9 +61,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash_dedup, op3_url_filter, op4_quality, op5_token_counts, op6_exact_dedup, op7_warc, op10_packing]
+    found = [op1_minhash_dedup, op3_url_filter, op4_quality, op5_token_counts, op6_exact_dedup, op7_warc, op8_topk, op9_mixing, op10_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.op3_sql(), "op6_exact_dedup": exact_dedup.OP6_SQL, "op7_warc": warc.OP7_SQL}
+    return {"op3_url_filter": url_filter.op3_sql(), "op6_exact_dedup": exact_dedup.OP6_SQL, "op7_warc": warc.OP7_SQL, "op8_topk": topk.OP8_SQL}
