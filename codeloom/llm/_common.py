@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_PER_BATCH = 1000
 _OWN_SHARED: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
@@ -42,7 +43,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors, once for each application."""
+    """Make this package importable on executors, once for each application, and bound the rows of an Arrow batch.
+
+    Texts can be long: with batches of some hundred rows, a Python worker and its executor hold a few megabytes of them.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm._common import saved, ship
-from codeloom.llm.quality import Model, fit, labelled_sample, scores
+from codeloom.llm.quality import Model, fit, labelled_sample, scored, scores
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.88, "low": 0.10, "toxic": 0.02}
@@ -96,19 +96,13 @@ def posteriors(docs: DataFrame, models: list[Model], more: tuple[str, ...], pref
     return scores(docs, models, [prefix + d for d in DOMAINS], more, prefix + "n_words")
 
 
-def with_rates(table: DataFrame, descent: Descent, prefix: str = "") -> DataFrame:
-    """``table`` with normalised posteriors and its rate (column ``prefix`` + rate)."""
-    ship(table.sparkSession)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema), f"`{prefix}rate` double"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = _posteriors([batch.column(prefix + d) for d in DOMAINS])
-            columns = dict(zip(batch.schema.names, batch.columns)) | {prefix + d: pa.array(p[:, k]) for k, d in enumerate(DOMAINS)}
-            columns[f"{prefix}rate"] = pa.array(descent.rates(p)[0])
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    return table.mapInArrow(run, schema)
+def rated(batches: Iterator[pa.RecordBatch], descent: Descent, prefix: str = "") -> Iterator[pa.RecordBatch]:
+    """Batches with normalised posteriors and the column rate."""
+    for batch in batches:
+        p = _posteriors([batch.column(prefix + d) for d in DOMAINS])
+        columns = dict(zip(batch.schema.names, batch.columns)) | {prefix + d: pa.array(p[:, k]) for k, d in enumerate(DOMAINS)}
+        columns[f"{prefix}rate"] = pa.array(descent.rates(p)[0])
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def copies(rate, doc_id):
@@ -120,14 +114,24 @@ def copies(rate, doc_id):
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 6000) -> DataFrame:
     """doc_id, n_words, posterior of each domain, rate, copies of every row."""
     table = saved(posteriors(docs, domain_models(docs, labels, sample), ("doc_id",)), "posteriors")
-    out = with_rates(table, solve(table, targets or TARGETS))
+    descent = solve(table, targets or TARGETS)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema), "rate double"])
+    out = table.mapInArrow(lambda batches: rated(batches, descent), schema)
     return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 6000) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 6000, most: float = 4.0) -> DataFrame:
     """``docs`` with each row as often as its rate says; all columns stay."""
     models = domain_models(docs, labels, sample)
-    descent = solve(saved(posteriors(docs, models, ()), "posteriors"), targets or TARGETS)
-    out = with_rates(posteriors(docs, models, tuple(docs.columns), "__"), descent, "__")
+    descent = solve(saved(posteriors(docs, models, ()), "posteriors"), targets or TARGETS, most=most)
+    sent = docs.sparkSession.sparkContext.broadcast(models)  # a fixed size
+    kept, more = docs.withColumn("__text", F.col("text")), tuple(docs.columns)
+    names = ["__" + d for d in DOMAINS]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "`__rate` double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rated(scored(batches, sent.value, names, more, "__n_words"), descent, "__"):
+            yield batch.select([*more, "__rate"])
+
     n = copies(F.col("__rate"), F.col("doc_id"))
-    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), n)).alias("__copy")).select(*docs.columns)
+    return kept.mapInArrow(run, schema).select(*more, F.explode(F.array_repeat(F.lit(1), n)).alias("__copy")).select(*more)

@@ -29,6 +29,8 @@ from codeloom.llm._common import ship
 from codeloom.llm.ngrams import BITS, Indicators, hashed
 
 SLICE = 1 << 21
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def fold(doc_id: Column) -> Column:
@@ -153,34 +155,40 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model:
     return fit([g for _, g in rows], np.array([r.y for r, _ in rows]))
 
 
+def scored(batches: Iterator[pa.RecordBatch], models: list[Model], names: list[str], more: tuple[str, ...], words_as: str) -> Iterator[pa.RecordBatch]:
+    """Batches with the columns ``more``, the number of words of column ``__text``, and each model's score of it."""
+    indicators = Indicators()
+    for batch in batches:
+        for part, data, at in slices(batch, "__text", SLICE):
+            margins = np.empty((len(models), len(at) - 1))
+            for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
+                grams = indicators.of(hashed(data[a:b]))
+                for k, m in enumerate(models):
+                    margins[k, i] = m.margin(grams)
+            columns = [part.column(c) for c in more]
+            columns += [pa.array(count_words(data, at), pa.int64()), *(pa.array(m.score(margins[k]), pa.float64()) for k, m in enumerate(models))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*more, words_as, *names])
+
+
+def count_words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Runs of bytes outside ``[\\x20\\x09-\\x0D]`` in each text."""
+    if not len(data):
+        return np.zeros(len(at) - 1, np.int64)
+    gap = SPACE[data]
+    begins = ~gap
+    begins[1:] &= gap[:-1]
+    full = at[:-1][at[:-1] < at[1:]]
+    begins[full] = ~gap[full]
+    return np.diff(np.searchsorted(np.flatnonzero(begins), at))
+
+
 def scores(docs: DataFrame, models: list[Model], names: list[str], more: tuple[str, ...] = (), words_as: str = "n_words") -> DataFrame:
     """The columns ``more`` of every row of ``docs``, its number of words, and each model's score under its name."""
-    sc = docs.sparkSession.sparkContext
     ship(docs.sparkSession)
-    sent = sc.broadcast(models)  # a fixed size: 2**18 buckets for each model
+    sent = docs.sparkSession.sparkContext.broadcast(models)  # a fixed size: 2**18 buckets for each model
     kept = docs.select(*more, F.col("text").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), f"`{words_as}` long", *(f"`{n}` double" for n in names)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indicators = Indicators()
-        space = np.zeros(256, bool)
-        space[[9, 10, 11, 12, 13, 32]] = True
-        for batch in batches:
-            for part, data, at in slices(batch, "__text", SLICE):
-                margins = np.empty((len(models), len(at) - 1))
-                gap = space[data]
-                begins = np.flatnonzero(~gap & np.append(True, gap[:-1])) if len(data) else np.zeros(0, np.int64)
-                begins = np.union1d(begins, at[:-1][(at[:-1] < at[1:])][~gap[at[:-1][at[:-1] < at[1:]]]]) if len(data) else begins
-                words = np.diff(np.searchsorted(begins, at))
-                for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
-                    grams = indicators.of(hashed(data[a:b]))
-                    for k, m in enumerate(sent.value):
-                        margins[k, i] = m.margin(grams)
-                columns = [part.column(c) for c in more]
-                columns += [pa.array(words, pa.int64()), *(pa.array(m.score(margins[k]), pa.float64()) for k, m in enumerate(sent.value))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*more, words_as, *names])
-
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lambda batches: scored(batches, sent.value, names, more, words_as), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:
