@@ -13,6 +13,9 @@ from codeloom.llm import exact_dedup, minhash_dedup, mixing, packing, quality
 from codeloom.llm._common import saved, table
 from codeloom.llm.queries import tokenizer_path
 
+#: What is left after the quality stage is mostly good: keep that, and hold down the rest.
+TARGETS = {"high": 0.97, "low": 0.02, "toxic": 0.01}
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -27,7 +30,7 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.resample(docs, table(spark, sf_dir, "labels"))
+    return mixing.resample(docs, table(spark, sf_dir, "labels"), TARGETS, most=2.0)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
