@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import exact_dedup, minhash_dedup, mixing, packing, quality, token_counts, topk, url_filter, warc
+from codeloom.llm import exact_dedup, minhash_dedup, mixing, packing, quality, suffix_dedup, token_counts, topk, url_filter, warc
 from codeloom.llm._common import shared_folder, table
 
 TOKENIZER = "byte_bpe_50k"
@@ -23,6 +23,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents"), width=3, per_cent=85, bands=16)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -61,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash_dedup, op3_url_filter, op4_quality, op5_token_counts, op6_exact_dedup, op7_warc, op8_topk, op9_mixing, op10_packing]
+    found = [op1_minhash_dedup, op2_suffix_dedup, op3_url_filter, op4_quality, op5_token_counts, op6_exact_dedup, op7_warc, op8_topk, op9_mixing, op10_packing]
     return {f.__name__: f for f in found}
 
 
