@@ -14,7 +14,7 @@ from codeloom.llm._common import saved, table
 from codeloom.llm.queries import tokenizer_path
 
 #: What is left after the quality stage is mostly good: keep that, and hold down the rest.
-TARGETS = {"high": 0.97, "low": 0.02, "toxic": 0.01}
+TARGETS = {"high": 0.985, "low": 0.005, "toxic": 0.01}
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
