@@ -1,11 +1,11 @@
 """Removal of repeated byte strings by blockwise suffix sorting, one bucket of aligned suffixes at a time.
 
-Cover sample.  In every text, anchors are the places whose ``GRAM`` bytes have the smallest hash in some window of
-``length`` bytes.  Equal windows have equal anchors at equal places, so, like a difference cover, the sample meets any
-two equal windows at a common offset; unlike a fixed cover it takes about two places in ``length``, and two suffixes
-that do not share an anchor's bytes never have to meet.
+Cover sample.  A window of ``length`` bytes has one anchor, the place whose ``GRAM`` bytes have the smallest hash in it.
+Equal windows have equal anchors at equal places, so, like a difference cover, the sample meets any two equal windows at
+a common offset; unlike a fixed cover it takes about two places in ``length``, and two suffixes that do not share an
+anchor's bytes never have to meet.
 
-Buckets.  An anchor's context is what windows around it can hold.  1. Contexts (as 128-bit hashes) are counted for each
+Buckets.  An anchor's context is what the windows that have it hold.  1. Contexts (as 128-bit hashes) are counted for each
 anchor key: a context that occurs twice is repeated as a whole.  2. Only contexts that occur once, under a key that other
 contexts have too, are compared as bytes.  Buckets of one key are dealt to tasks in order and sorted: the right parts
 from the anchor on, and the reversed left parts, each by blocks of ``COVER`` bytes whose ties are resolved by the ranks
@@ -33,45 +33,47 @@ from codeloom.llm._arrow import slices
 from codeloom.llm._common import saved, ship
 from codeloom.llm.shingles import U, mix, powers, prefix_sums
 
-GRAM, COVER, SLICE, HELD = 32, 40, 1 << 20, 3000
+GRAM, COVER, SLICE, HELD = 64, 40, 1 << 20, 3000
 _OTHER = mix(np.arange(1, 257, dtype=U)).astype(np.uint8)
 
 
-def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """Smallest (or largest) of x[i : i + width] for each i with a whole window."""
-    pick, fill = (np.minimum, np.iinfo(x.dtype).max) if least else (np.maximum, 0)
+def _sliding(x: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of x[i : i + width] for each i with a whole window."""
     n = len(x) - width + 1
-    padded = np.full(-(-len(x) // width) * width, fill, x.dtype)
+    padded = np.full(-(-len(x) // width) * width, np.iinfo(x.dtype).max, x.dtype)
     padded[: len(x)] = x
     rows = padded.reshape(-1, width)
-    ahead = pick.accumulate(rows, axis=1).ravel()
-    back = pick.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return pick(back[:n], ahead[width - 1 : width - 1 + n])
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of anchors in ``data``, their text, key, and two hashes of their contexts."""
+def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of each run of windows with one anchor: its place, text, most and least bytes between a window's begin and the
+    anchor, key, and two hashes of the bytes that these windows hold."""
     none = np.zeros(0, np.int64)
+    empty = (none, none, none, none, none.astype(U), none.astype(U), none.astype(U))
     if len(data) < length:
-        return none, none, none.astype(U), none.astype(U), none.astype(U)
+        return empty
     s, t = prefix_sums(data), prefix_sums(_OTHER[data])
     back = powers(len(data) + 1)[1]
     n = len(data) - GRAM + 1
-    key = np.maximum(mix((s[GRAM:] - s[:n]) * back[:n]), U(1))
+    key = mix((s[GRAM:] - s[:n]) * back[:n])
+    bits = U(max(24, len(data).bit_length()))
+    # The smallest key of a window, the leftmost of equal ones.
+    least = _sliding(key >> bits << bits | np.arange(n, dtype=U), length - GRAM + 1)
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    key[text[:n] != text[GRAM - 1 :]] = np.iinfo(U).max  # across two texts
-    width = length - GRAM + 1
-    low = _sliding(key, width, True)
-    whole = text[: len(low)] == text[length - 1 : length - 1 + len(low)]
-    low[~whole] = 0
-    high = _sliding(np.concatenate([np.zeros(width - 1, U), low, np.zeros(width - 1, U)]), width, False)
-    place = np.flatnonzero(high[:n] == key)
-    place = place[key[place] != np.iinfo(U).max]
-    own = text[place]
-    begin, end = np.maximum(at[own], place - (length - GRAM)), np.minimum(at[own + 1], place + length)
-    shape = U(1000003) * (place - begin).astype(U) + (end - place).astype(U)
-    one, two = (mix(mix((x[end] - x[begin]) * back[begin]) + shape) for x in (s, t))
-    return place, own, key[place], one, two
+    begin = np.flatnonzero(text[: len(least)] == text[length - 1 : length - 1 + len(least)])
+    if not len(begin):
+        return empty
+    place = (least[begin] & ((U(1) << bits) - U(1))).astype(np.int64)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    last = np.append(first[1:], len(place)) - 1
+    place, low, high = place[first], begin[first], begin[last] + length
+    most, fewest = place - low, place - high + length
+    shape = U(1000003) * most.astype(U) + fewest.astype(U)
+    one, two = (mix(mix((x[high] - x[low]) * back[low]) + shape) for x in (s, t))
+    return place, text[place], most, fewest, key[place], one, two
 
 
 def _ranks(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -103,23 +105,21 @@ def _classes(parts: list[bytes], key: np.ndarray, width: int) -> np.ndarray:
 def repeated_windows(key: np.ndarray, left: list[bytes], right: list[bytes], length: int) -> np.ndarray:
     """[i, o]: the window that begins o bytes before anchor i occurs around another anchor of the same key.
 
-    ``left`` is what stands before the anchor, reversed; ``right`` what begins with it.
+    ``left`` is what stands before the anchor, reversed; ``right`` what begins with it.  Windows lie inside these.
     """
-    reach = length - GRAM
-    n, o = len(key), np.arange(reach + 1)
-    before, after = _classes(left, key, reach), _classes(right, key, length)
-    code = before.astype(np.int64) * n + after[:, length - o]
+    n, o = len(key), np.arange(length - GRAM + 1)
+    before, after = _classes(left, key, length - GRAM), _classes(right, key, length)
     valid = (o[None, :] <= np.array([len(x) for x in left])[:, None]) & (length - o[None, :] <= np.array([len(x) for x in right])[:, None])
-    code[~valid] = -1
-    order = np.argsort(code, axis=0, kind="stable")
-    inorder = np.take_along_axis(code, order, axis=0)
-    same = inorder[1:] == inorder[:-1]
-    hit = np.zeros(code.shape, bool)
-    hit[1:] |= same
-    hit[:-1] |= same
-    out = np.zeros(code.shape, bool)
-    np.put_along_axis(out, order, hit, axis=0)
-    return out & valid
+    row, column = np.nonzero(valid)
+    code = (column * n + before[row, column]) * n + after[row, length - column]
+    order = np.argsort(code, kind="stable")
+    same = code[order[1:]] == code[order[:-1]]
+    hit = np.zeros(len(code), bool)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    out = np.zeros(valid.shape, bool)
+    out[row[hit], column[hit]] = True
+    return out
 
 
 def _spans(hit: np.ndarray, pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,11 +134,11 @@ def _sample(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, at in slices(batch, "text", SLICE):
-                place, own, key, one, two = anchors(data, at, length)
+                place, own, most, fewest, *hashes = anchors(data, at, length)
                 rid = np.asarray(part.column("rid"))[own]
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array((place - at[own]).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (key, one, two))], names=["rid", "pos", "key", "c1", "c2"])
+                yield pa.RecordBatch.from_arrays([pa.array(rid), *(pa.array(x.astype(np.int32)) for x in (place - at[own], most, fewest)), *(pa.array(x.view(np.int64)) for x in hashes)], names=["rid", "pos", "most", "fewest", "key", "c1", "c2"])
 
-    return rows.select("rid", "text").mapInArrow(run, "rid long, pos int, key long, c1 long, c2 long")
+    return rows.select("rid", "text").mapInArrow(run, "rid long, pos int, most int, fewest int, key long, c1 long, c2 long")
 
 
 def _contexts(texts: DataFrame, length: int) -> DataFrame:
@@ -152,7 +152,7 @@ def _contexts(texts: DataFrame, length: int) -> DataFrame:
                 for m in marks.as_py():
                     if m["compare"]:
                         p = m["pos"]
-                        out.append((m["key"], rid.as_py(), p, data[max(0, p - length + GRAM) : p][::-1], data[p : p + length]))
+                        out.append((m["key"], rid.as_py(), p, data[p - m["most"] : p][::-1], data[p : p - m["fewest"] + length]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["key", "rid", "pos", "before", "after"])
 
     return texts.mapInArrow(run, "key long, rid long, pos int, before binary, after binary")
@@ -181,24 +181,19 @@ def _sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
 
 def _counted_windows(contexts: DataFrame, length: int) -> DataFrame:
     """The windows of very full buckets: those whose hash occurs twice."""
-    reach = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rid, pos, before, after in zip(*(batch.column(c).to_pylist() for c in ("rid", "pos", "before", "after"))):
                 data = np.frombuffer(before[::-1] + after, np.uint8)
                 n = len(data) - length + 1
-                if n <= 0:
-                    continue
                 back = powers(len(data) + 1)[1][:n]
                 hashes = [pa.array(mix((s[length : length + n] - s[:n]) * back).view(np.int64)) for s in (prefix_sums(data), prefix_sums(_OTHER[data]))]
                 begin = pos - len(before) + np.arange(n)
-                keep = begin >= pos - reach
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rid)), pa.array(begin), *hashes], names=["rid", "begin", "w1", "w2"]).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rid)), pa.array(begin), *hashes], names=["rid", "begin", "w1", "w2"])
 
     rows = saved(contexts.select("rid", "pos", "before", "after").mapInArrow(run, "rid long, begin long, w1 long, w2 long"), "windows")
-    # A text's own anchors can cover one window several times.
-    often = rows.groupBy("w1", "w2").agg(F.min(F.xxhash64("rid", "begin")).alias("low"), F.max(F.xxhash64("rid", "begin")).alias("high")).filter("low <> high").select("w1", "w2")
+    often = rows.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")  # every window has one anchor
     return rows.join(often, ["w1", "w2"]).select("rid", "begin", (F.col("begin") + length).alias("end"))
 
 
@@ -210,9 +205,8 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
                 data = (text.as_py() or "").encode()
                 spans = [(s["begin"], s["end"]) for s in more.as_py() or ()]
                 for m in marks.as_py() or ():
-                    begin, end = max(0, m["pos"] - length + GRAM), min(len(data), m["pos"] + length)
-                    if m["whole"] and end - begin >= length:
-                        spans.append((begin, end))
+                    if m["whole"]:
+                        spans.append((m["pos"] - m["most"], m["pos"] - m["fewest"] + length))
                 kept, at, runs = [], 0, 0
                 for begin, end in sorted(spans):
                     if begin > at or not runs:
@@ -227,7 +221,7 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, bucket: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, bucket: int = 4096) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -236,7 +230,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     contexts = saved(sample.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.max("rid").alias("holder")), "contexts")
     keys = contexts.groupBy("key").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("different")).filter("all > 1")
     shared = contexts.join(keys.hint("merge"), "key").select("key", "c1", "c2", "n", "holder", "different")
-    marks = sample.join(shared.hint("merge"), ["key", "c1", "c2"]).select("rid", F.struct("pos", "key", (F.col("n") > 1).alias("whole"), ((F.col("different") > 1) & (F.col("rid") == F.col("holder"))).alias("compare")).alias("mark"))
+    marks = sample.join(shared.hint("merge"), ["key", "c1", "c2"]).select("rid", F.struct("pos", "most", "fewest", "key", (F.col("n") > 1).alias("whole"), ((F.col("different") > 1) & (F.col("rid") == F.col("holder"))).alias("compare")).alias("mark"))
     marks = marks.groupBy("rid").agg(F.collect_list("mark").alias("marks"))
     joined = docs.join(marks.hint("merge"), "rid", "left")
     some = F.col("marks").isNotNull()
