@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from codeloom.plans import graph_queries, ledger_queries  # noqa: F401  (they register)
 from codeloom.plans.registry import QUERIES, SQL, Query
 
 
