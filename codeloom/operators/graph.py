@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,31 @@ def hash_edges(edges: DataFrame, occ: DataFrame) -> DataFrame:
     return a.join(known.withColumnRenamed("body_hash", "dst_hash"), a["dst"] == known["occ_id"]).select("src_hash", "dst_hash").distinct()
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Nodes reached from seeds (column node), with the depth where each is first met."""
+def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, hops: int = 6) -> DataFrame:
+    """Nodes reached from seeds (column node), with the depth where each is first met.
+
+    Without a bound, each round goes ``hops`` steps before it is written, so deep graphs take few rounds: a node that is
+    new in a round lies within ``hops`` steps of the last level of the round before.
+    """
     start = seeds.select("node", F.lit(0).alias("depth"))
-    step = lambda f, _: f.join(edges, f["node"] == edges["src"]).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
-    return iterate(start, step, ["node"], max_depth)
+
+    def once(f: DataFrame) -> DataFrame:
+        return f.join(edges, f["node"] == edges["src"]).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
+
+    if max_depth is not None:
+        return iterate(start, lambda f, _: once(f), ["node"], max_depth)
+    edges = saved(edges.select("src", "dst"))
+    frontier = seen = saved(start.distinct())
+    while True:
+        level, found = frontier, []
+        for _ in range(hops):
+            level = once(level).groupBy("node").agg(F.min("depth").alias("depth"))
+            found.append(level)
+        fresh = reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("depth").alias("depth"))
+        frontier = saved(fresh.join(seen.select("node"), "node", "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = saved(seen.unionByName(frontier))
 
 
 def walk(edges: DataFrame, start: DataFrame, max_depth: int = 5, cap: int = 2000) -> DataFrame:

@@ -109,7 +109,7 @@ query("risk_order", f"{SIG} SELECT ordinal, line, severity, CAST({RANK} AS INT)
     lambda s, d: signals(s, d).withColumn("rank", S.severity_rank(F.col("severity"))).orderBy("rank", "category", "rule_id", "file_path", "line", "col", "source", "ordinal").limit(200).select("ordinal", "line", "severity", "rank"))
 query("check_counts", f"{SIG} SELECT source, count(*) FILTER (severity IN ('critical', 'high')) AS errors, count(*) FILTER (severity NOT IN ('critical', 'high')) AS warnings, count(DISTINCT file_path) AS files, 'fail' AS verdict FROM signal GROUP BY source")(lambda s, d: A.check_counts(signals(s, d), "source"))
 query("recipe_totals", f"{SIG} SELECT rule_id, category, count(*) AS n FROM signal GROUP BY ALL")(lambda s, d: signals(s, d).groupBy("rule_id", "category").agg(F.count(F.lit(1)).alias("n")))
-query("group_counts", f"{SIG} SELECT file_path, count(*) AS n, true AS truncated FROM signal GROUP BY file_path ORDER BY file_path LIMIT 500")(lambda s, d: A.group_counts(signals(s, d), "file_path"))
+query("group_counts", f"{SIG} SELECT file_path, count(*) AS n, (SELECT count(DISTINCT file_path) > 500 FROM signal) AS truncated FROM signal GROUP BY file_path ORDER BY file_path LIMIT 500")(lambda s, d: A.group_counts(signals(s, d), "file_path"))
 query("keyset_page", "SELECT o_orderkey, true AS more FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 100")(lambda s, d: L.keyset_page(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 1000, 100))
 query("stable_keys", f"{OC} SELECT occ_id, file_path || '|' || lpad(CAST(line AS VARCHAR), 16, '0') || '|' || name AS sort_key FROM occ")(lambda s, d: occurrences(s, d).select("occ_id", F.concat_ws("|", "file_path", F.lpad(F.col("line").cast("string"), 16, "0"), "name").alias("sort_key")))
 query("bounded_catalog", f"{OC} SELECT occ_id, so_far FROM (SELECT occ_id, CAST(sum(size) OVER (ORDER BY size DESC, occ_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far FROM occ) WHERE so_far <= 20000")(
