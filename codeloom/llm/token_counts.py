@@ -41,10 +41,22 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class _Totals(dict):
+    """Token count of each piece, found when it is first asked for."""
+
+    def __init__(self, counter: Counter) -> None:
+        super().__init__()
+        self.counter = counter
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = 1 if piece in self.counter.special else self.counter.piece(piece.encode())[-1]
+        return n
+
+
 class Counter:
     """Prefix counts for one vocabulary file."""
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 1_000_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -62,8 +74,7 @@ class Counter:
         self.words = {i: w for w, i in self.ids.items()}
         self.single: dict[int, bool] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.arrays: dict[str, array] = {}
-        self.totals: dict[str, int] = {}
+        self.totals = _Totals(self)
         self.keep = keep
 
     def _encoded(self, data: bytes) -> list[int]:
@@ -94,11 +105,7 @@ class Counter:
         return counts
 
     def total(self, piece: str) -> int:
-        if (n := self.totals.get(piece)) is None:
-            if len(self.totals) >= self.keep:
-                self.totals.clear()
-            n = self.totals[piece] = 1 if piece in self.special else self.piece(piece.encode())[-1]
-        return n
+        return self.totals[piece]
 
     def pieces(self, text: str) -> list[str]:
         if self.special_cut is None or not any(s in text for s in self.special):
@@ -109,11 +116,9 @@ class Counter:
         return out
 
     def count(self, text: str) -> int:
-        known, pieces = self.totals, self.pieces(text)
-        try:
-            return sum(map(known.__getitem__, pieces))
-        except KeyError:
-            return sum(map(self.total, pieces))
+        if len(self.totals) > self.keep:
+            self.totals.clear()
+        return sum(map(self.totals.__getitem__, self.pieces(text)))
 
 
 class PrefixCounts:
