@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import math
+
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.plans.shared import ship
+
 #: Order of severities, and native labels by severity.
 SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 LABELS = {"critical": ("critical", "blocker"), "high": ("high", "error", "major"), "medium": ("medium", "moderate", "warning"), "low": ("low", "info", "note", "minor")}
@@ -36,7 +42,7 @@ def normalize_path(path: Column) -> Column:
 
 
 def strip_extension(path: Column) -> Column:
-    return F.regexp_replace(path, r"\.(d\.ts|tsx|ts|jsx|js|mjs|cjs|mts|cts)$", "")
+    return F.regexp_replace(path, r"\.(tsx|ts|jsx|js|mjs|cjs|mts|cts)$", "")
 
 
 def slug(s: Column, longest: int = 48) -> Column:
@@ -155,3 +161,44 @@ def fuzzy_score(text: Column, wanted: str) -> Column:
 
     done = F.aggregate(F.split(F.lower(text), ""), start, step)
     return F.when(done["next"] == len(wanted), done["score"]).otherwise(0)
+
+
+#: Bounds of metadata that is passed on.
+JSON_STRING, JSON_ITEMS, JSON_KEYS, JSON_DEPTH = 500, 10, 16, 3
+
+
+def bounded_value(value, depth: int = 0) -> tuple:
+    """(value,) cut to the bounds, or () where nothing is left: too deep, not finite, or an empty container."""
+    if value is None or isinstance(value, bool):
+        return (value,)
+    if isinstance(value, str):
+        return (value[:JSON_STRING],)
+    if isinstance(value, (int, float)):
+        return (value,) if math.isfinite(value) else ()
+    if depth >= JSON_DEPTH:
+        return ()
+    if isinstance(value, list):
+        found = [x for v in value[:JSON_ITEMS] for x in bounded_value(v, depth + 1)]
+    else:
+        found = {k: x for k, v in list(value.items())[:JSON_KEYS] for x in bounded_value(v, depth + 1)}
+    return (found,) if found else ()
+
+
+def _bounded_texts(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str | None:
+        try:
+            left = bounded_value(json.loads(text)) if text is not None else ()
+        except (ValueError, RecursionError):
+            left = ()
+        return json.dumps(left[0], ensure_ascii=False, separators=(",", ":")) if left else None
+
+    return texts.map(one)
+
+
+def bounded_json(text: Column) -> Column:
+    """JSON with strings, arrays, objects and depth cut to fixed bounds; null for what is no JSON or leaves nothing.
+
+    Keys come and go by name, so no schema fits: an Arrow-batched function.
+    """
+    ship(SparkSession.active())
+    return F.pandas_udf(_bounded_texts, "string")(text)

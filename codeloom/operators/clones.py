@@ -6,11 +6,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from codeloom.plans.shared import saved
+from codeloom.plans.shared import saved, ship
 
 #: Fixed values of the signature: slots, bands, gram length, mixing constant.  SEED names the hash functions of an installation.
 SLOTS, BANDS, GRAM, MIX, SEED = 128, 8, 5, 0x45D9F3B, "codeloom-minhash-perm:"
@@ -64,6 +64,7 @@ def _signatures(text: pd.Series) -> pd.Series:
 
 def signature(text: Column) -> Column:
     """MinHash signatures, in Arrow batches (as an expression, 128 slots over each gram would be rebuilt for each row)."""
+    ship(SparkSession.active())
     return F.pandas_udf(_signatures, "array<bigint>")(text)
 
 
@@ -101,10 +102,34 @@ def clusters(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def cluster_rows(pairs: DataFrame, cap: int = 50) -> DataFrame:
-    """Size, anchor, first ``cap`` members and best similarity of each cluster."""
-    of = clusters(pairs)
-    n = F.row_number().over(W.Window.partitionBy("cluster").orderBy("node"))
-    members = of.withColumn("n", n).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("anchor"), F.array_sort(F.collect_list(F.when(F.col("n") <= cap, F.col("node")))).alias("members"))
-    best = pairs.join(of, pairs["a"] == of["node"]).groupBy("cluster").agg(F.max("similarity").alias("similarity"))
-    return members.join(best, "cluster").withColumn("capped", F.col("size") > cap)
+def cluster_rows(pairs: DataFrame, cap: int = 50, hashes: DataFrame | None = None) -> DataFrame:
+    """One row for each cluster: size, anchor, members, best similarity, and whether it had more than ``cap`` members.
+
+    Of a larger cluster the lowest ``cap`` nodes stay, or, if no pair lies within them, those with the most pairs.  What
+    the cut leaves may fall apart: of its components the largest is given, then the one of highest similarity, then of
+    the lowest anchor.  With ``hashes`` (node, hash), exact_members are the members whose hash another member shares.
+    """
+    of = saved(clusters(pairs))
+    edges = saved(pairs.join(of, pairs["a"] == of["node"]).select("cluster", "a", "b", "similarity"))
+    degree = edges.select("cluster", F.explode(F.array("a", "b")).alias("node")).groupBy("cluster", "node").agg(F.count(F.lit(1)).alias("degree"))
+
+    def within(ranked: DataFrame, *order: Column) -> DataFrame:
+        n = F.row_number().over(W.Window.partitionBy("cluster").orderBy(*order))
+        kept = ranked.withColumn("n", n).filter(F.col("n") <= cap).select("node")
+        return edges.join(kept.withColumnRenamed("node", "a"), "a", "left_semi").join(kept.withColumnRenamed("node", "b"), "b", "left_semi").select("cluster", "a", "b", "similarity")
+
+    lowest = saved(within(of, F.col("node")))
+    hubs = within(degree, F.desc("degree"), F.col("node")).join(lowest.select("cluster").distinct(), "cluster", "left_anti")
+    left = saved(lowest.unionByName(hubs))
+    parts = saved(clusters(left).withColumnRenamed("cluster", "part"))
+    members = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("anchor"), F.array_sort(F.collect_list("node")).alias("members"))  # ``cap`` nodes at most
+    best = left.join(parts, left["a"] == parts["node"]).groupBy("cluster", "part").agg(F.max("similarity").alias("similarity"))
+    first = F.row_number().over(W.Window.partitionBy("cluster").orderBy(F.desc("size"), F.desc("similarity"), "anchor"))
+    large = of.groupBy("cluster").agg((F.count(F.lit(1)) > cap).alias("capped"))
+    out = best.join(members, "part").withColumn("n", first).filter("n = 1").join(large, "cluster")
+    columns = ["cluster", "size", "anchor", "members", "similarity", "capped"]
+    if hashes is None:
+        return out.select(*columns)
+    shared = parts.join(hashes.select("node", "hash"), "node").groupBy("part", "hash").agg(F.collect_list("node").alias("same")).filter("size(same) > 1")
+    exact = shared.groupBy("part").agg(F.array_sort(F.flatten(F.collect_list("same"))).alias("exact_members"))
+    return out.join(exact, "part", "left").select(*columns, F.coalesce("exact_members", F.array().cast("array<long>")).alias("exact_members"))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from codeloom.plans.shared import iterate, saved
 
@@ -108,3 +109,69 @@ def impact(edges: DataFrame, changed: DataFrame, max_depth: int = 5) -> DataFram
     """Callers of changed nodes up to a depth, without the changed ones: node, depth."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return reachable(back, changed, max_depth).filter("depth > 0")
+
+
+def cycle_proofs(evidence: DataFrame, components: DataFrame, limit: int = 50) -> DataFrame:
+    """The first ``limit`` edges between packages of one component, with the number of all.
+
+    evidence: src, dst, kind, n; components: node, component.  Edges of a package to itself prove nothing.
+    """
+    a = components.select(F.col("node").alias("src"), "component")
+    b = components.select(F.col("node").alias("dst"), F.col("component").alias("other"))
+    inside = saved(evidence.filter("src <> dst").join(a, "src").join(b, "dst").filter("component = other").select("component", "src", "dst", "kind", "n"))
+    first = F.row_number().over(W.Window.partitionBy("component").orderBy("src", "dst", "kind"))
+    shown = inside.withColumn("rank", first).filter(F.col("rank") <= min(max(limit, 0), 50))
+    return shown.join(inside.groupBy("component").agg(F.count(F.lit(1)).alias("total")), "component")
+
+
+def weakest_hop(paths: DataFrame, evidence: DataFrame) -> DataFrame:
+    """id and the lowest confidence of any evidence (src, dst, confidence) along a path; null where no hop has any.
+
+    paths: id, path (an array of nodes).  Confidences other than low and medium count as high.
+    """
+    steps = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("src"), F.element_at("path", i + 1).alias("dst")))
+    hops = paths.filter("size(path) > 1").select("id", F.explode(steps).alias("hop")).select("id", "hop.*")
+    level = F.when(F.col("confidence") == "low", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
+    worst = evidence.groupBy("src", "dst").agg(F.min(level).alias("level"))
+    found = hops.join(worst, ["src", "dst"]).groupBy("id").agg(F.min("level").alias("level"))
+    name = F.when(F.col("level") == 0, "low").when(F.col("level") == 1, "medium").when(F.col("level") == 2, "high")
+    return paths.select("id").join(found, "id", "left").select("id", name.alias("weakest"))
+
+
+def incremental_closure(cached: DataFrame, calls: DataFrame, fresh: DataFrame, changed: DataFrame) -> DataFrame:
+    """Files (file_path) to walk again: the changed ones, and those that call a body which the walked files have lost.
+
+    cached and fresh: file_path, body_hash before and now; calls: file_path, to_hash of the cached edges.  A body that moved
+    to another walked file is not lost.  Each round looks at the whole closure again until no file is added.
+    """
+    closure = saved(changed.select("file_path").distinct())
+    while True:
+        now = fresh.join(closure, "file_path", "left_semi").select("body_hash").distinct()
+        lost = cached.join(closure, "file_path", "left_semi").select("body_hash").distinct().join(now, "body_hash", "left_anti")
+        callers = calls.join(lost.withColumnRenamed("body_hash", "to_hash"), "to_hash", "left_semi").select("file_path").distinct()
+        more = saved(callers.join(closure, "file_path", "left_anti"))
+        if more.isEmpty():
+            return closure
+        closure = saved(closure.unionByName(more))
+
+
+def impact_doubts(changed: DataFrame, catalog: DataFrame, complete: bool = True, approximate: bool = False, omitted: bool = False, truncated: bool = False) -> DataFrame:
+    """Reasons (code, source, file_path) not to trust an impact answer; with any, all tests should run.
+
+    changed: path, status (null: modified); catalog: file_path of all known files.  A deleted file is only that; a
+    renamed one may also be unknown to the catalog.
+    """
+    spark = changed.sparkSession
+    path = F.translate("path", "\\", "/")
+    known = catalog.select(F.col("file_path").alias("path"), F.lit(True).alias("known")).distinct()
+    rows = changed.select(path.alias("path"), "status").join(known, "path", "left")
+    gone = F.coalesce(F.col("status") == "deleted", F.lit(False))
+    reasons = F.array(
+        F.when(gone, F.struct(F.lit("changed-file-deleted").alias("code"), F.lit("git").alias("source"))),
+        F.when(F.col("status") == "renamed", F.struct(F.lit("changed-file-renamed").alias("code"), F.lit("git").alias("source"))),
+        F.when(~gone & F.col("known").isNull(), F.struct(F.lit("changed-file-unmatched").alias("code"), F.lit("impact").alias("source"))),
+    )
+    files = rows.select("path", F.explode(F.filter(reasons, lambda r: r.isNotNull())).alias("r")).select("r.code", "r.source", F.col("path").alias("file_path"))
+    flags = [("graph-catalog-incomplete", "catalog", not complete), ("graph-catalog-approximate", "catalog", approximate), ("impact-malformed-row-omitted", "impact", omitted), ("impact-truncated", "impact", truncated)]
+    whole = spark.createDataFrame([(c, s, None) for c, s, on in flags if on], "code string, source string, file_path string")
+    return whole.unionByName(files)

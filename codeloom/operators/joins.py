@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from codeloom.functions import scalars as S
+
 
 def known_targets(edges: DataFrame, occ: DataFrame) -> DataFrame:
     return edges.join(occ.select(F.col("occ_id").alias("dst")), "dst", "left_semi")
@@ -82,3 +84,21 @@ def nested_spans(occ: DataFrame) -> DataFrame:
     """outer, inner: inner begins strictly after outer begins, and ends within it, in one file."""
     a, b = (occ.select("file_path", F.col("occ_id").alias(n), F.col("line").alias(f"{n}_line"), F.col("end_line").alias(f"{n}_end")) for n in ("outer", "inner"))
     return a.join(b, "file_path").filter("inner_line > outer_line and inner_end <= outer_end").select("outer", "inner")
+
+
+#: A dynamic import with a literal path, and what may stand behind a path without its extension.
+DYNAMIC_IMPORT = r"""\bimport\(\s*['"]([^'"]+)['"]\s*\)"""
+ENTRY_FORMS = (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", "/index.ts", "/index.tsx", "/index.js")
+
+
+def dynamic_import_entries(calls: DataFrame, occ: DataFrame) -> DataFrame:
+    """Exported occurrences (node) of files that a call (file_path, text) imports dynamically by a relative path.
+
+    Paths that leave the project, and those of packages, lead nowhere.
+    """
+    spec = calls.select("file_path", F.regexp_extract("text", DYNAMIC_IMPORT, 1).alias("spec")).filter(F.col("spec").startswith("."))
+    target = S.normalize_path(F.concat_ws("/", S.parent_dir(F.col("file_path")), F.col("spec")))
+    targets = spec.select(target.alias("target")).filter("target <> '..' and target not like '../%'").distinct()
+    base = S.strip_extension(F.col("target"))
+    files = targets.select(F.explode(F.array("target", *[F.concat(base, F.lit(e)) for e in ENTRY_FORMS])).alias("file_path")).distinct()
+    return occ.filter("exported").join(files, "file_path", "left_semi").select(F.col("occ_id").alias("node"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -77,6 +81,42 @@ def keyset_page(rows: DataFrame, key: str, after, limit: int) -> DataFrame:
     return page.withColumn("n", n).withColumn("more", F.max("n").over(W.Window.partitionBy()) > limit).filter(F.col("n") <= limit).drop("n")
 
 
+def query_digest(query: dict) -> str:
+    """The same for equal queries, whatever the order of their fields."""
+    return hashlib.sha256(json.dumps(query, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:32]
+
+
+def _sealed(body: dict) -> str:
+    return hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()[:32]
+
+
+def encode_cursor(after, digest: str, generation: str) -> str:
+    body = {"v": 1, "after": after, "query": digest, "generation": generation}
+    return base64.urlsafe_b64encode(json.dumps(body | {"seal": _sealed(body)}).encode()).decode().rstrip("=")
+
+
+def decode_cursor(cursor: str, digest: str, generation: str):
+    """The key to go on after; a cursor that is damaged, or of another query or generation, is an error."""
+    try:
+        body = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))
+        seal = body.pop("seal")
+        good = seal == _sealed(body) and body["v"] == 1 and body["query"] == digest and body["generation"] == generation
+    except (ValueError, KeyError, AttributeError, TypeError):
+        good = False
+    if not good:
+        raise ValueError("cursor-invalid")
+    return body["after"]
+
+
+def read_page(rows: DataFrame, key: str, query: dict, generation: str, limit: int = 50, cursor: str | None = None) -> tuple[DataFrame, str | None, int]:
+    """A page of a named query by its unique key: the rows, the cursor of the next page (None at the end), all rows' number."""
+    digest = query_digest(query)
+    after = decode_cursor(cursor, digest, generation) if cursor else None
+    page = saved(keyset_page(rows, key, after, limit))
+    last = page.groupBy().agg(F.max(key).alias("last"), F.bool_or("more").alias("more")).first()
+    return page.drop("more"), encode_cursor(last.last, digest, generation) if last.more else None, rows.count()
+
+
 def within_bytes(rows: DataFrame, order: list[Column], size: str, budget: int) -> DataFrame:
     """The longest prefix in the given order whose sizes fit the budget (a running sum over one ordered list)."""
     w = W.Window.orderBy(*order).rowsBetween(W.Window.unboundedPreceding, 0)

@@ -72,6 +72,46 @@ def pure_functions(occ: DataFrame, edges: DataFrame, impure: DataFrame) -> DataF
     return occ.join(reachable(back, impure).select(F.col("node").alias("occ_id")), "occ_id", "left_anti")
 
 
+#: Texts of calls that have an effect, by kind, and return types that carry no value.
+EFFECTS = (
+    r"\b(?:console|logger|log|fs\.|http\.|fetch|process\.exit|throw\s+new)\b",
+    r"\.(?:push|pop|shift|unshift|splice|fill|sort|reverse|copyWithin|set|add|delete|clear|append|write|emit)\s*\(",
+    r"\b(?:record|report|track|emit|instrument|audit)[A-Z][A-Za-z0-9]*\s*\(",
+    r"\bwith[A-Za-z0-9]*[Ss]pan\s*\(",
+    r"\b(?:logger|log|metric|metrics|tracer|trace|span)\b",
+)
+NO_VALUE = ("void", "undefined", "never", "promise<void>", "()", "none")
+
+
+def no_side_effect_path(occ: DataFrame, calls: DataFrame, effects: tuple[str, ...] = EFFECTS, min_calls: int = 2, min_span: int = 10) -> DataFrame:
+    """Exported functions without an effect on any path whose value every caller throws away.
+
+    occ: occ_id, kind, in_test, exported, line, end_line, return_type (null: unknown); calls: src, dst (null: not
+    resolved), text, discarded (null: unknown).  One caller that uses the value clears a function; if nothing is known of
+    any caller, the value counts as thrown away.
+    """
+    effect = F.lit(False)
+    for pattern in effects:
+        effect = effect | F.col("text").rlike(pattern)
+    impure = calls.filter(effect).select(F.col("src").alias("node")).distinct()
+    own = calls.groupBy(F.col("src").alias("occ_id")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("dst").isNotNull()).alias("resolved")).filter((F.col("n") >= min_calls) & F.col("resolved"))
+    told = calls.filter("dst is not null").groupBy(F.col("dst").alias("occ_id")).agg(F.count_if("discarded").alias("dropped"), F.count("discarded").alias("known"))
+    dead = told.filter("known = dropped")
+    value = ~F.coalesce(F.lower(F.trim("return_type")).isin(*NO_VALUE), F.lit(False))
+    rows = occ.filter((F.col("kind") != "module-init") & ~F.col("in_test") & F.col("exported") & (F.col("end_line") - F.col("line") + 1 >= min_span) & value)
+    rows = rows.join(own, "occ_id", "left_semi").join(dead, "occ_id", "left_semi")
+    edges = calls.filter("dst is not null").select("src", "dst").distinct()
+    return rule_signals(pure_functions(rows, edges, impure), "no-side-effect-path", F.lit("low"), F.lit("its value is thrown away"))
+
+
+def unexpected_coupling(mutual: DataFrame, components: DataFrame, occ: DataFrame) -> DataFrame:
+    """Package pairs that call each other (a, b, there, back) with the number of cycles that span both."""
+    inside = components.join(occ.select(F.col("occ_id").alias("node"), "package"), "node").select("component", "package").distinct()
+    a, b = (inside.select("component", F.col("package").alias(n)) for n in "ab")
+    spans = mutual.select("a", "b").join(a, "a").join(b, ["component", "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("cycles"))
+    return mutual.join(spans, ["a", "b"], "left").withColumn("cycles", F.coalesce("cycles", F.lit(0))).withColumn("severity", F.lit("high"))
+
+
 def always_throws(calls: DataFrame, pattern: str = r"^throw\b|^raise\b|\bthrow[A-Z]\w*\(") -> DataFrame:
     """Owners all of whose calls (owner, text) match the pattern."""
     return calls.groupBy("owner").agg(F.bool_and(F.col("text").rlike(pattern)).alias("all_throw"), F.count(F.lit(1)).alias("edges")).filter("all_throw").drop("all_throw")

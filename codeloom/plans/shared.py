@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,6 +32,22 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by the executors' Python workers, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    path = Path(tempfile.mkdtemp(prefix="codeloom-"), "codeloom-functions.zip")
+    path.write_bytes(data.getvalue())
+    sc.addPyFile(str(path))
+    _SHIPPED.add(sc.applicationId)
+
+
 def iterate(frontier: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], keys: list[str], max_depth: int | None = None) -> DataFrame:
     """All rows reached from ``frontier``: each round adds step(frontier, seen) without rows whose keys were seen."""
     frontier = saved(frontier.dropDuplicates(keys))

@@ -98,3 +98,89 @@ def test_stream_append(spark, tmp_path):
     rows = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
     append_stream(rows, str(tmp_path / "out"), str(tmp_path / "cp"), ["id"]).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_clusters_keep_hubs_when_the_cut_severs_all_pairs(spark):
+    star = [(i, 1000, 0.9) for i in range(1, 61)]
+    split = [(2001, 2002, 0.9), (2002, 2003, 0.95)]
+    got = {r.cluster: r for r in clones.cluster_rows(spark.createDataFrame(star + split, "a long, b long, similarity double"), cap=50, hashes=spark.createDataFrame([(2001, "x"), (2003, "x"), (2002, "y")], "node long, hash string")).collect()}
+    assert got[1].size == 50 and got[1].capped and 1000 in got[1].members and 60 not in got[1].members
+    assert (got[2001].size, got[2001].capped, got[2001].similarity, got[2001].exact_members) == (3, False, 0.95, [2001, 2003])
+
+
+def test_clusters_give_the_largest_part_that_the_cut_leaves(spark):
+    pairs = [(1, 2, 0.99), (2, 9, 0.9), (3, 4, 0.9), (4, 5, 0.9), (5, 9, 0.9)]
+    r = clones.cluster_rows(spark.createDataFrame(pairs, "a long, b long, similarity double"), cap=5).first()
+    assert (r.cluster, r.anchor, r.members, r.capped) == (1, 3, [3, 4, 5], True)
+
+
+def test_incremental_closure_matches_brute_force(spark):
+    rng = random.Random(5)
+    files = [f"f{i}" for i in range(30)]
+    cached = {(rng.choice(files), f"h{rng.randrange(40)}") for _ in range(70)}
+    fresh = {(f, h if rng.random() < 0.5 else h + "*") for f, h in sorted(cached)}
+    calls = {(rng.choice(files), f"h{rng.randrange(40)}") for _ in range(60)}
+    closure = {"f1", "f2", "f3", "f4"}
+    while True:
+        walked = {h for f, h in fresh if f in closure}
+        lost = {h for f, h in cached if f in closure} - walked
+        more = {f for f, h in calls if h in lost} - closure
+        if not more:
+            break
+        closure |= more
+    frame = lambda rows, names: spark.createDataFrame(sorted(rows), names)
+    got = graph.incremental_closure(frame(cached, ["file_path", "body_hash"]), frame(calls, ["file_path", "to_hash"]), frame(fresh, ["file_path", "body_hash"]), spark.createDataFrame([("f1",), ("f2",), ("f3",), ("f4",)], ["file_path"]))
+    assert {r.file_path for r in got.collect()} == closure and 4 < len(closure) < 30
+
+
+def test_weakest_hop_and_doubts(spark):
+    paths = spark.createDataFrame([(1, [1]), (2, [1, 2, 3]), (3, [1, 2]), (4, [7, 8])], "id int, path array<long>")
+    evidence = spark.createDataFrame([(1, 2, "high"), (2, 3, "medium"), (2, 3, "low")], "src long, dst long, confidence string")
+    assert {r.id: r.weakest for r in graph.weakest_hop(paths, evidence).collect()} == {1: None, 2: "low", 3: "high", 4: None}
+    changed = spark.createDataFrame([("a\\b", None), ("gone", "deleted"), ("new", "renamed"), ("odd", "modified")], "path string, status string")
+    got = {(r.code, r.file_path) for r in graph.impact_doubts(changed, spark.createDataFrame([("a/b",), ("new",)], ["file_path"]), complete=False).collect()}
+    assert got == {("graph-catalog-incomplete", None), ("changed-file-deleted", "gone"), ("changed-file-renamed", "new"), ("changed-file-unmatched", "odd")}
+    assert graph.impact_doubts(changed.limit(0), spark.createDataFrame([("x",)], ["file_path"])).isEmpty()
+
+
+def test_dynamic_imports(spark):
+    occ = spark.createDataFrame([(1, "src/a.ts", True), (2, "src/a.ts", False), (3, "lib/index.ts", True), (4, "src/b.ts", True), (5, "x.ts", True)], "occ_id long, file_path string, exported boolean")
+    texts = ["await import('./a.js')", 'import("../lib")', "import('b')", "import('../../x.ts')", "require('./b')"]
+    got = joins.dynamic_import_entries(spark.createDataFrame([("src/m.ts", t) for t in texts], ["file_path", "text"]), occ)
+    assert {r.node for r in got.collect()} == {1, 3}
+
+
+def test_values_thrown_away(spark):
+    from codeloom.operators import rules
+
+    names = "occ_id long, kind string, in_test boolean, exported boolean, line long, end_line long, return_type string"
+    occ = spark.createDataFrame([(i, "function", False, True, 1, 20, "void" if i == 5 else None) for i in range(1, 9)], names)
+    leaves = [(n, to, "f()", None) for n in (2, 3, 4, 5) for to in (7, 8)]
+    calls = [*leaves, (1, 2, "g()", True), (1, 3, "g()", True), (6, 3, "g()", False), (1, 4, "g()", None), (1, 5, "g()", True), (1, 6, "list.push(x)", True), (6, None, "?", None)]
+    got = rules.no_side_effect_path(occ, spark.createDataFrame(calls, "src long, dst long, text string, discarded boolean"))
+    assert {r.occ_id for r in got.collect()} == {2, 4}
+
+
+def test_bounded_json(spark):
+    import json
+
+    deep = {"a": "x" * 600, "b": list(range(20)), "c": {"d": {"e": [1]}, "f": {}}, "n": None}
+    rows = [(json.dumps(deep),), ("[]",), ("no json",), (None,), (json.dumps({str(i) + "k": i for i in range(20)}),), ("[1, NaN]",)]
+    got = [r.j for r in spark.createDataFrame(rows, "t string").coalesce(1).select(S.bounded_json(F.col("t")).alias("j")).collect()]
+    assert json.loads(got[0]) == {"a": "x" * 500, "b": list(range(10)), "n": None}
+    assert got[1:4] == [None] * 3 and len(json.loads(got[4])) == 16 and got[5] == "[1]"
+
+
+def test_pages_go_through_all_rows_once(spark):
+    rows = spark.range(1, 24)
+    seen, cursor = [], None
+    while True:
+        page, cursor, total = ledger.read_page(rows, "id", {"q": 1}, "g1", 10, cursor)
+        seen += [r.id for r in page.orderBy("id").collect()]
+        if cursor is None:
+            break
+        assert ledger.decode_cursor(cursor, ledger.query_digest({"q": 1}), "g1") == seen[-1]
+        for bad in ((cursor[:-3] + "abc", {"q": 1}, "g1"), (cursor, {"q": 2}, "g1"), (cursor, {"q": 1}, "g2"), ("!", {"q": 1}, "g1")):
+            with pytest.raises(ValueError, match="cursor-invalid"):
+                ledger.decode_cursor(bad[0], ledger.query_digest(bad[1]), bad[2])
+    assert seen == list(range(1, 24)) and total == 23
