@@ -13,6 +13,7 @@ from codeloom.operators import ledger as L
 from codeloom.operators import predicates as P
 from codeloom.operators import rules as R
 from codeloom.plans.registry import query, table
+from codeloom.plans.shared import saved
 from codeloom.sources import ingest as I
 from codeloom.sources.adapters import OCC, SESSION, SIGNAL, call_edges, occurrences, sessions, signals
 
@@ -137,10 +138,10 @@ query("duplicate_documents", r"SELECT sha256(trim(regexp_replace(text, '\s+', '
 
 
 def _pairs(s, d):
-    q = table(s, d, "conversations")
+    """Different document bodies; copies are one candidate, named by their smallest id."""
     body = C.normalized(F.coalesce(F.col("text"), F.lit("")))
-    rows = q.select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), F.sha2(body, 256).alias("hash"), C.signature(body).alias("sig")).filter("sig is not null").dropDuplicates(["hash"])
-    return C.near_pairs(rows.withColumn("id", F.xxhash64("hash")))
+    rows = table(s, d, "documents").select("doc_id", body.alias("body"), F.sha2(body, 256).alias("hash")).groupBy("hash").agg(F.min("doc_id").alias("id"), F.min_by("body", "doc_id").alias("body"))
+    return C.near_pairs(saved(rows.select("id", "hash", C.signature(F.col("body")).alias("sig")).filter("sig is not null")))
 
 
 query("near_duplicates")(_pairs)
