@@ -3,11 +3,11 @@
 A text is cut into pieces by the tokenizer's own splitting pattern; tokens never cross pieces.  Inside a piece, the
 encoding of each prefix is the encoding of a shorter prefix plus one last token, and exactly one token is compatible
 (the pair of neighbours encodes to itself).  So last[i] and count[i] = count[i - len(last[i])] + 1 are found from left
-to right, and a piece's counts are stored as an array over its prefixes.  Pieces repeat, so each worker keeps the arrays
-of those it has seen, up to a bound that affects speed only.
+to right: an array over a piece's prefixes.  A document's total is the sum of its pieces' last entries.  Pieces repeat, so
+each worker keeps the last entries of those it has seen, up to a bound that affects speed only.
 
-A document's total is the sum of its pieces' last entries.  ``PrefixCounts`` answers for any prefix of a text without
-encoding it again: only the piece that the cut falls into is looked up anew.
+``PrefixCounts`` keeps the arrays of one text and answers for any prefix from them.  Only where a cut changes how the text
+is split (inside white space, a contraction or a special string) are the few pieces before it split and counted anew.
 
 Results for odd input: null and empty texts have no tokens; the special string inside a text is one token, as the
 tokenizers library treats it by default; repeated rows each get a row; an empty table gives no rows; other columns are
@@ -127,16 +127,20 @@ class PrefixCounts:
     def __init__(self, counter: Counter, text: str) -> None:
         self.counter, self.text = counter, text
         self.pieces = counter.pieces(text)
+        self.inside = [counter.piece(p.encode()) if p not in counter.special else array("I", [0, 1]) for p in self.pieces]
         self.ends, self.counts = [0], [0]
-        for p in self.pieces:
+        for p, counts in zip(self.pieces, self.inside):
             self.ends.append(self.ends[-1] + len(p))
-            self.counts.append(self.counts[-1] + counter.total(p))
+            self.counts.append(self.counts[-1] + counts[-1])
 
     def at(self, cut: int) -> int:
         """Tokens of text[:cut]."""
         k = bisect_left(self.ends, cut)
         if self.ends[k] == cut and (k == len(self.ends) - 1 or not (self.pieces[k - 1].isspace() if k else False)):
             return self.counts[k]
+        part = self.text[self.ends[k - 1] : cut] if k else ""
+        if part and not part.isspace() and self.pieces[k - 1] not in self.counter.special and self.counter.split.findall(part) == [part]:
+            return self.counts[k - 1] + self.inside[k - 1][len(part.encode())]
         # Splitting looks ahead over white space and up to the cut: start again some pieces before it.
         k = max(0, k - 1)
         while k and (self.pieces[k].isspace() or self.pieces[k - 1].isspace() or self.pieces[k] in self.counter.special):
