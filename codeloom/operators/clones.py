@@ -68,15 +68,28 @@ def signature(text: Column) -> Column:
     return F.pandas_udf(_signatures, "array<bigint>")(text)
 
 
+def _banded(cands: DataFrame, bands: int, slots: int) -> DataFrame:
+    """id, band, key: one row for each band of a signature."""
+    if slots % bands:
+        raise ValueError("bands must divide the slots")
+    rows = slots // bands
+    return cands.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.array_join(F.slice(F.transform("sig", lambda x: x.cast("string")), k * rows + 1, F.lit(rows)), ","))).alias("band", "key"))
+
+
+def near_coverage(cands: DataFrame, bands: int = BANDS, slots: int = SLOTS, bucket_cap: int = 256) -> DataFrame:
+    """One row that tells whether ``near_pairs`` looked at all of its buckets: complete, reason, buckets, capped, left_out."""
+    sizes = _banded(cands, bands, slots).groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"))
+    over = F.greatest(F.col("m") - bucket_cap, F.lit(0))
+    out = sizes.agg(F.count(F.lit(1)).alias("buckets"), F.count_if(over > 0).alias("capped"), F.coalesce(F.sum(over), F.lit(0)).alias("left_out"))
+    return out.select((F.col("capped") == 0).alias("complete"), F.when(F.col("capped") > 0, "lsh-bucket-cap").alias("reason"), "*")
+
+
 def near_pairs(cands: DataFrame, threshold: float = 0.85, bands: int = BANDS, slots: int = SLOTS, bucket_cap: int = 256) -> DataFrame:
     """Pairs (a, b, similarity) of different bodies that share a band; of a bucket the first ``bucket_cap`` by id count.
 
     cands: id, hash, sig.  The cap is part of the operator's result, as are equal languages where a column lang exists.
     """
-    if slots % bands:
-        raise ValueError("bands must divide the slots")
-    rows = slots // bands
-    banded = cands.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.array_join(F.slice(F.transform("sig", lambda x: x.cast("string")), k * rows + 1, F.lit(rows)), ","))).alias("band", "key"))
+    banded = _banded(cands, bands, slots)
     n = F.row_number().over(W.Window.partitionBy("band", "key").orderBy("id"))
     kept = saved(banded.withColumn("n", n).filter(F.col("n") <= bucket_cap).drop("n"))
     a, b = kept.withColumnRenamed("id", "a"), kept.withColumnRenamed("id", "b")

@@ -29,9 +29,9 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
     def once(f: DataFrame) -> DataFrame:
         return f.join(edges, f["node"] == edges["src"]).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
 
+    edges = saved(edges.select("src", "dst"))  # each step reads them
     if max_depth is not None:
         return iterate(start, lambda f, _: once(f), ["node"], max_depth)
-    edges = saved(edges.select("src", "dst"))
     frontier = seen = saved(start.distinct())
     while True:
         level, found = frontier, []
@@ -48,7 +48,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
 def walk(edges: DataFrame, start: DataFrame, max_depth: int = 5, cap: int = 2000) -> DataFrame:
     """Bounded breadth-first walk: node, depth, parent (lowest), path; depth is held to 1..5, and the first ``cap`` nodes
     by (depth, node) stay."""
-    max_depth = min(max(max_depth, 1), 5)
+    max_depth, edges = min(max(max_depth, 1), 5), saved(edges.select("src", "dst"))
     first = start.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.array("node").alias("path"))
 
     def step(f: DataFrame, _: DataFrame) -> DataFrame:
@@ -61,6 +61,7 @@ def walk(edges: DataFrame, start: DataFrame, max_depth: int = 5, cap: int = 2000
 
 def blast(edges: DataFrame, max_depth: int = 5) -> DataFrame:
     """node, direct, transitive, score of every node with callers; a node is never its own caller."""
+    edges = saved(edges.select("src", "dst"))
     pairs = edges.filter("src <> dst").select(F.col("dst").alias("node"), F.col("src").alias("caller"), F.lit(1).alias("depth"))
     step = lambda f, _: f.join(edges.withColumnsRenamed({"src": "s", "dst": "d"}), F.col("caller") == F.col("d")).filter("node <> s").select("node", F.col("s").alias("caller"), (F.col("depth") + 1).alias("depth"))
     all_ = iterate(pairs, step, ["node", "caller"], max_depth - 1)
@@ -74,6 +75,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Nodes without way in or out are trimmed first; what is left takes the smallest label that reaches it, and a label's
     component is what also reaches that label's node.  Components found are taken out and the rest goes round again.
     """
+    edges = saved(edges.select("src", "dst"))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     rest, found = saved(edges.filter("src <> dst")), []
     while True:

@@ -109,3 +109,16 @@ query("dynamic_import_entries", f"""{BOTH} SELECT occ_id AS node FROM occ WHERE
 query("bounded_json")(lambda s, d: table(s, d, "documents").select("doc_id", S.bounded_json(F.to_json(F.struct("source", "lang", F.struct(F.split("text", "\n").alias("lines"), F.struct(F.array("n_chars").alias("deep")).alias("more")).alias("body")))).alias("json")))
 query("named_page", f"{BOTH} SELECT occ_id, name FROM occ WHERE package = 'Brand#11' ORDER BY occ_id LIMIT 50")(
     lambda s, d: L.read_page(occurrences(s, d).filter("package = 'Brand#11'").select("occ_id", "name"), "occ_id", {"tool": "search_symbols", "package": "Brand#11"}, "g1")[0])
+
+
+def _file_edges(s, d):
+    files = occurrences(s, d).select("occ_id", "file_path")
+    a, b = (files.withColumnsRenamed({"occ_id": n, "file_path": f"{n}_file"}) for n in ("src", "dst"))
+    return call_edges(s, d).join(a, "src").join(b, "dst").select(F.col("src_file").alias("src"), F.col("dst_file").alias("dst")).distinct()
+
+
+query("import_cycles", f"""{BOTH}, pairs AS (SELECT DISTINCT a.file_path AS src, b.file_path AS dst FROM call_edge e JOIN occ a ON e.src = a.occ_id JOIN occ b ON e.dst = b.occ_id),
+c AS (SELECT src AS a, dst AS b FROM pairs WHERE src <> dst UNION SELECT c.a, p.dst FROM c JOIN pairs p ON p.src = c.b WHERE p.src <> p.dst),
+scc AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
+SELECT component, count(*) AS files, min(node) AS anchor FROM scc GROUP BY component HAVING count(*) > 1""")(
+    lambda s, d: G.strong_components(_file_edges(s, d)).groupBy("component").agg(F.count(F.lit(1)).alias("files"), F.min("node").alias("anchor")).filter("files > 1"))

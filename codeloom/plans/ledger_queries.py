@@ -137,13 +137,18 @@ query("duplicate_documents", r"SELECT sha256(trim(regexp_replace(text, '\s+', '
     lambda s, d: table(s, d, "documents").groupBy(F.sha2(C.normalized(F.col("text")), 256).alias("body_hash")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("anchor")).filter("n >= 2"))
 
 
-def _pairs(s, d):
+def _signed(s, d):
     """Different document bodies; copies are one candidate, named by their smallest id."""
     body = C.normalized(F.coalesce(F.col("text"), F.lit("")))
     rows = table(s, d, "documents").select("doc_id", body.alias("body"), F.sha2(body, 256).alias("hash")).groupBy("hash").agg(F.min("doc_id").alias("id"), F.min_by("body", "doc_id").alias("body"))
-    return C.near_pairs(saved(rows.select("id", "hash", C.signature(F.col("body")).alias("sig")).filter("sig is not null")))
+    return saved(rows.select("id", "hash", C.signature(F.col("body")).alias("sig")).filter("sig is not null"))
+
+
+def _pairs(s, d):
+    return C.near_pairs(_signed(s, d))
 
 
+query("near_coverage")(lambda s, d: C.near_coverage(_signed(s, d)))
 query("near_duplicates")(_pairs)
 query("near_duplicate_clusters")(lambda s, d: C.cluster_rows(_pairs(s, d)))
 

@@ -77,6 +77,8 @@ def test_near_duplicates(spark):
     rows = [(1, "h1", clones.minhash(text)), (2, "h2", clones.minhash(text + "!")), (3, "h3", clones.minhash("something else entirely, with other words")), (4, "h1", clones.minhash(text))]
     pairs = clones.near_pairs(spark.createDataFrame(rows, "id long, hash string, sig array<bigint>"))
     assert {(r.a, r.b) for r in pairs.collect()} == {(1, 2), (2, 4)}
+    cover = clones.near_coverage(spark.createDataFrame(rows, "id long, hash string, sig array<bigint>"), bucket_cap=1).first()
+    assert not cover.complete and cover.reason == "lsh-bucket-cap" and cover.left_out >= cover.capped > 0
     assert clones.minhash("") is None and clones.grams("abc") == {"abc"}
     with pytest.raises(ValueError):
         clones.near_pairs(spark.createDataFrame(rows, "id long, hash string, sig array<bigint>"), bands=7)
