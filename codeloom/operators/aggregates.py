@@ -105,3 +105,21 @@ def arm_metrics(steps: DataFrame, arm: str, order: str) -> DataFrame:
 def confidence_summary(rows: DataFrame) -> DataFrame:
     c = F.col("confidence")
     return rows.agg(F.count_if(c == "high").alias("high"), F.count_if(c == "medium").alias("medium"), F.count_if(~c.isin("high", "medium") | c.isNull()).alias("low"), F.coalesce(F.sum("estimate"), F.lit(0)).alias("estimate"))
+
+
+def unit_table(units: DataFrame, signals: DataFrame) -> DataFrame:
+    """One row for each unit (unit, passed, failed_with, duration): status, errors, warnings.  signals: source, is_error."""
+    counts = signals.groupBy(F.col("source").alias("unit")).agg(F.count_if("is_error").alias("errors"), F.count_if(~F.col("is_error")).alias("warnings"))
+    status = F.when(F.col("failed_with").isNotNull(), "ERROR").when(F.col("passed"), "PASS").otherwise("FAIL")
+    zero = F.lit(0).cast("long")
+    return units.join(counts, "unit", "left").select("unit", status.alias("status"), F.coalesce("errors", zero).alias("errors"), F.coalesce("warnings", zero).alias("warnings"), "duration")
+
+
+def unit_summary(rows: DataFrame) -> DataFrame:
+    """Totals of a unit table; a unit that failed with an error counts as failed."""
+    return rows.agg(F.count_if(F.col("status") == "PASS").alias("passed"), F.count_if(F.col("status") != "PASS").alias("failed"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("errors", "warnings", "duration")))
+
+
+def median(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """The exact median of each group; of an even number, the mean of the middle pair."""
+    return rows.groupBy(by).agg(F.median(value).alias("median"))

@@ -118,9 +118,17 @@ def read_page(rows: DataFrame, key: str, query: dict, generation: str, limit: in
 
 
 def within_bytes(rows: DataFrame, order: list[Column], size: str, budget: int) -> DataFrame:
-    """The longest prefix in the given order whose sizes fit the budget (a running sum over one ordered list)."""
-    w = W.Window.orderBy(*order).rowsBetween(W.Window.unboundedPreceding, 0)
-    return rows.withColumn("so_far", F.sum(size).over(w)).filter(F.col("so_far") <= budget)
+    """The longest prefix in the given order whose sizes (not negative) fit the budget, with the running sum so_far.
+
+    Rows are ranged by the order; sums of the ranges give each one's begin, and ranges that begin behind the budget are
+    not sorted at all.
+    """
+    ranged = saved(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))  # ranges are sampled: fix them
+    sums = ranged.groupBy("part").agg(F.sum(size).alias("m"))
+    before = sums.select("part", (F.sum("m").over(W.Window.orderBy("part")) - F.col("m")).alias("before"))  # a row a partition
+    inside = ranged.join(F.broadcast(before.filter(F.col("before") <= budget)), "part")
+    w = W.Window.partitionBy("part").orderBy(*order).rowsBetween(W.Window.unboundedPreceding, 0)
+    return inside.withColumn("so_far", F.col("before") + F.sum(size).over(w)).filter(F.col("so_far") <= budget).drop("part", "before")
 
 
 def chunk_by_count(files: DataFrame, order: str, size: int) -> DataFrame:

@@ -69,3 +69,11 @@ def suppressed(findings: DataFrame, directives: DataFrame, keys: list[str], reac
     near = directives.filter("scope = 'next'").select(*keys, F.explode(F.sequence(F.col("number") + 1, F.col("number") + reach)).alias("number"), F.lit(True).alias("by_line")).distinct()
     out = findings.join(files, keys, "left").join(near, [*keys, "number"], "left")
     return out.withColumn("suppressed", F.coalesce("by_file", F.lit(False)) | F.coalesce("by_line", F.lit(False))).drop("by_file", "by_line")
+
+
+def confidence_floor(least: str, categories: tuple[str, ...] = (), confidence: str = "confidence", category: str = "category") -> Column:
+    """Rows of at least that confidence and of one of the categories (none given: any); rows without these values pass."""
+    ranks = {"low": 1, "medium": 2, "high": 3}
+    rank = F.element_at(F.create_map(*(F.lit(x) for pair in ranks.items() for x in pair)), F.col(confidence))
+    keep = F.coalesce(rank >= ranks[least], F.lit(True))
+    return keep & F.coalesce(F.col(category).isin(*categories), F.lit(True)) if categories else keep

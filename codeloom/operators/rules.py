@@ -2,17 +2,121 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.scalars import glob_pattern
+from codeloom.operators.clones import cross_package_groups, exact_groups
+from codeloom.plans.shared import saved
+
+#: The rules, in the order of their registry, and the recipes that select some of them.
+GRAPH_RULES = (
+    "orphan-subtree", "duplicated-function-body", "near-duplicate-function-body", "no-side-effect-path", "test-only-reachable", "always-throws-branch",
+    "large-function", "wide-function", "high-blast-untested", "cycle", "unexpected-coupling",
+)
 RECIPES = {
-    "default": ("orphan-subtree", "cycle", "unexpected-coupling", "large-function", "wide-function", "duplicated-function-body"),
+    "default": GRAPH_RULES,
     "dead-code": ("orphan-subtree", "test-only-reachable"),
-    "agent-risk": ("high-blast-untested", "cycle", "unexpected-coupling"),
-    "agent-final": ("orphan-subtree", "duplicated-function-body", "cycle"),
-}
+    "agent-risk": ("high-blast-untested", "cycle", "large-function", "wide-function"),
+    "agent-final": GRAPH_RULES,
+}
+
+
+def run_recipe(recipe: str, rules: dict[str, Callable[[], DataFrame]], spark: SparkSession) -> DataFrame:
+    """The signals of a recipe's rules, as far as ``rules`` has them; each gives rule_id, occ_id, severity, message.
+
+    Each rule is run by itself and its signals are written to the shared folder: one that fails becomes one signal of
+    high severity, and the others still count.
+    """
+    out = spark.createDataFrame([], "rule_id string, occ_id long, severity string, message string")
+    for name in RECIPES[recipe]:
+        if name not in rules:
+            continue
+        try:
+            found = saved(rules[name]().select("rule_id", F.col("occ_id").cast("long").alias("occ_id"), "severity", "message"))
+        except Exception as e:  # any failure of a rule is a finding about the rule
+            found = spark.createDataFrame([(f"graph:{name}", None, "high", f"error: {type(e).__name__}")], out.schema)
+        out = out.unionByName(found)
+    return out
+
+
+def duplicate_signals(cands: DataFrame, min_size: int = 200, packages: int = 3, min_anchor: int = 80) -> DataFrame:
+    """One signal for each body that many packages share, and one for each copy but the first of all other groups.
+
+    cands: site (unique), occ_id, body_hash, package, size.
+    """
+    rule = F.lit("graph:duplicated-function-body").alias("rule_id")
+    rows = cands.dropDuplicates(["site"])
+    wide = cross_package_groups(rows, packages=packages, min_anchor=min_anchor)
+    first = rows.select("body_hash", F.col("site").alias("anchor"), "occ_id")
+    shared = wide.join(first, ["body_hash", "anchor"]).select(rule, "occ_id", F.lit("low").alias("severity"), F.concat_ws(" ", F.lit("shared by"), F.size("packages").cast("string"), F.lit("packages:"), F.array_join("packages", ", ")).alias("message"))
+    rest = exact_groups(rows, min_size=min_size).join(wide, "body_hash", "left_anti").select("body_hash", "anchor")
+    large = rows.filter(F.coalesce(F.col("size") >= min_size, F.lit(True)))
+    copies = large.join(rest, "body_hash").filter("site <> anchor").select(rule, "occ_id", F.lit("low").alias("severity"), F.concat_ws(" ", F.lit("same body as"), "anchor").alias("message"))
+    return shared.unionByName(copies)
+
+
+def near_duplicate_signals(clusters: DataFrame) -> DataFrame:
+    """One signal for each cluster (anchor, size, similarity) of near copies."""
+    text = F.concat_ws(" ", F.col("size").cast("string"), F.lit("near copies, similarity"), F.format_number("similarity", 2))
+    return clusters.select(F.lit("graph:near-duplicate-function-body").alias("rule_id"), F.col("anchor").alias("occ_id"), F.lit("low").alias("severity"), text.alias("message"))
+
+
+@dataclass(frozen=True)
+class Selector:
+    """Which checks to run: all, explicit names, globs, or tags."""
+
+    kind: str
+    include: tuple[str, ...] = ()
+    exclude: tuple[str, ...] = ()
+
+
+#: Selections of the named check recipes that need no list of checks.
+CHECK_RECIPES = {
+    "default": Selector("all"),
+    "pre-release": Selector("all"),
+    "nightly-full": Selector("all"),
+    "ci": Selector("all", (), ("testing/flaky-*", "performance/*")),
+    "agent-risk": Selector("pattern", ("architecture/*", "security/*")),
+    "agent-final": Selector("all"),
+}
+
+
+def resolve_checks(checks: DataFrame, selector: Selector, disabled: tuple[str, ...] = (), include_disabled: tuple[str, ...] = ()) -> DataFrame:
+    """Checks (slug, tags, disabled) that a selector takes and that are not disabled, or are forced.
+
+    Slugs may carry a namespace (``pack:slug``).  A bare name means the one check that ends in it, none if several do;
+    globs see the slug, the bare slug, and the bare slug behind each tag (``tag/slug``).
+    """
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    rows = checks.withColumn("bare", F.element_at(F.split("slug", ":"), -1))
+    keys = F.concat(F.array("slug", "bare"), F.transform(tags, lambda t: F.concat_ws("/", t, "bare")))
+
+    def any_glob(globs: tuple[str, ...]) -> Column:
+        return F.exists(keys, lambda k: k.rlike("|".join(map(glob_pattern, globs)))) if globs else F.lit(False)
+
+    def tagged(names: tuple[str, ...]) -> Column:
+        return F.arrays_overlap(tags, F.array(*map(F.lit, names))) if names else F.lit(False)
+
+    def named(names: tuple[str, ...]) -> Column:
+        return F.col("slug").isin(*names) | F.col("bare").isin(*names)
+
+    if selector.kind == "explicit":
+        same = rows.groupBy("bare").agg(F.count(F.lit(1)).alias("same"))
+        rows = rows.join(same, "bare").filter(F.col("slug").isin(*selector.include) | (F.col("bare").isin(*selector.include) & (F.col("same") == 1))).drop("same")
+    elif selector.kind == "pattern":
+        rows = rows.filter(any_glob(selector.include) & ~any_glob(selector.exclude))
+    elif selector.kind == "tags":
+        rows = rows.filter(tagged(selector.include) & ~tagged(selector.exclude))
+    elif selector.kind == "all":
+        rows = rows.filter(~any_glob(selector.exclude))
+    else:
+        raise ValueError(f"unknown selector {selector.kind}")
+    off = F.coalesce(F.col("disabled"), F.lit(False)) | named(disabled)
+    return rows.filter(~off | named(include_disabled)).drop("bare")
 
 
 def rule_signals(rows: DataFrame, rule: str, severity: Column, message: Column) -> DataFrame:

@@ -75,3 +75,12 @@ def symbol_id(package: Column, path: Column, name: Column) -> Column:
 
 def edge_id(src: Column, dst: Column) -> Column:
     return F.concat(F.lit("edge:"), F.substring(F.sha2(F.concat_ws("\n", src, dst), 256), 1, 16))
+
+
+def write_coupling(coupling: DataFrame, folder: str) -> None:
+    """All package edges (caller, callee, calls) as CSV files with headers."""
+    coupling.select("caller", "callee", "calls").write.mode("overwrite").option("header", True).csv(folder)
+
+
+def read_coupling(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.option("header", True).schema("caller string, callee string, calls long").csv(folder)
