@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROWS_PER_BATCH = 1000
 _OWN_SHARED: dict[str, str] = {}
@@ -63,5 +64,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def numbered(df: DataFrame, *own: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns renamed c0, c1, ... and the columns ``own`` again behind them under their own names.
+
+    Whatever ``df`` calls its columns, none can then clash with those that an operator adds.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names).select("*", *(F.col(names[df.columns.index(c)]).alias(c) for c in own)), names
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

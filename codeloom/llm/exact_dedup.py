@@ -105,8 +105,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index_options) -> DataFrame:
     """``docs`` without the rows whose text is a copy; all columns stay."""
-    groups = exact_groups(docs, id_col, text_col, **index_options).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(groups.distinct(), docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    groups = exact_groups(docs, id_col, text_col, **index_options).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(groups, docs[id_col].eqNullSafe(groups["_kept_id"]), "left_semi")
 
 
 OP6_SQL = r"""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._common import saved, ship
+from codeloom.llm._common import numbered, saved, ship
 from codeloom.llm.quality import Model, fit, labelled_sample, scored, scores
 
 DOMAINS = ("high", "low", "toxic")
@@ -92,16 +92,16 @@ def solve(table: DataFrame, targets: dict[str, float], steps: int = 40, toleranc
     return descent
 
 
-def posteriors(docs: DataFrame, models: list[Model], more: tuple[str, ...], prefix: str = "") -> DataFrame:
-    return scores(docs, models, [prefix + d for d in DOMAINS], more, prefix + "n_words")
+def posteriors(docs: DataFrame, models: list[Model], more: tuple[str, ...]) -> DataFrame:
+    return scores(docs, models, list(DOMAINS), more)
 
 
-def rated(batches: Iterator[pa.RecordBatch], descent: Descent, prefix: str = "") -> Iterator[pa.RecordBatch]:
+def rated(batches: Iterator[pa.RecordBatch], descent: Descent) -> Iterator[pa.RecordBatch]:
     """Batches with normalised posteriors and the column rate."""
     for batch in batches:
-        p = _posteriors([batch.column(prefix + d) for d in DOMAINS])
-        columns = dict(zip(batch.schema.names, batch.columns)) | {prefix + d: pa.array(p[:, k]) for k, d in enumerate(DOMAINS)}
-        columns[f"{prefix}rate"] = pa.array(descent.rates(p)[0])
+        p = _posteriors([batch.column(d) for d in DOMAINS])
+        columns = dict(zip(batch.schema.names, batch.columns)) | {d: pa.array(p[:, k]) for k, d in enumerate(DOMAINS)}
+        columns["rate"] = pa.array(descent.rates(p)[0])
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
@@ -125,13 +125,13 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     models = domain_models(docs, labels, sample)
     descent = solve(saved(posteriors(docs, models, ()), "posteriors"), targets or TARGETS, most=most)
     sent = docs.sparkSession.sparkContext.broadcast(models)  # a fixed size
-    kept, more = docs.withColumn("__text", F.col("text")), tuple(docs.columns)
-    names = ["__" + d for d in DOMAINS]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "`__rate` double"])
+    rows, more = numbered(docs)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "rate double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rated(scored(batches, sent.value, names, more, "__n_words"), descent, "__"):
-            yield batch.select([*more, "__rate"])
+        for batch in rated(scored(batches, sent.value, list(DOMAINS), more, "n_words"), descent):
+            yield batch.select([*more, "rate"])
 
-    n = copies(F.col("__rate"), F.col("doc_id"))
-    return kept.mapInArrow(run, schema).select(*more, F.explode(F.array_repeat(F.lit(1), n)).alias("__copy")).select(*more)
+    n = copies(F.col("rate"), F.col(more[docs.columns.index("doc_id")]))
+    rows = rows.select("*", F.col(more[docs.columns.index("text")]).alias("__text")).mapInArrow(run, schema)
+    return rows.select(*more, F.explode(F.array_repeat(F.lit(1), n)).alias("copy")).select(*more).toDF(*docs.columns)

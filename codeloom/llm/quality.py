@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm._arrow import slices
-from codeloom.llm._common import ship
+from codeloom.llm._common import numbered, ship
 from codeloom.llm.ngrams import BITS, Indicators, hashed
 
 SLICE = 1 << 21
@@ -201,5 +201,6 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFram
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:
     """``docs`` without the rows that are predicted to be of low quality; all columns stay."""
-    found = scores(docs, [train(docs, labels, sample)], ["__score"], tuple(docs.columns), "__words")
-    return found.filter(F.col("__score") >= 0.5).select(*docs.columns)
+    rows, names = numbered(docs, "text")
+    found = scores(rows, [train(docs, labels, sample)], ["score"], tuple(names))
+    return found.filter(F.col("score") >= 0.5).select(*names).toDF(*docs.columns)

@@ -261,3 +261,23 @@ def test_pipeline_stages(spark):
             assert after == {c for _, c in near_brute(list(before.items()), 5, 80).values()}
     assert kept == sorted(kept, reverse=True) and kept[1] < kept[0]
     assert P.run(spark, DIR).count() > 0
+
+
+CLASHING = "doc_id long, text string, _kept_id string, __text string, score double, __score double, n_words long, high double, rate double, __copy int, c0 string, c1 array<int>, hash long, keep_id long, kept boolean, component_id long, sig binary"
+
+
+def test_stages_with_clashing_columns_nulls_and_repeats(spark):
+    import corpus_pipeline as P
+
+    good = spark.read.parquet(f"{DIR}/documents.parquet").filter("length(text) > 300").orderBy("doc_id").limit(20).collect()
+    rows = [(r.doc_id, r.text) for r in good] + [(good[0].doc_id, good[0].text), (900, None), (901, ""), (902, " \n"), (None, "no id " * 40), (None, None), (903, "word " * 300_000)]
+    more = ("k", "t", 0.5, 0.5, 1, 0.1, 2.0, 3, "x", [1, 2], 7, 8, True, 9, b"s")
+    table = spark.createDataFrame([(*r, *more) for r in rows], CLASHING)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, table, DIR)
+        assert out.schema.simpleString() == table.schema.simpleString(), name
+        found = out.collect()
+        assert {(r.doc_id, r.text) for r in found} <= set(rows), name
+        assert all(tuple(r)[2:] == (*more[:-1], bytearray(b"s")) for r in found), name
+        assert stage(spark, table.limit(0), DIR).collect() == [], name
+    assert P.STAGES[-1][1](spark, table, DIR).filter("doc_id is null").select("doc_tokens").distinct().count() == 2
