@@ -69,7 +69,7 @@ def blast(edges: DataFrame, max_depth: int = 5) -> DataFrame:
     return counts.withColumn("score", F.col("direct") + 0.5 * F.col("transitive"))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, hops: int = 4) -> DataFrame:
     """node, component (its smallest node) of all nodes on cycles; other nodes are components of their own.
 
     Nodes without way in or out are trimmed first; what is left takes the smallest label that reaches it, and a label's
@@ -88,23 +88,34 @@ def strong_components(edges: DataFrame) -> DataFrame:
             break
         labels = saved(rest.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
         while True:
-            heard = rest.join(labels, rest["src"] == labels["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("heard"))
-            told = saved(labels.join(heard, "node", "left").select("node", F.least("label", F.coalesce("heard", "label")).alias("label"), F.col("label").alias("was")))
+            level, heard = labels, []
+            for _ in range(hops):  # labels travel some steps before each write
+                level = rest.join(level, rest["src"] == level["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
+                heard.append(level)
+            least = reduce(DataFrame.unionByName, heard).groupBy("node").agg(F.min("label").alias("heard"))
+            told = saved(labels.join(least, "node", "left").select("node", F.least("label", F.coalesce("heard", "label")).alias("label"), F.col("label").alias("was")))
             labels = told.drop("was")
             if told.filter("label <> was").isEmpty():
                 break
         a, b = (labels.select(F.col("node").alias(n), F.col("label").alias(f"{n}_label")) for n in ("src", "dst"))
         same = saved(rest.join(a, "src").join(b, "dst").filter("src_label = dst_label").select("src", "dst", F.col("src_label").alias("label")))
         roots = labels.filter("node = label")
-        back = lambda f, _: f.join(same.select(F.col("dst").alias("node"), "label", "src"), ["node", "label"]).select(F.col("src").alias("node"), "label")
+
+        def back(f: DataFrame, _: DataFrame, same: DataFrame = same) -> DataFrame:
+            steps = []
+            for _ in range(hops):
+                f = f.join(same.select(F.col("dst").alias("node"), "label", "src"), ["node", "label"]).select(F.col("src").alias("node"), "label").distinct()
+                steps.append(f)
+            return reduce(DataFrame.unionByName, steps)
+
         members = saved(iterate(roots, back, ["node"]))
         found.append(members)
         gone = members.select("node")
         rest = saved(rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    out = nodes
-    for k, members in enumerate(found):
-        out = out.join(members.withColumnRenamed("label", f"label{k}"), "node", "left")
-    return out.select("node", F.coalesce(*[F.col(f"label{k}") for k in range(len(found))], "node").alias("component"))
+    if not found:
+        return nodes.select("node", F.col("node").alias("component"))
+    known = reduce(DataFrame.unionByName, found)  # a node is taken out with the component that it is found in
+    return nodes.join(known, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
 
 
 def impact(edges: DataFrame, changed: DataFrame, max_depth: int = 5) -> DataFrame:

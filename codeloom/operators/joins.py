@@ -22,16 +22,22 @@ def imported_packages(calls: DataFrame, occ: DataFrame) -> DataFrame:
 def resolve_callee(calls: DataFrame, occ: DataFrame, imports: DataFrame) -> DataFrame:
     """One occurrence for each call (src, to_hash): same package first, then an imported one, then any; lowest name wins.
 
-    Columns: src, to_hash, callee, tier (0 unique, 1 same package, 2 imported, 3 any).
+    Columns: src, to_hash, callee, tier (0 unique, 1 same package, 2 imported, 3 any).  The lowest twin of each body is
+    found once for each package and once for all, so a call meets one row a package and never all twins of its target.
     """
+    lowest = F.min(F.struct("name", F.col("occ_id").alias("callee")))
+    near = occ.groupBy(F.col("body_hash").alias("to_hash"), "package").agg(lowest.alias("best"), F.count(F.lit(1)).alias("n"))
+    far = near.groupBy("to_hash").agg(F.min("best").alias("far"), F.sum("n").alias("twins"))
     home = occ.select(F.col("occ_id").alias("src"), F.col("package").alias("own"), F.col("file_path").alias("own_file"))
-    found = occ.select(F.col("body_hash").alias("to_hash"), F.col("occ_id").alias("callee"), "package", "name")
-    counted = found.withColumn("twins", F.count(F.lit(1)).over(W.Window.partitionBy("to_hash")))
-    rows = calls.join(home, "src").join(counted, "to_hash")
-    rows = rows.join(imports.select(F.col("file_path").alias("own_file"), "package", F.lit(True).alias("imported")), ["own_file", "package"], "left")
-    tier = F.when(F.col("twins") == 1, 0).when(F.col("package") == F.col("own"), 1).when(F.col("imported"), 2).otherwise(3)
-    best = W.Window.partitionBy("src", "to_hash").orderBy("tier", "name", "callee")
-    return rows.withColumn("tier", tier).withColumn("n", F.row_number().over(best)).filter("n = 1").select("src", "to_hash", "callee", "tier")
+    rows = calls.join(home, "src").join(far, "to_hash").join(near.select("to_hash", F.col("package").alias("own"), F.col("best").alias("near")), ["to_hash", "own"], "left")
+    tier = F.when(F.col("twins") == 1, 0).when(F.col("near").isNotNull(), 1)
+    rows = rows.select("src", "to_hash", "own_file", "far", "near", tier.alias("tier"))
+    open_ = rows.filter("tier is null").join(imports.select(F.col("file_path").alias("own_file"), "package").distinct(), "own_file")
+    found = open_.join(near, ["to_hash", "package"]).groupBy("src", "to_hash").agg(F.min("best").alias("imported"))
+    rows = rows.join(found, ["src", "to_hash"], "left")
+    best = F.when(F.col("tier") == 0, F.col("far")).otherwise(F.coalesce("near", "imported", "far"))
+    tier = F.coalesce("tier", F.when(F.col("imported").isNotNull(), 2).otherwise(3))
+    return rows.select("src", "to_hash", best["callee"].alias("callee"), tier.alias("tier"))
 
 
 def directories(path: str) -> F.Column:
