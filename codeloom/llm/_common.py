@@ -73,5 +73,11 @@ def numbered(df: DataFrame, *own: str) -> tuple[DataFrame, list[str]]:
     return df.toDF(*names).select("*", *(F.col(names[df.columns.index(c)]).alias(c) for c in own)), names
 
 
+def keyed(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` saved with its columns renamed c0, c1, ... and a key of each row, ``row``: rows that repeat an id, or have none, stay apart."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return saved(df.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows"), names
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

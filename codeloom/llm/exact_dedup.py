@@ -7,8 +7,9 @@ dealt to owner tasks as key ranges, and the index is written to the shared folde
 SHA-256; a hot entry is split by adaptive skew handling, as both sides of that join are plain shuffles.
 
 Results for odd input: null and white-space-only texts are the empty text; a null id sorts after all others and is
-kept only where every copy has a null id; rows that repeat id and text share one decision; an empty table gives no
-rows; further columns are ignored, whatever their names.
+kept only where every copy has a null id; rows that repeat id and text share one decision in ``exact_groups``, while
+``drop_copies`` decides by a key of each row and leaves one row of every group; an empty table gives no rows; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from codeloom.llm._common import saved
+from codeloom.llm._common import keyed, saved
 
 SPACES = " \t\n\x0b\x0c\r"
 _TOP = 9223372036854775807
@@ -62,10 +63,11 @@ def grow_directory(counts: dict[int, int], bits: int, capacity: int) -> list[int
     return [number[b] for b in slots]
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 17, bits: int = 12, hash_bits: int = 64) -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 17, bits: int = 12, hash_bits: int = 64, row_col: str | None = None) -> DataFrame:
     """The index: one row for each different normalised text.
 
-    Columns: bucket, hash, chain (place among entries of one hash), text_sha256 (binary), keep_id, group_size.
+    Columns: bucket, hash, chain (place among entries of one hash), text_sha256 (binary), keep_id, group_size, and with
+    ``row_col``, a key of each row, keep_row: one row of those that have the largest size and keep_id.
     ``bits`` bounds the directory (2**bits slots is all the driver ever holds); a bucket that is still overfull keeps
     its entries.
     """
@@ -74,11 +76,14 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     backwards = F.coalesce(F.lit(_TOP).cast("decimal(20,0)") - F.col(id_col).cast("decimal(19,0)") + F.lit(1).cast("decimal(1,0)"), F.lit(0).cast("decimal(1,0)"))
     # One decimal holds (size, smallest id first), so that the aggregate keeps a fixed-width buffer.
     order = size * F.expr("cast('100000000000000000000' as decimal(21,0))") + backwards.cast("decimal(20,0)")
-    rows = docs.select(_hash(norm, hash_bits).alias("hash"), norm.alias("norm"), order.cast("decimal(38,0)").alias("order"))
-    grouped = rows.groupBy("hash", "norm").agg(F.max("order").alias("best"), F.count(F.lit(1)).alias("group_size"))
+    own = [F.col(row_col).alias("row")] if row_col else []
+    rows = docs.select(_hash(norm, hash_bits).alias("hash"), norm.alias("norm"), order.cast("decimal(38,0)").alias("order"), *own)
+    more = [F.max_by("row", "order").alias("keep_row")] if row_col else []
+    grouped = rows.groupBy("hash", "norm").agg(F.max("order").alias("best"), F.count(F.lit(1)).alias("group_size"), *more)
+    found = ["keep_id", "group_size", *(["keep_row"] if row_col else [])]
     back = F.expr("best % cast('100000000000000000000' as decimal(21,0))")
     keep = F.when(back > 0, (F.lit(_TOP).cast("decimal(20,0)") + F.lit(1).cast("decimal(1,0)") - back).cast("long"))
-    entries = saved(grouped.select("hash", F.unhex(F.sha2("norm", 256)).alias("text_sha256"), keep.alias("keep_id"), "group_size"), "entries")
+    entries = saved(grouped.select("hash", F.unhex(F.sha2("norm", 256)).alias("text_sha256"), keep.alias("keep_id"), *found[1:]), "entries")
 
     prefix = F.shiftrightunsigned(F.col("hash"), 64 - bits)
     counts = {r[0]: r[1] for r in entries.groupBy(prefix.alias("prefix")).count().collect()}
@@ -91,7 +96,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owners = max(1, min(max(slots) + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     owned = entries.withColumn("bucket", bucket).repartitionByRange(owners, "bucket", "hash")
     chain = F.row_number().over(W.Window.partitionBy("bucket", "hash").orderBy("text_sha256"))
-    return saved(owned.select("bucket", "hash", chain.alias("chain"), "text_sha256", "keep_id", "group_size"), "index")
+    return saved(owned.select("bucket", "hash", chain.alias("chain"), "text_sha256", *found), "index")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index_options) -> DataFrame:
@@ -104,9 +109,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index_options) -> DataFrame:
-    """``docs`` without the rows whose text is a copy; all columns stay."""
-    groups = exact_groups(docs, id_col, text_col, **index_options).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(groups, docs[id_col].eqNullSafe(groups["_kept_id"]), "left_semi")
+    """``docs`` with one row of those whose texts are copies of one another; all columns stay."""
+    rows, names = keyed(docs)
+    index = build_index(rows, *(names[docs.columns.index(c)] for c in (id_col, text_col)), **index_options, row_col="row")
+    kept = index.select(F.col("keep_row").alias("row")).hint("merge")  # one plan at every size
+    return rows.join(kept, "row", "left_semi").select(*names).toDF(*docs.columns)
 
 
 OP6_SQL = r"""

@@ -17,7 +17,8 @@ Banding leaves a pair at the threshold out with probability (1 - t**rows)**bands
 
 Results for odd input: null, empty and white-space-only texts have the empty set and are linked with nothing; rows with
 a null id are not linked by similarity and are kept only as their own component where all equal sets have null ids;
-rows that repeat an id share its component; an empty table gives no rows; other columns are never read.
+rows that repeat an id share its component; an empty table gives no rows; other columns are never read.  This holds for
+``near_groups``; ``drop_near_copies`` groups by a key of each row, so repeated and null ids are rows like all others.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm._arrow import slices
-from codeloom.llm._common import saved, ship
+from codeloom.llm._common import keyed, saved, ship
 from codeloom.llm.components import components
 from codeloom.llm.shingles import U, mix, sets
 
@@ -265,6 +266,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group; all columns stay."""
-    kept = near_groups(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """``docs`` with one row of each group, that of the smallest id (null last); all columns stay."""
+    rows, names = keyed(docs)
+    own, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    groups = near_groups(rows, "row", text, **options).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select("row", F.col(own).cast("long").alias("id"))
+    kept = groups.join(ids.hint("merge"), "row").groupBy("component_id").agg(F.coalesce(F.min_by("row", "id"), F.min("row")).alias("row"))
+    return rows.join(kept.select("row").hint("merge"), "row", "left_semi").select(*names).toDF(*docs.columns)

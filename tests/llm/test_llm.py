@@ -281,3 +281,16 @@ def test_stages_with_clashing_columns_nulls_and_repeats(spark):
         assert all(tuple(r)[2:] == (*more[:-1], bytearray(b"s")) for r in found), name
         assert stage(spark, table.limit(0), DIR).collect() == [], name
     assert P.STAGES[-1][1](spark, table, DIR).filter("doc_id is null").select("doc_tokens").distinct().count() == 2
+
+
+def test_stages_leave_one_row_of_repeated_and_null_ids(spark):
+    import corpus_pipeline as P
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a.replace("a59", "z")
+    rows = [(7, a)] * 5 + [(7, b), (8, b), (None, c), (None, c), (9, c), (None, a), (None, "d e f"), (None, "d e f"), (10, None), (7, a + " ")]
+    exact = [(r.doc_id, r.text) for r in P.no_copies(spark, docs(spark, rows), DIR).collect()]
+    assert sorted(exact, key=str) == sorted([(7, a + " "), (7, b), (9, c), (None, "d e f"), (10, None)], key=str)
+    rows = [(7, a)] * 5 + [(7, b), (8, b), (None, c), (None, c), (9, c), (None, near), (6, near), (None, "d e f"), (None, "d e f")]
+    left = [(r.doc_id, r.text) for r in P.no_near_copies(spark, docs(spark, rows), DIR).collect()]
+    assert sorted(left, key=str) == sorted([(6, near), (7, b), (9, c), (None, "d e f")], key=str)
