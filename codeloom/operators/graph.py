@@ -45,9 +45,9 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
         seen = saved(seen.unionByName(frontier))
 
 
-def walk(edges: DataFrame, start: DataFrame, max_depth: int = 5, cap: int = 2000) -> DataFrame:
+def walk(edges: DataFrame, start: DataFrame, max_depth: int = 5, cap: int | None = 2000) -> DataFrame:
     """Bounded breadth-first walk: node, depth, parent (lowest), path; depth is held to 1..5, and the first ``cap`` nodes
-    by (depth, node) stay."""
+    by (depth, node) stay (None: all)."""
     max_depth, edges = min(max(max_depth, 1), 5), saved(edges.select("src", "dst"))
     first = start.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.array("node").alias("path"))
 
@@ -56,7 +56,8 @@ def walk(edges: DataFrame, start: DataFrame, max_depth: int = 5, cap: int = 2000
         best = out.groupBy("to").agg(F.min("depth").alias("depth"), F.min("by").alias("parent"), F.min_by("path", "by").alias("path"))
         return best.select(F.col("to").alias("node"), "depth", "parent", F.concat("path", F.array("to")).alias("path"))
 
-    return iterate(first, step, ["node"], max_depth).orderBy("depth", "node").limit(cap)
+    out = iterate(first, step, ["node"], max_depth)
+    return out if cap is None else out.orderBy("depth", "node").limit(cap)
 
 
 def blast(edges: DataFrame, max_depth: int = 5) -> DataFrame:

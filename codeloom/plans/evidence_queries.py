@@ -10,7 +10,7 @@ from codeloom.operators import graph as G
 from codeloom.operators import joins as J
 from codeloom.operators import ledger as L
 from codeloom.operators import rules as R
-from codeloom.plans.graph_queries import BOTH, COUPLING, CYCLE
+from codeloom.plans.graph_queries import BOTH, COUPLING, CYCLE, ENTRY_WALK, entry_walk
 from codeloom.plans.registry import query, table
 from codeloom.sources.adapters import call_edges, occurrences
 
@@ -51,6 +51,12 @@ hop AS (SELECT q.*, (SELECT CASE {CONFIDENCE} WHEN 'low' THEN 0 WHEN 'medium' TH
 p AS (SELECT node, depth, CAST(NULL AS INTEGER) AS level FROM q WHERE depth = 0 UNION ALL SELECT h.node, h.depth, least(h.level, p.level) FROM hop h JOIN p ON h.parent = p.node AND h.depth = p.depth + 1)
 SELECT node AS id, CASE level WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' END AS weakest FROM p ORDER BY depth, node LIMIT 2000""")(_weakest)
 
+query("entry_weakest_hop", f"""{ENTRY_WALK},
+hop AS (SELECT q.node, q.parent, q.depth, CASE confidence WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS level FROM q JOIN (SELECT DISTINCT src, dst, {CONFIDENCE} AS confidence FROM call_edge) e ON e.src = q.parent AND e.dst = q.node),
+p AS (SELECT node, depth, CAST(NULL AS INTEGER) AS level FROM q WHERE depth = 0 UNION ALL SELECT h.node, h.depth, least(h.level, p.level) FROM hop h JOIN p ON h.parent = p.node AND h.depth = p.depth + 1)
+SELECT node AS id, CASE level WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' END AS weakest FROM p""")(
+    lambda s, d: G.weakest_hop(entry_walk(s, d).select(F.col("node").alias("id"), "path"), call_edges(s, d).withColumn("confidence", F.expr(CONFIDENCE))))
+
 
 def _closure(s, d):
     """Every file numbered 7 has changed; a quarter of all bodies would differ if walked again."""

@@ -107,6 +107,7 @@ def _reached(s, d):
     return G.reachable(call_edges(s, d), R.entry_points(occurrences(s, d), call_edges(s, d)))
 
 
+query("reachable_from_entry_points", f"{BOTH}, {ENTRY} SELECT node FROM reached")(lambda s, d: _reached(s, d).select("node"))
 query("orphan_subtree", f"""{BOTH}, {ENTRY} SELECT 'graph:orphan-subtree' AS rule_id, occ_id, 'medium' AS severity, 'not reachable' AS message FROM occ
 WHERE occ_id NOT IN (SELECT node FROM reached) AND kind <> 'module-init' AND NOT exported AND NOT in_test""")(lambda s, d: R.orphans(occurrences(s, d), _reached(s, d)))
 query("test_only_reachable", f"""{BOTH}, {ENTRY} SELECT 'graph:test-only-reachable' AS rule_id, occ_id, 'low' AS severity, 'only tests reach it' AS message FROM occ
@@ -150,6 +151,19 @@ def _walk(s, d):
 query("bounded_walk", f"{WALK} SELECT node, depth, parent FROM q ORDER BY depth, node LIMIT 2000")(lambda s, d: _walk(s, d).drop("path"))
 query("trace_path", f"""{WALK}, p AS (SELECT node, depth, CAST(node AS VARCHAR) AS trace FROM q WHERE depth = 0 UNION ALL SELECT q.node, q.depth, p.trace || '>' || CAST(q.node AS VARCHAR) FROM q JOIN p ON q.parent = p.node AND q.depth = p.depth + 1)
 SELECT node, trace FROM p""")(lambda s, d: _walk(s, d).select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("trace")))
+ENTRY_WALK = f"""{BOTH}, {ENTRY}, w AS (SELECT node, 0 AS depth FROM entries UNION SELECT e.dst, w.depth + 1 FROM w JOIN call_edge e ON e.src = w.node WHERE w.depth < 5),
+f AS (SELECT node, min(depth) AS depth FROM w GROUP BY node),
+q AS (SELECT f.node, CAST(f.depth AS INT) AS depth, min(p.node) AS parent FROM f LEFT JOIN call_edge e ON e.dst = f.node LEFT JOIN f p ON p.node = e.src AND p.depth = f.depth - 1 GROUP BY f.node, f.depth)"""
+
+
+def entry_walk(s, d):
+    """The walk from every entry point, with all nodes that it meets."""
+    return G.walk(call_edges(s, d), R.entry_points(occurrences(s, d), call_edges(s, d)), cap=None)
+
+
+query("entry_walk", f"{ENTRY_WALK} SELECT node, depth, parent FROM q")(lambda s, d: entry_walk(s, d).drop("path"))
+query("entry_trace_path", f"""{ENTRY_WALK}, p AS (SELECT node, depth, CAST(node AS VARCHAR) AS trace FROM q WHERE depth = 0 UNION ALL SELECT q.node, q.depth, p.trace || '>' || CAST(q.node AS VARCHAR) FROM q JOIN p ON q.parent = p.node AND q.depth = p.depth + 1)
+SELECT node, trace FROM p""")(lambda s, d: entry_walk(s, d).select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("trace")))
 CYCLE = """c AS (SELECT src AS a, dst AS b FROM call_edge WHERE src <> dst UNION SELECT c.a, e.dst FROM c JOIN call_edge e ON e.src = c.b WHERE e.src <> e.dst),
 scc AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"""
 query("strong_components", f"""{BOTH}, {CYCLE} SELECT n.node, coalesce(component, n.node) AS component FROM (SELECT src AS node FROM call_edge UNION SELECT dst FROM call_edge) n LEFT JOIN scc ON n.node = scc.node""")(lambda s, d: G.strong_components(call_edges(s, d)))

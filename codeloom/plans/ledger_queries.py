@@ -174,6 +174,9 @@ def _directives(s, d):
 query("suppressions", """WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS content, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS number FROM documents), v AS (SELECT * FROM l WHERE contains(content, 'License'))
 SELECT l.id, l.number, EXISTS (SELECT 1 FROM v WHERE v.id = l.id AND v.number <= 2) OR EXISTS (SELECT 1 FROM v WHERE v.id = l.id AND v.number > 2 AND l.number BETWEEN v.number + 1 AND v.number + 3) AS suppressed FROM l WHERE l.number % 2 = 0""")(
     lambda s, d: P.suppressed(_lines(s, d).filter("number % 2 = 0").select("id", F.col("number")), _directives(s, d), ["id"]).select("id", F.col("number").cast("long").alias("number"), "suppressed"))
+query("suppressions_all_lines", """WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS content, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS number FROM documents), v AS (SELECT * FROM l WHERE contains(content, 'License'))
+SELECT l.id, l.number, EXISTS (SELECT 1 FROM v WHERE v.id = l.id AND v.number <= 2) OR EXISTS (SELECT 1 FROM v WHERE v.id = l.id AND v.number > 2 AND l.number BETWEEN v.number + 1 AND v.number + 3) AS suppressed FROM l""")(
+    lambda s, d: P.suppressed(_lines(s, d).select("id", "number"), _directives(s, d), ["id"]).select("id", F.col("number").cast("long").alias("number"), "suppressed"))
 query("directive_inventory", "SELECT doc_id AS id, count(*) AS directives, bool_or(length(x) < 45) AS weak FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE contains(x, 'License') GROUP BY doc_id")(
     lambda s, d: _lines(s, d).filter(F.col("content").contains("License")).groupBy("id").agg(F.count(F.lit(1)).alias("directives"), F.bool_or(F.length("content") < 45).alias("weak")))
 query("cycle_suppression", f"WITH {SIGNAL} SELECT rule_id, count(*) AS n FROM signal WHERE file_path NOT IN (SELECT file_path FROM signal WHERE severity = 'critical' AND line = 1) GROUP BY rule_id")(
