@@ -1,7 +1,7 @@
 """Mixing to target weights with soft membership.
 
 A classifier learned on the labelled table gives every document a posterior over domains (toxic; else of high or low
-quality).  Rates r >= 0 (at most ``most``) then minimise
+quality).  Rates r >= 0 then minimise
 
     1/2 sum_k (sum_i r_i n_i p_ik / T - t_k)^2 / s_k + ridge/2 sum_i n_i / T (r_i - 1)^2
 
@@ -9,7 +9,10 @@ for n_i tokens (words between ASCII white space), T their sum over all documents
 that the domains have at rate 1 (with them the curvature is at most 1, so steps of length 1 are safe).  The method is
 projected gradient descent with momentum, in the metric weighted by n_i / T.  One step only needs the K sums over all
 documents, a distributed aggregation; a document's rate follows from its own posterior and the K-vectors of the steps so
-far, which are all that the driver keeps.
+far, which are all that the driver keeps.  Where ``steps`` steps leave a target by more than the tolerance, the limit for a
+ridge of 0 is solved instead: rates max(0, 1 + p_i . dual), with damped Newton steps on the K-vector ``dual`` by sums of the
+same kind.  No rate has an upper bound.  Targets that no rates can meet (all domains alike, say) get the nearest rates that
+were found, ``residual`` (the largest gap of a share) and a warning.
 
 Results for odd input: null and empty texts have no tokens and get rates by their posterior (that of the classifiers'
 constants); without labels all domains are alike; repeated rows count and are mixed each; an empty table, or one without
@@ -18,6 +21,7 @@ tokens, has rate 1 everywhere; other columns are carried, whatever their names.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,18 +39,22 @@ TARGETS = {"high": 0.88, "low": 0.10, "toxic": 0.02}
 
 @dataclass
 class Descent:
-    """Gradients of the steps so far; replays the rate of documents from their posteriors."""
+    """Gradients of the steps so far; replays the rate of documents from their posteriors.  ``dual``, if any, decides alone."""
 
     ridge: float = 1e-3
-    most: float = 4.0
     gaps: list[np.ndarray] = field(default_factory=list)
+    dual: np.ndarray | None = None
+    residual: float = 0.0
 
     def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rates after the last step, and the extrapolated point where the next gradient is taken."""
+        if self.dual is not None:
+            r = np.maximum(1 + p @ self.dual, 0.0)
+            return r, r
         r = ahead = np.ones(len(p))
         t = 1.0
         for e in self.gaps:
-            new = np.clip(ahead - (p @ e + self.ridge * (ahead - 1)) / (1 + self.ridge), 0.0, self.most)
+            new = np.maximum(ahead - (p @ e + self.ridge * (ahead - 1)) / (1 + self.ridge), 0.0)
             t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
             ahead = new + (before - 1) / t * (new - r)
             r = new
@@ -66,10 +74,10 @@ def _posteriors(columns: list[pa.Array]) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def solve(table: DataFrame, targets: dict[str, float], steps: int = 40, tolerance: float = 1e-3, ridge: float = 1e-3, most: float = 4.0) -> Descent:
+def solve(table: DataFrame, targets: dict[str, float], steps: int = 40, tolerance: float = 1e-3, ridge: float = 1e-3) -> Descent:
     """Fit rates on ``table``: n_words and a score for each domain, for every document."""
     wanted = np.array([targets[d] for d in DOMAINS]) / sum(targets.values())
-    descent = Descent(ridge, most)
+    descent = Descent(ridge)
     total = table.agg(F.sum("n_words")).first()[0] or 0
     shares = None
     schema = ", ".join(f"{at}{k} double" for at in "ra" for k in range(len(DOMAINS)))
@@ -83,15 +91,56 @@ def solve(table: DataFrame, targets: dict[str, float], steps: int = 40, toleranc
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in whole], names=[c.split()[0] for c in schema.split(", ")])
 
     ship(table.sparkSession)
-    for _ in range(steps if total else 0):
+    for step in range(steps + 1 if total else 0):
         found = np.array(table.select("n_words", *DOMAINS).mapInArrow(sums, schema).groupBy().sum().first(), float) / total
         shares = np.maximum(found[: len(DOMAINS)], 1e-9) if shares is None else shares  # the first rates are all 1
-        if np.abs(found[: len(DOMAINS)] - wanted).max() <= tolerance:
+        descent.residual = float(np.abs(found[: len(DOMAINS)] - wanted).max())
+        if descent.residual <= tolerance or step == steps:
             break
         descent.gaps.append(np.round((found[len(DOMAINS) :] - wanted) / shares, 12))
+    if descent.residual > tolerance:
+        descent = _newton(table, wanted, total, tolerance, descent)
+    if descent.residual > tolerance:
+        warnings.warn(f"mixing targets are not met: a share is off by {descent.residual:.4f}", stacklevel=2)
     return descent
 
 
+def _newton(table: DataFrame, wanted: np.ndarray, total: int, tolerance: float, best: Descent, largest: float = 1e6) -> Descent:
+    """``best``, or rates of least squared distance from 1 that are nearer to ``wanted``; ends where ``dual`` diverges."""
+    k = len(DOMAINS)
+    schema = ", ".join(f"s{i} double" for i in range(k + k * k + 1))
+
+    def at(dual: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Gap of each share, curvature, and the value that the steps lower."""
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole = np.zeros(k + k * k + 1)
+            for batch in batches:
+                p, n = _posteriors([batch.column(d) for d in DOMAINS]), np.asarray(batch.column("n_words"), float)
+                r = np.maximum(1 + p @ dual, 0.0)
+                whole += np.concatenate([(n * r) @ p, ((p * (n * (r > 0))[:, None]).T @ p).ravel(), [(n * r * r).sum() / 2]])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in whole], names=[c.split()[0] for c in schema.split(", ")])
+
+        found = np.array(table.select("n_words", *DOMAINS).mapInArrow(sums, schema).groupBy().sum().first(), float) / total
+        return found[:k] - wanted, found[k:-1].reshape(k, k), found[-1] - dual @ wanted
+
+    dual, damping = np.zeros(k), 1e-3
+    gap, curve, value = at(dual)
+    while best.residual > tolerance:
+        step = np.linalg.solve(curve + damping * np.eye(k), -gap)
+        if np.abs(dual + step).max() > largest or damping > largest or np.abs(step).max() <= 1e-12 * (1 + np.abs(dual).max()):
+            break
+        new = at(dual + step)
+        if new[2] >= value:
+            damping *= 10
+            continue
+        dual, damping, (gap, curve, value) = dual + step, max(damping / 10, 1e-12), new
+        residual = float(np.abs(gap).max())
+        if residual < best.residual:
+            best = Descent(best.ridge, dual=dual, residual=residual)
+    return best
+
+
 def posteriors(docs: DataFrame, models: list[Model], more: tuple[str, ...]) -> DataFrame:
     return scores(docs, models, list(DOMAINS), more)
 
@@ -120,10 +169,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 6000, most: float = 4.0) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 6000) -> DataFrame:
     """``docs`` with each row as often as its rate says; all columns stay."""
     models = domain_models(docs, labels, sample)
-    descent = solve(saved(posteriors(docs, models, ()), "posteriors"), targets or TARGETS, most=most)
+    descent = solve(saved(posteriors(docs, models, ()), "posteriors"), targets or TARGETS)
     sent = docs.sparkSession.sparkContext.broadcast(models)  # a fixed size
     rows, more = numbered(docs)
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "rate double"])

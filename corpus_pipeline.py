@@ -30,7 +30,7 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.resample(docs, table(spark, sf_dir, "labels"), TARGETS, most=2.0)
+    return mixing.resample(docs, table(spark, sf_dir, "labels"), TARGETS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

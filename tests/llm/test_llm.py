@@ -294,3 +294,20 @@ def test_stages_leave_one_row_of_repeated_and_null_ids(spark):
     rows = [(7, a)] * 5 + [(7, b), (8, b), (None, c), (None, c), (9, c), (None, near), (6, near), (None, "d e f"), (None, "d e f")]
     left = [(r.doc_id, r.text) for r in P.no_near_copies(spark, docs(spark, rows), DIR).collect()]
     assert sorted(left, key=str) == sorted([(6, near), (7, b), (9, c), (None, "d e f")], key=str)
+
+
+def test_mixing_meets_targets_far_from_the_shares(spark):
+    rng = np.random.default_rng(5)
+    kind = rng.choice(3, 3000, p=[0.02, 0.97, 0.01])
+    p = np.full((3000, 3), 0.1) + 0.7 * np.eye(3)[kind] + 0.01 * rng.random((3000, 3))
+    p /= p.sum(axis=1, keepdims=True)
+    n = rng.integers(1, 300, 3000)
+    table = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p)], "n_words long, high double, low double, toxic double")
+    targets = {"high": 0.5, "low": 0.3, "toxic": 0.2}
+    descent = mixing.solve(table, targets, steps=10)
+    rate = descent.rates(p)[0]
+    found = (n * rate) @ p / n.sum()
+    assert (rate >= 0).all() and rate.max() > 4 and np.abs(found - [targets[d] for d in mixing.DOMAINS]).max() <= 1.1e-3
+    assert descent.residual <= 1e-3
+    with pytest.warns(UserWarning, match="not met"):
+        assert mixing.solve(table, {"high": 0.95, "low": 0.05, "toxic": 0.0}, steps=5).residual > 0.01
