@@ -1,14 +1,15 @@
 """Packing into sequences of equal length, balanced by estimated attention cost.
 
-Each task tokenises the documents of its partition and packs them in blocks of about ``block_tokens`` ids, so nothing
-is shuffled and a task holds one block.  Documents longer than a sequence first give whole sequences.  For the rest of a
-block, as many sequences are opened as its ids fill, the last few ids as sequences of powers of two (which need no
-padding).  Pieces go in descending order to the open sequence of lowest cost (linear + quadratic in each piece's length)
-that can hold them; one that fits nowhere is cut to fill the cheapest.  The opened room equals the ids, so there is no
-padding at all.
-
-Results for odd input: null and empty texts are the single end id; repeated rows are packed each; a null id stays null;
-an empty table gives no rows; other columns are ignored.
+Each task tokenises the documents of its partition (ids of the tokenizers library, see ``vocabulary``) and packs them in
+blocks of about ``block_tokens`` ids, so nothing is shuffled and a task holds one block.  Documents longer than a sequence
+first give whole sequences.  For the rest of a block, as many sequences are opened as its ids fill.  Documents go in
+descending order to the open sequence of lowest cost (linear + quadratic in each piece's length) that can hold them; one
+that fits nowhere is cut to fill the cheapest.  What is left when all are full, some short documents, joins the next
+block; the last block of a task packs its last few ids into sequences of powers of two, which need no padding.
+
+Results for odd input: null and empty texts are the single end id; a very long text, of one kind of character too, is cut
+into whole sequences; equal lengths go in the order of their rows; repeated rows are packed each; a null id stays null; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,90 +21,94 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from codeloom.llm._arrow import slices
 from codeloom.llm._common import ship
+from codeloom.llm.vocabulary import vocabulary
 
 FIELDS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-_encoders: dict[tuple[str, str], object] = {}
+SLICE = 4 << 20
 
 
-def encoder(ranks_file: str, pattern: str):
-    """Encoder for a .tiktoken file whose ids equal those of the .json file of the same vocabulary."""
-    if (ranks_file, pattern) not in _encoders:
-        import base64
+def balance(lengths: list[int], rooms: list[int], linear: float = 1.0, quadratic: float = 1.0 / 2048) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
+    """Pack pieces into sequences of ``rooms`` ids: (piece, start in it, length, sequence, offset), and what of each piece is in none.
 
-        import tiktoken
-
-        with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[ranks_file, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
-    return _encoders[ranks_file, pattern]
-
-
-def balance(lengths: list[int], size: int, linear: float = 1.0, quadratic: float | None = None) -> list[tuple[int, int, int, int, int]]:
-    """Pack pieces into sequences: (piece, start in it, length, sequence, offset); all sequences are full.
-
-    Whole sequences have ``size`` ids; what is left over fills sequences of smaller powers of two.
+    All sequences are filled where the pieces have so many ids.
     """
-    quadratic = 1.0 / size if quadratic is None else quadratic
-    total = int(sum(lengths))
-    rooms = [size] * (total // size) + [1 << k for k in range(size.bit_length() - 1, -1, -1) if total % size >> k & 1]
     room, used, cost = np.array(rooms, np.int64), np.zeros(len(rooms), np.int64), np.zeros(len(rooms))
-    out = []
+    out, rest = [], list(map(int, lengths))
     for piece in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        start, left = 0, int(lengths[piece])
+        start, left = 0, rest[piece]
         while left:
             free = room - used
             fits = np.flatnonzero(free >= left)
             if not len(fits):
                 fits = np.flatnonzero(free > 0)
+                if not len(fits):
+                    break
             k = int(fits[np.argmin(cost[fits])])
             n = min(left, int(free[k]))
             out.append((piece, start, n, k, int(used[k])))
             used[k] += n
             cost[k] += linear * n + quadratic * n * n
             start, left = start + n, left - n
-    return out
-
-
-def pack(docs: DataFrame, ranks_file: str, pattern: str, size: int = 2048, end_id: int = 1, block_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece, with its ids as little-endian unsigned 32-bit integers."""
-
-    def block(ids: list[np.ndarray], names: list, first: int) -> tuple[pa.RecordBatch, int]:
-        rows, rest, owner, opened = [], [], [], first
-        for d, x in enumerate(ids):
-            for s in range(0, len(x) - size + 1, size):
-                rows.append((d, s, size, opened, 0))
-                opened += 1
-            if len(x) % size:
-                rest.append(len(x) % size)
-                owner.append(d)
-        last = -1
-        for piece, s, n, k, offset in balance(rest, size):
-            d = owner[piece]
-            rows.append((d, len(ids[d]) - rest[piece] + s, n, opened + k, offset))
-            last = max(last, k)
-        data = [ids[d][s : s + n].tobytes() for d, s, n, _, _ in rows]
-        columns = [pa.array([names[r[0]] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(data, pa.binary()), pa.array([len(ids[r[0]]) for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in FIELDS.split(", ")]), opened + last + 1
+        rest[piece] = left
+    return out, rest
+
+
+class _Packer:
+    """Documents (name, ids) of one task; ``packed`` gives rows of whole sequences."""
+
+    def __init__(self, size: int, first: int) -> None:
+        self.size, self.sequence = size, first
+        self.names: list = []
+        self.ids: list[np.ndarray] = []
+        self.begin: list[int] = []  # ids of the document that earlier blocks have packed
+        self.held = 0
+
+    def add(self, name, ids: np.ndarray) -> None:
+        self.names.append(name)
+        self.ids.append(ids)
+        self.begin.append(0)
+        self.held += len(ids)
+
+    def packed(self, last: bool) -> pa.RecordBatch:
+        rows, size = [], self.size
+        for d, x in enumerate(self.ids):
+            while len(x) - self.begin[d] >= size:
+                rows.append((d, self.begin[d], size, self.sequence, 0))
+                self.begin[d] += size
+                self.sequence += 1
+        lengths = [len(x) - b for x, b in zip(self.ids, self.begin)]
+        total = sum(lengths)
+        rooms = [size] * (total // size)
+        if last:
+            rooms += [1 << k for k in range(size.bit_length() - 1, -1, -1) if total % size >> k & 1]
+        placed, rest = balance(lengths, rooms, quadratic=1.0 / size)
+        rows += [(d, self.begin[d] + s, n, self.sequence + k, offset) for d, s, n, k, offset in placed]
+        self.sequence += len(rooms)
+        columns = [[self.names[r[0]] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [self.ids[d][s : s + n].tobytes() for d, s, n, _, _ in rows], [len(self.ids[r[0]]) for r in rows], [r[3] for r in rows], [r[4] for r in rows]]
+        out = pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 3 else pa.int64()) for i, c in enumerate(columns)], names=[f.split()[0] for f in FIELDS.split(", ")])
+        left = [d for d, n in enumerate(rest) if n]
+        self.begin = [len(self.ids[d]) - rest[d] for d in left]
+        self.names, self.ids = [self.names[d] for d in left], [self.ids[d] for d in left]
+        self.held = sum(rest)
+        return out
+
+
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, block_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each piece, with its ids as little-endian unsigned 32-bit integers; ``tokenizer`` is the path of a .json file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_file, pattern).encode_to_numpy
-        sequence = TaskContext.get().partitionId() << 36
-        ids: list[np.ndarray] = []
-        names: list = []
-        held = 0
+        known, end = vocabulary(tokenizer), np.array([end_id], "<u4")
+        packer = _Packer(size, TaskContext.get().partitionId() << 36)
         for batch in batches:
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                x = np.append(encode(text.as_py() or "", allowed_special="all"), end_id).astype("<u4")
-                ids.append(x)
-                names.append(name)
-                held += len(x)
-                if held >= block_tokens:
-                    out, sequence = block(ids, names, sequence)
-                    ids, names, held = [], [], 0
-                    yield out
-        if ids:
-            yield block(ids, names, sequence)[0]
+            for part, _, _ in slices(batch, "text", SLICE):
+                for name, ids in zip(part.column("doc_id").to_pylist(), known.encode([t or "" for t in part.column("text").to_pylist()])):
+                    packer.add(name, np.concatenate([ids, end]))
+                    if packer.held >= block_tokens:
+                        yield packer.packed(False)
+        if packer.held:
+            yield packer.packed(True)
 
     ship(docs.sparkSession)
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, FIELDS)

@@ -36,8 +36,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("json"))
-    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("json"), budget=512)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,13 +53,11 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), tokenizer_path("json"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("tiktoken"), public_tokenizers.PATTERN)
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -1,180 +1,91 @@
 """Exact token counts at every prefix by dynamic programming.
 
 A text is cut into pieces by the tokenizer's own splitting pattern; tokens never cross pieces.  Inside a piece, the
-encoding of each prefix is the encoding of a shorter prefix plus one last token, and exactly one token is compatible
-(the pair of neighbours encodes to itself).  So last[i] and count[i] = count[i - len(last[i])] + 1 are found from left
-to right: an array over a piece's prefixes.  A document's total is the sum of its pieces' last entries.  Pieces repeat, so
-each worker keeps the last entries of those it has seen, up to a bound that affects speed only.
-
-``PrefixCounts`` keeps the arrays of one text and answers for any prefix from them.  Only where a cut changes how the text
-is split (inside white space, a contraction or a special string) are the few pieces before it split and counted anew.
-
-Results for odd input: null and empty texts have no tokens; the special string inside a text is one token, as the
-tokenizers library treats it by default; repeated rows each get a row; an empty table gives no rows; other columns are
-ignored.
+encoding of each prefix is the encoding of a shorter prefix plus one last token, so counts follow from left to right
+(``Vocabulary.piece``).  A document's array holds by how much the count grows with each character, also where a cut
+changes how the text is split (in white space, a contraction, a special string).  ``prefix_counts`` gives these arrays as
+a column that can be stored; ``tokens_before``, ``longest_within`` and ``over_budget`` answer truncation and budget
+questions from them, and nothing is encoded again.
+
+Results for odd input: null and empty texts have no tokens and an empty array; the special string inside a text is one
+token, as the tokenizers library treats it by default; very long texts and very long runs of one kind take time and memory
+in proportion to their length; repeated rows each get a row; null ids stay null; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import json
-from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from codeloom.llm._arrow import slices
 from codeloom.llm._common import ship
+from codeloom.llm.vocabulary import vocabulary
 
 FIELDS = "doc_id long, n_bytes long, n_tokens long"
-#: Fixed value: the splitting pattern of byte-level BPE vocabularies of this kind.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?=\p{White_Space}|\Z)|\p{White_Space}+"
-
-
-def _byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in a byte-level vocabulary."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    letters, extra = {b: chr(b) for b in plain}, 256
-    for b in range(256):
-        if b not in letters:
-            letters[b], extra = chr(extra), extra + 1
-    return [letters[b] for b in range(256)]
-
-
-class _Totals(dict):
-    """Token count of each piece, found when it is first asked for."""
-
-    def __init__(self, counter: Counter) -> None:
-        super().__init__()
-        self.counter = counter
-
-    def __missing__(self, piece: str) -> int:
-        n = self[piece] = 1 if piece in self.counter.special else self.counter.piece(piece.encode())[-1]
-        return n
-
-
-class Counter:
-    """Prefix counts for one vocabulary file."""
-
-    def __init__(self, path: str, keep: int = 1_000_000) -> None:
-        import regex
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        byte_of = {c: b for b, c in enumerate(_byte_letters())}
-        self.letters = _byte_letters()
-        self.model = Tokenizer.from_file(path).model
-        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.special = set(special)
-        self.special_cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.split = regex.compile(SPLIT)
-        self.ids = {bytes(byte_of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if all(c in byte_of for c in word)}
-        self.longest = max(map(len, self.ids))
-        self.words = {i: w for w, i in self.ids.items()}
-        self.single: dict[int, bool] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.totals = _Totals(self)
-        self.keep = keep
-
-    def _encoded(self, data: bytes) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join([self.letters[b] for b in data]))]
-
-    def _single(self, t: int) -> bool:
-        if (ok := self.single.get(t)) is None:
-            ok = self.single[t] = self._encoded(self.words[t]) == [t]
-        return ok
-
-    def _fits(self, a: int, b: int) -> bool:
-        if (ok := self.fits.get((a, b))) is None:
-            ok = self.fits[a, b] = self._encoded(self.words[a] + self.words[b]) == [a, b]
-        return ok
-
-    def piece(self, data: bytes) -> array:
-        """counts[i]: tokens of the first i bytes of a piece."""
-        n, ids, longest = len(data), self.ids, self.longest
-        counts, last = array("I", bytes(4 * (n + 1))), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                t = ids.get(data[j:i])
-                if t is not None and (self._single(t) if j == 0 else self._fits(last[j], t)):
-                    counts[i], last[i] = counts[j] + 1, t
-                    break
-            else:
-                raise ValueError(f"no encoding for {data[:i]!r}")
-        return counts
-
-    def total(self, piece: str) -> int:
-        return self.totals[piece]
-
-    def pieces(self, text: str) -> list[str]:
-        if self.special_cut is None or not any(s in text for s in self.special):
-            return self.split.findall(text)
-        out: list[str] = []
-        for part in self.special_cut.split(text):
-            out += [part] if part in self.special else self.split.findall(part)
-        return out
-
-    def count(self, text: str) -> int:
-        if len(self.totals) > self.keep:
-            self.totals.clear()
-        return sum(map(self.totals.__getitem__, self.pieces(text)))
-
-
-class PrefixCounts:
-    """Token counts of every prefix of one text (cuts are character positions)."""
-
-    def __init__(self, counter: Counter, text: str) -> None:
-        self.counter, self.text = counter, text
-        self.pieces = counter.pieces(text)
-        self.inside = [counter.piece(p.encode()) if p not in counter.special else array("I", [0, 1]) for p in self.pieces]
-        self.ends, self.counts = [0], [0]
-        for p, counts in zip(self.pieces, self.inside):
-            self.ends.append(self.ends[-1] + len(p))
-            self.counts.append(self.counts[-1] + counts[-1])
-
-    def at(self, cut: int) -> int:
-        """Tokens of text[:cut]."""
-        k = bisect_left(self.ends, cut)
-        if self.ends[k] == cut and (k == len(self.ends) - 1 or not (self.pieces[k - 1].isspace() if k else False)):
-            return self.counts[k]
-        part = self.text[self.ends[k - 1] : cut] if k else ""
-        if part and not part.isspace() and self.pieces[k - 1] not in self.counter.special and self.counter.split.findall(part) == [part]:
-            return self.counts[k - 1] + self.inside[k - 1][len(part.encode())]
-        # Splitting looks ahead over white space and up to the cut: start again some pieces before it.
-        k = max(0, k - 1)
-        while k and (self.pieces[k].isspace() or self.pieces[k - 1].isspace() or self.pieces[k] in self.counter.special):
-            k -= 1
-        return self.counts[k] + self.counter.count(self.text[self.ends[k] : cut])
-
-    def longest_within(self, budget: int) -> int:
-        """The largest cut whose prefix has ``budget`` tokens at most."""
-        k = bisect_left(self.counts, budget + 1)
-        for cut in range(min(len(self.text), self.ends[min(k, len(self.ends) - 1)] + 1), -1, -1):
-            if self.at(cut) <= budget:
-                return cut
-        return 0
-
-
-_counters: dict[str, Counter] = {}
-
-
-def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
-
-
-def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and n_tokens of each row; ``tokenizer`` is the path of a byte-level BPE .json file."""
+SLICE = 4 << 20
+
+
+def tokens_before(steps: bytes, cut: int) -> int:
+    """Tokens of the first ``cut`` characters."""
+    return int(np.frombuffer(steps, "<i2", count=min(cut, len(steps) // 2)).sum(dtype=np.int64))
+
+
+def longest_within(steps: bytes, budget: int) -> int:
+    """The most characters whose prefix has ``budget`` tokens at most."""
+    counts = np.cumsum(np.frombuffer(steps, "<i2"), dtype=np.int64)
+    fits = np.flatnonzero(counts <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
+
+
+def prefix_counts(docs: DataFrame, tokenizer: str, budget: int | None = None, stored: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens of each row; ``tokenizer`` is the path of a byte-level BPE .json file.
+
+    With ``stored`` also steps, the prefix array (16-bit little-endian integers, one for each character).  With
+    ``budget`` also cut, the characters of the longest prefix with so many tokens at most, and cut_all, whether that is
+    the whole text.
+    """
+    more = (["cut long", "cut_all boolean"] if budget is not None else []) + (["steps binary"] if stored else [])
+    fields = ", ".join([FIELDS, *more])
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = counter(tokenizer)
+        known = vocabulary(tokenizer)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            counts = [known.count(t) for t in texts]
-            sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            for part, _, at in slices(batch, "text", SLICE):
+                arrays = [known.prefix_steps(t or "") for t in part.column("text").to_pylist()]
+                columns = {"doc_id": part.column("doc_id"), "n_bytes": pa.array(np.diff(at), pa.int64()), "n_tokens": pa.array([int(a.sum(dtype=np.int64)) for a in arrays], pa.int64())}
+                if budget is not None:
+                    cuts = [longest_within(a, budget) for a in arrays]
+                    columns |= {"cut": pa.array(cuts, pa.int64()), "cut_all": pa.array([c == len(a) for a, c in zip(arrays, cuts)], pa.bool_())}
+                if stored:
+                    columns["steps"] = pa.array([a.tobytes() for a in arrays], pa.binary())
+                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
     ship(docs.sparkSession)
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, FIELDS)
+    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, fields)
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, budget: int = 512, **options) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit (no prefix of ``budget`` tokens is the whole text), cut."""
+    counts = prefix_counts(docs, tokenizer, budget, stored=False, **options)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (~F.col("cut_all")).alias("over_limit"), "cut")
+
+
+def over_budget(stored: DataFrame, budget: int) -> DataFrame:
+    """``stored`` prefix arrays with cut, the characters that ``budget`` tokens hold, and over_limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = batch.column("steps")
+            cuts = [longest_within(a.as_buffer(), budget) for a in arrays]
+            over = [c < len(a.as_buffer()) // 2 for c, a in zip(cuts, arrays)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cuts, pa.int64()), pa.array(over, pa.bool_())], names=[*batch.schema.names, "cut", "over_limit"])
+
+    ship(stored.sparkSession)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema), "cut long", "over_limit boolean"])
+    return stored.mapInArrow(run, schema)
