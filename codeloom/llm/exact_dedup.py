@@ -1,10 +1,12 @@
 """Exact deduplication through an extendible-hash index on shared files (DataFrame functions only).
 
-Every text is normalised by deleting ASCII white space.  Entries are built by grouping on (hash, normalised text):
-Spark compares the whole keys, so two texts that share a hash stay two entries of one chain.  Copies collapse before
-the shuffle.  A directory of hash prefixes is doubled until no bucket holds more than ``capacity`` entries, buckets are
-dealt to owner tasks as key ranges, and the index is written to the shared folder.  Rows find their entry by hash and
-SHA-256; a hot entry is split by adaptive skew handling, as both sides of that join are plain shuffles.
+Every text is normalised by deleting ASCII white space and hashed; the keys of all rows are saved.  A directory of hash
+prefixes is doubled, splitting overfull buckets, until none holds more than ``capacity`` different hashes; every bucket
+owns one range of keys.  Texts are put into the buckets that the directory names; copies collapse before that shuffle, and
+in a bucket texts of one hash are compared byte by byte, so that two that differ become two entries of one chain.  Owner
+tasks take ranges of buckets, number the chains and write the index to the shared folder; they fail if two entries of a
+chain share a SHA-256.  Rows then find their entry by bucket, hash and SHA-256, which no other text in the index has; a hot
+entry is split by adaptive skew handling, as both sides of that join are plain shuffles.
 
 Results for odd input: null and white-space-only texts are the empty text; a null id sorts after all others and is
 kept only where every copy has a null id; rows that repeat id and text share one decision in ``exact_groups``, while
@@ -43,75 +45,97 @@ def grow_directory(counts: dict[int, int], bits: int, capacity: int) -> list[int
     ``counts``: entries by the first ``bits`` bits of the hash.  Returns the bucket number of each directory slot; the
     slots are the hash prefixes in order, so every bucket owns one range of keys.
     """
+    level = [dict(counts)]  # entries by the first bits, bits - 1, ... 0 bits
+    for _ in range(bits):
+        above: dict[int, int] = {}
+        for p, n in level[-1].items():
+            above[p >> 1] = above.get(p >> 1, 0) + n
+        level.append(above)
     depth, slots = 0, [(0, 0)]  # (local depth, prefix)
-    load = {(0, 0): sum(counts.values())}
-
-    def filled(d: int, p: int) -> int:
-        if (d, p) not in load:
-            low, high = p << (bits - d), (p + 1) << (bits - d)
-            load[d, p] = sum(n for k, n in counts.items() if low <= k < high)
-        return load[d, p]
-
-    while depth < bits and any(d == depth and filled(d, p) > capacity for d, p in slots):
+    while depth < bits and any(d == depth and level[bits - d].get(p, 0) > capacity for d, p in slots):
         depth += 1
         doubled = []
         for i, (d, p) in enumerate(x for x in slots for _ in range(2)):
-            split = d == depth - 1 and filled(d, p) > capacity
+            split = d == depth - 1 and level[bits - d].get(p, 0) > capacity
             doubled.append((depth, i) if split else (d, p))
         slots = doubled
     number = {b: i for i, b in enumerate(dict.fromkeys(slots))}
     return [number[b] for b in slots]
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 17, bits: int = 12, hash_bits: int = 64, row_col: str | None = None) -> DataFrame:
-    """The index: one row for each different normalised text.
+def directory(hashes: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """The directory (slot, bucket) for the different values of the column hash, and its depth.
+
+    The driver holds the number of entries of about eight prefixes a bucket, never more; the directory has no other
+    limit.  Prefixes that are still overfull then (a hash spreads keys evenly, so only few alike keys can be the cause)
+    stay one bucket with long chains.
+    """
+    spark = hashes.sparkSession
+    keys = saved(hashes.distinct(), "keys")
+    bits = max(1, min(62, (max(1, keys.count()) * 8 // capacity).bit_length()))
+    counts = {r[0]: r[1] for r in keys.groupBy(F.shiftrightunsigned("hash", 64 - bits).alias("prefix")).count().collect()}
+    slots = grow_directory(counts, bits, capacity)
+    rows = ", ".join(map(str, slots)) if len(slots) <= 4096 else None
+    if rows is None:
+        found = spark.createDataFrame(list(enumerate(slots)), "slot long, bucket int")
+    else:
+        found = spark.range(1).select(F.posexplode(F.split(F.lit(rows), ", "))).select(F.col("pos").cast("long").alias("slot"), F.col("col").cast("int").alias("bucket"))
+    return found, len(slots).bit_length() - 1
+
+
+def _in_buckets(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
+    """``rows`` with the bucket that the directory names for their hash."""
+    slot = F.shiftrightunsigned("hash", 64 - depth) if depth else F.lit(0).cast("long")
+    # 12 bytes a slot: 12 MB at most are sent along; a larger directory is joined by shuffling.
+    sized = F.broadcast(slots) if depth <= 20 else slots.hint("merge")
+    return rows.withColumn("slot", slot).join(sized, "slot").drop("slot")
 
-    Columns: bucket, hash, chain (place among entries of one hash), text_sha256 (binary), keep_id, group_size, and with
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 17, hash_bits: int = 64, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The index, one row for each different normalised text, and the keys of all rows with their buckets.
+
+    Index: bucket, hash, chain (place among entries of one hash), text_sha256 (binary), keep_id, group_size, and with
     ``row_col``, a key of each row, keep_row: one row of those that have the largest size and keep_id.
-    ``bits`` bounds the directory (2**bits slots is all the driver ever holds); a bucket that is still overfull keeps
-    its entries.
+    Keys: doc_id (of ``row_col``, if given), bucket, hash, text_sha256.
     """
     norm = without_space(F.col(text_col))
+    rows = docs.select(F.col(row_col or id_col).alias("doc_id"), _hash(norm, hash_bits).alias("hash"), F.unhex(F.sha2(norm, 256)).alias("text_sha256"))
+    rows = saved(rows, "rows")
+    slots, depth = directory(rows.select("hash"), capacity)
+
     size = F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("decimal(10,0)")
     backwards = F.coalesce(F.lit(_TOP).cast("decimal(20,0)") - F.col(id_col).cast("decimal(19,0)") + F.lit(1).cast("decimal(1,0)"), F.lit(0).cast("decimal(1,0)"))
     # One decimal holds (size, smallest id first), so that the aggregate keeps a fixed-width buffer.
     order = size * F.expr("cast('100000000000000000000' as decimal(21,0))") + backwards.cast("decimal(20,0)")
     own = [F.col(row_col).alias("row")] if row_col else []
-    rows = docs.select(_hash(norm, hash_bits).alias("hash"), norm.alias("norm"), order.cast("decimal(38,0)").alias("order"), *own)
+    texts = docs.select(_hash(norm, hash_bits).alias("hash"), norm.alias("norm"), order.cast("decimal(38,0)").alias("order"), *own)
     more = [F.max_by("row", "order").alias("keep_row")] if row_col else []
-    grouped = rows.groupBy("hash", "norm").agg(F.max("order").alias("best"), F.count(F.lit(1)).alias("group_size"), *more)
+    # Inside a bucket, texts of one hash are told apart by their bytes: grouping compares the whole keys.
+    entries = _in_buckets(texts, slots, depth).groupBy("bucket", "hash", "norm").agg(F.max("order").alias("best"), F.count(F.lit(1)).alias("group_size"), *more)
     found = ["keep_id", "group_size", *(["keep_row"] if row_col else [])]
     back = F.expr("best % cast('100000000000000000000' as decimal(21,0))")
     keep = F.when(back > 0, (F.lit(_TOP).cast("decimal(20,0)") + F.lit(1).cast("decimal(1,0)") - back).cast("long"))
-    entries = saved(grouped.select("hash", F.unhex(F.sha2("norm", 256)).alias("text_sha256"), keep.alias("keep_id"), *found[1:]), "entries")
-
-    prefix = F.shiftrightunsigned(F.col("hash"), 64 - bits)
-    counts = {r[0]: r[1] for r in entries.groupBy(prefix.alias("prefix")).count().collect()}
-    slots = grow_directory(counts, bits, capacity)
-    depth = len(slots).bit_length() - 1
-    slot = F.shiftrightunsigned(F.col("hash"), 64 - depth).cast("int") if depth else F.lit(0)
-    directory = F.split(F.lit(",".join(map(str, slots))), ",")
-    bucket = F.element_at(directory, slot + 1).cast("int")
-    # Signed order of the hash differs from the order of prefixes: owner tasks take ranges of (bucket, hash).
-    owners = max(1, min(max(slots) + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    owned = entries.withColumn("bucket", bucket).repartitionByRange(owners, "bucket", "hash")
-    chain = F.row_number().over(W.Window.partitionBy("bucket", "hash").orderBy("text_sha256"))
-    return saved(owned.select("bucket", "hash", chain.alias("chain"), "text_sha256", *found), "index")
+    entries = entries.select("bucket", "hash", F.unhex(F.sha2("norm", 256)).alias("text_sha256"), keep.alias("keep_id"), *found[1:])
+    # Owner tasks take ranges of (bucket, hash) and number the chains.
+    owned = saved(entries, "entries").repartitionByRange("bucket", "hash")
+    place = W.Window.partitionBy("bucket", "hash").orderBy("text_sha256")
+    alike = F.lag("text_sha256").over(place) == F.col("text_sha256")
+    chain = F.when(alike, F.raise_error(F.lit("two texts that differ share hash and SHA-256"))).otherwise(F.row_number().over(place)).cast("int")
+    index = saved(owned.select("bucket", "hash", chain.alias("chain"), "text_sha256", *found), "index")
+    return index, _in_buckets(rows, slots, depth)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index_options) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (lowercase hex)."""
-    index = build_index(docs, id_col, text_col, **index_options)
-    norm = without_space(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), _hash(norm, index_options.get("hash_bits", 64)).alias("hash"), F.unhex(F.sha2(norm, 256)).alias("text_sha256"))
-    found = rows.join(index.select("hash", "text_sha256", "keep_id", "group_size"), ["hash", "text_sha256"])
+    index, rows = build_index(docs, id_col, text_col, **index_options)
+    found = rows.join(index.select("bucket", "hash", "text_sha256", "keep_id", "group_size").hint("merge"), ["bucket", "hash", "text_sha256"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("text_sha256")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index_options) -> DataFrame:
     """``docs`` with one row of those whose texts are copies of one another; all columns stay."""
     rows, names = keyed(docs)
-    index = build_index(rows, *(names[docs.columns.index(c)] for c in (id_col, text_col)), **index_options, row_col="row")
+    index, _ = build_index(rows, *(names[docs.columns.index(c)] for c in (id_col, text_col)), **index_options, row_col="row")
     kept = index.select(F.col("keep_row").alias("row")).hint("merge")  # one plan at every size
     return rows.join(kept, "row", "left_semi").select(*names).toDF(*docs.columns)
 
