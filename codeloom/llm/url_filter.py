@@ -1,15 +1,22 @@
 """URL filter: explicit rules first, then a tree of path templates judged by smoothed purity (DataFrame functions only).
 
 Method.  Pages are reduced to (host, path) counts.  In each path, segments with digits become ``{n}`` (an extension
-stays).  The tree is then built level by level: below every parent template of a host, a branch stays its own only if
-it has ``min_labelled`` labelled pages and its block rate differs from that of its siblings together by more than
-``z`` standard errors; all other branches are statistically alike and merge into ``*``.  Segments beyond ``depth``
-count as one last segment, so every path is judged.  Labelled pages are those that a rule decides; a page with no rule
-gets the verdict of its template: block where (blocked + weight * prior) / (labelled + weight) >= ``purity``.  The
-prior is the host's own block rate, smoothed in the same way by the rate of all labelled pages.
+stays).  Each host's tree is then built level by level, and below every parent template
+
+* branches of ``rare`` pages at most become ``{v}`` where there are ``many`` of them (a variable segment without digits);
+* a labelled branch whose smoothed block rate differs by less than ``z`` standard errors from that of its labelled
+  siblings together (smoothed too) is alike and merges with the others of that kind into ``*``;
+* all other branches keep their segment: labels of one never speak for a sibling that has none.
+
+Levels end with the longest path; segments beyond ``depth`` count as one last segment.  Labelled pages are those that a
+rule decides.  A page with no rule gets the verdict of its template: block where
+(blocked + weight * prior) / (labelled + weight) >= ``purity``.  The prior is the mean block rate of the host's labelled
+templates, each counting once, shrunk by ``weight`` to the mean of all hosts' templates.  So a template of its own needs
+some pure labelled pages to be rejected, and one without labels is rejected only where most templates of its host are.
 
 Results for odd input: a null url or one without ``://`` has empty host and path and is judged with all others of that
-kind; repeated rows each get a row; an empty table gives no rows; other columns are ignored.
+kind; repeated rows and null ids each get a row; very long urls are judged whole; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -62,96 +69,119 @@ def segment_class(segment: Column) -> Column:
     return F.when(stem.rlike("[0-9]"), F.concat(F.lit("{n}"), ext)).otherwise(segment)
 
 
-def judge_templates(paths: DataFrame, depth: int, z: float, min_labelled: int, weight: float, purity: float) -> DataFrame:
+@dataclass(frozen=True)
+class Tree:
+    """How branches merge and templates are rejected."""
+
+    depth: int = 16
+    many: int = 10
+    rare: int = 2
+    z: float = 2.0
+    weight: float = 4.0
+    purity: float = 0.8
+
+
+def judge_templates(paths: DataFrame, t: Tree) -> DataFrame:
     """``paths``: host, gpath, n, labelled, blocked (host and gpath together unique).  Adds template, score, blocks."""
     parts = F.split(F.regexp_replace("gpath", "^/", ""), "/")
-    levels = [F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit("")) for i in range(1, depth)]
-    rest = F.array_join(F.slice(parts, depth, F.greatest(F.size(parts) - (depth - 1), F.lit(0))), "/")
-    tree = paths.select("*", *[s.alias(f"s{i}") for i, s in enumerate([*levels, rest], 1)])
-    for i in range(1, depth + 1):
-        parent = ["host", *[f"t{j}" for j in range(1, i)]]
-        own = tree.groupBy(*parent, f"s{i}").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        all_ = own.groupBy(*parent).agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
-        # Two-proportion test of the branch against its siblings, with pooled variance.
-        others = F.col("all_l") - F.col("l")
-        pooled = F.col("all_b") / F.col("all_l")
-        gap = F.col("b") / F.col("l") - (F.col("all_b") - F.col("b")) / others
-        distinct = (F.col("l") >= min_labelled) & (others > 0) & (gap * gap > F.lit(z * z) * pooled * (1 - pooled) * (1 / F.col("l") + 1 / others))
-        branch = own.join(all_, parent).select(*parent, f"s{i}", F.when(F.coalesce(F.try_divide(F.lit(1), F.col("all_l")).isNotNull() & F.when((F.col("l") > 0) & (others > 0), distinct), F.lit(False)), F.col(f"s{i}")).otherwise(F.lit("*")).alias(f"t{i}"))
-        tree = saved(tree.join(branch, [*parent, f"s{i}"]), "tree")  # the next level reads it twice
-    template = [f"t{i}" for i in range(1, depth + 1)]
-    total, blocked = paths.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
-    base = blocked / total if total else 0.0
-    hosts = paths.groupBy("host").agg(((F.sum("blocked") + weight * base) / (F.sum("labelled") + weight)).alias("prior"))
-    judged = tree.groupBy("host", *template).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).join(hosts, "host")
-    score = (F.col("b") + weight * F.col("prior")) / (F.col("l") + weight)
-    judged = judged.select("host", *template, F.round(score, 9).alias("score"))
-    out = tree.join(judged, ["host", *template])
-    return out.select("host", "gpath", F.concat_ws("/", *template).alias("template"), "score", (F.col("score") >= purity).alias("blocks"))
-
-
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, depth: int = 3, z: float = 2.0, min_labelled: int = 5, weight: float = 4.0, purity: float = 0.5) -> DataFrame:
+    last = F.array_join(F.slice(parts, t.depth, F.greatest(F.size(parts) - (t.depth - 1), F.lit(0))), "/")
+    cut = F.when(F.size(parts) > t.depth, F.concat(F.slice(parts, 1, t.depth - 1), F.array(last))).otherwise(parts)
+    tree = saved(paths.select("*", cut.alias("parts"), F.lit("").alias("template")), "tree")
+    levels = tree.agg(F.max(F.size("parts"))).first()[0] or 0  # ``depth`` at most
+    parent = ["host", "template"]
+    for i in range(1, levels + 1):
+        open_ = F.size("parts") >= i
+        rows = tree.withColumn("s", F.when(open_, F.get("parts", F.lit(i - 1))))
+        own = rows.filter("s is not null").groupBy(*parent, "s").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+        seldom = F.col("n") <= t.rare
+        all_ = own.groupBy(*parent).agg(F.sum("l").alias("al"), F.sum("b").alias("ab"), F.count_if(seldom).alias("few"))
+        ol, ob = F.col("al") - F.col("l"), F.col("ab") - F.col("b")
+        p, q = (F.col("b") + 1) / (F.col("l") + 2), (ob + 1) / (ol + 2)
+        alike = (F.col("l") > 0) & (ol > 0) & ((p - q) * (p - q) <= F.lit(t.z * t.z) * (p * (1 - p) / (F.col("l") + 2) + q * (1 - q) / (ol + 2)))
+        kind = F.when(seldom & (F.col("few") >= t.many), "{v}").when(alike, "*").otherwise(F.col("s"))
+        branch = own.join(all_, parent).select(*parent, "s", kind.alias("t"))
+        # A level that a path does not have leaves its template as it is.
+        grown = rows.join(branch, [*parent, "s"], "left").withColumn("template", F.when(F.col("t").isNotNull(), F.concat("template", F.lit("/"), "t")).otherwise(F.col("template")))
+        tree = saved(grown.drop("s", "t"), "tree")  # the next level reads it twice
+    judged = tree.groupBy(*parent).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    pure = F.when(F.col("l") > 0, F.round(F.col("b") / F.greatest("l", F.lit(1)), 9))
+    judged = saved(judged.withColumn("pure", pure), "judged")
+    base = judged.agg(F.coalesce(F.round(F.avg("pure"), 6), F.lit(0.5))).first()[0]
+    prior = (F.coalesce(F.sum("pure"), F.lit(0.0)) + t.weight * base) / (F.count("pure") + t.weight)
+    hosts = judged.groupBy("host").agg(F.round(prior, 6).alias("prior"))
+    judged = judged.join(hosts, "host").select(*parent, F.round((F.col("b") + t.weight * F.col("prior")) / (F.col("l") + t.weight), 9).alias("score"))
+    return tree.join(judged, parent).select("host", "gpath", "template", "score", (F.col("score") >= t.purity).alias("blocks"))
+
+
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, tree: Tree = Tree()) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict, template, score."""
     rows = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     generalised = F.array_join(F.transform(F.split("path", "/"), segment_class), "/")
     rows = rows.select("*", generalised.alias("gpath"), rule_of(F.col("host"), F.col("path"), rules).alias("hit"))
     blocked, labelled = F.col("hit.verdict") == "block", F.col("hit").isNotNull()
     paths = saved(rows.groupBy("host", "gpath").agg(F.count(F.lit(1)).alias("n"), F.count_if(labelled).alias("labelled"), F.count_if(F.coalesce(blocked, F.lit(False))).alias("blocked")), "paths")
-    judged = saved(judge_templates(paths, depth, z, min_labelled, weight, purity), "templates")
+    judged = saved(judge_templates(paths, tree), "templates")
     found = rows.join(judged, ["host", "gpath"])
     verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("blocks"), "block").otherwise("allow"))
     return found.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "template", "score")
 
 
-def op3_sql(rules: tuple[Rule, ...] = RULES, depth: int = 3, z: float = 2.0, min_labelled: int = 5, weight: float = 4.0, purity: float = 0.5) -> str:
-    cases = {"rule": "", "verdict": ""}
+def op3_sql(rules: tuple[Rule, ...] = RULES, tree: Tree = Tree()) -> str:
+    """The same in DuckDB, as a statement of ``tree.depth`` levels."""
+    t, cases = tree, {"rule": "", "verdict": ""}
     for r in sorted(rules, key=lambda r: (-len(r.name), -len(r.host))):
         fits = f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
         cases["rule"] += f" WHEN {fits} THEN '{r.name}'"
         cases["verdict"] += f" WHEN {fits} THEN '{r.verdict}'"
-    seg = [f"coalesce(parts[{i}], '')" for i in range(1, depth)] + [f"coalesce(array_to_string(parts[{depth}:], '/'), '')"]
     sql = f"""
 WITH u AS (
   SELECT page_id,
          translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages
-), r AS (
+), r AS MATERIALIZED (
   SELECT *, CASE{cases["rule"]} END AS rule, CASE{cases["verdict"]} END AS hit,
          array_to_string(list_transform(string_split(path, '/'), lambda s:
            CASE WHEN regexp_matches(regexp_replace(s, '\\.[A-Za-z]+$', ''), '[0-9]')
                 THEN '{{n}}' || regexp_extract(s, '(\\.[A-Za-z]+)$', 1) ELSE s END), '/') AS gpath
   FROM u
-), p AS (
-  SELECT host, gpath, count(*) FILTER (hit IS NOT NULL) AS labelled, count(*) FILTER (hit = 'block') AS blocked
-  FROM r GROUP BY ALL
-), l0 AS (
-  SELECT host, gpath, labelled, blocked, {", ".join(f"{s} AS s{i}" for i, s in enumerate(seg, 1))}
-  FROM (SELECT *, string_split(regexp_replace(gpath, '^/', ''), '/') AS parts FROM p)
+), l0 AS MATERIALIZED (
+  SELECT *, '' AS template FROM (
+    SELECT host, gpath, n, labelled, blocked,
+           CASE WHEN len(parts) > {t.depth} THEN list_append(parts[:{t.depth - 1}], array_to_string(parts[{t.depth}:], '/')) ELSE parts END AS parts
+    FROM (
+      SELECT host, gpath, count(*) AS n, count(*) FILTER (hit IS NOT NULL) AS labelled, count(*) FILTER (hit = 'block') AS blocked,
+             string_split(regexp_replace(gpath, '^/', ''), '/') AS parts
+      FROM r GROUP BY host, gpath))
 )"""
-    for i in range(1, depth + 1):
-        parent = ", ".join(["host", *[f"t{j}" for j in range(1, i)]])
-        sql += f""", o{i} AS (
-  SELECT {parent}, s{i}, sum(labelled) AS l, sum(blocked) AS b FROM l{i - 1} GROUP BY ALL
-), a{i} AS (
-  SELECT *, sum(l) OVER (PARTITION BY {parent}) AS al, sum(b) OVER (PARTITION BY {parent}) AS ab FROM o{i}
-), b{i} AS (
-  SELECT {parent}, s{i}, CASE WHEN l >= {min_labelled} AND al > l
-    AND power(b / l - (ab - b) / (al - l), 2) > {z * z} * (ab / al) * (1 - ab / al) * (1 / l + 1 / (al - l)) THEN s{i} ELSE '*' END AS t{i} FROM a{i}
-), l{i} AS (
-  SELECT * FROM l{i - 1} JOIN b{i} USING ({parent}, s{i})
+    for i in range(1, t.depth + 1):
+        sql += f""", o{i} AS MATERIALIZED (
+  SELECT host, template, parts[{i}] AS s, sum(n) AS n, sum(labelled) AS l, sum(blocked) AS b
+  FROM l{i - 1} WHERE len(parts) >= {i} GROUP BY ALL
+), b{i} AS MATERIALIZED (
+  SELECT host, template, s,
+         CASE WHEN n <= {t.rare} AND few >= {t.many} THEN '{{v}}'
+              WHEN l > 0 AND ol > 0 AND power((b + 1) / (l + 2) - (ob + 1) / (ol + 2), 2) <= {t.z * t.z} * (
+                (b + 1) / (l + 2) * (1 - (b + 1) / (l + 2)) / (l + 2) + (ob + 1) / (ol + 2) * (1 - (ob + 1) / (ol + 2)) / (ol + 2)) THEN '*'
+              ELSE s END AS t
+  FROM (SELECT *, sum(l) OVER w - l AS ol, sum(b) OVER w - b AS ob, count(*) FILTER (n <= {t.rare}) OVER w AS few
+        FROM o{i} WINDOW w AS (PARTITION BY host, template))
+), l{i} AS MATERIALIZED (
+  SELECT a.* REPLACE (CASE WHEN b.t IS NULL THEN a.template ELSE a.template || '/' || b.t END AS template)
+  FROM l{i - 1} a LEFT JOIN b{i} b ON a.host = b.host AND a.template = b.template AND a.parts[{i}] = b.s
 )"""
-    t = ", ".join(f"t{i}" for i in range(1, depth + 1))
-    return sql + f""", g AS (
-  SELECT coalesce(sum(blocked) / nullif(sum(labelled), 0), 0) AS base FROM p
+    return sql + f""", j AS MATERIALIZED (
+  SELECT host, template, sum(labelled) AS l, sum(blocked) AS b,
+         CASE WHEN sum(labelled) > 0 THEN round(sum(blocked) / sum(labelled), 9) END AS pure
+  FROM l{t.depth} GROUP BY host, template
+), g AS (
+  SELECT coalesce(round(avg(pure), 6), 0.5) AS base FROM j
 ), h AS (
-  SELECT host, (sum(blocked) + {weight} * any_value(base)) / (sum(labelled) + {weight}) AS prior FROM p, g GROUP BY host
-), j AS (
-  SELECT host, {t}, round((sum(blocked) + {weight} * any_value(prior)) / (sum(labelled) + {weight}), 9) AS score
-  FROM l{depth} JOIN h USING (host) GROUP BY host, {t}
+  SELECT host, round((coalesce(sum(pure), 0) + {t.weight} * any_value(base)) / (count(pure) + {t.weight}), 6) AS prior FROM j, g GROUP BY host
 ), k AS (
-  SELECT host, gpath, concat_ws('/', {t}) AS template, score FROM l{depth} JOIN j USING (host, {t})
+  SELECT host, gpath, template, round((j.b + {t.weight} * prior) / (j.l + {t.weight}), 9) AS score
+  FROM l{t.depth} JOIN j USING (host, template) JOIN h USING (host)
 )
-SELECT page_id, host, path, rule, coalesce(hit, CASE WHEN score >= {purity} THEN 'block' ELSE 'allow' END) AS verdict, template, score
+SELECT page_id, host, path, rule, coalesce(hit, CASE WHEN score >= {t.purity} THEN 'block' ELSE 'allow' END) AS verdict, template, score
 FROM r JOIN k USING (host, gpath)
 """
