@@ -1,12 +1,11 @@
 """Exact top-k by inner product with an impact-ordered, score-at-a-time index.
 
-Vectors and queries are dealt into blocks; a cell joins one block of queries with one block of vectors, so that a task
-holds bounded state and the grid covers every pair of query and row.  In a cell, each dimension's postings are cut into
-segments by quantised value.  For a query, segments of all dimensions are processed by descending impact (the largest
+Vectors are dealt into blocks; every block is indexed once and all queries run past it, so that a task holds one block and
+no vector is copied.  In a block, each dimension's postings are cut into segments by quantised value.  For a query, segments of all dimensions are processed by descending impact (the largest
 product that a segment allows), adding exact products to accumulators.  After m of D postings of a vector, its score is
 at most accumulator + (D - m) * impact of the next segment.  The k-th best exact score among the leaders is a bound from
 below; processing stops once few vectors can still reach it, or all postings are done, and those are rescored exactly.
-The k best of every cell are ranked together.
+The k best of every block are ranked together.
 
 Results for odd input: vectors null or with null or non-finite components take no part; vectors of different lengths are
 compared over their common places; a query never meets its own row, but does meet others with its id; null ids are no
@@ -80,51 +79,48 @@ class ImpactIndex:
         return possible[best], scores[best]
 
 
-def top_k(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, rows: int = 8192, queries: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row where the SQL condition ``is_query`` holds."""
     ship(vectors.sparkSession)
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     e = F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("e")
     table = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.coalesce(F.expr(is_query), F.lit(False)).alias("q"), e).filter(F.col("e").isNotNull() & finite)
     table = saved(table.select(F.monotonically_increasing_id().alias("row"), "vec_id", "q", F.transform("e", lambda x: F.floor(x * scale).cast("long")).alias("v")), "vectors")
-    n, n_queries = table.agg(F.count(F.lit(1)), F.count_if("q")).first()
-    down, across = max(1, ceil(n / rows)), max(1, ceil(n_queries / queries))
-    block = lambda m: F.pmod(F.xxhash64("row"), F.lit(m)).cast("long")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("other")
-    left = table.filter("q").select("row", "vec_id", "v", block(across).alias("own"), every(down)).select((F.col("own") * down + F.col("other")).alias("cell"), F.lit(True).alias("q"), "row", "vec_id", "v")
-    right = table.select("row", "vec_id", "v", block(down).alias("own"), every(across)).select((F.col("other") * down + F.col("own")).alias("cell"), F.lit(False).alias("q"), "row", "vec_id", "v")
-    dealt = left.unionByName(right).repartition("cell").sortWithinPartitions("cell")
+    n = table.count()
+    blocks = max(1, ceil(n / rows))
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("long")
+    asked = table.filter("q").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(True).alias("q"), "row", "vec_id", "v")
+    held = table.select(block.alias("block"), F.lit(False).alias("q"), "row", "vec_id", "v")
+    dealt = asked.unionByName(held).repartition(blocks, "block").sortWithinPartitions("block", "q")  # rows before queries
     names = ["query", "query_id", "vec_id", "score"]
 
-    def cell(held: list[tuple]) -> pa.RecordBatch:
-        asked, kept = [r for r in held if r[1]], [r for r in held if not r[1]]
-        out: list[tuple] = []
-        if asked and kept:
-            dims = max(len(r[4]) for r in held)
-            matrix = np.zeros((len(kept), dims), np.int64)
-            for i, r in enumerate(kept):
-                matrix[i, : len(r[4])] = r[4]
-            row, ids = np.array([r[2] for r in kept]), np.array([LAST if r[3] is None else r[3] for r in kept])
-            index = ImpactIndex(matrix)
-            for _, _, own, name, v in asked:
-                query = np.zeros(dims, np.int64)
-                query[: len(v)] = v
-                places, scores = index.top(query, k, row == own, ids)
-                out += [(own, name, kept[p][3], s) for p, s in zip(places.tolist(), scores.tolist())]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        now, index, row, ids = None, None, None, None
         for batch in batches:
+            out: list[tuple] = []
             vs = batch.column("v")
             flat, at = np.asarray(vs.flatten()), np.concatenate([[0], np.cumsum(np.asarray(vs.value_lengths()))])
-            for i, r in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cell", "q", "row", "vec_id")))):
-                if held and r[0] != held[0][0]:
-                    yield cell(held)
-                    held = []
-                held.append((*r, flat[at[i] : at[i + 1]]))
-        if held:
-            yield cell(held)
+            for i, (b, asked, own, name) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "q", "row", "vec_id")))):
+                if b != now:
+                    now, held, index = b, [], None
+                v = flat[at[i] : at[i + 1]]
+                if not asked:
+                    held.append((own, name, v.copy()))
+                    continue
+                if index is None and held:
+                    matrix = np.zeros((len(held), max(len(r[2]) for r in held)), np.int64)
+                    for k_, r in enumerate(held):
+                        matrix[k_, : len(r[2])] = r[2]
+                    row, ids = np.array([r[0] for r in held]), np.array([LAST if r[1] is None else r[1] for r in held])
+                    index = ImpactIndex(matrix)
+                if index is not None:
+                    query = np.zeros(index.vectors.shape[1], np.int64)
+                    query[: len(v)] = v[: len(query)]
+                    places, scores = index.top(query, k, row == own, ids)
+                    out += [(own, name, held[p][1], s) for p, s in zip(places.tolist(), scores.tolist())]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=names)
 
     found = dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
     place = F.row_number().over(W.Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
