@@ -6,6 +6,8 @@ words; a text with fewer words gives its whole sequence as one shingle, one with
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -55,8 +57,13 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first[1:] |= gap[:-1]
     last[:-1] |= gap[1:]
     begin, end = np.flatnonzero(first & ~gap), np.flatnonzero(last & ~gap) + 1
-    s = prefix_sums(_LOWER[data])
-    return mix((s[end] - s[begin]) * powers(len(data))[1][begin]), np.searchsorted(begin, at)
+    lower = _LOWER[data]
+    s = prefix_sums(lower)
+    out = mix((s[end] - s[begin]) * powers(len(data))[1][begin])
+    # Modulo 2**64, words of 1,024 bytes and more can be made to share a polynomial.
+    for i in np.flatnonzero(end - begin > 512).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(lower[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out, np.searchsorted(begin, at)
 
 
 def sets(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:

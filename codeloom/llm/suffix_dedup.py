@@ -11,12 +11,18 @@ contexts have too, are compared as bytes.  Buckets of one key are dealt to tasks
 from the anchor on, and the reversed left parts, each by blocks of ``COVER`` bytes whose ties are resolved by the ranks
 of the next cover place, computed from the far end.  Neighbours' common prefixes give, for each window, a class of its
 left and one of its right part; a window is repeated if both classes are those of another one.  Tasks hold some thousand
-contexts at a time.  3. A bucket of more than ``bucket`` contexts is not sorted in one task: its windows are counted by
-128-bit hash with partial aggregation.
+contexts at a time.  3. A bucket of more than ``bucket`` contexts is split before it is sorted: by ranges of the place
+that the anchor has in a window, and in each range by the bytes that all its windows must share.  Equal windows stay
+together, and contexts that share no more than the anchor part.  Ranges shrink until every bucket can be sorted, or a
+range is one place: there, equal windows are equal rows and are grouped by their bytes.
 All repeated windows of a text are joined, cut out, and the rest is hashed.
 
+A row is named by two 64-bit hashes of its id and text.  Context hashes are polynomials modulo 2**64, which texts of
+1,024 bytes and more can be made to defeat; contexts are shorter than twice ``length``.
+
 Results for odd input: null is the empty text; a text shorter than ``length`` bytes loses nothing; rows that repeat id and
-text are repeats of each other; an empty table gives no rows; other columns are ignored.
+text are repeats of each other; null ids stay null; very long texts are read in one piece, in memory that grows with the
+longest of them; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +39,8 @@ from codeloom.llm._arrow import slices
 from codeloom.llm._common import saved, ship
 from codeloom.llm.shingles import U, mix, powers, prefix_sums
 
-GRAM, COVER, SLICE, HELD = 64, 40, 1 << 20, 3000
+GRAM, COVER, SLICE, HELD, PARTS = 64, 40, 1 << 20, 3000, 8
+NAME = ("r1", "r2")
 _OTHER = mix(np.arange(1, 257, dtype=U)).astype(np.uint8)
 
 
@@ -102,14 +109,16 @@ def _classes(parts: list[bytes], key: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(key: np.ndarray, left: list[bytes], right: list[bytes], length: int) -> np.ndarray:
+def repeated_windows(key: np.ndarray, left: list[bytes], right: list[bytes], low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
     """[i, o]: the window that begins o bytes before anchor i occurs around another anchor of the same key.
 
-    ``left`` is what stands before the anchor, reversed; ``right`` what begins with it.  Windows lie inside these.
+    ``left`` is what stands before the anchor, reversed; ``right`` what begins with it.  Windows lie inside these, and o
+    between ``low`` and ``high``.
     """
     n, o = len(key), np.arange(length - GRAM + 1)
     before, after = _classes(left, key, length - GRAM), _classes(right, key, length)
     valid = (o[None, :] <= np.array([len(x) for x in left])[:, None]) & (length - o[None, :] <= np.array([len(x) for x in right])[:, None])
+    valid &= (o[None, :] >= low[:, None]) & (o[None, :] <= high[:, None])
     row, column = np.nonzero(valid)
     code = (column * n + before[row, column]) * n + after[row, length - column]
     order = np.argsort(code, kind="stable")
@@ -135,10 +144,18 @@ def _sample(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for part, data, at in slices(batch, "text", SLICE):
                 place, own, most, fewest, *hashes = anchors(data, at, length)
-                rid = np.asarray(part.column("rid"))[own]
-                yield pa.RecordBatch.from_arrays([pa.array(rid), *(pa.array(x.astype(np.int32)) for x in (place - at[own], most, fewest)), *(pa.array(x.view(np.int64)) for x in hashes)], names=["rid", "pos", "most", "fewest", "key", "c1", "c2"])
+                rows_of = [pa.array(np.asarray(part.column(c))[own]) for c in NAME]
+                yield pa.RecordBatch.from_arrays([*rows_of, *(pa.array(x.astype(np.int32)) for x in (place - at[own], most, fewest)), *(pa.array(x.view(np.int64)) for x in hashes)], names=[*NAME, "pos", "most", "fewest", "key", "c1", "c2"])
+
+    return rows.select(*NAME, "text").mapInArrow(run, "r1 long, r2 long, pos int, most int, fewest int, key long, c1 long, c2 long")
+
+
+_PLACED = "key long, r1 long, r2 long, pos int, low int, high int, before binary, after binary"
+_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
 
-    return rows.select("rid", "text").mapInArrow(run, "rid long, pos int, most int, fewest int, key long, c1 long, c2 long")
+def _placed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names=[f.split()[0] for f in _PLACED.split(", ")])
 
 
 def _contexts(texts: DataFrame, length: int) -> DataFrame:
@@ -147,23 +164,24 @@ def _contexts(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for rid, text, marks in zip(*(batch.column(c) for c in ("rid", "text", "marks"))):
+            for r1, r2, text, marks in zip(*(batch.column(c) for c in (*NAME, "text", "marks"))):
                 data = (text.as_py() or "").encode()
                 for m in marks.as_py():
                     if m["compare"]:
                         p = m["pos"]
-                        out.append((m["key"], rid.as_py(), p, data[p - m["most"] : p][::-1], data[p : p - m["fewest"] + length]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["key", "rid", "pos", "before", "after"])
+                        out.append((m["key"], r1.as_py(), r2.as_py(), p, 0, length - GRAM, data[p - m["most"] : p][::-1], data[p : p - m["fewest"] + length]))
+            yield _placed(out)
 
-    return texts.mapInArrow(run, "key long, rid long, pos int, before binary, after binary")
+    return texts.select(*NAME, "text", "marks").mapInArrow(run, _PLACED)
 
 
 def _sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
     def spans(held: list[tuple]) -> pa.RecordBatch:
-        hit = repeated_windows(np.array([r[0] for r in held]), [r[3] for r in held], [r[4] for r in held], length)
-        row, begin, end = _spans(hit, np.array([r[2] for r in held], np.int64), length)
-        rid = np.array([r[1] for r in held])[row]
-        return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names=["rid", "begin", "end"])
+        low, high = (np.array([r[i] for r in held]) for i in (4, 5))
+        hit = repeated_windows(np.array([r[0] for r in held]), [r[6] for r in held], [r[7] for r in held], low, high, length)
+        row, begin, end = _spans(hit, np.array([r[3] for r in held], np.int64), length)
+        names = [pa.array(np.array([r[i] for r in held])[row], pa.int64()) for i in (1, 2)]
+        return pa.RecordBatch.from_arrays([*names, pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names=[*NAME, "begin", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -176,25 +194,45 @@ def _sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield spans(held)
 
-    return contexts.repartition("key").sortWithinPartitions("key", "rid", "pos").mapInArrow(run, "rid long, begin long, end long")
+    return contexts.repartition("key").sortWithinPartitions("key", *NAME, "pos").mapInArrow(run, _SPANS)
 
 
-def _counted_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """The windows of very full buckets: those whose hash occurs twice."""
+_SPANS = "r1 long, r2 long, begin long, end long"
+
+
+def _split(contexts: DataFrame, length: int) -> DataFrame:
+    """Each context once for each part of its range of places, under a key of the bytes that all windows there share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, pos, before, after in zip(*(batch.column(c).to_pylist() for c in ("rid", "pos", "before", "after"))):
-                data = np.frombuffer(before[::-1] + after, np.uint8)
-                n = len(data) - length + 1
-                back = powers(len(data) + 1)[1][:n]
-                hashes = [pa.array(mix((s[length : length + n] - s[:n]) * back).view(np.int64)) for s in (prefix_sums(data), prefix_sums(_OTHER[data]))]
-                begin = pos - len(before) + np.arange(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rid)), pa.array(begin), *hashes], names=["rid", "begin", "w1", "w2"])
-
-    rows = saved(contexts.select("rid", "pos", "before", "after").mapInArrow(run, "rid long, begin long, w1 long, w2 long"), "windows")
-    often = rows.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")  # every window has one anchor
-    return rows.join(often, ["w1", "w2"]).select("rid", "begin", (F.col("begin") + length).alias("end"))
+            out: list[tuple] = []
+            for key, r1, r2, pos, low, high, before, after in zip(*(c.to_pylist() for c in batch.columns)):
+                width = -(-(high - low + 1) // PARTS)
+                for a in range(low, high + 1, width):
+                    b = min(a + width - 1, high)
+                    if len(before) >= a and len(after) >= length - b:
+                        name = hashlib.blake2b(b"%d %d %d " % (key, a, b) + before[:a] + after[: length - b], digest_size=8).digest()
+                        out.append((int.from_bytes(name, "little", signed=True), r1, r2, pos, a, b, before[:b], after[: length - a]))
+            yield _placed(out)
+
+    return contexts.mapInArrow(run, _PLACED)
+
+
+def _compared(contexts: DataFrame, length: int, bucket: int) -> DataFrame:
+    """Spans of the repeated windows of all contexts."""
+    spans = contexts.sparkSession.createDataFrame([], _SPANS)
+    while True:
+        fullness = saved(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "fullness")
+        spans = spans.unionByName(_sorted_buckets(contexts.join(fullness.filter(F.col("m").between(2, bucket)).select("key").hint("merge"), "key", "left_semi"), length))
+        full = fullness.filter(F.col("m") > bucket).select("key")
+        if full.isEmpty():
+            return spans
+        rest = contexts.join(full.hint("merge"), "key", "left_semi")
+        single = rest.filter("low = high")
+        often = single.groupBy("low", "before", "after").count().filter("count > 1").select("low", "before", "after")
+        begin = F.col("pos").cast("long") - F.col("low")
+        spans = spans.unionByName(single.join(often.hint("merge"), ["low", "before", "after"]).select(*NAME, begin.alias("begin"), (begin + length).alias("end")))
+        contexts = saved(_split(rest.filter("low < high"), length), "split")
 
 
 def _cut(texts: DataFrame, length: int) -> DataFrame:
@@ -224,26 +262,23 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, bucket: int = 4096) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     ship(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("rid"))
+    text, own = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+    docs = docs.select(own.alias("doc_id"), text.alias("text"), F.xxhash64(own, text).alias("r1"), F.xxhash64(text, F.lit("row"), own).alias("r2"))
     sample = saved(_sample(docs, length), "anchors")
-    contexts = saved(sample.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.max("rid").alias("holder")), "contexts")
+    contexts = saved(sample.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.max("r1").alias("holder")), "contexts")
     keys = contexts.groupBy("key").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("different")).filter("all > 1")
     shared = contexts.join(keys.hint("merge"), "key").select("key", "c1", "c2", "n", "holder", "different")
-    marks = sample.join(shared.hint("merge"), ["key", "c1", "c2"]).select("rid", F.struct("pos", "most", "fewest", "key", (F.col("n") > 1).alias("whole"), ((F.col("different") > 1) & (F.col("rid") == F.col("holder"))).alias("compare")).alias("mark"))
-    marks = marks.groupBy("rid").agg(F.collect_list("mark").alias("marks"))
-    joined = docs.join(marks.hint("merge"), "rid", "left")
+    # Of a context that occurs more than once, that of one row is compared with others (or of rows that repeat it).
+    marks = sample.join(shared.hint("merge"), ["key", "c1", "c2"]).select(*NAME, F.struct("pos", "most", "fewest", "key", (F.col("n") > 1).alias("whole"), ((F.col("different") > 1) & (F.col("r1") == F.col("holder"))).alias("compare")).alias("mark"))
+    marks = marks.groupBy(*NAME).agg(F.collect_list("mark").alias("marks"))
+    joined = docs.join(marks.hint("merge"), list(NAME), "left")
     some = F.col("marks").isNotNull()
-    joined = saved(joined.select("doc_id", "rid", F.octet_length("text").cast("long").alias("n_bytes"), F.when(~some, F.sha2("text", 256)).alias("sha"), F.when(some, F.col("text")).alias("text"), "marks"), "marked")
-
-    compared = saved(_contexts(joined.filter(F.exists("marks", lambda m: m["compare"])).select("rid", "text", "marks"), length), "compared")
-    fullness = compared.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    small = compared.join(fullness.filter(F.col("m").between(2, bucket)).select("key"), "key", "left_semi")
-    spans = _sorted_buckets(small, length)
-    large = compared.join(fullness.filter(F.col("m") > bucket).select("key"), "key", "left_semi")
-    spans = saved(spans.unionByName(_counted_windows(large, length)), "spans")
-    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    texts = joined.filter("marks is not null").select("rid", "doc_id", "text", "marks")
-    cut = _cut(texts.join(spans.hint("merge"), "rid", "left").select("doc_id", "text", "marks", "spans"), length)
+    joined = saved(joined.select("doc_id", *NAME, F.octet_length("text").cast("long").alias("n_bytes"), F.when(~some, F.sha2("text", 256)).alias("sha"), F.when(some, F.col("text")).alias("text"), "marks"), "marked")
+
+    compared = saved(_contexts(joined.filter(F.exists("marks", lambda m: m["compare"])), length), "compared")
+    spans = saved(_compared(compared, length, bucket), "spans")
+    spans = spans.groupBy(*NAME).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    texts = joined.filter("marks is not null").select(*NAME, "doc_id", "text", "marks")
+    cut = _cut(texts.join(spans.hint("merge"), list(NAME), "left").select("doc_id", "text", "marks", "spans"), length)
     clean = joined.filter("marks is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
     return cut.unionByName(clean)
