@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 ROWS_PER_BATCH = 1000
 _OWN_SHARED: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_OPEN: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,9 +39,32 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``saved`` writes meanwhile are deleted at the end; what is read later must have been written elsewhere."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.remove(paths)
+        for path in paths:
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one."""
+    if not path.startswith(f"{shared_root(spark)}/codeloom/"):
+        raise ValueError(f"not a table of this package: {path}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, name)
+    for paths in _OPEN:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

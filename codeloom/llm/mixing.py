@@ -3,20 +3,21 @@
 A classifier learned on the labelled table gives every document a posterior over domains (toxic; else of high or low
 quality).  Rates r >= 0 then minimise
 
-    1/2 sum_k (sum_i r_i n_i p_ik / T - t_k)^2 / s_k + ridge/2 sum_i n_i / T (r_i - 1)^2
-
-for n_i tokens (words between ASCII white space), T their sum over all documents, target shares t_k, and the shares s_k
-that the domains have at rate 1 (with them the curvature is at most 1, so steps of length 1 are safe).  The method is
-projected gradient descent with momentum, in the metric weighted by n_i / T.  One step only needs the K sums over all
-documents, a distributed aggregation; a document's rate follows from its own posterior and the K-vectors of the steps so
-far, which are all that the driver keeps.  Where ``steps`` steps leave a target by more than the tolerance, the limit for a
-ridge of 0 is solved instead: rates max(0, 1 + p_i . dual), with damped Newton steps on the K-vector ``dual`` by sums of the
-same kind.  No rate has an upper bound.  Targets that no rates can meet (all domains alike, say) get the nearest rates that
-were found, ``residual`` (the largest gap of a share) and a warning.
+    1/2 gap' M gap + ridge/2 sum_i n_i / T (r_i - 1)^2   with gap_k = sum_i r_i n_i p_ik / T - t_k
+
+for n_i tokens (of the tokenizer file given), T their sum over all documents, target shares t_k, and M the inverse of the
+matrix sum_i n_i / T p_i p_i' (with it the curvature is at most 1, so steps of length 1 are safe, and where no rate meets
+its bound one step is enough).  The method is projected gradient descent with momentum, in the metric weighted by n_i / T.
+One step only needs the K sums over all documents, a distributed aggregation; a document's rate follows from its own
+posterior and the K-vectors of the steps so far, which are all that the driver keeps.  Where ``steps`` steps leave a target
+by more than the tolerance, the limit for a ridge of 0 is solved instead: rates max(0, 1 + p_i . dual), with damped Newton
+steps on the K-vector ``dual`` by sums of the same kind.  No rate has an upper bound.  Targets that no rates can meet (all
+domains alike, say) get the nearest rates that were found, ``residual`` (the largest gap of a share) and a warning;
+``shares`` are the shares that were reached.
 
 Results for odd input: null and empty texts have no tokens and get rates by their posterior (that of the classifiers'
-constants); without labels all domains are alike; repeated rows count and are mixed each; an empty table, or one without
-tokens, has rate 1 everywhere; other columns are carried, whatever their names.
+constants); without labels all domains are alike; repeated rows count and are mixed each; very long texts are read whole;
+an empty table, or one without tokens, has rate 1 everywhere; other columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ class Descent:
     gaps: list[np.ndarray] = field(default_factory=list)
     dual: np.ndarray | None = None
     residual: float = 0.0
+    shares: dict[str, float] = field(default_factory=dict)
 
     def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rates after the last step, and the extrapolated point where the next gradient is taken."""
@@ -63,7 +65,7 @@ class Descent:
 
 def domain_models(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> list[Model]:
     """One model for each domain, learned on a bounded sample of labelled documents."""
-    marks = labels.filter("quality is not null or toxic is not null").groupBy("doc_id").agg(F.when(F.max("toxic") == 1, 2).when(F.max("quality") == 1, 0).otherwise(1).alias("domain"))
+    marks = labels.filter("quality is not null or toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.when(F.max("toxic") == 1, 2).when(F.max("quality") == 1, 0).otherwise(1).alias("domain"))
     rows = labelled_sample(docs, marks, sample)
     of = np.array([r.domain for r, _ in rows])
     return [fit([g for _, g in rows], (of == k).astype(float)) for k in range(len(DOMAINS))]
@@ -75,29 +77,31 @@ def _posteriors(columns: list[pa.Array]) -> np.ndarray:
 
 
 def solve(table: DataFrame, targets: dict[str, float], steps: int = 40, tolerance: float = 1e-3, ridge: float = 1e-3) -> Descent:
-    """Fit rates on ``table``: n_words and a score for each domain, for every document."""
+    """Fit rates on ``table``: n_tokens and a score for each domain, for every document."""
     wanted = np.array([targets[d] for d in DOMAINS]) / sum(targets.values())
     descent = Descent(ridge)
-    total = table.agg(F.sum("n_words")).first()[0] or 0
-    shares = None
-    schema = ", ".join(f"{at}{k} double" for at in "ra" for k in range(len(DOMAINS)))
+    total = table.agg(F.sum("n_tokens")).first()[0] or 0
+    metric = None
+    k = len(DOMAINS)
+    schema = ", ".join([*(f"{at}{i} double" for at in "ra" for i in range(k)), *(f"m{i} double" for i in range(k * k))])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = np.zeros(2 * len(DOMAINS))
+        whole = np.zeros(2 * k + k * k)
         for batch in batches:
-            p, n = _posteriors([batch.column(d) for d in DOMAINS]), np.asarray(batch.column("n_words"), float)
+            p, n = _posteriors([batch.column(d) for d in DOMAINS]), np.asarray(batch.column("n_tokens"), float)
             r, ahead = descent.rates(p)
-            whole += np.concatenate([(n * r) @ p, (n * ahead) @ p])
+            whole += np.concatenate([(n * r) @ p, (n * ahead) @ p, ((p * n[:, None]).T @ p).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in whole], names=[c.split()[0] for c in schema.split(", ")])
 
     ship(table.sparkSession)
     for step in range(steps + 1 if total else 0):
-        found = np.array(table.select("n_words", *DOMAINS).mapInArrow(sums, schema).groupBy().sum().first(), float) / total
-        shares = np.maximum(found[: len(DOMAINS)], 1e-9) if shares is None else shares  # the first rates are all 1
-        descent.residual = float(np.abs(found[: len(DOMAINS)] - wanted).max())
+        found = np.array(table.select("n_tokens", *DOMAINS).mapInArrow(sums, schema).groupBy().sum().first(), float) / total
+        metric = np.linalg.inv(found[2 * k :].reshape(k, k) + 1e-9 * np.eye(k)) if metric is None else metric
+        descent.shares = dict(zip(DOMAINS, found[:k].tolist()))
+        descent.residual = float(np.abs(found[:k] - wanted).max())
         if descent.residual <= tolerance or step == steps:
             break
-        descent.gaps.append(np.round((found[len(DOMAINS) :] - wanted) / shares, 12))
+        descent.gaps.append(np.round(metric @ (found[k : 2 * k] - wanted), 12))
     if descent.residual > tolerance:
         descent = _newton(table, wanted, total, tolerance, descent)
     if descent.residual > tolerance:
@@ -106,7 +110,7 @@ def solve(table: DataFrame, targets: dict[str, float], steps: int = 40, toleranc
 
 
 def _newton(table: DataFrame, wanted: np.ndarray, total: int, tolerance: float, best: Descent, largest: float = 1e6) -> Descent:
-    """``best``, or rates of least squared distance from 1 that are nearer to ``wanted``; ends where ``dual`` diverges."""
+    """``best``, or rates of least squared distance from 1 that are nearer to ``wanted``; ends where ``dual`` diverges or no step helps."""
     k = len(DOMAINS)
     schema = ", ".join(f"s{i} double" for i in range(k + k * k + 1))
 
@@ -116,33 +120,34 @@ def _newton(table: DataFrame, wanted: np.ndarray, total: int, tolerance: float,
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = np.zeros(k + k * k + 1)
             for batch in batches:
-                p, n = _posteriors([batch.column(d) for d in DOMAINS]), np.asarray(batch.column("n_words"), float)
+                p, n = _posteriors([batch.column(d) for d in DOMAINS]), np.asarray(batch.column("n_tokens"), float)
                 r = np.maximum(1 + p @ dual, 0.0)
                 whole += np.concatenate([(n * r) @ p, ((p * (n * (r > 0))[:, None]).T @ p).ravel(), [(n * r * r).sum() / 2]])
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in whole], names=[c.split()[0] for c in schema.split(", ")])
 
-        found = np.array(table.select("n_words", *DOMAINS).mapInArrow(sums, schema).groupBy().sum().first(), float) / total
+        found = np.array(table.select("n_tokens", *DOMAINS).mapInArrow(sums, schema).groupBy().sum().first(), float) / total
         return found[:k] - wanted, found[k:-1].reshape(k, k), found[-1] - dual @ wanted
 
-    dual, damping = np.zeros(k), 1e-3
+    dual, damping, idle = np.zeros(k), 1e-3, 0
     gap, curve, value = at(dual)
-    while best.residual > tolerance:
+    while best.residual > tolerance and idle < 8:  # so many steps without a hundredth of gain: no rates are nearer
         step = np.linalg.solve(curve + damping * np.eye(k), -gap)
         if np.abs(dual + step).max() > largest or damping > largest or np.abs(step).max() <= 1e-12 * (1 + np.abs(dual).max()):
             break
         new = at(dual + step)
         if new[2] >= value:
-            damping *= 10
+            damping, idle = damping * 10, idle + 1
             continue
         dual, damping, (gap, curve, value) = dual + step, max(damping / 10, 1e-12), new
         residual = float(np.abs(gap).max())
+        idle = 0 if residual < 0.99 * best.residual else idle + 1
         if residual < best.residual:
-            best = Descent(best.ridge, dual=dual, residual=residual)
+            best = Descent(best.ridge, dual=dual, residual=residual, shares=dict(zip(DOMAINS, (gap + wanted).tolist())))
     return best
 
 
-def posteriors(docs: DataFrame, models: list[Model], more: tuple[str, ...]) -> DataFrame:
-    return scores(docs, models, list(DOMAINS), more)
+def posteriors(docs: DataFrame, models: list[Model], tokenizer: str, more: tuple[str, ...]) -> DataFrame:
+    return scores(docs, models, list(DOMAINS), more, tokenizer)
 
 
 def rated(batches: Iterator[pa.RecordBatch], descent: Descent) -> Iterator[pa.RecordBatch]:
@@ -160,25 +165,25 @@ def copies(rate, doc_id):
     return F.floor(rate + chance).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 6000) -> DataFrame:
-    """doc_id, n_words, posterior of each domain, rate, copies of every row."""
-    table = saved(posteriors(docs, domain_models(docs, labels, sample), ("doc_id",)), "posteriors")
+def mix(docs: DataFrame, labels: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, sample: int = 6000) -> DataFrame:
+    """doc_id, n_tokens, posterior of each domain, rate, copies of every row."""
+    table = saved(posteriors(docs, domain_models(docs, labels, sample), tokenizer, ("doc_id",)), "posteriors")
     descent = solve(table, targets or TARGETS)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema), "rate double"])
     out = table.mapInArrow(lambda batches: rated(batches, descent), schema)
     return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 6000) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, sample: int = 6000) -> DataFrame:
     """``docs`` with each row as often as its rate says; all columns stay."""
     models = domain_models(docs, labels, sample)
-    descent = solve(saved(posteriors(docs, models, ()), "posteriors"), targets or TARGETS)
+    descent = solve(saved(posteriors(docs, models, tokenizer, ()), "posteriors"), targets or TARGETS)
     sent = docs.sparkSession.sparkContext.broadcast(models)  # a fixed size
     rows, more = numbered(docs)
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "rate double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rated(scored(batches, sent.value, list(DOMAINS), more, "n_words"), descent):
+        for batch in rated(scored(batches, sent.value, list(DOMAINS), more), descent):
             yield batch.select([*more, "rate"])
 
     n = copies(F.col("rate"), F.col(more[docs.columns.index("doc_id")]))

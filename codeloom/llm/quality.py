@@ -1,9 +1,10 @@
 """Quality classifier: n-gram indicators scaled by log-count ratios, and a linear hinge-loss model on them.
 
-Fitting.  At most ``sample`` labelled rows of the folds that may be learned from are taken, those with the smallest
-hash of their id (a bounded sample, this parameter is its bound); their texts' n-gram buckets are made on the executors.
+Fitting.  At most ``sample`` labelled documents of the folds that may be learned from are taken, those with the smallest
+hash of their id, and of these as many as have ``sample_bytes`` of text together (a bounded sample, these parameters are
+its bounds; rows that repeat an id count once); their texts' n-gram buckets are made on the executors.
 Log-count ratios r = log(p / q) come from smoothed indicator counts of the two classes; a document is the unit vector
-of r over its n-grams, plus a constant.  The squared-hinge dual is solved by coordinate descent.  A fifth of the sample
+of r over its n-grams, plus a constant.  The dual of the hinge loss is solved by coordinate descent.  A fifth of the sample
 is left out of that and fits the logistic curve that turns margins into scores.
 
 Scoring reads every row and whole text, on the executors, with the weights sent along (2**18 numbers, fixed size).
@@ -11,7 +12,8 @@ Scoring reads every row and whole text, on the executors, with the weights sent
 Results for odd input: null, empty and very short texts have no n-grams and get the score of the constant; rows without
 a label, with a null id or a null quality are never learned from; a document with several labels counts with their mean
 (1 from one half on); with fewer than two labelled classes every score is the share of label 1 (0.5 without labels);
-repeated rows each get a row; an empty table gives no rows; other columns are never read.
+repeated rows each get a row; very long texts are scored whole, in memory that grows with the longest of them, and leave
+the sample where they exceed its bytes; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -27,10 +29,9 @@ from pyspark.sql import functions as F
 from codeloom.llm._arrow import slices
 from codeloom.llm._common import numbered, ship
 from codeloom.llm.ngrams import BITS, Indicators, hashed
+from codeloom.llm.vocabulary import vocabulary
 
 SLICE = 1 << 21
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def fold(doc_id: Column) -> Column:
@@ -59,10 +60,23 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * np.asarray(margin, float) + self.shift, -50, 50)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> list:
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int = 64 << 20) -> list:
     """Rows (label columns, grams) of the sample; ``labels``: doc_id and one row for each labelled document."""
+    ship(docs.sparkSession)
     ids = labels.filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # ``sample`` rows at most
+    found = {r.doc_id: r for r in ids.collect()}  # in the order of their hashes
+
+    def picked(names: list[int]) -> DataFrame:
+        wanted = docs.sparkSession.createDataFrame([(i,) for i in names], "doc_id long")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        return rows.join(F.broadcast(wanted), "doc_id")  # ``sample`` rows at most
+
+    sizes = dict(picked(list(found)).groupBy("doc_id").agg(F.max(F.octet_length("text"))).collect()) if found else {}
+    names, held = [], 0
+    for i in found:
+        if i in sizes and held + sizes[i] <= sample_bytes:
+            names.append(i)
+            held += sizes[i]
     schema = "doc_id long, grams binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,13 +86,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> list:
                 grams = [indicators.of(hashed(data[a:b])).tobytes() for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(grams, pa.binary())], names=["doc_id", "grams"])
 
-    found = {r.doc_id: r for r in ids.collect()}
-    rows = [(found[r.doc_id], np.frombuffer(r.grams, np.int32)) for r in picked.mapInArrow(run, schema).collect()]
+    if not names:
+        return []
+    once = picked(names).groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = [(found[r.doc_id], np.frombuffer(r.grams, np.int32)) for r in once.mapInArrow(run, schema).collect()]
     return sorted(rows, key=lambda r: r[0].doc_id)
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float, epochs: int, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the squared hinge loss on unit vectors of ``ratio``; returns weights and bias."""
+def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float, epochs: int, seed: int = 7, least: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent for the hinge loss on unit vectors of ``ratio`` and a constant; returns weights and bias.
+
+    Minimises |w|**2 / 2 + sum_i c_i max(0, 1 - y_i w.x_i) with c_i so that both classes weigh alike, until a whole round
+    moves no coordinate by more than ``least`` of its bound.
+    """
     w, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
     values = []
     for g in rows:
@@ -86,24 +106,24 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float,
         n = float(np.sqrt(v @ v))
         values.append(v / n if n else v)
     share = max(1.0, len(y)) / 2
-    weight_of = {s: c * share / max(1, int((y == s).sum())) for s in (-1.0, 1.0)}  # classes count alike
+    most_of = {s: c * share / max(1, int((y == s).sum())) for s in (-1.0, 1.0)}
     order, rng = np.arange(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         rng.shuffle(order)
         moved = 0.0
         for i in order:
             g, v, s = rows[i], values[i], y[i]
-            ridge = 0.5 / weight_of[s]
-            gradient = s * (float(w[g] @ v) + bias) - 1 + ridge * alpha[i]
-            if alpha[i] == 0 and gradient >= 0:
+            most = most_of[s]
+            gradient = s * (float(w[g] @ v) + bias) - 1
+            if (alpha[i] == 0 and gradient >= 0) or (alpha[i] == most and gradient <= 0):
                 continue
-            new = max(0.0, alpha[i] - gradient / (float(v @ v) + 1 + ridge))
+            new = min(max(0.0, alpha[i] - gradient / (float(v @ v) + 1)), most)
             step = (new - alpha[i]) * s
             alpha[i] = new
             w[g] += step * v
             bias += step
-            moved = max(moved, abs(step))
-        if moved < 1e-3:
+            moved = max(moved, abs(step) / most)
+        if moved <= least:
             break
     return w, bias
 
@@ -150,13 +170,13 @@ def fit(rows: list[np.ndarray], y01: np.ndarray, c: float = 1.0, epochs: int = 3
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model:
     """Learn ``labels.quality`` from the folds that are not held out."""
-    marks = labels.filter("quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    marks = labels.filter("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     rows = labelled_sample(docs, marks.filter(fold(F.col("doc_id")) != 1), sample)
     return fit([g for _, g in rows], np.array([r.y for r, _ in rows]))
 
 
-def scored(batches: Iterator[pa.RecordBatch], models: list[Model], names: list[str], more: tuple[str, ...], words_as: str) -> Iterator[pa.RecordBatch]:
-    """Batches with the columns ``more``, the number of words of column ``__text``, and each model's score of it."""
+def scored(batches: Iterator[pa.RecordBatch], models: list[Model], names: list[str], more: tuple[str, ...], tokenizer: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches with the columns ``more``, with a tokenizer n_tokens of the column ``__text``, and each model's score of it."""
     indicators = Indicators()
     for batch in batches:
         for part, data, at in slices(batch, "__text", SLICE):
@@ -166,29 +186,18 @@ def scored(batches: Iterator[pa.RecordBatch], models: list[Model], names: list[s
                 for k, m in enumerate(models):
                     margins[k, i] = m.margin(grams)
             columns = [part.column(c) for c in more]
-            columns += [pa.array(count_words(data, at), pa.int64()), *(pa.array(m.score(margins[k]), pa.float64()) for k, m in enumerate(models))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*more, words_as, *names])
-
-
-def count_words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Runs of bytes outside ``[\\x20\\x09-\\x0D]`` in each text."""
-    if not len(data):
-        return np.zeros(len(at) - 1, np.int64)
-    gap = SPACE[data]
-    begins = ~gap
-    begins[1:] &= gap[:-1]
-    full = at[:-1][at[:-1] < at[1:]]
-    begins[full] = ~gap[full]
-    return np.diff(np.searchsorted(np.flatnonzero(begins), at))
+            tokens = [pa.array([len(x) for x in vocabulary(tokenizer).encode([t or "" for t in part.column("__text").to_pylist()])], pa.int64())] if tokenizer else []
+            columns += [*tokens, *(pa.array(m.score(margins[k]), pa.float64()) for k, m in enumerate(models))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*more, *(["n_tokens"] if tokenizer else []), *names])
 
 
-def scores(docs: DataFrame, models: list[Model], names: list[str], more: tuple[str, ...] = (), words_as: str = "n_words") -> DataFrame:
-    """The columns ``more`` of every row of ``docs``, its number of words, and each model's score under its name."""
+def scores(docs: DataFrame, models: list[Model], names: list[str], more: tuple[str, ...] = (), tokenizer: str | None = None) -> DataFrame:
+    """The columns ``more`` of every row of ``docs``, with a tokenizer file its n_tokens, and each model's score under its name."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(models)  # a fixed size: 2**18 buckets for each model
     kept = docs.select(*more, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), f"`{words_as}` long", *(f"`{n}` double" for n in names)])
-    return kept.mapInArrow(lambda batches: scored(batches, sent.value, names, more, words_as), schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), *(["n_tokens long"] if tokenizer else []), *(f"`{n}` double" for n in names)])
+    return kept.mapInArrow(lambda batches: scored(batches, sent.value, names, more, tokenizer), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:
