@@ -34,14 +34,19 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def _both(pattern: str) -> tuple[Callable, Callable]:
-    """Splitters for any text, and for ASCII texts (the same pieces, found faster)."""
-    import regex
+class _Splitter:
+    """Finds all pieces of a text; in ASCII texts with the standard library, which is faster."""
 
-    narrow = re.sub(r"(?<!\[)(?<!\})(\\p\{\w+\})(?![\\\]])", r"[\1]", pattern)
-    for name, plain in ASCII.items():
-        narrow = narrow.replace(name, plain)
-    return regex.compile(pattern).findall, re.compile(narrow).findall
+    def __init__(self, pattern: str) -> None:
+        import regex
+
+        narrow = re.sub(r"(?<!\[)(?<!\})(\\p\{\w+\})(?![\\\]])", r"[\1]", pattern)
+        for name in ASCII:
+            narrow = narrow.replace(name, ASCII[name])
+        self.ascii, self.full = re.compile(narrow).findall, regex.compile(pattern).findall
+
+    def __call__(self, text: str) -> list[str]:
+        return self.ascii(text) if text.isascii() else self.full(text)
 
 
 class _Known(dict):
@@ -79,7 +84,7 @@ class Vocabulary:
         self.special = {s: self.library.token_to_id(s) for s in special}
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.words = {i: bytes(byte_of[c] for c in word) for word, i in spec["model"]["vocab"].items() if all(c in byte_of for c in word)}
-        self.split, self.units = _both(SPLIT), _both(UNITS)
+        self.split, self.units = _Splitter(SPLIT), _Splitter(UNITS)
         self.ids = _Known(self._ids, most)
         self.steps = _Known(self._steps, most)
         self.single: dict[int, bool] = {}
@@ -99,15 +104,24 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids that the library gives for each text; unknown short pieces of all of them are encoded at once."""
-        whole: list[list[list[str]]] = []
+        known, split, looked = self.ids, self.split, []
+        unknown: set[str] = set()
         for text in texts:
-            whole.append([[part] if part in self.special else self.split[part.isascii()](part) for part in self._parts(text)])
-        known = self.ids
-        unknown = [p for p in {p for parts in whole for pieces in parts for p in pieces if p not in known} if len(p) <= SHORT and p not in self.special]
-        fresh = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(unknown, self.library.encode_batch_fast(unknown, add_special_tokens=False))}
-        for p, out in fresh.items():
-            known.keep(p, out)
-        return [np.frombuffer(b"".join([known[p] for pieces in parts for p in pieces]), "<u4") for parts in whole]
+            pieces: list[str] = []
+            for part in self._parts(text):
+                pieces += [part] if part in self.special else split(part)
+            found = list(map(known.get, pieces))
+            if None in found:
+                unknown.update(p for p, x in zip(pieces, found) if x is None)
+            looked.append((pieces, found))
+        short = [p for p in unknown if len(p) <= SHORT]
+        fresh = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(short, self.library.encode_batch_fast(short, add_special_tokens=False))}
+        for p in unknown:
+            if p in fresh:
+                known.keep(p, fresh[p])
+            else:
+                fresh[p] = self._ids(p)
+        return [np.frombuffer(b"".join(found if None not in found else [fresh[p] if x is None else x for p, x in zip(pieces, found)]), "<u4") for pieces, found in looked]
 
     # Counts at every prefix.
 
@@ -166,7 +180,7 @@ class Vocabulary:
         """How much the count of a text grows with each character of a unit."""
         core = unit.lstrip()  # where a unit has both, its white space stands first
         gap = unit[: len(unit) - len(core)]
-        while gap and self.split[0](gap) != [gap]:  # str.lstrip also takes control characters that are no white space here
+        while gap and self.split(gap) != [gap]:  # str.lstrip also takes control characters that are no white space here
             gap = gap[:-1]
         core = unit[len(gap) :]
         if not core or gap in ("", " "):
@@ -191,12 +205,12 @@ class Vocabulary:
         begun, ahead = 0, ""  # of the part before a special string: its tokens and itself
         for part in self._parts(text):
             if part not in self.special:
-                out.append(b"".join(map(self.steps.__getitem__, self.units[part.isascii()](part))))
+                out.append(b"".join(map(self.steps.__getitem__, self.units(part))))
                 ahead = part
                 begun = int(np.frombuffer(out[-1], "<i2").sum(dtype=np.int64))
                 continue
             # Inside a special string, a cut leaves ordinary text that joins with what stands before it.
-            counts = [begun, *(sum(self._total(p) for p in self.split[0](ahead + part[:c])) for c in range(1, len(part))), begun + 1]
+            counts = [begun, *(sum(self._total(p) for p in self.split(ahead + part[:c])) for c in range(1, len(part))), begun + 1]
             out.append(np.diff(counts).astype("<i2").tobytes())
         return np.frombuffer(b"".join(out), "<i2")
 
