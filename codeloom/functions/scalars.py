@@ -144,10 +144,30 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
+#: String literals by their quote (possessive, so that long ones need no stack), and comments.
+STRINGS = {"'": r"'[^'\\]*+(?:\\.[^'\\]*+)*+'", '"': r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "`": r"(?s:`[^`\\]*+(?:\\.[^`\\]*+)*+`)"}
+LINE_COMMENT, BLOCK_COMMENT = r"//[^\n]*", r"(?s:/\*.*?\*/)"
+
+
 def strip_literals(text: Column) -> Column:
-    """Code without comments and string bodies; quotes stay."""
-    bare = F.regexp_replace(text, r"(?s)/\*.*?\*/", " ")
-    return F.regexp_replace(F.regexp_replace(bare, r"(?m)//[^\n]*", ""), r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)", "\"\"")
+    """Code with empty strings and without line comments; strings go first, so that // in one is no comment."""
+    for quote, pattern in STRINGS.items():
+        text = F.regexp_replace(text, pattern, quote * 2)
+    return F.regexp_replace(text, LINE_COMMENT, "")
+
+
+def blank_literals(text: Column) -> Column:
+    """Code of the same length and lines, with spaces for what strings hold and for comments."""
+    kinds = [*STRINGS.values(), LINE_COMMENT, BLOCK_COMMENT, r"[^'\"`/]++", "(?s:.)"]
+    pieces = F.regexp_extract_all(text, F.lit("|".join(kinds)), F.lit(0))
+
+    def blank(x: Column) -> Column:
+        string = (F.length(x) > 1) & F.substring(x, 1, 1).isin(*STRINGS)
+        inside = F.regexp_replace(F.substr(x, F.lit(2), F.length(x) - 2), r"[^\n]", " ")
+        comment = F.substring(x, 1, 2).isin("//", "/*")
+        return F.when(string, F.concat(F.substring(x, 1, 1), inside, F.substring(x, 1, 1))).when(comment, F.regexp_replace(x, r"[^\n]", " ")).otherwise(x)
+
+    return F.array_join(F.transform(pieces, blank), "")
 
 
 def fuzzy_score(text: Column, wanted: str) -> Column:

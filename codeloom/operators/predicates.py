@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from codeloom.functions import scalars as S
 
@@ -63,11 +64,20 @@ def lines_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(id_col, F.posexplode(F.split(F.col(text), "\n")).alias("number", "content")).withColumn("number", F.col("number") + 1)
 
 
-def suppressed(findings: DataFrame, directives: DataFrame, keys: list[str], reach: int = 3) -> DataFrame:
-    """Findings with a flag: a file directive within the first 50 lines, or one on the ``reach`` lines before."""
+def suppressed(findings: DataFrame, directives: DataFrame, keys: list[str], skip: int = 3) -> DataFrame:
+    """Findings with a flag: a file directive within the first 50 lines, or a next-line directive that means their line.
+
+    A next-line directive means the line behind it; where that is a directive itself, up to ``skip`` such lines are passed.
+    """
     files = directives.filter("scope = 'file' and number <= 50").select(*keys, F.lit(True).alias("by_file")).distinct()
-    near = directives.filter("scope = 'next'").select(*keys, F.explode(F.sequence(F.col("number") + 1, F.col("number") + reach)).alias("number"), F.lit(True).alias("by_line")).distinct()
-    out = findings.join(files, keys, "left").join(near, [*keys, "number"], "left")
+    order = W.Window.partitionBy(*keys).orderBy("number")
+    lines = directives.groupBy(*keys, "number").agg(F.bool_or(F.col("scope") == "next").alias("next"))
+    passed, run = F.lit(0), F.lit(True)
+    for k in range(1, skip + 1):
+        run = run & F.coalesce(F.lead("number", k).over(order) == F.col("number") + k, F.lit(False))
+        passed = passed + run.cast("int")
+    meant = lines.withColumn("passed", passed).filter("next").select(*keys, (F.col("number") + 1 + F.col("passed")).alias("number"), F.lit(True).alias("by_line")).distinct()
+    out = findings.join(files, keys, "left").join(meant, [*keys, "number"], "left")
     return out.withColumn("suppressed", F.coalesce("by_file", F.lit(False)) | F.coalesce("by_line", F.lit(False))).drop("by_file", "by_line")
 
 

@@ -185,6 +185,24 @@ query("large_function", f"""{BOTH} SELECT 'graph:large-function' AS rule_id, occ
 FROM occ WHERE kind <> 'module-init' AND NOT in_test AND end_line - line + 1 > 300""")(lambda s, d: R.large_function(occurrences(s, d)))
 query("wide_function", f"""{BOTH} SELECT 'graph:wide-function' AS rule_id, occ_id, CASE WHEN size % 10 > 7 THEN 'high' ELSE 'medium' END AS severity, CAST(size % 10 AS VARCHAR) || ' parameters' AS message FROM occ WHERE NOT in_test AND size % 10 > 5""")(
     lambda s, d: R.wide_function(occurrences(s, d).withColumn("params", F.col("size") % 10)))
+query("always_throws_signals", f"""{BOTH}, o AS (SELECT * REPLACE (CASE WHEN starts_with(kind, 'PROMO') THEN 'module-init' ELSE kind END AS kind) FROM occ),
+c AS (SELECT e.src AS owner, o.line + e.dst % 300 AS at, e.dst % 3 <> 0 AS throws FROM call_edge e JOIN o ON e.src = o.occ_id),
+made AS (SELECT DISTINCT o.body_hash FROM call_edge e JOIN o ON e.dst = o.occ_id WHERE (e.src + e.dst) % 13 = 0),
+own AS (SELECT c.throws, o.* FROM c JOIN o ON c.owner = o.occ_id WHERE o.kind <> 'module-init' AND NOT o.in_test AND NOT EXISTS (SELECT 1 FROM made m WHERE m.body_hash = o.body_hash)
+  AND NOT EXISTS (SELECT 1 FROM o i WHERE i.file_path = o.file_path AND i.line > o.line AND i.end_line <= o.end_line AND c.at BETWEEN i.line AND i.end_line))
+SELECT 'graph:always-throws-branch' AS rule_id, 'low' AS severity, 'quality' AS category, occ_id, file_path, line, name || ' appears to always throw.' AS message, count(*) AS edge_count
+FROM own GROUP BY occ_id, file_path, line, name HAVING bool_and(throws)""")(lambda s, d: _always_throws(s, d))
+
+
+def _always_throws(s, d):
+    occ, edges = occurrences(s, d), call_edges(s, d)
+    occ = occ.withColumn("kind", F.when(F.col("kind").startswith("PROMO"), "module-init").otherwise(F.col("kind")))
+    calls = edges.join(occ.select(F.col("occ_id").alias("src"), "line"), "src")
+    calls = calls.select(F.col("src").alias("owner"), F.when(F.col("dst") % 3 != 0, "throw new Error(x)").otherwise("call()").alias("text"), (F.col("line") + F.col("dst") % 300).alias("line"))
+    made = edges.filter("(src + dst) % 13 = 0").join(occ, F.col("dst") == F.col("occ_id")).select("body_hash")
+    return R.always_throws_signals(occ, calls, made)
+
+
 query("always_throws", f"""{BOTH} SELECT src AS owner, count(*) AS edges FROM call_edge GROUP BY src HAVING bool_and(dst % 2 = 0)""")(
     lambda s, d: R.always_throws(call_edges(s, d).select(F.col("src").alias("owner"), F.when(F.col("dst") % 2 == 0, "throw e").otherwise("call()").alias("text"))))
 query("who_calls", f"""{BOTH} SELECT b.name AS callee, a.name AS caller, a.file_path FROM call_edge e JOIN occ a ON e.src = a.occ_id JOIN occ b ON e.dst = b.occ_id WHERE b.package = 'Brand#11'""")(

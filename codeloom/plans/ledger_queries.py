@@ -171,12 +171,29 @@ def _directives(s, d):
     return rows.withColumn("scope", F.when(F.col("number") <= 2, "file").otherwise("next"))
 
 
-query("suppressions", """WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS content, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS number FROM documents), v AS (SELECT * FROM l WHERE contains(content, 'License'))
-SELECT l.id, l.number, EXISTS (SELECT 1 FROM v WHERE v.id = l.id AND v.number <= 2) OR EXISTS (SELECT 1 FROM v WHERE v.id = l.id AND v.number > 2 AND l.number BETWEEN v.number + 1 AND v.number + 3) AS suppressed FROM l WHERE l.number % 2 = 0""")(
-    lambda s, d: P.suppressed(_lines(s, d).filter("number % 2 = 0").select("id", F.col("number")), _directives(s, d), ["id"]).select("id", F.col("number").cast("long").alias("number"), "suppressed"))
-query("suppressions_all_lines", """WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS content, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS number FROM documents), v AS (SELECT * FROM l WHERE contains(content, 'License'))
-SELECT l.id, l.number, EXISTS (SELECT 1 FROM v WHERE v.id = l.id AND v.number <= 2) OR EXISTS (SELECT 1 FROM v WHERE v.id = l.id AND v.number > 2 AND l.number BETWEEN v.number + 1 AND v.number + 3) AS suppressed FROM l""")(
-    lambda s, d: P.suppressed(_lines(s, d).select("id", "number"), _directives(s, d), ["id"]).select("id", F.col("number").cast("long").alias("number"), "suppressed"))
+_LINES = """l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS content, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS number FROM documents)"""
+_SUPPRESSED = f"""WITH {_LINES},
+v AS (SELECT id, number FROM l WHERE contains(content, 'License')),
+passed AS (SELECT id, number, EXISTS (SELECT 1 FROM v x WHERE x.id = v.id AND x.number = v.number + 1) AS a,
+  EXISTS (SELECT 1 FROM v x WHERE x.id = v.id AND x.number = v.number + 2) AS b, EXISTS (SELECT 1 FROM v x WHERE x.id = v.id AND x.number = v.number + 3) AS c FROM v),
+meant AS (SELECT DISTINCT id, number + 1 + CASE WHEN a AND b AND c THEN 3 WHEN a AND b THEN 2 WHEN a THEN 1 ELSE 0 END AS number FROM passed WHERE number > 2)
+SELECT l.id, l.number, EXISTS (SELECT 1 FROM v WHERE v.id = l.id AND v.number <= 2) OR EXISTS (SELECT 1 FROM meant m WHERE m.id = l.id AND m.number = l.number) AS suppressed FROM l"""
+
+
+def _suppressions(s, d):
+    return P.suppressed(_lines(s, d).select("id", "number"), _directives(s, d), ["id"]).select("id", F.col("number").cast("long").alias("number"), "suppressed")
+
+
+query("suppressions", _SUPPRESSED)(_suppressions)
+query("suppressions_all_lines", _SUPPRESSED)(_suppressions)
+_Q = "''"  # a quote inside an SQL string
+_ONE, _TWO, _BACK = rf"{_Q}(?:[^{_Q}\\]|\\.)*{_Q}", r'"(?:[^"\\]|\\.)*"', r"(?s:`(?:[^`\\]|\\.)*`)"
+query("strip_literals", rf"""SELECT doc_id AS id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_ONE}', '{_Q}{_Q}', 'g'), '{_TWO}', '""', 'g'), '{_BACK}', '``', 'g'), '//[^\n]*', '', 'g') AS code
+FROM documents""")(lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("id"), S.strip_literals(F.col("text")).alias("code")))
+query("blank_literals", rf"""WITH p AS (SELECT doc_id AS id, regexp_extract_all(text, '{_ONE}|{_TWO}|{_BACK}|//[^\n]*|(?s:/\*.*?\*/)|[^{_Q}"`/]+|(?s:.)') AS pieces FROM documents)
+SELECT id, array_to_string(list_transform(pieces, lambda x: CASE WHEN length(x) > 1 AND x[1] IN (chr(39), '"', '`') THEN x[1] || regexp_replace(x[2:-2], '[^\n]', ' ', 'g') || x[1]
+  WHEN x[1:2] IN ('//', '/*') THEN regexp_replace(x, '[^\n]', ' ', 'g') ELSE x END), '') AS code FROM p""")(
+    lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("id"), S.blank_literals(F.col("text")).alias("code")))
 query("directive_inventory", "SELECT doc_id AS id, count(*) AS directives, bool_or(length(x) < 45) AS weak FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE contains(x, 'License') GROUP BY doc_id")(
     lambda s, d: _lines(s, d).filter(F.col("content").contains("License")).groupBy("id").agg(F.count(F.lit(1)).alias("directives"), F.bool_or(F.length("content") < 45).alias("weak")))
 query("cycle_suppression", f"WITH {SIGNAL} SELECT rule_id, count(*) AS n FROM signal WHERE file_path NOT IN (SELECT file_path FROM signal WHERE severity = 'critical' AND line = 1) GROUP BY rule_id")(

@@ -14,10 +14,7 @@ SARIF_TOOLS = ("ast-grep", "cargo-deny", "dependency-check", "gitleaks", "golang
 JSON_TOOLS = {
     "bandit": ("results", "test_id", "filename", "line_number", "issue_text", "issue_severity"),
     "ruff": ("", "code", "filename", "location.row", "message", "severity"),
-    "pip-audit": ("dependencies", "id", "name", "", "description", "severity"),
     "cppcheck": ("", "id", "file", "line", "message", "severity"),
-    "govulncheck": ("", "osv", "module", "", "summary", "severity"),
-    "cargo-clippy": ("", "code", "file", "line", "message", "level"),
 }
 
 
@@ -40,6 +37,8 @@ def tool_signals(docs: DataFrame, tool: str, text: str = "value") -> DataFrame:
     """Signals of a tool's report: SARIF, a JSON object with a list, a JSON array, or JSON lines."""
     if tool in SARIF_TOOLS:
         return sarif_signals(docs, text)
+    if tool in NESTED_TOOLS:
+        return NESTED_TOOLS[tool](docs.select(F.col(text).alias("value")))
     top, rule, path, line, message, severity = JSON_TOOLS[tool]
     body = F.get_json_object(text, f"$.{top}") if top else F.when(F.ltrim(text).startswith("["), F.col(text)).otherwise(F.concat(F.lit("["), F.array_join(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), ","), F.lit("]")))
     rows = docs.select(F.explode(F.from_json(body, "array<variant>")).alias("v"))
@@ -47,6 +46,65 @@ def tool_signals(docs: DataFrame, tool: str, text: str = "value") -> DataFrame:
     return rows.select(F.lit(tool).alias("source"), get(rule).alias("rule_id"), get(path).alias("file_path"), S.coordinate(get(line, "long")).alias("line"), F.lit(None).cast("long").alias("col"), get(message).alias("message"), F.coalesce(S.label_severity(get(severity)), F.lit("medium")).alias("severity"))
 
 
+def _signal(source: str, rule: Column, path: Column, line: Column, col: Column, message: Column, severity: Column) -> list[Column]:
+    place = [path.alias("file_path"), S.coordinate(line.cast("long")).alias("line"), S.coordinate(col.cast("long")).alias("col")]
+    return [F.lit(source).alias("source"), rule.alias("rule_id"), *place, message.alias("message"), severity.alias("severity")]
+
+
+def pip_audit_signals(docs: DataFrame) -> DataFrame:
+    """One signal for each vulnerability of a dependency, and one for each dependency that was skipped."""
+    schema = "dependencies array<struct<name:string,version:string,skip_reason:string,vulns:array<struct<id:string,description:string>>>>"
+    deps = docs.select(F.explode(F.from_json("value", schema)["dependencies"]).alias("d")).filter("d is not null")
+    none, empty = F.lit(None), F.lit("")
+    skipped = deps.filter("d.skip_reason is not null")
+    skipped = skipped.select(*_signal("pip-audit", F.lit("pip-audit-skipped-dependency"), empty, none, none, F.col("d.skip_reason"), F.lit("medium")))
+    found = deps.select("d", F.explode("d.vulns").alias("v")).filter("v is not null")
+    rule, name = F.coalesce("v.id", F.lit("pip-vulnerability")), F.coalesce("d.name", F.lit("dependency"))
+    label = F.concat(name, F.coalesce(F.concat(F.lit("@"), "d.version"), empty))
+    message = F.concat(F.coalesce("v.description", rule), F.lit(" ("), label, F.lit(")"))
+    return skipped.unionByName(found.select(*_signal("pip-audit", rule, empty, none, none, message, F.lit("high"))))
+
+
+def _json_lines(docs: DataFrame, schema: str) -> DataFrame:
+    """Rows of JSON lines; lines that are no objects give none."""
+    lines = docs.select(F.explode(F.split("value", "\n")).alias("line")).filter(F.trim("line").startswith("{"))
+    return lines.select(F.from_json("line", schema).alias("x"))
+
+
+def clippy_signals(docs: DataFrame) -> DataFrame:
+    """One signal for each compiler message with a span, at its primary one."""
+    span = "struct<is_primary:boolean,file_name:string,line_start:long,column_start:long>"
+    schema = f"reason string, message struct<message:string,level:string,code:struct<code:string>,spans:array<{span}>>"
+    rows = _json_lines(docs, schema).filter("x.reason = 'compiler-message'").select("x.message.*")
+    primary = F.coalesce(F.get(F.filter("spans", lambda s: s["is_primary"]), F.lit(0)), F.get("spans", F.lit(0)))
+    rows = rows.withColumn("at", primary).filter("message is not null and at is not null")
+    severity = F.coalesce(S.label_severity(F.col("level")), F.lit("medium"))
+    rule, path = F.coalesce("code.code", F.lit("clippy")), F.coalesce("at.file_name", F.lit(""))
+    return rows.select(*_signal("cargo-clippy", rule, path, F.col("at.line_start"), F.col("at.column_start"), F.col("message"), severity))
+
+
+def govulncheck_signals(docs: DataFrame) -> DataFrame:
+    """One signal for each vulnerability that a report finds, at a trace that calls it if there is one, with the advisory's summary."""
+    frame = "struct<function:string,position:struct<filename:string,line:long,column:long>>"
+    schema = f"osv struct<id:string,summary:string>, finding struct<osv:string,trace:array<{frame}>>"
+    report = docs.select(F.xxhash64("value").alias("report"), "value")
+    lines = report.select("report", F.posexplode(F.split("value", "\n")).alias("at", "line")).filter(F.trim("line").startswith("{"))
+    rows = lines.select("report", "at", F.from_json("line", schema).alias("x"))
+    advisories = rows.filter("x.osv.id is not null").groupBy("report", F.col("x.osv.id").alias("osv")).agg(F.max_by("x.osv.summary", "at").alias("summary"))
+    calls = F.exists("trace", lambda f: f["function"].isNotNull())
+    found = rows.filter("x.finding.osv is not null").select("report", "at", "x.finding.*").withColumn("reachable", F.coalesce(calls, F.lit(False)))
+    best = F.min_by(F.struct("trace", "reachable"), F.struct(~F.col("reachable"), F.col("at"))).alias("f")
+    rows = found.groupBy("report", "osv").agg(best).select("report", "osv", "f.*").join(advisories, ["report", "osv"], "left")
+    rows = rows.withColumn("place", F.get(F.filter("trace", lambda f: f["position"]["filename"].isNotNull()), F.lit(0))["position"])
+    summary = F.coalesce("summary", F.concat(F.lit("Go vulnerability detected ("), "osv", F.lit(")")))
+    message = F.concat(summary, F.when(F.col("reachable"), "").otherwise(" (imported, not called)"))
+    severity = F.when(F.col("reachable"), "high").otherwise("medium")
+    return rows.select(*_signal("govulncheck", F.col("osv"), F.coalesce("place.filename", F.lit("")), F.col("place.line"), F.col("place.column"), message, severity))
+
+
+NESTED_TOOLS = {"pip-audit": pip_audit_signals, "cargo-clippy": clippy_signals, "govulncheck": govulncheck_signals}
+
+
 def sarif_result(rule: Column, severity: Column, message: Column, path: Column, line: Column, col: Column) -> Column:
     """A SARIF result of one signal, as a struct."""
     level = F.when(S.is_error(severity), "error").when(severity == "medium", "warning").otherwise("note")

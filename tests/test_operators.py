@@ -84,6 +84,37 @@ def test_near_duplicates(spark):
         clones.near_pairs(spark.createDataFrame(rows, "id long, hash string, sig array<bigint>"), bands=7)
 
 
+def test_reports_with_nested_findings(spark):
+    def read(tool, *texts):
+        return {tuple(r) for r in ingest.tool_signals(spark.createDataFrame([(t,) for t in texts], "value string"), tool).collect()}
+
+    audit = '{"dependencies":[{"name":"a","version":"1","vulns":[{"id":"P-1","description":"bad"},{"id":"P-2"}]},{"name":"clean","version":"2","vulns":[]},{"name":"b","skip_reason":"not found"}]}'
+    assert read("pip-audit", audit, "no json") == {("pip-audit", "P-1", "", None, None, "bad (a@1)", "high"), ("pip-audit", "P-2", "", None, None, "P-2 (a@1)", "high"), ("pip-audit", "pip-audit-skipped-dependency", "", None, None, "not found", "medium")}
+    clippy = '{"reason":"compiler-message","message":{"message":"m","level":"warning","code":{"code":"clippy::x"},"spans":[{"is_primary":false,"file_name":"o.rs","line_start":1},{"is_primary":true,"file_name":"a.rs","line_start":7,"column_start":3}]}}\n{"reason":"compiler-message","message":{"message":"2 warnings emitted","spans":[],"code":null}}\nplain\n{"reason":"build-finished"}'
+    (row,) = read("cargo-clippy", clippy)
+    assert row[:6] == ("cargo-clippy", "clippy::x", "a.rs", 7, 3, "m")
+    vuln = '{"osv":{"id":"GO-1","summary":"s"}}\n{"finding":{"osv":"GO-1","trace":[{"module":"m"}]}}\n{"finding":{"osv":"GO-1","trace":[{"module":"m"},{"function":"f","position":{"filename":"a.go","line":4,"column":2}}]}}\n{"finding":{"osv":"GO-2","trace":[]}}'
+    assert read("govulncheck", vuln) == {("govulncheck", "GO-1", "a.go", 4, 2, "s", "high"), ("govulncheck", "GO-2", "", None, None, "Go vulnerability detected (GO-2) (imported, not called)", "medium")}
+
+
+def test_strings_go_before_comments(spark):
+    code = 'u = "http://x.y"; f(1) // end\nv = `a\nb` /* c\nd */ + \'it\\\'s\''
+    rows = spark.createDataFrame([(code, '"' + "x" * 200_000 + '"')], "t string, long string")
+    r = rows.select(S.strip_literals(F.col("t")).alias("a"), S.blank_literals(F.col("t")).alias("b"), S.strip_literals(F.col("long")).alias("c"), S.blank_literals(F.col("long")).alias("d")).first()
+    assert r.a == 'u = ""; f(1) \nv = `` /* c\nd */ + \'\''
+    assert r.b == 'u = "          "; f(1)       \nv = ` \n `     \n     + \'     \'' and len(r.b) == len(code)
+    assert r.c == '""' and len(r.d) == 200_002 and r.d.strip('"').isspace()
+
+
+def test_next_line_directives_mean_one_line(spark):
+    findings = spark.createDataFrame([(1, n) for n in range(1, 12)], "id long, number int")
+    directives = spark.createDataFrame([(1, n, "next") for n in (1, 5, 6, 7, 8, 9)], "id long, number int, scope string")
+    got = {r.number for r in predicates.suppressed(findings, directives, ["id"]).filter("suppressed").collect()}
+    assert got == {2, 9, 10}  # 5 passes 6, 7, 8 and no more; 6 to 9 mean 10
+    whole = spark.createDataFrame([(1, 50, "file")], "id long, number int, scope string")
+    assert predicates.suppressed(findings, whole, ["id"]).filter("suppressed").count() == 11
+
+
 def test_tool_reports(spark):
     docs = spark.createDataFrame([('{"code":"E1","filename":"a.py","location":{"row":3},"message":"m","severity":"error"}\n',)], "value string")
     r = ingest.tool_signals(docs, "ruff").first()
