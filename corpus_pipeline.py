@@ -3,10 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as Parquet and
 read again as the next stage's documents.  All but the last return the columns of ``documents``.
 
-``TARGETS`` is the mix that the corpus is meant to have, whatever the stages before leave: no text of low quality (the
-first stage rejects it, mixing thins out what it lets pass) and three tokens in a hundred of toxic text, so that what learns
-from the corpus meets some.  Text that a domain lacks is repeated, text that it has too much of is thinned out, by rates
-without bounds; ``mixing.solve`` reports the shares that are reached, and warns of those that can't be.
+``TARGETS`` is the mix that the corpus is meant to have, whatever the stages before leave: one token in a hundred of low
+quality (of what the first stage lets pass) and three of toxic text, so that what learns from the corpus meets some.  Text
+that a domain lacks is repeated, text that it has too much of is thinned out, by rates without bounds; ``mixing.solve``
+reports the shares that are reached, and warns of those that can't be.
 
 Results for odd input (each stage's operator states its own): null and empty texts are scored like empty ones, and if
 they stay are one document of one end id; rows that repeat an id are rows like all others; of equal texts, and of near
@@ -22,7 +22,7 @@ from codeloom.llm import exact_dedup, minhash_dedup, mixing, packing, quality
 from codeloom.llm._common import cleaned, discard, shared_folder, table
 from codeloom.llm.queries import tokenizer_path
 
-TARGETS = {"high": 0.97, "low": 0.0, "toxic": 0.03}
+TARGETS = {"high": 0.96, "low": 0.01, "toxic": 0.03}
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
