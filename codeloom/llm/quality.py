@@ -178,13 +178,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model:
 def scored(batches: Iterator[pa.RecordBatch], models: list[Model], names: list[str], more: tuple[str, ...], tokenizer: str | None = None) -> Iterator[pa.RecordBatch]:
     """Batches with the columns ``more``, with a tokenizer n_tokens of the column ``__text``, and each model's score of it."""
     indicators = Indicators()
+    rows = np.column_stack([x for m in models for x in (m.products, m.squares)])  # a gram's numbers stand together
+    bias = np.array([m.bias for m in models])
     for batch in batches:
         for part, data, at in slices(batch, "__text", SLICE):
             margins = np.empty((len(models), len(at) - 1))
             for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
                 grams = indicators.of(hashed(data[a:b]))
-                for k, m in enumerate(models):
-                    margins[k, i] = m.margin(grams)
+                sums = (np.ones(len(grams), np.float32) @ rows.take(grams, axis=0)).astype(float)
+                norms = np.sqrt(sums[1::2])
+                margins[:, i] = np.divide(sums[::2], norms, out=np.zeros(len(models)), where=norms > 0) + bias
             columns = [part.column(c) for c in more]
             tokens = [pa.array([len(x) for x in vocabulary(tokenizer).encode([t or "" for t in part.column("__text").to_pylist()])], pa.int64())] if tokenizer else []
             columns += [*tokens, *(pa.array(m.score(margins[k]), pa.float64()) for k, m in enumerate(models))]
