@@ -6,8 +6,8 @@ quality).  Rates r >= 0 then minimise
     1/2 gap' M gap + ridge/2 sum_i n_i / T (r_i - 1)^2   with gap_k = sum_i r_i n_i p_ik / T - t_k
 
 for n_i tokens (of the tokenizer file given), T their sum over all documents, target shares t_k, and M the inverse of the
-matrix sum_i n_i / T p_i p_i' (with it the curvature is at most 1, so steps of length 1 are safe, and where no rate meets
-its bound one step is enough).  The method is projected gradient descent with momentum, in the metric weighted by n_i / T.
+matrix sum_i n_i / T p_i p_i' + ridge I (with it the curvature is at most 1, so steps of length 1 are safe, and where no
+rate meets its bound few are enough; a domain that hardly any text belongs to cannot outweigh the others' targets).  The method is projected gradient descent with momentum, in the metric weighted by n_i / T.
 One step only needs the K sums over all documents, a distributed aggregation; a document's rate follows from its own
 posterior and the K-vectors of the steps so far, which are all that the driver keeps.  Where ``steps`` steps leave a target
 by more than the tolerance, the limit for a ridge of 0 is solved instead: rates max(0, 1 + p_i . dual), with damped Newton
@@ -96,7 +96,7 @@ def solve(table: DataFrame, targets: dict[str, float], steps: int = 40, toleranc
     ship(table.sparkSession)
     for step in range(steps + 1 if total else 0):
         found = np.array(table.select("n_tokens", *DOMAINS).mapInArrow(sums, schema).groupBy().sum().first(), float) / total
-        metric = np.linalg.inv(found[2 * k :].reshape(k, k) + 1e-9 * np.eye(k)) if metric is None else metric
+        metric = np.linalg.inv(found[2 * k :].reshape(k, k) + ridge * np.eye(k)) if metric is None else metric
         descent.shares = dict(zip(DOMAINS, found[:k].tolist()))
         descent.residual = float(np.abs(found[:k] - wanted).max())
         if descent.residual <= tolerance or step == steps:
@@ -141,7 +141,7 @@ def _newton(table: DataFrame, wanted: np.ndarray, total: int, tolerance: float,
         dual, damping, (gap, curve, value) = dual + step, max(damping / 10, 1e-12), new
         residual = float(np.abs(gap).max())
         idle = 0 if residual < 0.99 * best.residual else idle + 1
-        if residual < best.residual:
+        if not idle:  # lesser gains come from ever larger duals, whose rates differ with the last digits of a posterior
             best = Descent(best.ridge, dual=dual, residual=residual, shares=dict(zip(DOMAINS, (gap + wanted).tolist())))
     return best
 
