@@ -189,7 +189,7 @@ def scored(batches: Iterator[pa.RecordBatch], models: list[Model], names: list[s
                 norms = np.sqrt(sums[1::2])
                 margins[:, i] = np.divide(sums[::2], norms, out=np.zeros(len(models)), where=norms > 0) + bias
             columns = [part.column(c) for c in more]
-            tokens = [pa.array([len(x) for x in vocabulary(tokenizer).encode([t or "" for t in part.column("__text").to_pylist()])], pa.int64())] if tokenizer else []
+            tokens = [pa.array(vocabulary(tokenizer).counts([t or "" for t in part.column("__text").to_pylist()]), pa.int64())] if tokenizer else []
             columns += [*tokens, *(pa.array(m.score(margins[k]), pa.float64()) for k, m in enumerate(models))]
             yield pa.RecordBatch.from_arrays(columns, names=[*more, *(["n_tokens"] if tokenizer else []), *names])
 
