@@ -63,7 +63,7 @@ class _Known(dict):
         return out
 
     def keep(self, piece: str, out: bytes | int) -> None:
-        self.held += 250 + len(piece) + (len(out) if isinstance(out, bytes) else 0)
+        self.held += 150 + len(piece) + (40 + len(out) if isinstance(out, bytes) else 0)
         if self.held > self.most:
             self.clear()
             self.held = 0
