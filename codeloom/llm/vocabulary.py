@@ -52,18 +52,18 @@ class _Splitter:
 class _Known(dict):
     """What ``make`` gives for short pieces; forgets all when it holds ``most`` bytes (about)."""
 
-    def __init__(self, make: Callable[[str], bytes | int], most: int) -> None:
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
         super().__init__()
         self.make, self.most, self.held = make, most, 0
 
-    def __missing__(self, piece: str) -> bytes | int:
+    def __missing__(self, piece: str) -> bytes:
         out = self.make(piece)
         if len(piece) <= SHORT:
             self.keep(piece, out)
         return out
 
-    def keep(self, piece: str, out: bytes | int) -> None:
-        self.held += 150 + len(piece) + (40 + len(out) if isinstance(out, bytes) else 0)
+    def keep(self, piece: str, out: bytes) -> None:
+        self.held += 250 + len(piece) + len(out)
         if self.held > self.most:
             self.clear()
             self.held = 0
@@ -86,7 +86,6 @@ class Vocabulary:
         self.words = {i: bytes(byte_of[c] for c in word) for word, i in spec["model"]["vocab"].items() if all(c in byte_of for c in word)}
         self.split, self.units = _Splitter(SPLIT), _Splitter(UNITS)
         self.ids = _Known(self._ids, most)
-        self.sizes = _Known(lambda piece: len(self.library.encode(piece, add_special_tokens=False)), most)
         self.steps = _Known(self._steps, most)
         self.single: dict[int, bool] = {}
         self.fits: dict[tuple[int, int], bool] = {}
@@ -103,9 +102,9 @@ class Vocabulary:
     def _ids(self, piece: str) -> bytes:
         return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _looked_up(self, texts: list[str], known: _Known, of: Callable) -> list[list]:
-        """What ``of`` makes of the encoding of each piece, for each text; unknown short pieces of all of them are encoded at once."""
-        split, looked = self.split, []
+    def _looked_up(self, texts: list[str]) -> list[list[bytes]]:
+        """The ids of each piece, for each text; unknown short pieces of all of them are encoded at once."""
+        known, split, looked = self.ids, self.split, []
         unknown: set[str] = set()
         for text in texts:
             pieces: list[str] = []
@@ -116,22 +115,21 @@ class Vocabulary:
                 unknown.update(p for p, x in zip(pieces, found) if x is None)
             looked.append((pieces, found))
         short = [p for p in unknown if len(p) <= SHORT]
-        fresh = dict(zip(short, map(of, self.library.encode_batch_fast(short, add_special_tokens=False))))
+        fresh = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(short, self.library.encode_batch_fast(short, add_special_tokens=False))}
         for p in unknown:
             if p in fresh:
                 known.keep(p, fresh[p])
             else:
-                fresh[p] = of(self.library.encode(p, add_special_tokens=False))
+                fresh[p] = self._ids(p)
         return [found if None not in found else [fresh[p] if x is None else x for p, x in zip(pieces, found)] for pieces, found in looked]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids that the library gives for each text."""
-        found = self._looked_up(texts, self.ids, lambda e: np.array(e.ids, "<u4").tobytes())
-        return [np.frombuffer(b"".join(x), "<u4") for x in found]
+        return [np.frombuffer(b"".join(x), "<u4") for x in self._looked_up(texts)]
 
     def counts(self, texts: list[str]) -> list[int]:
         """How many ids the library gives for each text."""
-        return list(map(sum, self._looked_up(texts, self.sizes, len)))
+        return [sum(map(len, x)) // 4 for x in self._looked_up(texts)]
 
     # Counts at every prefix.
 

@@ -436,6 +436,29 @@ def test_quality_mixing_and_packing_stages_against_their_models(spark):
     assert set(packed.doc_id) == want
 
 
+def test_ids_and_counts_against_the_library():
+    from tokenizers import Tokenizer
+
+    library, vocab, rng = Tokenizer.from_file(JSON), vocabulary.Vocabulary(JSON), random.Random(5)
+    parts = [*"abzQ  \n\t'srtvemdl09٣ß漢é\u0085\u3000\x1c\x0b.,<|>_-\x00😀", *vocab.special, "'re", "endoftext", " the"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(3000)] + [" " * 3000, "x" * 3000]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in vocab.encode(texts)] == want
+    assert vocab.counts(texts) == [len(w) for w in want]
+    small = vocabulary.Vocabulary(JSON, most=1000)  # forgets all the time
+    assert [small.counts([t])[0] for t in texts[:300]] == [len(w) for w in want[:300]]
+
+
+def test_mixing_a_domain_without_text_leaves_the_other_shares(spark):
+    rng = np.random.default_rng(2)
+    toxic = rng.uniform(0.05, 0.9, 400)
+    table = spark.createDataFrame([(100, float(1 - t), 0.0, float(t)) for t in toxic], "n_tokens long, high double, low double, toxic double")
+    with pytest.warns(UserWarning, match="not met"):
+        found = mixing.solve(table, {"high": 0.6, "low": 0.02, "toxic": 0.38})
+    assert found.shares["high"] == pytest.approx(0.6, abs=2e-3)
+    assert found.shares["toxic"] == pytest.approx(0.38, abs=2e-3)
+
+
 def test_hinge_dual_against_projected_gradient():
     rng = np.random.default_rng(3)
     rows = [np.sort(rng.choice(12, rng.integers(1, 8), replace=False)).astype(np.int32) for _ in range(30)]
