@@ -10,7 +10,7 @@ from codeloom.operators import graph as G
 from codeloom.operators import joins as J
 from codeloom.operators import ledger as L
 from codeloom.operators import rules as R
-from codeloom.plans.graph_queries import BOTH, COUPLING, CYCLE, ENTRY_WALK, entry_walk
+from codeloom.plans.graph_queries import BOTH, COUPLING, CYCLE, WALK, walk_from_entries
 from codeloom.plans.registry import query, table
 from codeloom.sources.adapters import call_edges, occurrences
 
@@ -37,25 +37,11 @@ FROM evidence e JOIN scc a ON e.src = a.node JOIN scc b ON e.dst = b.node WHERE
 
 CONFIDENCE = "CASE WHEN (src + dst) % 11 = 0 THEN 'low' WHEN (src + dst) % 3 = 0 THEN 'medium' ELSE 'high' END"
 
-
-def _weakest(s, d):
-    edges = call_edges(s, d)
-    paths = G.walk(edges, occurrences(s, d).filter("occ_id % 100 = 3").select(F.col("occ_id").alias("node"))).select(F.col("node").alias("id"), "path")
-    return G.weakest_hop(paths, edges.withColumn("confidence", F.expr(CONFIDENCE)))
-
-
-query("weakest_hop", f"""{BOTH}, w AS (SELECT occ_id AS node, 0 AS depth FROM occ WHERE occ_id % 100 = 3 UNION SELECT e.dst, w.depth + 1 FROM w JOIN call_edge e ON e.src = w.node WHERE w.depth < 5),
-f AS (SELECT node, min(depth) AS depth FROM w GROUP BY node),
-q AS (SELECT f.node, f.depth, (SELECT min(p.node) FROM f p JOIN call_edge e ON e.src = p.node WHERE e.dst = f.node AND p.depth = f.depth - 1) AS parent FROM f),
-hop AS (SELECT q.*, (SELECT CASE {CONFIDENCE} WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END FROM (SELECT q.parent AS src, q.node AS dst)) AS level FROM q WHERE parent IS NOT NULL),
-p AS (SELECT node, depth, CAST(NULL AS INTEGER) AS level FROM q WHERE depth = 0 UNION ALL SELECT h.node, h.depth, least(h.level, p.level) FROM hop h JOIN p ON h.parent = p.node AND h.depth = p.depth + 1)
-SELECT node AS id, CASE level WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' END AS weakest FROM p ORDER BY depth, node LIMIT 2000""")(_weakest)
-
-query("entry_weakest_hop", f"""{ENTRY_WALK},
+query("weakest_hop", f"""{WALK},
 hop AS (SELECT q.node, q.parent, q.depth, CASE confidence WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS level FROM q JOIN (SELECT DISTINCT src, dst, {CONFIDENCE} AS confidence FROM call_edge) e ON e.src = q.parent AND e.dst = q.node),
 p AS (SELECT node, depth, CAST(NULL AS INTEGER) AS level FROM q WHERE depth = 0 UNION ALL SELECT h.node, h.depth, least(h.level, p.level) FROM hop h JOIN p ON h.parent = p.node AND h.depth = p.depth + 1)
 SELECT node AS id, CASE level WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' END AS weakest FROM p""")(
-    lambda s, d: G.weakest_hop(entry_walk(s, d).select(F.col("node").alias("id"), "path"), call_edges(s, d).withColumn("confidence", F.expr(CONFIDENCE))))
+    lambda s, d: G.weakest_hop(walk_from_entries(s, d).select(F.col("node").alias("id"), "path"), call_edges(s, d).withColumn("confidence", F.expr(CONFIDENCE))))
 
 
 def _closure(s, d):

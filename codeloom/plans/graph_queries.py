@@ -68,11 +68,12 @@ def _constrained(s, d):
     occ = occurrences(s, d)
     a = occ.select(F.col("occ_id").alias("src"), F.col("package").alias("own"), F.col("file_path").alias("own_file"))
     rows = call_edges(s, d).join(a, "src").join(occ.select(F.col("occ_id").alias("dst"), "package", "in_test"), "dst").withColumn("guessed", (F.col("src") + F.col("dst")) % 2 == 0)
-    near = J.imported_packages(call_edges(s, d).filter("src % 5 = 0"), occ)
+    shown = call_edges(s, d).join(occ.filter("exported").select(F.col("occ_id").alias("dst")), "dst", "left_semi")  # only what is exported can be imported
+    near = J.imported_packages(shown, occ)
     return J.constrain_edges(rows, near).select("src", "dst")
 
 
-query("constrain_edges", f"""{BOTH}, near AS (SELECT DISTINCT a.file_path, b.package FROM call_edge e JOIN occ a ON e.src = a.occ_id JOIN occ b ON e.dst = b.occ_id WHERE e.src % 5 = 0)
+query("constrain_edges", f"""{BOTH}, near AS (SELECT DISTINCT a.file_path, b.package FROM call_edge e JOIN occ a ON e.src = a.occ_id JOIN occ b ON e.dst = b.occ_id WHERE b.exported)
 SELECT e.src, e.dst FROM call_edge e JOIN occ a ON e.src = a.occ_id JOIN occ b ON e.dst = b.occ_id
 WHERE (e.src + e.dst) % 2 <> 0 OR ((a.package = b.package OR EXISTS (SELECT 1 FROM near n WHERE n.file_path = a.file_path AND n.package = b.package)) AND (a.package = b.package OR NOT b.in_test))""")(_constrained)
 
@@ -90,14 +91,6 @@ query("nested_spans", f"""{BOTH} SELECT a.occ_id AS "outer", b.occ_id AS "inner"
 query("spans_at_line", f"""{BOTH} SELECT occ_id FROM occ WHERE 200 BETWEEN line AND end_line""")(
     lambda s, d: P.spans_at(occurrences(s, d), occurrences(s, d).select("file_path", F.lit(200).alias("at")).distinct()).select("occ_id"))
 
-SEEDS = "seeds AS (SELECT occ_id AS node FROM occ WHERE occ_id % 40 = 0)"
-
-
-def _seeds(s, d):
-    return occurrences(s, d).filter("occ_id % 40 = 0").select(F.col("occ_id").alias("node"))
-
-
-query("reachable_from_entry", f"""{BOTH}, {SEEDS}, r AS (SELECT node FROM seeds UNION SELECT e.dst FROM r JOIN call_edge e ON e.src = r.node) SELECT node FROM r""")(lambda s, d: G.reachable(call_edges(s, d), _seeds(s, d)).select("node"))
 ENTRY = """entries AS (SELECT occ_id AS node FROM occ WHERE kind = 'module-init' OR name IN ('main','run','start','register','initialize','init','bootstrap') OR (exported AND occ_id NOT IN (SELECT dst FROM call_edge WHERE src <> dst))),
 reached AS (SELECT node FROM entries UNION SELECT e.dst FROM reached JOIN call_edge e ON e.src = reached.node)"""
 query("entry_points", f"{BOTH}, {ENTRY} SELECT node FROM entries")(lambda s, d: R.entry_points(occurrences(s, d), call_edges(s, d)))
@@ -107,7 +100,7 @@ def _reached(s, d):
     return G.reachable(call_edges(s, d), R.entry_points(occurrences(s, d), call_edges(s, d)))
 
 
-query("reachable_from_entry_points", f"{BOTH}, {ENTRY} SELECT node FROM reached")(lambda s, d: _reached(s, d).select("node"))
+query("reachable_from_entry", f"{BOTH}, {ENTRY} SELECT node FROM reached")(lambda s, d: _reached(s, d).select("node"))
 query("orphan_subtree", f"""{BOTH}, {ENTRY} SELECT 'graph:orphan-subtree' AS rule_id, occ_id, 'medium' AS severity, 'not reachable' AS message FROM occ
 WHERE occ_id NOT IN (SELECT node FROM reached) AND kind <> 'module-init' AND NOT exported AND NOT in_test""")(lambda s, d: R.orphans(occurrences(s, d), _reached(s, d)))
 query("test_only_reachable", f"""{BOTH}, {ENTRY} SELECT 'graph:test-only-reachable' AS rule_id, occ_id, 'low' AS severity, 'only tests reach it' AS message FROM occ
@@ -139,31 +132,19 @@ query("impact_reason", f"""{BOTH}, {BLAST}, {IMPACT} SELECT i.node, CASE WHEN sc
     lambda s, d: _impact(s, d).join(G.blast(call_edges(s, d)), "node", "left").join(occurrences(s, d).select(F.col("occ_id").alias("node"), "in_test"), "node").select("node", F.when(F.col("score") >= 10, "blast").when(~F.col("in_test"), "test-gap").otherwise("caller").alias("reason")))
 query("select_tests", f"""{BOTH}, {IMPACT} SELECT DISTINCT file_path FROM impact JOIN occ ON node = occ_id WHERE in_test""")(
     lambda s, d: occurrences(s, d).filter("in_test").join(_impact(s, d).select(F.col("node").alias("occ_id")), "occ_id", "left_semi").select("file_path").distinct())
-WALK = f"""{BOTH}, w AS (SELECT occ_id AS node, 0 AS depth FROM occ WHERE occ_id % 100 = 3 UNION SELECT e.dst, w.depth + 1 FROM w JOIN call_edge e ON e.src = w.node WHERE w.depth < 5),
-f AS (SELECT node, min(depth) AS depth FROM w GROUP BY node),
-q AS (SELECT f.node, CAST(f.depth AS INT) AS depth, (SELECT min(p.node) FROM f p JOIN call_edge e ON e.src = p.node WHERE e.dst = f.node AND p.depth = f.depth - 1) AS parent FROM f)"""
-
-
-def _walk(s, d):
-    return G.walk(call_edges(s, d), occurrences(s, d).filter("occ_id % 100 = 3").select(F.col("occ_id").alias("node")))
-
-
-query("bounded_walk", f"{WALK} SELECT node, depth, parent FROM q ORDER BY depth, node LIMIT 2000")(lambda s, d: _walk(s, d).drop("path"))
-query("trace_path", f"""{WALK}, p AS (SELECT node, depth, CAST(node AS VARCHAR) AS trace FROM q WHERE depth = 0 UNION ALL SELECT q.node, q.depth, p.trace || '>' || CAST(q.node AS VARCHAR) FROM q JOIN p ON q.parent = p.node AND q.depth = p.depth + 1)
-SELECT node, trace FROM p""")(lambda s, d: _walk(s, d).select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("trace")))
-ENTRY_WALK = f"""{BOTH}, {ENTRY}, w AS (SELECT node, 0 AS depth FROM entries UNION SELECT e.dst, w.depth + 1 FROM w JOIN call_edge e ON e.src = w.node WHERE w.depth < 5),
+WALK = f"""{BOTH}, {ENTRY}, w AS (SELECT node, 0 AS depth FROM entries UNION SELECT e.dst, w.depth + 1 FROM w JOIN call_edge e ON e.src = w.node WHERE w.depth < 5),
 f AS (SELECT node, min(depth) AS depth FROM w GROUP BY node),
 q AS (SELECT f.node, CAST(f.depth AS INT) AS depth, min(p.node) AS parent FROM f LEFT JOIN call_edge e ON e.dst = f.node LEFT JOIN f p ON p.node = e.src AND p.depth = f.depth - 1 GROUP BY f.node, f.depth)"""
 
 
-def entry_walk(s, d):
+def walk_from_entries(s, d):
     """The walk from every entry point, with all nodes that it meets."""
     return G.walk(call_edges(s, d), R.entry_points(occurrences(s, d), call_edges(s, d)), cap=None)
 
 
-query("entry_walk", f"{ENTRY_WALK} SELECT node, depth, parent FROM q")(lambda s, d: entry_walk(s, d).drop("path"))
-query("entry_trace_path", f"""{ENTRY_WALK}, p AS (SELECT node, depth, CAST(node AS VARCHAR) AS trace FROM q WHERE depth = 0 UNION ALL SELECT q.node, q.depth, p.trace || '>' || CAST(q.node AS VARCHAR) FROM q JOIN p ON q.parent = p.node AND q.depth = p.depth + 1)
-SELECT node, trace FROM p""")(lambda s, d: entry_walk(s, d).select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("trace")))
+query("bounded_walk", f"{WALK} SELECT node, depth, parent FROM q")(lambda s, d: walk_from_entries(s, d).drop("path"))
+query("trace_path", f"""{WALK}, p AS (SELECT node, depth, CAST(node AS VARCHAR) AS trace FROM q WHERE depth = 0 UNION ALL SELECT q.node, q.depth, p.trace || '>' || CAST(q.node AS VARCHAR) FROM q JOIN p ON q.parent = p.node AND q.depth = p.depth + 1)
+SELECT node, trace FROM p""")(lambda s, d: walk_from_entries(s, d).select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("trace")))
 CYCLE = """c AS (SELECT src AS a, dst AS b FROM call_edge WHERE src <> dst UNION SELECT c.a, e.dst FROM c JOIN call_edge e ON e.src = c.b WHERE e.src <> e.dst),
 scc AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"""
 query("strong_components", f"""{BOTH}, {CYCLE} SELECT n.node, coalesce(component, n.node) AS component FROM (SELECT src AS node FROM call_edge UNION SELECT dst FROM call_edge) n LEFT JOIN scc ON n.node = scc.node""")(lambda s, d: G.strong_components(call_edges(s, d)))

@@ -28,12 +28,12 @@ def _stamped(s, d):
 
 
 query("fingerprint_ordinals", f"{STAMPED} SELECT fingerprint, ordinal, severity FROM stamped")(lambda s, d: _stamped(s, d).select("fingerprint", "ordinal", "severity"))
-DIFF = f"""{STAMPED}, now AS (SELECT fingerprint FROM stamped WHERE at_ts >= TIMESTAMP '1996-01-01' AND ordinal % 3 <> 0), old AS (SELECT fingerprint FROM stamped WHERE at_ts >= TIMESTAMP '1996-01-01' AND ordinal % 3 <> 1),
+DIFF = f"""{STAMPED}, now AS (SELECT fingerprint FROM stamped WHERE ordinal % 3 <> 0), old AS (SELECT fingerprint FROM stamped WHERE ordinal % 3 <> 1),
 diff AS (SELECT coalesce(now.fingerprint, old.fingerprint) AS fingerprint, CASE WHEN old.fingerprint IS NULL THEN 'added' WHEN now.fingerprint IS NULL THEN 'resolved' ELSE 'unchanged' END AS state FROM now FULL JOIN old ON now.fingerprint = old.fingerprint)"""
 
 
 def _diff(s, d, strict=True):
-    rows = _stamped(s, d).filter("at_ts >= timestamp'1996-01-01'")
+    rows = _stamped(s, d)
     return L.diff_baseline(rows.filter("ordinal % 3 <> 0"), rows.filter("ordinal % 3 <> 1"), strict)
 
 
@@ -185,7 +185,6 @@ def _suppressions(s, d):
 
 
 query("suppressions", _SUPPRESSED)(_suppressions)
-query("suppressions_all_lines", _SUPPRESSED)(_suppressions)
 _Q = "''"  # a quote inside an SQL string
 _ONE, _TWO, _BACK = rf"{_Q}(?:[^{_Q}\\]|\\.)*{_Q}", r'"(?:[^"\\]|\\.)*"', r"(?s:`(?:[^`\\]|\\.)*`)"
 query("strip_literals", rf"""SELECT doc_id AS id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_ONE}', '{_Q}{_Q}', 'g'), '{_TWO}', '""', 'g'), '{_BACK}', '``', 'g'), '//[^\n]*', '', 'g') AS code
