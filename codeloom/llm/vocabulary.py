@@ -22,6 +22,7 @@ SPLIT = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 UNITS = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|(?>\p{White_Space}+)(?:(?<! )(?:'s|'t|'re|'ve|'m|'ll|'d)|\p{L}+|\p{N}+|[^\p{White_Space}\p{L}\p{N}]+)?"
 ASCII = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\p{White_Space}": r"\t-\r "}
 SHORT = 256  # characters of a piece that is remembered
+TOGETHER = 2000  # pieces in one text for the library
 
 
 def _byte_letters() -> list[str]:
@@ -52,23 +53,26 @@ class _Splitter:
 class _Known(dict):
     """What ``make`` gives for short pieces; forgets all when it holds ``most`` bytes (about)."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+    def __init__(self, make: Callable[[str], bytes | int], most: int) -> None:
         super().__init__()
         self.make, self.most, self.held = make, most, 0
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: str) -> bytes | int:
         out = self.make(piece)
         if len(piece) <= SHORT:
             self.keep(piece, out)
         return out
 
-    def keep(self, piece: str, out: bytes) -> None:
-        self.held += 250 + len(piece) + len(out)
+    def keep(self, piece: str, out: bytes | int) -> None:
+        self.held += 180 + len(piece) if isinstance(out, int) else 250 + len(piece) + len(out)
         if self.held > self.most:
-            self.clear()
-            self.held = 0
+            self.forget()
         self[piece] = out
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 class Vocabulary:
     def __init__(self, path: str, most: int = 200 << 20) -> None:
@@ -84,8 +88,10 @@ class Vocabulary:
         self.special = {s: self.library.token_to_id(s) for s in special}
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.words = {i: bytes(byte_of[c] for c in word) for word, i in spec["model"]["vocab"].items() if all(c in byte_of for c in word)}
+        self.mark = self._mark(spec["added_tokens"])
         self.split, self.units = _Splitter(SPLIT), _Splitter(UNITS)
         self.ids = _Known(self._ids, most)
+        self.sizes = _Known(lambda piece: len(self._ids(piece)) // 4, most)
         self.steps = _Known(self._steps, most)
         self.single: dict[int, bool] = {}
         self.fits: dict[tuple[int, int], bool] = {}
@@ -102,9 +108,34 @@ class Vocabulary:
     def _ids(self, piece: str) -> bytes:
         return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _looked_up(self, texts: list[str]) -> list[list[bytes]]:
-        """The ids of each piece, for each text; unknown short pieces of all of them are encoded at once."""
-        known, split, looked = self.ids, self.split, []
+    @staticmethod
+    def _mark(added: list[dict]) -> str | None:
+        """A special string that can part texts: the only one, that nothing before or behind it changes or completes."""
+        if len(added) != 1 or any(added[0].get(k) for k in ("lstrip", "rstrip", "single_word", "normalized")):
+            return None
+        s = added[0]["content"]
+        return None if any(s.startswith(s[-k:]) for k in range(1, len(s))) else s
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, list[int], list[int]]:
+        """Ids, and where those of each piece begin and end; pieces go to the library as one text, parted by the mark."""
+        if self.mark is not None and not any(self.mark in p for p in pieces):
+            ids = np.array(self.library.encode_batch_fast([self.mark.join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.special[self.mark])
+            if len(at) == len(pieces) - 1:
+                return ids, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]
+        found = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        ends = np.cumsum([len(x) for x in found]).tolist()
+        return np.array([i for x in found for i in x], "<u4"), [0, *ends[:-1]], ends
+
+    def _looked_up(self, texts: list[str], known: _Known) -> list[list]:
+        """What ``known`` has for each piece, for each text; unknown short pieces of all of them are encoded at once.
+
+        Only one of the tables of ids and of sizes is held at a time: a worker goes from one to the other seldom.
+        """
+        other = self.ids if known is self.sizes else self.sizes
+        if other:
+            other.forget()
+        split, looked = self.split, []
         unknown: set[str] = set()
         for text in texts:
             pieces: list[str] = []
@@ -114,22 +145,29 @@ class Vocabulary:
             if None in found:
                 unknown.update(p for p, x in zip(pieces, found) if x is None)
             looked.append((pieces, found))
-        short = [p for p in unknown if len(p) <= SHORT]
-        fresh = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(short, self.library.encode_batch_fast(short, add_special_tokens=False))}
+        short = [p for p in unknown if len(p) <= SHORT and p not in self.special]
+        fresh = {p: known.make(p) for p in unknown.difference(short)}
+        for first in range(0, len(short), TOGETHER):
+            group = short[first : first + TOGETHER]
+            ids, begins, ends = self._joined(group)
+            if known is self.sizes:
+                made = [b - a for a, b in zip(begins, ends)]
+            else:
+                raw = ids.tobytes()
+                made = [raw[4 * a : 4 * b] for a, b in zip(begins, ends)]
+            fresh.update(zip(group, made))
         for p in unknown:
-            if p in fresh:
+            if len(p) <= SHORT:
                 known.keep(p, fresh[p])
-            else:
-                fresh[p] = self._ids(p)
         return [found if None not in found else [fresh[p] if x is None else x for p, x in zip(pieces, found)] for pieces, found in looked]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids that the library gives for each text."""
-        return [np.frombuffer(b"".join(x), "<u4") for x in self._looked_up(texts)]
+        return [np.frombuffer(b"".join(x), "<u4") for x in self._looked_up(texts, self.ids)]
 
     def counts(self, texts: list[str]) -> list[int]:
         """How many ids the library gives for each text."""
-        return [sum(map(len, x)) // 4 for x in self._looked_up(texts)]
+        return list(map(sum, self._looked_up(texts, self.sizes)))
 
     # Counts at every prefix.
 

@@ -553,3 +553,18 @@ def test_mixing_meets_targets_far_from_the_shares(spark):
     assert descent.residual <= 1e-3
     with pytest.warns(UserWarning, match="not met"):
         assert mixing.solve(table, {"high": 0.95, "low": 0.05, "toxic": 0.0}, steps=5).residual > 0.01
+
+
+def test_pieces_that_go_to_the_library_together():
+    from codeloom.llm.queries import tokenizer_path
+    from codeloom.llm.vocabulary import Vocabulary
+
+    known = Vocabulary(tokenizer_path("json"))
+    mark = known.mark
+    texts = ["", mark, f"a{mark[:-1]}", f"{mark}{mark} x", f"{mark[:-1]}{mark}", " " * 5000, "x" * 3000, "can't 'll  \n\n z", "　a   b", mark[:5], "w" + "ü" * 300]
+    wanted = [known.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert known.counts(texts) == [len(x) for x in wanted] and not known.ids
+    assert [x.tolist() for x in known.encode(texts)] == wanted and not known.sizes
+    small = Vocabulary(tokenizer_path("json"), most=2000)  # forgets all the time
+    small.mark = None  # each piece by itself
+    assert small.counts(texts) == [len(x) for x in wanted] and [x.tolist() for x in small.encode(texts)] == wanted
