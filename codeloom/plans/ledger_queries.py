@@ -224,7 +224,9 @@ query("severity_map", "SELECT l_orderkey, CASE WHEN l_quantity / 5 >= 9 THEN 'cr
 query("path_functions", f"{OC} SELECT occ_id, regexp_replace(file_path, '/[^/]*$', '') AS dir, replace(file_path, '.ts', '') AS stem, replace(file_path, '/src', '') AS joined, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM occ")(
     lambda s, d: occurrences(s, d).select("occ_id", S.parent_dir(F.col("file_path")).alias("dir"), S.strip_extension(F.col("file_path")).alias("stem"), S.normalize_path(F.replace("file_path", F.lit("/src/"), F.lit("/src/./../"))).alias("joined"), S.slug(F.col("name")).alias("slug")))
 query("content_fingerprints", "SELECT page_id, sha256(url || chr(10) || 'rule' || chr(10) || html) AS fingerprint FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", S.content_fingerprint(F.col("url"), F.lit("rule"), F.col("html")).alias("fingerprint")))
-query("fnv_fingerprints")(lambda s, d: table(s, d, "pages").select("page_id", S.fnv1a(F.col("url")).alias("fingerprint")))
+query("fnv_fingerprints", """WITH c AS (SELECT page_id, list_transform(list_filter(string_split(url, ''), lambda x: x <> ''), lambda x: CAST(ord(x) AS BIGINT)) AS codes FROM pages)
+SELECT page_id, lpad(printf('%x', list_reduce(list_prepend(CAST(2166136261 AS BIGINT), codes), lambda h, x: xor(h, x) * 16777619 % 4294967296)), 8, '0') AS fingerprint FROM c""")(
+    lambda s, d: table(s, d, "pages").select("page_id", S.fnv1a(F.col("url")).alias("fingerprint")))
 query("fuzzy_rank")(lambda s, d: occurrences(s, d).select("occ_id", "name", S.fuzzy_score(F.col("name"), "re").alias("score")).filter("score > 0").orderBy(F.desc("score"), "occ_id"))
 query("file_roles", f"{OC} SELECT occ_id, 'source' AS roles FROM occ")(lambda s, d: occurrences(s, d).select("occ_id", F.array_join(S.file_roles(F.col("file_path")), ",").alias("roles")))
 query("valid_edges", "SELECT o_orderkey FROM orders WHERE o_orderkey % 13 >= 1 AND o_orderstatus <> 'P'")(
