@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import exact_dedup, minhash_dedup, mixing, packing, quality, suffix_dedup, token_counts, topk, url_filter, warc
+from codeloom.llm import exact_dedup, minhash_dedup, mixing, packing, quality, suffix_dedup, token_counts, topk, url_filter, warc, whitening
 from codeloom.llm._common import shared_folder, table
 
 TOKENIZER = "byte_bpe_50k"
@@ -61,8 +61,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash_dedup, op2_suffix_dedup, op3_url_filter, op4_quality, op5_token_counts, op6_exact_dedup, op7_warc, op8_topk, op9_mixing, op10_packing]
+    found = [op1_minhash_dedup, op2_suffix_dedup, op3_url_filter, op4_quality, op5_token_counts, op6_exact_dedup, op7_warc, op8_topk, op9_mixing, op10_packing, op11_whitening]
     return {f.__name__: f for f in found}
 
 
