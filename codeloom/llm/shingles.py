@@ -45,10 +45,8 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and how many words lie before each text's begin (one entry more than texts)."""
-    if not len(data):
-        return np.zeros(0, U), np.zeros(len(at), np.int64)
+def bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends; ``at``: where each text begins (one entry more than texts)."""
     gap = _SPACE[data]
     first, last = np.zeros(len(data), bool), np.zeros(len(data), bool)
     full = at[:-1] < at[1:]
@@ -56,14 +54,25 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     last[at[1:][full] - 1] = True
     first[1:] |= gap[:-1]
     last[:-1] |= gap[1:]
-    begin, end = np.flatnonzero(first & ~gap), np.flatnonzero(last & ~gap) + 1
-    lower = _LOWER[data]
-    s = prefix_sums(lower)
+    return np.flatnonzero(first & ~gap), np.flatnonzero(last & ~gap) + 1
+
+
+def hashed(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word."""
+    s = prefix_sums(data)
     out = mix((s[end] - s[begin]) * powers(len(data))[1][begin])
     # Modulo 2**64, words of 1,024 bytes and more can be made to share a polynomial.
     for i in np.flatnonzero(end - begin > 512).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(lower[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
-    return out, np.searchsorted(begin, at)
+        out[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, and how many words lie before each text's begin (one entry more than texts)."""
+    if not len(data):
+        return np.zeros(0, U), np.zeros(len(at), np.int64)
+    begin, end = bounds(data, at)
+    return hashed(_LOWER[data], begin, end), np.searchsorted(begin, at)
 
 
 def sets(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:

@@ -44,7 +44,7 @@ NAME = ("r1", "r2")
 _OTHER = mix(np.arange(1, 257, dtype=U)).astype(np.uint8)
 
 
-def _sliding(x: np.ndarray, width: int) -> np.ndarray:
+def sliding(x: np.ndarray, width: int) -> np.ndarray:
     """The smallest of x[i : i + width] for each i with a whole window."""
     n = len(x) - width + 1
     padded = np.full(-(-len(x) // width) * width, np.iinfo(x.dtype).max, x.dtype)
@@ -68,7 +68,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     key = mix((s[GRAM:] - s[:n]) * back[:n])
     bits = U(max(24, len(data).bit_length()))
     # The smallest key of a window, the leftmost of equal ones.
-    least = _sliding(key >> bits << bits | np.arange(n, dtype=U), length - GRAM + 1)
+    least = sliding(key >> bits << bits | np.arange(n, dtype=U), length - GRAM + 1)
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     begin = np.flatnonzero(text[: len(least)] == text[length - 1 : length - 1 + len(least)])
     if not len(begin):
