@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import exact_dedup, minhash_dedup, mixing, packing, quality, suffix_dedup, token_counts, topk, url_filter, warc, whitening, word_repeats
+from codeloom.llm import exact_dedup, lexical_search, minhash_dedup, mixing, packing, quality, suffix_dedup, token_counts, topk, url_filter, warc, whitening, word_repeats
 from codeloom.llm._common import shared_folder, table
 
 TOKENIZER = "byte_bpe_50k"
@@ -65,14 +65,18 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_repeats.remove_repeated_words(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash_dedup, op2_suffix_dedup, op3_url_filter, op4_quality, op5_token_counts, op6_exact_dedup, op7_warc, op8_topk, op9_mixing, op10_packing, op11_whitening, op13_word_repeats]
+    found = [op1_minhash_dedup, op2_suffix_dedup, op3_url_filter, op4_quality, op5_token_counts, op6_exact_dedup, op7_warc, op8_topk, op9_mixing, op10_packing, op11_whitening, op12_lexical_search, op13_word_repeats]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.op3_sql(), "op6_exact_dedup": exact_dedup.OP6_SQL, "op7_warc": warc.OP7_SQL, "op8_topk": topk.OP8_SQL}
+    return {"op3_url_filter": url_filter.op3_sql(), "op6_exact_dedup": exact_dedup.OP6_SQL, "op7_warc": warc.OP7_SQL, "op8_topk": topk.OP8_SQL, "op12_lexical_search": lexical_search.OP12_SQL}

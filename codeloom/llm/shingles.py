@@ -45,9 +45,9 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word begins and ends; ``at``: where each text begins (one entry more than texts)."""
-    gap = _SPACE[data]
+def bounds(data: np.ndarray, at: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends; ``at``: where each text begins (one entry more than texts); ``gaps``: bytes between words."""
+    gap = gaps[data]
     first, last = np.zeros(len(data), bool), np.zeros(len(data), bool)
     full = at[:-1] < at[1:]
     first[at[:-1][full]] = True
