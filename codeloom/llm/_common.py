@@ -6,6 +6,7 @@ import io
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -18,6 +19,7 @@ ROWS_PER_BATCH = 1000
 _OWN_SHARED: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _OPEN: list[list[str]] = []
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -66,7 +68,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     for paths in _OPEN:
         paths.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``saved`` gave; nothing that is still to be computed may read them."""
+    for df in tables:
+        discard(df.sparkSession, _PLACES.pop(df))
 
 
 def ship(spark: SparkSession) -> None:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from codeloom.llm._arrow import slices
-from codeloom.llm._common import saved, ship
+from codeloom.llm._common import release, saved, ship
 from codeloom.llm.shingles import U, bounds, hashed, mix, powers
 from codeloom.llm.suffix_dedup import sliding
 
@@ -161,6 +161,7 @@ def _graph(sample: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     found = saved(sample.groupBy("key", "c1", "c2").agg(own, F.max("doc").alias("last"), F.max("n").alias("n"), *agg), "contexts")
     keys = found.groupBy("key").agg(F.min("own.doc").alias("lo"), F.max("last").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
     shared = saved(found.join(keys.select("key", "m").hint("merge"), "key"), "shared")
+    release(found)
 
     alone = shared.filter("m = 1")
     several = shared.filter("m > 1").select(F.col("own.doc").alias("doc"), F.col("own.r").alias("r"), F.struct(F.col("own.pos").alias("pos"), "n", "key", "c1", "c2", "last", "pmin", "pmax", "nmin", "nmax").alias("mark"))
@@ -176,7 +177,9 @@ def _graph(sample: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     whole = whole.select(alone["key"], "c1", "c2", F.lit(0).alias("rel"), "n", "path", "off")
     met = edges.select("key", "e1", "e2", "c1", "c2", "at").join(paths.hint("merge"), ["key", "e1", "e2"])
     met = met.groupBy("key", "c1", "c2", "path", (F.col("at") - F.col("off")).alias("shift")).agg(F.min("at").alias("rel"), (F.max("at") - F.min("at") + 1).alias("n"), F.min("off").alias("off"))
-    return saved(whole.unionByName(met.select(*whole.columns)), "met")
+    met = saved(whole.unionByName(met.select(*whole.columns)), "met")
+    release(shared, edges, paths)
+    return met
 
 
 _CUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, proofs array<struct<doc:long, r:long, pos:int, digest:long>>"
@@ -229,13 +232,15 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     size = F.when(joined == "", 0).otherwise(F.length(joined) - F.length(F.replace(joined, F.lit(" "), F.lit(""))) + 1).cast("long")
     rows = saved(docs.select("doc_id", *NAME, size.alias("n_words"), F.sha2(joined, 256).alias("sha")), "rows")
     sample = saved(_sample(docs, window), "sample")
-    occurrences = _occurrences(sample, _graph(sample, docs, window))
+    graph = _graph(sample, docs, window)
+    occurrences = _occurrences(sample, graph)
 
     first = rows.groupBy("sha").agg(F.min("doc").alias("first"))
     rows = saved(rows.join(first.hint("merge"), "sha"), "rows")
     kept = rows.filter((F.col("doc") == F.col("first")) & (F.col("n_words") >= window)).select(*NAME)
     spans = occurrences.join(kept.hint("merge"), list(NAME), "left_semi").groupBy(*NAME).agg(F.collect_list(F.struct("begin", "n", "repeat", "path")).alias("spans"))  # of one row
     spans = saved(spans, "spans")
+    release(sample, graph)
     cut = saved(_cut(docs.join(spans.hint("merge"), list(NAME)), window), "cut")
 
     proofs = cut.select(F.explode("proofs").alias("p")).select("p.*")
