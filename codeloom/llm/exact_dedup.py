@@ -1,12 +1,13 @@
 """Exact deduplication through an extendible-hash index on shared files (DataFrame functions only).
 
-Every text is normalised by deleting ASCII white space and hashed; the keys of all rows are saved.  A directory of hash
-prefixes is doubled, splitting overfull buckets, until none holds more than ``capacity`` different hashes; every bucket
-owns one range of keys.  Texts are put into the buckets that the directory names; copies collapse before that shuffle, and
-in a bucket texts of one hash are compared byte by byte, so that two that differ become two entries of one chain.  Owner
-tasks take ranges of buckets, number the chains and write the index to the shared folder; they fail if two entries of a
-chain share a SHA-256.  Rows then find their entry by bucket, hash and SHA-256, which no other text in the index has; a hot
-entry is split by adaptive skew handling, as both sides of that join are plain shuffles.
+Every text is normalised by deleting ASCII white space and hashed; the different hashes and their counts are saved.  A
+directory of hash prefixes is doubled, splitting overfull buckets, until none holds more than ``capacity`` different
+hashes; every bucket owns one range of keys.  Rows are dealt to owner tasks by the bucket that the directory names.  An
+owner sorts each of its buckets by hash and text and compares every text with the one before it, byte by byte: one that
+differs opens the next entry of the chain of its hash.  A hash of more than ``hot`` rows has several owners, each with a
+part of its rows; the texts that each of them found, one for each entry, meet in a last owner, which compares and chains
+them in the same way.  The index is written to the shared folder.  Rows find their entry by bucket, hash and place in the
+chain; no digest decides about equality.
 
 Results for odd input: null and white-space-only texts are the empty text; a null id sorts after all others and is
 kept only where every copy has a null id; rows that repeat id and text share one decision in ``exact_groups``, while
@@ -63,16 +64,16 @@ def grow_directory(counts: dict[int, int], bits: int, capacity: int) -> list[int
     return [number[b] for b in slots]
 
 
-def directory(hashes: DataFrame, capacity: int) -> tuple[DataFrame, int]:
-    """The directory (slot, bucket) for the different values of the column hash, and its depth.
+def directory(keys: DataFrame, capacity: int | None) -> tuple[DataFrame, int]:
+    """The directory (slot, bucket) for ``keys`` (hash, unique), and its depth; without ``capacity``, 65,536 buckets or so at most.
 
     The driver holds the number of entries of about eight prefixes a bucket, never more; the directory has no other
     limit.  Prefixes that are still overfull then (a hash spreads keys evenly, so only few alike keys can be the cause)
     stay one bucket with long chains.
     """
-    spark = hashes.sparkSession
-    keys = saved(hashes.distinct(), "keys")
-    bits = max(1, min(62, (max(1, keys.count()) * 8 // capacity).bit_length()))
+    spark, n = keys.sparkSession, keys.count()
+    capacity = capacity or max(4096, n >> 16)
+    bits = max(1, min(62, (max(1, n) * 8 // capacity).bit_length()))
     counts = {r[0]: r[1] for r in keys.groupBy(F.shiftrightunsigned("hash", 64 - bits).alias("prefix")).count().collect()}
     slots = grow_directory(counts, bits, capacity)
     rows = ", ".join(map(str, slots)) if len(slots) <= 4096 else None
@@ -91,44 +92,60 @@ def _in_buckets(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
     return rows.withColumn("slot", slot).join(sized, "slot").drop("slot")
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 17, hash_bits: int = 64, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The index, one row for each different normalised text, and the keys of all rows with their buckets.
+def _chained(owner: list[str], text: str) -> tuple[Column, Column]:
+    """In each owner's rows, sorted by ``text``: whether a text differs from the one before it, and its place in the chain.
+
+    The window of the second one refers to a column ``differs``.
+    """
+    rows = W.Window.partitionBy(*owner).orderBy(text)
+    differs = F.coalesce(F.lag(text).over(rows) != F.col(text), F.lit(True))
+    return differs, F.sum(F.col("differs").cast("int")).over(rows.rowsBetween(W.Window.unboundedPreceding, 0)).cast("int")
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, hash_bits: int = 64, hot: int = 4096, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The index, one row for each different normalised text, and the keys of all rows with their entries.
 
     Index: bucket, hash, chain (place among entries of one hash), text_sha256 (binary), keep_id, group_size, and with
     ``row_col``, a key of each row, keep_row: one row of those that have the largest size and keep_id.
-    Keys: doc_id (of ``row_col``, if given), bucket, hash, text_sha256.
+    Keys: doc_id (of ``row_col``, if given), bucket, hash, chain.
     """
     norm = without_space(F.col(text_col))
-    rows = docs.select(F.col(row_col or id_col).alias("doc_id"), _hash(norm, hash_bits).alias("hash"), F.unhex(F.sha2(norm, 256)).alias("text_sha256"))
-    rows = saved(rows, "rows")
-    slots, depth = directory(rows.select("hash"), capacity)
-
     size = F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("decimal(10,0)")
     backwards = F.coalesce(F.lit(_TOP).cast("decimal(20,0)") - F.col(id_col).cast("decimal(19,0)") + F.lit(1).cast("decimal(1,0)"), F.lit(0).cast("decimal(1,0)"))
     # One decimal holds (size, smallest id first), so that the aggregate keeps a fixed-width buffer.
-    order = size * F.expr("cast('100000000000000000000' as decimal(21,0))") + backwards.cast("decimal(20,0)")
-    own = [F.col(row_col).alias("row")] if row_col else []
-    texts = docs.select(_hash(norm, hash_bits).alias("hash"), norm.alias("norm"), order.cast("decimal(38,0)").alias("order"), *own)
-    more = [F.max_by("row", "order").alias("keep_row")] if row_col else []
-    # Inside a bucket, texts of one hash are told apart by their bytes: grouping compares the whole keys.
-    entries = _in_buckets(texts, slots, depth).groupBy("bucket", "hash", "norm").agg(F.max("order").alias("best"), F.count(F.lit(1)).alias("group_size"), *more)
-    found = ["keep_id", "group_size", *(["keep_row"] if row_col else [])]
+    order = (size * F.expr("cast('100000000000000000000' as decimal(21,0))") + backwards.cast("decimal(20,0)")).cast("decimal(38,0)")
+    keys = saved(docs.select(_hash(norm, hash_bits).alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "keys")
+    slots, depth = directory(keys, capacity)
+    parts = keys.filter(F.col("n") > hot).select("hash", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    parts = F.broadcast(parts) if parts.count() <= 1 << 17 else parts.hint("merge")  # 12 bytes each
+
+    rows = docs.select(F.col(row_col or id_col).alias("doc_id"), _hash(norm, hash_bits).alias("hash"), norm.alias("norm"), order.alias("order"), F.monotonically_increasing_id().alias("deal"))
+    rows = _in_buckets(rows, slots, depth).join(parts, "hash", "left").withColumn("part", F.coalesce(F.pmod("deal", "parts"), F.lit(0)).cast("int"))
+    owned = rows.repartition("bucket", "part")
+    differs, place = _chained(["bucket", "part", "hash"], "norm")
+    owned = owned.withColumn("differs", differs).withColumn("place", place)
+    owned = saved(owned.select("doc_id", "bucket", "hash", "part", "place", "order", "differs", F.when(F.col("differs"), F.unhex(F.sha2("norm", 256))).alias("sha"), F.when(F.col("differs") & F.col("parts").isNotNull(), F.col("norm")).alias("norm")), "owned")
+
+    local = ["bucket", "hash", "part", "place"]
+    differs, chain = _chained(["bucket", "hash"], "norm")
+    met = owned.filter("differs and norm is not null").select(*local, "norm").withColumn("differs", differs).withColumn("chain", chain)
+    met = saved(met.select(*local, "chain"), "met")
+    chained = owned.drop("norm").join(met.hint("merge"), local, "left").withColumn("chain", F.coalesce("chain", "place")).drop("part", "place")
+    # At most one entry of a text in each part: the digest that stays is any of them, they are of equal bytes.
+    entry = ["bucket", "hash", "chain"]
+    best = [F.max("order").alias("best"), F.count(F.lit(1)).alias("group_size"), *([F.max_by("doc_id", "order").alias("keep_row")] if row_col else [])]
     back = F.expr("best % cast('100000000000000000000' as decimal(21,0))")
     keep = F.when(back > 0, (F.lit(_TOP).cast("decimal(20,0)") + F.lit(1).cast("decimal(1,0)") - back).cast("long"))
-    entries = entries.select("bucket", "hash", F.unhex(F.sha2("norm", 256)).alias("text_sha256"), keep.alias("keep_id"), *found[1:])
-    # Owner tasks take ranges of (bucket, hash) and number the chains.
-    owned = saved(entries, "entries").repartitionByRange("bucket", "hash")
-    place = W.Window.partitionBy("bucket", "hash").orderBy("text_sha256")
-    alike = F.lag("text_sha256").over(place) == F.col("text_sha256")
-    chain = F.when(alike, F.raise_error(F.lit("two texts that differ share hash and SHA-256"))).otherwise(F.row_number().over(place)).cast("int")
-    index = saved(owned.select("bucket", "hash", chain.alias("chain"), "text_sha256", *found), "index")
-    return index, _in_buckets(rows, slots, depth)
+    digests = chained.filter("differs").groupBy(*entry).agg(F.min("sha").alias("text_sha256"))
+    entries = chained.groupBy(*entry).agg(*best).join(digests.hint("merge"), entry)
+    index = saved(entries.select(*entry, "text_sha256", keep.alias("keep_id"), "group_size", *(["keep_row"] if row_col else [])), "index")
+    return index, chained.select("doc_id", *entry)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index_options) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (lowercase hex)."""
     index, rows = build_index(docs, id_col, text_col, **index_options)
-    found = rows.join(index.select("bucket", "hash", "text_sha256", "keep_id", "group_size").hint("merge"), ["bucket", "hash", "text_sha256"])
+    found = rows.join(index.select("bucket", "hash", "chain", "text_sha256", "keep_id", "group_size").hint("merge"), ["bucket", "hash", "chain"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("text_sha256")).alias("text_sha256"))
 
 
