@@ -9,10 +9,15 @@ stays).  Each host's tree is then built level by level, and below every parent t
 * all other branches keep their segment: labels of one never speak for a sibling that has none.
 
 Levels end with the longest path; segments beyond ``depth`` count as one last segment.  Labelled pages are those that a
-rule decides.  A page with no rule gets the verdict of its template: block where
-(blocked + weight * prior) / (labelled + weight) >= ``purity``.  The prior is the mean block rate of the host's labelled
-templates, each counting once, shrunk by ``weight`` to the mean of all hosts' templates.  So a template of its own needs
-some pure labelled pages to be rejected, and one without labels is rejected only where most templates of its host are.
+rule decides.  A page with no rule gets the verdict of its template: block where its smoothed purity
+
+    (blocked + weight * elsewhere) / (labelled + weight) >= ``purity``
+
+where ``elsewhere`` is what rules say of the same template on other hosts: (blocked + weight * prior) / (labelled +
+weight) over those hosts whose own block rate for it is alike to that of all others together, by the test above.  The
+prior is the mean block rate of the host's labelled templates, each counting once, shrunk by ``weight`` to the mean of
+all hosts' templates.  So a template without labels of its own is rejected where rules block nearly all pages of its kind
+on other hosts, or most templates of its host; hosts that disagree about a template speak for none.
 
 Results for odd input: a null url or one without ``://`` has empty host and path and is judged with all others of that
 kind; repeated rows and null ids each get a row; very long urls are judged whole; an empty table gives no rows; other
@@ -109,7 +114,19 @@ def judge_templates(paths: DataFrame, t: Tree) -> DataFrame:
     base = judged.agg(F.coalesce(F.round(F.avg("pure"), 6), F.lit(0.5))).first()[0]
     prior = (F.coalesce(F.sum("pure"), F.lit(0.0)) + t.weight * base) / (F.count("pure") + t.weight)
     hosts = judged.groupBy("host").agg(F.round(prior, 6).alias("prior"))
-    judged = judged.join(hosts, "host").select(*parent, F.round((F.col("b") + t.weight * F.col("prior")) / (F.col("l") + t.weight), 9).alias("score"))
+    # What rules say of a template on all hosts whose rates for it are alike.
+    rated = judged.filter("l > 0")
+    shapes = rated.groupBy("template").agg(F.sum("l").alias("al"), F.sum("b").alias("ab"))
+    ol, ob = F.col("al") - F.col("l"), F.col("ab") - F.col("b")
+    p, q = (F.col("b") + 1) / (F.col("l") + 2), (ob + 1) / (ol + 2)
+    alike = (ol == 0) | ((p - q) * (p - q) <= F.lit(t.z * t.z) * (p * (1 - p) / (F.col("l") + 2) + q * (1 - q) / (ol + 2)))
+    pooled = saved(rated.join(shapes, "template").filter(alike).select(*parent, "l", "b"), "pooled")
+    sums = pooled.groupBy("template").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
+    own = pooled.select(*parent, F.col("l").alias("ownl"), F.col("b").alias("ownb"))
+    judged = judged.join(hosts, "host").join(sums, "template", "left").join(own, parent, "left")
+    el, eb = (F.coalesce(F.col(f"p{k}"), F.lit(0)) - F.coalesce(F.col(f"own{k}"), F.lit(0)) for k in "lb")
+    elsewhere = (eb + t.weight * F.col("prior")) / (el + t.weight)
+    judged = judged.select(*parent, F.round((F.col("b") + t.weight * elsewhere) / (F.col("l") + t.weight), 9).alias("score"))
     return tree.join(judged, parent).select("host", "gpath", "template", "score", (F.col("score") >= t.purity).alias("blocks"))
 
 
@@ -178,9 +195,22 @@ WITH u AS (
   SELECT coalesce(round(avg(pure), 6), 0.5) AS base FROM j
 ), h AS (
   SELECT host, round((coalesce(sum(pure), 0) + {t.weight} * any_value(base)) / (count(pure) + {t.weight}), 6) AS prior FROM j, g GROUP BY host
+), w AS (
+  SELECT host, template, l, b, (b + 1) / (l + 2) AS p, (ab - b + 1) / (al - l + 2) AS q, al - l AS ol
+  FROM (SELECT *, sum(l) OVER (PARTITION BY template) AS al, sum(b) OVER (PARTITION BY template) AS ab FROM j WHERE l > 0)
+), own AS (
+  SELECT host, template, l, b FROM w
+  WHERE ol = 0 OR power(p - q, 2) <= {t.z * t.z} * (p * (1 - p) / (l + 2) + q * (1 - q) / (ol + 2))
+), pooled AS (
+  SELECT template, sum(l) AS pl, sum(b) AS pb FROM own GROUP BY template
+), e AS (
+  SELECT j.host, j.template, j.l, j.b,
+         (coalesce(pb, 0) - coalesce(own.b, 0) + {t.weight} * prior) / (coalesce(pl, 0) - coalesce(own.l, 0) + {t.weight}) AS elsewhere
+  FROM j JOIN h USING (host) LEFT JOIN pooled ON j.template = pooled.template
+  LEFT JOIN own ON j.host = own.host AND j.template = own.template
 ), k AS (
-  SELECT host, gpath, template, round((j.b + {t.weight} * prior) / (j.l + {t.weight}), 9) AS score
-  FROM l{t.depth} JOIN j USING (host, template) JOIN h USING (host)
+  SELECT host, gpath, template, round((e.b + {t.weight} * elsewhere) / (e.l + {t.weight}), 9) AS score
+  FROM l{t.depth} JOIN e USING (host, template)
 )
 SELECT page_id, host, path, rule, coalesce(hit, CASE WHEN score >= {t.purity} THEN 'block' ELSE 'allow' END) AS verdict, template, score
 FROM r JOIN k USING (host, gpath)
