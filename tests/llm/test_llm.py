@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -35,6 +36,16 @@ def test_sql_twin(name, spark, duck):
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "a b c"), (5, "abc"), (6, "A B c d"), (6, "A B c d"), (None, "a b c"), (7, "x" * 70_000), (8, "x " * 35_000)]
 
 
+def test_repeated_rows_do_not_slow_suffix_dedup(spark):
+    """Rows that repeat id and text cost as much as others."""
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh") for _ in range(4000))
+    begun = time.time()
+    got = suffix_dedup.remove_repeats(docs(spark, [(1, text)] * 2000 + [(2, text[1000:] + "end")])).collect()
+    assert time.time() - begun < 60
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in got) == [(1, 4000, 4000)] * 2000 + [(2, 3003, 3000)]
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -81,6 +92,37 @@ def test_the_directory_decides_where_texts_are_compared(spark):
     assert len(chains) <= 4 and all(sorted(c) == list(range(1, len(c) + 1)) for c in chains.values())
 
 
+@pytest.mark.parametrize("hash_bits", [64, 1])
+def test_hot_hashes_have_several_owners(spark, hash_bits):
+    rows = [(i, f"t {i % 3}") for i in range(90)] + [(i, f"u {i}") for i in range(100, 120)]
+    got = exact_dedup.exact_groups(docs(spark, rows).repartition(3), capacity=4, hash_bits=hash_bits, hot=7).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, i % 3 if i < 90 else i, 30 if i < 90 else 1) for i, _ in rows}
+
+
+def test_owner_tasks_compare_texts_in_the_buckets_of_the_directory(spark, monkeypatch):
+    """Without the directory, one task owns all texts."""
+    rows = docs(spark, [(i, f"t {i % 400}") for i in range(800)])
+
+    def owners():
+        made = {}
+        monkeypatch.setattr(exact_dedup, "saved", lambda df, name: made.setdefault(name, saved_(df.withColumn("task", spark_partition_id()), name)) if name == "owned" else saved_(df, name))
+        exact_dedup.build_index(rows, capacity=8)
+        found = made["owned"].select("bucket", "task").distinct().collect()
+        assert len({r.bucket for r in found}) == len(found)  # a bucket has one owner
+        return len({r.task for r in found})
+
+    from pyspark.sql.functions import spark_partition_id
+
+    saved_ = exact_dedup.saved
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert owners() > 4
+        monkeypatch.setattr(exact_dedup, "grow_directory", lambda counts, bits, capacity: [0] * (1 << bits))
+        assert owners() == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_directory_doubles_only_overfull_buckets():
     slots = exact_dedup.grow_directory({0: 5, 1: 5, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0, 7: 1}, 3, 5)
     assert slots == [0, 1, 2, 2, 3, 3, 3, 3]
@@ -200,6 +242,29 @@ def test_templates(spark):
     assert found == {"s": "/*/{n}", "t": "/*/{n}", "u": "/u/{n}"}
 
 
+def test_templates_learn_from_other_hosts(spark):
+    """Rules on some hosts judge the same template on others, unless hosts disagree."""
+    rules = (url_filter.Rule("block", "bad.net", "/"), url_filter.Rule("allow", "bad.net", "/en/"), url_filter.Rule("allow", "good.org", "/fr/"))
+    urls = [f"http://{h}.bad.net/{x}/{i}" for h in "abc" for x in ("de", "en", "fr") for i in range(12)] + [f"http://{h}.good.org/fr/{i}" for h in "abc" for i in range(12)]
+    asked = [f"http://{h}/{x}/5" for h in ("new.com", "a.good.org") for x in ("de", "en", "fr", "es")]
+    pages = spark.createDataFrame(list(enumerate(urls + asked)), "page_id long, url string")
+    found = {urls[r.page_id] if r.page_id < len(urls) else asked[r.page_id - len(urls)]: r for r in url_filter.filter_urls(pages, rules=rules).collect()}
+    assert {u: found[u].verdict for u in asked if found[u].rule is None} == {
+        "http://new.com/de/5": "block", "http://new.com/en/5": "allow", "http://new.com/fr/5": "allow", "http://new.com/es/5": "allow",
+        "http://a.good.org/de/5": "block", "http://a.good.org/en/5": "allow", "http://a.good.org/es/5": "allow",
+    }
+
+
+def test_some_pages_without_a_rule_are_rejected(spark):
+    found = url_filter.filter_urls(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).filter("rule is null")
+    counts = Counter()
+    for r in found.groupBy("verdict", "template").count().collect():
+        counts[r.verdict, r.template] += r["count"]
+    print(counts)
+    assert counts["block", "/es/{n}"] > 50 and counts["allow", "/es/{n}"] == 0  # all rules on /es/ block it
+    assert counts["block", "/en/{n}"] == 0 and counts["allow", "/en/{n}"] > 50  # rules allow it
+
+
 def test_quality_on_held_out_rows(spark):
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = {r.doc_id: r for r in quality.classify(d, labels).collect()}
