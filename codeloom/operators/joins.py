@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from codeloom.functions import scalars as S
+from codeloom.operators.text_checks import inside
 
 
 def known_targets(edges: DataFrame, occ: DataFrame) -> DataFrame:
@@ -88,8 +89,9 @@ def resolve_imports(imports: DataFrame, known: DataFrame, extensions: tuple[str,
 
 def nested_spans(occ: DataFrame) -> DataFrame:
     """outer, inner: inner begins strictly after outer begins, and ends within it, in one file."""
-    a, b = (occ.select("file_path", F.col("occ_id").alias(n), F.col("line").alias(f"{n}_line"), F.col("end_line").alias(f"{n}_end")) for n in ("outer", "inner"))
-    return a.join(b, "file_path").filter("inner_line > outer_line and inner_end <= outer_end").select("outer", "inner")
+    outer = occ.select("file_path", F.col("occ_id").alias("outer"), (F.col("line") + 1).alias("first"), F.col("end_line").alias("last"))
+    inner = occ.select("file_path", F.col("occ_id").alias("inner"), F.col("line").alias("at"), F.col("end_line").alias("inner_end"))
+    return inside(outer, inner, ["file_path"], "first", "last", "at").filter("inner_end <= last").select("outer", "inner")
 
 
 #: A dynamic import with a literal path, and what may stand behind a path without its extension.

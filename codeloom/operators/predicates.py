@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from codeloom.functions import scalars as S
+from codeloom.operators.text_checks import inside
 
 
 def source_filter(scope: str = "all", generated: str = "include", packages: tuple = (), kinds: tuple = (), exact_file: str | None = None, prefix: str | None = None, test_globs: tuple = ()) -> Column:
@@ -49,7 +50,7 @@ def symbol_match(occ: DataFrame, text: str, how: str = "substring") -> DataFrame
 
 def spans_at(occ: DataFrame, probes: DataFrame) -> DataFrame:
     """Occurrences whose lines hold a probe (file_path, at)."""
-    return occ.join(probes, "file_path").filter(F.col("at").between(F.col("line"), F.col("end_line")))
+    return inside(occ, probes, ["file_path"], "line", "end_line", "at")
 
 
 def valid_edge(most_targets: int = 10_000, longest: int = 128) -> Column:
@@ -64,19 +65,22 @@ def lines_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(id_col, F.posexplode(F.split(F.col(text), "\n")).alias("number", "content")).withColumn("number", F.col("number") + 1)
 
 
-def suppressed(findings: DataFrame, directives: DataFrame, keys: list[str], skip: int = 3) -> DataFrame:
+def suppressed(findings: DataFrame, directives: DataFrame, keys: list[str], skip: int = 3, check: str | None = None) -> DataFrame:
     """Findings with a flag: a file directive within the first 50 lines, or a next-line directive that means their line.
 
-    A next-line directive means the line behind it; where that is a directive itself, up to ``skip`` such lines are passed.
+    ``keys`` name a file.  A next-line directive means the line behind it; where that is a directive itself, up to ``skip``
+    such lines are passed.  With ``check`` (a column of both sides), directives count for their own check only, but those
+    of other checks are passed too.
     """
+    file, keys = keys, [*keys, *([check] if check else [])]
     files = directives.filter("scope = 'file' and number <= 50").select(*keys, F.lit(True).alias("by_file")).distinct()
-    order = W.Window.partitionBy(*keys).orderBy("number")
-    lines = directives.groupBy(*keys, "number").agg(F.bool_or(F.col("scope") == "next").alias("next"))
+    order = W.Window.partitionBy(*file).orderBy("number")
+    lines = directives.select(*file, "number").distinct()
     passed, run = F.lit(0), F.lit(True)
     for k in range(1, skip + 1):
         run = run & F.coalesce(F.lead("number", k).over(order) == F.col("number") + k, F.lit(False))
         passed = passed + run.cast("int")
-    meant = lines.withColumn("passed", passed).filter("next").select(*keys, (F.col("number") + 1 + F.col("passed")).alias("number"), F.lit(True).alias("by_line")).distinct()
+    meant = lines.withColumn("passed", passed).join(directives.filter("scope = 'next'"), [*file, "number"]).select(*keys, (F.col("number") + 1 + F.col("passed")).alias("number"), F.lit(True).alias("by_line")).distinct()
     out = findings.join(files, keys, "left").join(meant, [*keys, "number"], "left")
     return out.withColumn("suppressed", F.coalesce("by_file", F.lit(False)) | F.coalesce("by_line", F.lit(False))).drop("by_file", "by_line")
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.scalars import glob_pattern
 from codeloom.operators.clones import cross_package_groups, exact_groups
+from codeloom.operators.joins import nested_spans
+from codeloom.operators.text_checks import inside
 from codeloom.plans.shared import saved
 
 #: The rules, in the order of their registry, and the recipes that select some of them.
@@ -221,7 +223,11 @@ def always_throws(calls: DataFrame, pattern: str = r"^throw\b|^raise\b|\bthrow[A
     return calls.groupBy("owner").agg(F.bool_and(F.col("text").rlike(pattern)).alias("all_throw"), F.count(F.lit(1)).alias("edges")).filter("all_throw").drop("all_throw")
 
 
-def always_throws_signals(occ: DataFrame, calls: DataFrame, created: DataFrame, pattern: str = r"^\s*throw\s+(?:new\s+)?[A-Z]\w*") -> DataFrame:
+#: Fixed value: the text of a call that throws.
+THROWS = r"^\s*throw\s+(?:new\s+)?[A-Z]\w*"
+
+
+def always_throws_signals(occ: DataFrame, calls: DataFrame, created: DataFrame, pattern: str = THROWS) -> DataFrame:
     """A signal for each occurrence whose own control flow only throws.
 
     ``calls``: owner, text, line; ``created``: body_hash of callables that some scope only creates.  Module initialisers,
@@ -229,10 +235,10 @@ def always_throws_signals(occ: DataFrame, calls: DataFrame, created: DataFrame,
     """
     own = occ.filter("kind <> 'module-init' and not in_test").join(created.select("body_hash").distinct(), "body_hash", "left_anti")
     sites = calls.select("owner", "text", F.col("line").alias("at")).join(own, F.col("owner") == F.col("occ_id"))
-    inner = occ.select(F.col("file_path").alias("inner_file"), F.col("line").alias("inner_line"), F.col("end_line").alias("inner_end"))
-    within = (F.col("inner_line") > F.col("line")) & (F.col("inner_end") <= F.col("end_line"))
-    nested = (F.col("inner_file") == F.col("file_path")) & within & F.col("at").between(F.col("inner_line"), F.col("inner_end"))
-    left = sites.join(inner, nested, "left_anti")
+    lines = occ.select(F.col("occ_id").alias("inner"), F.col("line").alias("inner_line"), F.col("end_line").alias("inner_end"))
+    nested = nested_spans(occ).join(lines, "inner").select(F.col("outer").alias("occ_id"), "inner_line", "inner_end")
+    within = inside(nested, sites.select("occ_id", "at").distinct(), ["occ_id"], "inner_line", "inner_end", "at").select("occ_id", "at").distinct()
+    left = sites.join(within, ["occ_id", "at"], "left_anti")
     found = left.groupBy("occ_id", "name", "file_path", "line").agg(F.bool_and(F.col("text").rlike(pattern)).alias("throws"), F.count(F.lit(1)).alias("edge_count")).filter("throws")
     fixed = [F.lit("graph:always-throws-branch").alias("rule_id"), F.lit("low").alias("severity"), F.lit("quality").alias("category")]
     return found.select(*fixed, "occ_id", "file_path", "line", F.concat("name", F.lit(" appears to always throw.")).alias("message"), "edge_count")

@@ -152,7 +152,7 @@ query("near_coverage")(lambda s, d: C.near_coverage(_signed(s, d)))
 query("near_duplicates")(_pairs)
 query("near_duplicate_clusters")(lambda s, d: C.cluster_rows(_pairs(s, d)))
 
-RULES = "(VALUES " + ", ".join(f"('{r.slug}', '{r.pattern}', '{r.severity}')" for r in R.LINE_RULES if r.slug in ("no-todo-comments", "license-line", "shouting")) + ") r(slug, pattern, severity)"
+RULES = "(VALUES " + ", ".join(f"('{r.slug}', '{r.pattern}', '{r.severity}')" for r in R.LINE_RULES) + ") r(slug, pattern, severity)"
 
 
 def _lines(s, d):
@@ -161,8 +161,11 @@ def _lines(s, d):
 
 query("regex_check", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS number FROM documents)
 SELECT doc_id AS id, number, slug, severity, len(regexp_extract_all(content, pattern)) AS matches FROM l, {RULES} WHERE regexp_matches(content, pattern)""")(
-    lambda s, d: R.line_checks(_lines(s, d), tuple(r for r in R.LINE_RULES if r.slug in ("no-todo-comments", "license-line", "shouting"))).select("id", F.col("number").cast("long").alias("number"), "slug", "severity", F.col("matches").cast("long").alias("matches")))
-query("all_line_checks")(lambda s, d: R.line_checks(_lines(s, d)))
+    lambda s, d: R.line_checks(_lines(s, d)).select("id", F.col("number").cast("long").alias("number"), "slug", "severity", F.col("matches").cast("long").alias("matches")))
+query("all_line_checks", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS number FROM documents)
+SELECT doc_id AS id, number, slug, severity, 1 + length(string_split(regexp_replace(content, pattern, chr(1) || '\\0'), chr(1))[1]) AS col, len(regexp_extract_all(content, pattern)) AS matches
+FROM l, {RULES} WHERE regexp_matches(content, pattern)""")(
+    lambda s, d: R.line_checks(_lines(s, d)).select("id", *(F.col(c).cast("long").alias(c) for c in ("number", "col", "matches")), "slug", "severity"))
 query("file_length", "SELECT doc_id AS id, CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')) AS BIGINT) AS lines, CASE WHEN lines > 40 THEN 'error' WHEN lines > 20 THEN 'warning' ELSE 'ok' END AS status FROM documents")(lambda s, d: R.file_length(table(s, d, "documents"), "doc_id", "text", 20, 40))
 
 
