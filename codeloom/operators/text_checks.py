@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from codeloom.functions import scalars as S
+from codeloom.plans.shared import saved
 
 #: Characters that stand for no text; where a text holds one, it counts as an unknown character.
 _BEGIN, _END, _UNKNOWN = "\ufdd0", "\ufdd1", "\ufffd"
@@ -103,36 +106,45 @@ def regex_list_check(files: DataFrame, check: PatternCheck, id_col: str, path_co
 
     every = F.concat(*map(hits, check.patterns))
     every = F.slice(every, 1, 1) if check.one_per_line else every
-    lines = lines.filter(F.col("content").rlike("|".join(f"(?:{_ascii_bounds(p.pattern)})" for p in check.patterns)))
+    lines = lines.filter(reduce(Column.__or__, (F.col("content").rlike(_ascii_bounds(p.pattern)) for p in check.patterns)))
     out = lines.select("id", (F.col("number") + 1).alias("line"), F.explode(every).alias("h"))
     return out.select("id", "line", F.lit(check.slug).alias("check"), "h.*")
 
 
-#: A string behind one of these, in a text whose strings and comments are blank, is the name of a module.
-_IMPORT = r"""(?<![\w$.])(?:(?:import|export)(?:[\p{L}\w$\s{},*]*?[\s},*]from)?\s*|(?:import|require)\s*\(\s*)(?:'\s*'|"\s*"|`\s*`)"""
+_STRING = "|".join(S.STRINGS.values())
+#: A clause that names a module by a string.
+_CLAUSE = rf"""(?:import|export)(?:[\p{{L}}\w$\s{{}},*]*?[\s}},*]from)?\s*(?:{_STRING})|(?:import|require)\s*\(\s*(?:{_STRING})"""
+_NAME = r"""(['"`])([^'"`]*)\1$"""
+
+
+def without_comments(text: Column) -> Column:
+    """The text with its strings, and with the line ends of its comments only."""
+    pieces = F.regexp_extract_all(text, F.lit(f"{_STRING}|{S.LINE_COMMENT}|{S.BLOCK_COMMENT}|[^'\"`/]++|(?s:.)"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(F.substring(p, 1, 2).isin("//", "/*"), F.concat(F.lit(" "), F.regexp_replace(p, r"[^\n]", ""))).otherwise(p)), "")
 
 
 def imports(files: DataFrame, path_col: str = "file_path", text_col: str = "text") -> DataFrame:
     """file_path, specifier, form (static, dynamic or require), line: modules that each text imports, one row for each place.
 
     Imports in strings and comments are none, and names that are put together at run time are unknown.  Regular
-    expressions with quotes in them can be mistaken for strings.
+    expressions with quotes in them can be mistaken for strings.  A text is reduced to its clauses and line ends in one
+    pass, so work grows with its length.
     """
-    blank = F.translate(S.blank_literals(F.col(text_col)), _BEGIN + _END, _UNKNOWN * 2)
-    rows = files.select(F.col(path_col).alias("file_path"), F.col(text_col).alias("text"), blank.alias("blank")).filter(F.col("blank").rlike(_IMPORT))
-    rows = rows.select("file_path", "text", F.explode(matches(F.col("blank"), _IMPORT)).alias("m"))
-    name = F.regexp_extract("m.match", r"""(['"`])\s*\1$""", 0)
-    begin = F.col("m.column") + F.length("m.match") - F.length(name) + 1
+    code = without_comments(F.translate(F.col(text_col), _BEGIN + _END, _UNKNOWN * 2))
+    words = rf"{_CLAUSE}|{_STRING}|[\p{{L}}\w$.]++|[^\p{{L}}\w$.'\"`]++|(?s:.)"
+    clause = lambda p: p.rlike(rf"^(?:{_CLAUSE})$")
+    pieces = F.transform(F.regexp_extract_all(code, F.lit(words), F.lit(0)), lambda p: F.when(clause(p), F.concat(F.lit(_BEGIN), p, F.lit(_END))).otherwise(F.regexp_replace(p, r"[^\n]", "")))
+    rows = files.filter(F.col(text_col).rlike("import|export|require")).select(F.monotonically_increasing_id().alias("row"), F.col(path_col).alias("file_path"), F.array_join(pieces, "").alias("left"))
+    ends = lambda c: F.length(F.regexp_replace(c, r"[^\n]", ""))
+    parts = rows.select("row", "file_path", F.posexplode(F.split("left", _BEGIN)).alias("place", "part"))
+    before = F.sum(ends(F.col("part"))).over(W.Window.partitionBy("row").orderBy("place").rowsBetween(W.Window.unboundedPreceding, -1))
+    found = parts.withColumn("before", before).filter("place > 0").withColumn("clause", F.substring_index("part", _END, 1))
+    name = F.regexp_extract("clause", _NAME, 2)
+    form = F.when(F.col("clause").startswith("require"), "require").when(F.col("clause").rlike(r"^import\s*\("), "dynamic").otherwise("static")
     # A clause begins with the last keyword before its name.
-    ahead = F.length(F.regexp_extract("m.match", r"(?s)^.*(?<![\w$])(?=(?:import|export|require)(?![\w$]))", 0))
-    before = F.substr("text", F.lit(1), F.col("m.column") + ahead - 1)
-    found = rows.select(
-        "file_path",
-        F.substr("text", begin, F.length(name) - 2).alias("specifier"),
-        F.when(F.col("m.match").rlike(r"^require"), "require").when(F.col("m.match").rlike(r"^import\s*\("), "dynamic").otherwise("static").alias("form"),
-        (F.length(F.regexp_replace(before, r"[^\n]", "")) + 1).alias("line"),
-        F.col("m.match").endswith("`").alias("template"),
-    )
+    lead = F.when(F.col("clause").rlike(r"^(?:import|require)\s*\("), "").otherwise(F.regexp_replace("clause", _NAME, ""))
+    ahead = F.regexp_extract(lead, r"(?s)^.*(?<![\w$])(?=(?:import|export)(?![\w$]))", 0)
+    found = found.select("file_path", name.alias("specifier"), form.alias("form"), (F.col("before") + ends(ahead) + 1).cast("int").alias("line"), F.col("clause").endswith("`").alias("template"))
     # A template is a name only where nothing is put in, and never in a static import.
     return found.filter("specifier <> '' and not (template and (form = 'static' or instr(specifier, '${') > 0))").drop("template")
 
@@ -199,7 +211,7 @@ def phantom_dependencies(files: DataFrame, manifests: DataFrame, path_col: str =
     are passed over, and so is the package's own name.  devDependencies count for test files and for tools' configurations
     only: elsewhere the reason is "dev only", not "undeclared".
     """
-    found = imports(files, path_col, text_col).withColumn("package", package_name(F.col("specifier"))).filter("package is not null")
+    found = saved(imports(files, path_col, text_col).withColumn("package", package_name(F.col("specifier"))).filter("package is not null"))
     parts = F.split("file_path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     places = found.select("file_path").distinct().select("file_path", F.explode(above).alias("directory"))
