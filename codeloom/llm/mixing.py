@@ -159,9 +159,9 @@ def rated(batches: Iterator[pa.RecordBatch], descent: Descent) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def copies(rate, doc_id):
-    """A whole number of copies whose mean is the rate; the same for a document each time."""
-    chance = F.pmod(F.xxhash64(F.lit("mixing"), doc_id), F.lit(1 << 30)) / float(1 << 30)
+def copies(rate, row):
+    """A whole number of copies whose mean is the rate; rows that repeat an id, or have none, are drawn each by its own."""
+    chance = F.pmod(F.xxhash64(F.lit("mixing"), row), F.lit(1 << 30)) / float(1 << 30)
     return F.floor(rate + chance).cast("int")
 
 
@@ -171,13 +171,15 @@ def mix(docs: DataFrame, labels: DataFrame, tokenizer: str, targets: dict[str, f
     descent = solve(table, targets or TARGETS)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema), "rate double"])
     out = table.mapInArrow(lambda batches: rated(batches, descent), schema)
-    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    return out.withColumn("copies", copies(F.col("rate"), F.monotonically_increasing_id()))
 
 
-def resample(docs: DataFrame, labels: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, sample: int = 6000) -> DataFrame:
-    """``docs`` with each row as often as its rate says; all columns stay."""
+def resample(docs: DataFrame, labels: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, sample: int = 6000, strict: float | None = None) -> DataFrame:
+    """``docs`` with each row as often as its rate says; all columns stay.  Fails if a share is off by more than ``strict``, if given."""
     models = domain_models(docs, labels, sample)
     descent = solve(saved(posteriors(docs, models, tokenizer, ()), "posteriors"), targets or TARGETS)
+    if strict is not None and descent.residual > strict:
+        raise ValueError(f"mixing targets are not met: a share is off by {descent.residual:.4f}, {strict} is allowed")
     sent = docs.sparkSession.sparkContext.broadcast(models)  # a fixed size
     rows, more = numbered(docs)
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "rate double"])
@@ -186,6 +188,6 @@ def resample(docs: DataFrame, labels: DataFrame, tokenizer: str, targets: dict[s
         for batch in rated(scored(batches, sent.value, list(DOMAINS), more), descent):
             yield batch.select([*more, "rate"])
 
-    n = copies(F.col("rate"), F.col(more[docs.columns.index("doc_id")]))
+    n = copies(F.col("rate"), F.monotonically_increasing_id())
     rows = rows.select("*", F.col(more[docs.columns.index("text")]).alias("__text")).mapInArrow(run, schema)
     return rows.select(*more, F.explode(F.array_repeat(F.lit(1), n)).alias("copy")).select(*more).toDF(*docs.columns)
