@@ -23,6 +23,8 @@ UNITS = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 ASCII = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\p{White_Space}": r"\t-\r "}
 SHORT = 256  # characters of a piece that is remembered
 TOGETHER = 2000  # pieces in one text for the library
+#: Bytes (about) of one table of a worker.  An executor has some workers for each of its cores, and idle ones keep theirs.
+HELD = 64 << 20
 
 
 def _byte_letters() -> list[str]:
@@ -75,7 +77,7 @@ class _Known(dict):
 
 
 class Vocabulary:
-    def __init__(self, path: str, most: int = 200 << 20) -> None:
+    def __init__(self, path: str, most: int = HELD) -> None:
         import regex
         from tokenizers import Tokenizer
 
