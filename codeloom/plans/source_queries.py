@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import rules as R
 from codeloom.operators import text_checks as T
 from codeloom.plans.registry import query, table
+from codeloom.sources import ingest as I
 
 RULES = "(VALUES " + ", ".join(f"('{r.slug}', '{r.pattern}', '{r.severity}')" for r in R.LINE_RULES) + ") r(slug, pattern, severity)"
 LINES = """l AS (
@@ -96,3 +97,20 @@ def _packages(s: SparkSession, d: str) -> DataFrame:
     files = source_files(s, d)
     found = T.resolve_specifiers(T.imports(files), files.select("file_path"))
     return T.imported_packages(found, files.select("file_path", F.split("file_path", "/")[1].alias("package")))
+
+
+def _reports(s: SparkSession, d: str) -> DataFrame:
+    """One report of issues for each supplier; every fifth is cut off in its middle."""
+    rows = table(s, d, "lineitem")
+    place = F.struct(F.concat(F.lit("s"), F.col("l_partkey").cast("string"), F.lit(".go")).alias("Filename"), F.col("l_linenumber").alias("Line"), F.col("l_orderkey").alias("Column"))
+    severity = F.when(F.col("l_quantity") > 35, "error").when(F.col("l_quantity") > 15, "warning").otherwise("info")
+    issue = F.struct(F.col("l_linestatus").alias("FromLinter"), F.col("l_returnflag").alias("Text"), severity.alias("Severity"), place.alias("Pos"))
+    text = F.to_json(F.struct(F.collect_list(issue).alias("Issues")))
+    found = rows.groupBy("l_suppkey").agg(text.alias("value"))
+    return found.select(F.when(F.col("l_suppkey") % 5 == 0, F.substring("value", 1, 40)).otherwise(F.col("value")).alias("value"))
+
+
+query("tool_reports", """SELECT 'golangci-lint' AS source, l_linestatus AS rule_id, 's' || CAST(l_partkey AS VARCHAR) || '.go' AS file_path, CAST(l_linenumber AS BIGINT) AS line, CASE WHEN l_orderkey >= 1 THEN l_orderkey END AS col,
+  l_returnflag AS message, CASE WHEN l_quantity > 35 THEN 'high' WHEN l_quantity > 15 THEN 'medium' ELSE 'low' END AS severity
+FROM lineitem WHERE l_suppkey % 5 <> 0""")(lambda s, d: I.tool_signals(_reports(s, d), "golangci-lint"))
+query("report_rejects", "SELECT 'malformed JSON' AS reason, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_suppkey % 5 = 0 HAVING n > 0")(lambda s, d: I.tool_rejects(_reports(s, d), "golangci-lint"))

@@ -9,13 +9,26 @@ from codeloom.functions import scalars as S
 
 SARIF = "runs array<struct<tool:struct<driver:struct<name:string,rules:array<struct<id:string,properties:struct<`security-severity`:string>>>>>,results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:long,startColumn:long>>>>>>>>"
 
-#: Tools that write SARIF 2.1.0, and for the others the fields of their JSON rows: rule, path, line, message, severity.
-SARIF_TOOLS = ("ast-grep", "cargo-deny", "dependency-check", "gitleaks", "golangci-lint", "osv-scanner", "pmd", "semgrep", "spotbugs", "trivy")
-JSON_TOOLS = {
-    "bandit": ("results", "test_id", "filename", "line_number", "issue_text", "issue_severity"),
-    "ruff": ("", "code", "filename", "location.row", "message", "severity"),
-    "cppcheck": ("", "id", "file", "line", "message", "severity"),
-}
+#: Tools that write SARIF 2.1.0.
+SARIF_TOOLS = ("ast-grep", "cppcheck", "dependency-check", "pmd", "semgrep", "spotbugs", "trivy")
+#: Free text that holds credentials, and what takes their place.
+CREDENTIALS = (
+    (r"(?i)(\b[a-z][a-z0-9+.-]*://)([^@/\s:]+):([^@/\s]+)@", "$1$2:***@"),
+    (r"(?i)\b(bearer|basic)\s+([\w.~+/=-]{4,})", "$1 ***"),
+    (r"""(?i)\b(password|passwd|pwd|token|api[_-]?key|secret)\b(["']?\s*[:=]\s*["']?)(\S+)""", "$1$2***"),
+)
+
+
+def redacted(text: Column) -> Column:
+    """Free text without the credentials of addresses, authorisation schemes and assignments."""
+    for pattern, instead in CREDENTIALS:
+        text = F.regexp_replace(text, pattern, instead)
+    return text
+
+
+def preview(secret: Column) -> Column:
+    """The first four characters of a secret, none of a short one."""
+    return F.when(F.length(secret) > 4, F.concat(F.substring(secret, 1, 4), F.lit("\u2026"))).when(F.length(secret) > 0, "\u2026")
 
 
 def sarif_signals(docs: DataFrame, text: str = "value") -> DataFrame:
@@ -34,16 +47,34 @@ def read_sarif(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tool_signals(docs: DataFrame, tool: str, text: str = "value") -> DataFrame:
-    """Signals of a tool's report: SARIF, a JSON object with a list, a JSON array, or JSON lines."""
+    """Signals of a tool's reports, one report a row; ``tool_rejects`` counts what has another shape."""
     if tool in SARIF_TOOLS:
         return sarif_signals(docs, text)
-    if tool in NESTED_TOOLS:
-        return NESTED_TOOLS[tool](docs.select(F.col(text).alias("value")))
-    top, rule, path, line, message, severity = JSON_TOOLS[tool]
-    body = F.get_json_object(text, f"$.{top}") if top else F.when(F.ltrim(text).startswith("["), F.col(text)).otherwise(F.concat(F.lit("["), F.array_join(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), ","), F.lit("]")))
-    rows = docs.select(F.explode(F.from_json(body, "array<variant>")).alias("v"))
-    get = lambda p, t="string": F.try_variant_get("v", f"$.{p}", t) if p else F.lit(None).cast(t)
-    return rows.select(F.lit(tool).alias("source"), get(rule).alias("rule_id"), get(path).alias("file_path"), S.coordinate(get(line, "long")).alias("line"), F.lit(None).cast("long").alias("col"), get(message).alias("message"), F.coalesce(S.label_severity(get(severity)), F.lit("medium")).alias("severity"))
+    return TOOLS[tool](docs.select(F.col(text).alias("value")))
+
+
+def tool_rejects(docs: DataFrame, tool: str, text: str = "value") -> DataFrame:
+    """reason, n: reports that are no JSON or have another shape, entries that are no objects, and lines that are no JSON.
+
+    Null and blank reports count as such, too; tools that write lines may write other text between them.
+    """
+    rows = docs.select(F.col(text).alias("value"))
+    if tool in LINE_TOOLS:
+        lines = rows.select(F.explode(F.split(F.coalesce("value", F.lit("")), r"\r?\n")).alias("line")).filter(F.trim("line").rlike(r"^[{\[]"))
+        found = lines.select(F.when(F.try_parse_json("line").isNull(), "malformed line").alias("reason"))
+        empty = rows.filter(F.coalesce(F.trim("value"), F.lit("")) == "").select(F.lit("no report").alias("reason"))
+        return found.unionByName(empty).filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    place, kind = SHAPES["sarif" if tool in SARIF_TOOLS else tool]
+    rows = rows.select(_as_list(F.col("value")).alias("value")) if tool == "ruff" else rows
+    v = rows.select("value", F.try_parse_json("value").alias("v"))
+    top = F.try_variant_get("v", place, "variant") if place != "$" else F.col("v")
+    v = v.withColumn("top", top).withColumn("shape", F.schema_of_variant("top"))
+    ok = F.col("shape").startswith("ARRAY")
+    absent = F.col("top").isNull() | (F.col("shape") == "VOID")
+    whole = F.when(F.coalesce(F.trim("value"), F.lit("")) == "", "no report").when(F.col("v").isNull(), "malformed JSON").when(absent & F.lit(kind == "optional") & F.schema_of_variant("v").startswith("OBJECT"), None).when(absent | ~ok, "unexpected shape")
+    entries = v.filter(ok).select(F.explode(F.try_variant_get("top", "$", "array<variant>")).alias("e"))
+    odd = entries.select(F.when(F.coalesce(~F.schema_of_variant("e").startswith("OBJECT"), F.lit(True)), "entry is no object").alias("reason"))
+    return v.select(whole.alias("reason")).unionByName(odd).filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _signal(source: str, rule: Column, path: Column, line: Column, col: Column, message: Column, severity: Column) -> list[Column]:
@@ -102,7 +133,100 @@ def govulncheck_signals(docs: DataFrame) -> DataFrame:
     return rows.select(*_signal("govulncheck", F.col("osv"), F.coalesce("place.filename", F.lit("")), F.col("place.line"), F.col("place.column"), message, severity))
 
 
-NESTED_TOOLS = {"pip-audit": pip_audit_signals, "cargo-clippy": clippy_signals, "govulncheck": govulncheck_signals}
+def _entries(docs: DataFrame, place: str) -> DataFrame:
+    """The objects of a list in JSON reports, as variants ``e``, with the report ``v``."""
+    v = docs.select(F.try_parse_json("value").alias("v")).filter("v is not null")
+    rows = v.select("v", F.explode(F.try_variant_get("v", place, "array<variant>")).alias("e"))
+    return rows.filter(F.schema_of_variant("e").startswith("OBJECT"))
+
+
+def _get(place: str, kind: str = "string", of: str = "e") -> Column:
+    return F.try_variant_get(of, f"$.{place}", kind)
+
+
+def gitleaks_signals(docs: DataFrame) -> DataFrame:
+    """One signal for each secret; no part of it but a short preview is ever in a message."""
+    rule, secret = F.coalesce(_get("RuleID"), F.lit("gitleaks-secret")), _get("Secret")
+    text = redacted(F.coalesce(_get("Description"), F.concat(F.lit("Secret detected ("), rule, F.lit(")"))))
+    text = F.when(F.length(secret) > 0, F.replace(text, secret, preview(secret))).otherwise(text)
+    return _entries(docs, "$").select(*_signal("gitleaks", rule, F.coalesce(_get("File"), F.lit("")), _get("StartLine", "long"), _get("StartColumn", "long"), text, F.lit("high")))
+
+
+def golangci_signals(docs: DataFrame) -> DataFrame:
+    """One signal for each issue, and for the errors and warnings of a report about itself."""
+    none, tool = F.lit(None), F.lit("golangci-lint")
+    rule = F.coalesce(_get("FromLinter"), tool)
+    severity = F.coalesce(S.label_severity(_get("Severity")), F.lit("medium"))
+    issues = _entries(docs, "$.Issues").select(*_signal("golangci-lint", rule, F.coalesce(_get("Pos.Filename"), F.lit("")), _get("Pos.Line", "long"), _get("Pos.Column", "long"), F.coalesce(_get("Text"), rule), severity))
+    own = docs.select(F.try_parse_json("value").alias("e")).select(_get("Report.Error").alias("text")).filter("trim(text) <> ''")
+    own = own.select(*_signal("golangci-lint", F.lit("golangci-lint-report-error"), F.lit(""), none, none, F.col("text"), F.lit("high")))
+    warned = _entries(docs, "$.Report.Warnings").filter(_get("Text").isNotNull())
+    warned = warned.select(*_signal("golangci-lint", F.lit("golangci-lint-report-warning"), F.lit(""), none, none, _get("Text"), F.lit("medium")))
+    return issues.unionByName(own).unionByName(warned)
+
+
+def osv_signals(docs: DataFrame) -> DataFrame:
+    """One signal for each vulnerability of a package: by the score of its group, else by its label."""
+    results = _entries(docs, "$.results").select(_get("source.path").alias("path"), F.explode(_get("packages", "array<variant>")).alias("p"))
+    rows = results.select("path", "p", F.explode(_get("vulnerabilities", "array<variant>", "p")).alias("e")).filter(F.schema_of_variant("e").startswith("OBJECT"))
+    rule = F.coalesce(_get("id"), F.lit("osv-vulnerability"))
+    groups = F.coalesce(F.try_variant_get("p", "$.groups", "array<struct<ids:array<string>,max_severity:string>>"), F.array())
+    rows = rows.withColumn("rule", rule).withColumn("groups", groups)
+    score = F.get(F.filter("groups", lambda g: F.array_contains(F.coalesce(g["ids"], F.array().cast("array<string>")), F.col("rule")) & (F.length(g["max_severity"]) > 0)), F.lit(0))["max_severity"]
+    label = S.label_severity(_get("database_specific.severity"))
+    severity = F.when(score.try_cast("double").isNotNull(), S.cvss_severity(score)).otherwise(F.coalesce(label, F.lit("medium")))
+    name, version = _get("package.name", of="p"), _get("package.version", of="p")
+    about = F.when(name.isNull(), "").otherwise(F.concat(F.lit(" ("), name, F.coalesce(F.concat(F.lit("@"), version), F.lit("")), F.lit(")")))
+    return rows.select(*_signal("osv-scanner", F.col("rule"), F.coalesce("path", F.lit("")), F.lit(None), F.lit(None), F.concat(F.coalesce(_get("summary"), F.col("rule")), about), severity))
+
+
+def deny_signals(docs: DataFrame) -> DataFrame:
+    """One signal for each diagnostic with a message, at its first label."""
+    lines = docs.select(F.explode(F.split("value", r"\r?\n")).alias("line")).select(F.try_parse_json(F.trim("line")).alias("v"))
+    lines = lines.filter(F.schema_of_variant("v").startswith("OBJECT") & (F.coalesce(_get("type", of="v"), F.lit("diagnostic")) == "diagnostic"))
+    rows = lines.select(F.coalesce(_get("fields", "variant", "v"), F.col("v")).alias("e")).filter(_get("message").isNotNull())
+    advisory = _get("advisory.id")
+    code = F.coalesce(_get("code.code"), F.when(~F.schema_of_variant(_get("code", "variant")).startswith("OBJECT"), _get("code")))
+    rule = F.coalesce(F.when(advisory != "", advisory), code, F.lit("cargo-deny"))
+    label = F.lower(F.trim(F.coalesce(_get("severity"), _get("level"))))
+    severity = F.when(label == "bug", "high").otherwise(F.coalesce(S.label_severity(label), F.lit("medium")))
+    return rows.select(*_signal("cargo-deny", rule, F.coalesce(_get("labels[0].span"), F.lit("")), _get("labels[0].line", "long"), _get("labels[0].column", "long"), _get("message"), severity))
+
+
+def bandit_signals(docs: DataFrame) -> DataFrame:
+    """One signal for each result (columns from 1), and one for each file that could not be read."""
+    rule = F.coalesce(_get("test_id"), _get("test_name"), F.lit("bandit"))
+    column = F.when(_get("col_offset", "long") >= 0, _get("col_offset", "long") + 1)
+    severity = F.coalesce(S.label_severity(_get("issue_severity")), F.lit("medium"))
+    found = _entries(docs, "$.results").select(*_signal("bandit", rule, F.coalesce(_get("filename"), F.lit("")), _get("line_number", "long"), column, F.coalesce(_get("issue_text"), rule), severity))
+    reason = F.coalesce(_get("reason"), F.lit("Bandit could not analyze this file"))
+    return found.unionByName(_entries(docs, "$.errors").select(*_signal("bandit", F.lit("bandit-error"), F.coalesce(_get("filename"), F.lit("")), F.lit(None), F.lit(None), reason, F.lit("medium"))))
+
+
+def _as_list(value: Column) -> Column:
+    """A JSON array as it is, and lines of JSON values as one."""
+    lines = F.filter(F.split(value, r"\r?\n"), lambda x: F.trim(x) != "")
+    return F.when(F.ltrim(value).startswith("{"), F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]"))).otherwise(value)
+
+
+def ruff_signals(docs: DataFrame) -> DataFrame:
+    """One signal for each diagnostic of an array, or of JSON lines."""
+    docs = docs.select(_as_list(F.col("value")).alias("value"))
+    rule = F.coalesce(_get("code"), F.lit("ruff"))
+    severity = F.coalesce(S.label_severity(_get("severity")), F.lit("medium"))
+    return _entries(docs, "$").select(*_signal("ruff", rule, F.coalesce(_get("filename"), F.lit("")), _get("location.row", "long"), _get("location.column", "long"), F.coalesce(_get("message"), rule), severity))
+
+
+TOOLS = {
+    "pip-audit": pip_audit_signals, "cargo-clippy": clippy_signals, "govulncheck": govulncheck_signals, "gitleaks": gitleaks_signals, "golangci-lint": golangci_signals,
+    "osv-scanner": osv_signals, "cargo-deny": deny_signals, "bandit": bandit_signals, "ruff": ruff_signals,
+}
+#: Tools that write a JSON value a line; for the others, where the list of their findings stands and whether it may be absent.
+LINE_TOOLS = ("cargo-clippy", "cargo-deny", "govulncheck")
+SHAPES = {
+    "sarif": ("$.runs", "needed"), "gitleaks": ("$", "needed"), "golangci-lint": ("$.Issues", "optional"), "osv-scanner": ("$.results", "optional"),
+    "pip-audit": ("$.dependencies", "needed"), "bandit": ("$.results", "needed"), "ruff": ("$", "needed"),
+}
 
 
 def sarif_result(rule: Column, severity: Column, message: Column, path: Column, line: Column, col: Column) -> Column:
