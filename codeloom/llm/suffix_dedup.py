@@ -162,9 +162,13 @@ def _contexts(texts: DataFrame, length: int) -> DataFrame:
     """Bytes around the anchors that have to be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
             out: list[tuple] = []
             for r1, r2, text, marks in zip(*(batch.column(c) for c in (*NAME, "text", "marks"))):
+                if (r1.as_py(), r2.as_py()) == before:
+                    continue  # rows of one name follow each other, and one of them speaks for all
+                before = (r1.as_py(), r2.as_py())
                 data = (text.as_py() or "").encode()
                 for m in marks.as_py():
                     if m["compare"]:
@@ -270,14 +274,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = contexts.join(keys.hint("merge"), "key").select("key", "c1", "c2", "n", "holder", "different")
     # Of a context that occurs more than once, that of one row is compared with others (or of rows that repeat it).
     marks = sample.join(shared.hint("merge"), ["key", "c1", "c2"]).select(*NAME, F.struct("pos", "most", "fewest", "key", (F.col("n") > 1).alias("whole"), ((F.col("different") > 1) & (F.col("r1") == F.col("holder"))).alias("compare")).alias("mark"))
-    marks = marks.groupBy(*NAME).agg(F.collect_list("mark").alias("marks"))
+    marks = marks.groupBy(*NAME).agg(F.collect_set("mark").alias("marks"))  # of rows that repeat each other, once
     joined = docs.join(marks.hint("merge"), list(NAME), "left")
     some = F.col("marks").isNotNull()
     joined = saved(joined.select("doc_id", *NAME, F.octet_length("text").cast("long").alias("n_bytes"), F.when(~some, F.sha2("text", 256)).alias("sha"), F.when(some, F.col("text")).alias("text"), "marks"), "marked")
 
     compared = saved(_contexts(joined.filter(F.exists("marks", lambda m: m["compare"])), length), "compared")
     spans = saved(_compared(compared, length, bucket), "spans")
-    spans = spans.groupBy(*NAME).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = spans.groupBy(*NAME).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     texts = joined.filter("marks is not null").select(*NAME, "doc_id", "text", "marks")
     cut = _cut(texts.join(spans.hint("merge"), list(NAME), "left").select("doc_id", "text", "marks", "spans"), length)
     clean = joined.filter("marks is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
