@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm._common import numbered, saved, ship
 from codeloom.llm.quality import Model, fit, labelled_sample, scored, scores
+from codeloom.llm.vocabulary import HELD
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.88, "low": 0.10, "toxic": 0.02}
@@ -146,8 +147,8 @@ def _newton(table: DataFrame, wanted: np.ndarray, total: int, tolerance: float,
     return best
 
 
-def posteriors(docs: DataFrame, models: list[Model], tokenizer: str, more: tuple[str, ...]) -> DataFrame:
-    return scores(docs, models, list(DOMAINS), more, tokenizer)
+def posteriors(docs: DataFrame, models: list[Model], tokenizer: str, more: tuple[str, ...], held: int = HELD) -> DataFrame:
+    return scores(docs, models, list(DOMAINS), more, tokenizer, held)
 
 
 def rated(batches: Iterator[pa.RecordBatch], descent: Descent) -> Iterator[pa.RecordBatch]:
@@ -165,9 +166,9 @@ def copies(rate, row):
     return F.floor(rate + chance).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, sample: int = 6000) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, sample: int = 6000, held: int = HELD) -> DataFrame:
     """doc_id, n_tokens, posterior of each domain, rate, copies of every row."""
-    table = saved(posteriors(docs, domain_models(docs, labels, sample), tokenizer, ("doc_id",)), "posteriors")
+    table = saved(posteriors(docs, domain_models(docs, labels, sample), tokenizer, ("doc_id",), held), "posteriors")
     descent = solve(table, targets or TARGETS)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema), "rate double"])
     out = table.mapInArrow(lambda batches: rated(batches, descent), schema)

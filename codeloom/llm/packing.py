@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from codeloom.llm._arrow import slices
 from codeloom.llm._common import ship
-from codeloom.llm.vocabulary import vocabulary
+from codeloom.llm.vocabulary import HELD, vocabulary
 
 FIELDS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 SLICE = 4 << 20
@@ -95,11 +95,11 @@ class _Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, block_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece, with its ids as little-endian unsigned 32-bit integers; ``tokenizer`` is the path of a .json file."""
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, block_tokens: int = 1 << 20, held: int = HELD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each piece, with its ids as little-endian unsigned 32-bit integers; ``tokenizer`` is the path of a .json file, ``held`` bounds a worker's table of pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = vocabulary(tokenizer), np.array([end_id], "<u4")
+        known, end = vocabulary(tokenizer, held), np.array([end_id], "<u4")
         packer = _Packer(size, TaskContext.get().partitionId() << 36)
         for batch in batches:
             for part, _, _ in slices(batch, "text", SLICE):

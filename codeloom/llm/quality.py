@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from codeloom.llm._arrow import slices
 from codeloom.llm._common import numbered, ship
 from codeloom.llm.ngrams import BITS, Indicators, hashed
-from codeloom.llm.vocabulary import vocabulary
+from codeloom.llm.vocabulary import HELD, vocabulary
 
 SLICE = 1 << 21
 
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model:
     return fit([g for _, g in rows], np.array([r.y for r, _ in rows]))
 
 
-def scored(batches: Iterator[pa.RecordBatch], models: list[Model], names: list[str], more: tuple[str, ...], tokenizer: str | None = None) -> Iterator[pa.RecordBatch]:
+def scored(batches: Iterator[pa.RecordBatch], models: list[Model], names: list[str], more: tuple[str, ...], tokenizer: str | None = None, held: int = HELD) -> Iterator[pa.RecordBatch]:
     """Batches with the columns ``more``, with a tokenizer n_tokens of the column ``__text``, and each model's score of it."""
     indicators = Indicators()
     rows = np.column_stack([x for m in models for x in (m.products, m.squares)])  # a gram's numbers stand together
@@ -189,18 +189,18 @@ def scored(batches: Iterator[pa.RecordBatch], models: list[Model], names: list[s
                 norms = np.sqrt(sums[1::2])
                 margins[:, i] = np.divide(sums[::2], norms, out=np.zeros(len(models)), where=norms > 0) + bias
             columns = [part.column(c) for c in more]
-            tokens = [pa.array(vocabulary(tokenizer).counts([t or "" for t in part.column("__text").to_pylist()]), pa.int64())] if tokenizer else []
+            tokens = [pa.array(vocabulary(tokenizer, held).counts([t or "" for t in part.column("__text").to_pylist()]), pa.int64())] if tokenizer else []
             columns += [*tokens, *(pa.array(m.score(margins[k]), pa.float64()) for k, m in enumerate(models))]
             yield pa.RecordBatch.from_arrays(columns, names=[*more, *(["n_tokens"] if tokenizer else []), *names])
 
 
-def scores(docs: DataFrame, models: list[Model], names: list[str], more: tuple[str, ...] = (), tokenizer: str | None = None) -> DataFrame:
+def scores(docs: DataFrame, models: list[Model], names: list[str], more: tuple[str, ...] = (), tokenizer: str | None = None, held: int = HELD) -> DataFrame:
     """The columns ``more`` of every row of ``docs``, with a tokenizer file its n_tokens, and each model's score under its name."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(models)  # a fixed size: 2**18 buckets for each model
     kept = docs.select(*more, F.col("text").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), *(["n_tokens long"] if tokenizer else []), *(f"`{n}` double" for n in names)])
-    return kept.mapInArrow(lambda batches: scored(batches, sent.value, names, more, tokenizer), schema)
+    return kept.mapInArrow(lambda batches: scored(batches, sent.value, names, more, tokenizer, held), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:

@@ -11,6 +11,8 @@ from codeloom.llm import exact_dedup, lexical_search, minhash_dedup, mixing, pac
 from codeloom.llm._common import shared_folder, table
 
 TOKENIZER = "byte_bpe_50k"
+#: Bytes of a worker's table of pieces where one operator has the executor for itself.
+HELD = 200 << 20
 
 
 def tokenizer_path(suffix: str) -> str:
@@ -36,7 +38,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("json"), budget=512)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("json"), budget=512, held=HELD)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +55,11 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), tokenizer_path("json"))
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), tokenizer_path("json"), held=HELD)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("json"))
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("json"), held=HELD)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm._arrow import slices
 from codeloom.llm._common import ship
-from codeloom.llm.vocabulary import vocabulary
+from codeloom.llm.vocabulary import HELD, vocabulary
 
 FIELDS = "doc_id long, n_bytes long, n_tokens long"
 SLICE = 4 << 20
@@ -42,7 +42,7 @@ def longest_within(steps: bytes, budget: int) -> int:
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-def prefix_counts(docs: DataFrame, tokenizer: str, budget: int | None = None, stored: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def prefix_counts(docs: DataFrame, tokenizer: str, budget: int | None = None, stored: bool = True, held: int = HELD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens of each row; ``tokenizer`` is the path of a byte-level BPE .json file.
 
     With ``stored`` also steps, the prefix array (16-bit little-endian integers, one for each character).  With
@@ -54,7 +54,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, budget: int | None = None, st
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(tokenizer)
+        known = vocabulary(tokenizer, held)
         for batch in batches:
             for part, _, at in slices(batch, "text", SLICE):
                 arrays = [known.prefix_steps(t or "") for t in part.column("text").to_pylist()]

@@ -269,8 +269,10 @@ class Vocabulary:
 _loaded: dict[str, Vocabulary] = {}
 
 
-def vocabulary(path: str) -> Vocabulary:
-    """One for each file and worker."""
+def vocabulary(path: str, most: int = HELD) -> Vocabulary:
+    """One for each file and worker; its tables hold ``most`` bytes (about) each from now on."""
     if path not in _loaded:
         _loaded[path] = Vocabulary(path)
+    for known in (_loaded[path].ids, _loaded[path].sizes, _loaded[path].steps):
+        known.most = most
     return _loaded[path]
