@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from codeloom.functions import scalars as S
+from codeloom.operators import ranks as Q
 
 
 def package_coupling(edges: DataFrame, occ: DataFrame) -> DataFrame:
@@ -32,11 +33,13 @@ def mutual_packages(coupling: DataFrame) -> DataFrame:
     return a.join(b, ["a", "b"])
 
 
-def latency_snapshot(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """count, mean and interpolated p50, p95, p99; zeros where there are no values."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), zero(F.avg(value)).alias("mean"), *[zero(p[i]).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+def latency_snapshot(rows: DataFrame, value: str, *by: str, limit: int = 100_000) -> DataFrame:
+    """count, mean and interpolated p50, p95, p99 (exact, for groups of any size); zeros where there are no values."""
+    group = F.struct(F.lit(1).alias("all"), *by).alias("g")
+    totals = rows.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    ranks = Q.quantiles(rows, value, list(by), {"p50": 0.5, "p95": 0.95, "p99": 0.99}, limit)
+    out = totals.join(ranks.select(group, "p50", "p95", "p99"), "g", "left")
+    return out.select(*[F.col("g")[b].alias(b) for b in by], "n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "p50", "p95", "p99")])
 
 
 def rates(totals: DataFrame) -> DataFrame:
@@ -120,6 +123,7 @@ def unit_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(F.col("status") == "PASS").alias("passed"), F.count_if(F.col("status") != "PASS").alias("failed"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("errors", "warnings", "duration")))
 
 
-def median(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """The exact median of each group; of an even number, the mean of the middle pair."""
-    return rows.groupBy(by).agg(F.median(value).alias("median"))
+def median(rows: DataFrame, by: str, value: str, limit: int = 100_000) -> DataFrame:
+    """The exact median of each group; of an even number, the mean of the middle pair; null where there are no values."""
+    found = Q.quantiles(rows, value, [by], {"median": 0.5}, limit)
+    return rows.select(F.col(by).alias("key")).distinct().join(found, F.col("key").eqNullSafe(F.col(by)), "left").select(F.col("key").alias(by), "median")

@@ -11,6 +11,7 @@ from codeloom.operators import clones as C
 from codeloom.operators import joins as J
 from codeloom.operators import ledger as L
 from codeloom.operators import predicates as P
+from codeloom.operators import ranks as Q
 from codeloom.operators import rules as R
 from codeloom.plans.registry import query, table
 from codeloom.plans.shared import saved
@@ -71,7 +72,7 @@ query("chunk_by_depth", f"{OC} SELECT array_to_string(string_split(file_path, '/
 
 query("latency_snapshot", f"{SES} SELECT tool, count(duration) AS n, avg(duration) AS mean, quantile_cont(duration, 0.5) AS p50, quantile_cont(duration, 0.95) AS p95, quantile_cont(duration, 0.99) AS p99 FROM session GROUP BY tool")(lambda s, d: A.latency_snapshot(sessions(s, d), "duration", "tool"))
 query("nearest_rank", f"{SES} SELECT tool, median(duration) AS mid, quantile_disc(duration, 0.95) AS p95 FROM session GROUP BY tool")(
-    lambda s, d: sessions(s, d).groupBy("tool").agg(F.median("duration").alias("mid"), F.expr("percentile_disc(0.95) within group (order by duration)").alias("p95")))
+    lambda s, d: A.median(sessions(s, d), "tool", "duration").withColumnRenamed("median", "mid").join(Q.nearest_rank(sessions(s, d), "duration", ["tool"], "p95", 0.95), "tool"))
 RATES = f"""{SES}, t AS (SELECT user_id, count(*) AS total, count(*) FILTER (NOT passed) AS failed, count(*) FILTER (tool IN ('error', 'view')) AS errors, sum(duration) AS seconds FROM session GROUP BY user_id)"""
 
 
