@@ -125,23 +125,26 @@ def file_roles(path: Column) -> Column:
     return F.filter(F.array(F.when(has("test", "tests", "spec", "fixtures"), "test"), F.when(has("generated", "gen"), "generated"), F.when(has("docs", "md"), "docs"), F.when(has("json", "yml", "yaml", "toml"), "config"), F.when(has("ts", "js", "py", "go", "rs", "java"), "source")), lambda r: r.isNotNull())
 
 
-def glob_pattern(glob: str) -> str:
-    """Regular expression of a path glob (**, *, ?, {a,b})."""
+def glob_pattern(glob: str, dot: bool = True) -> str:
+    """Regular expression of a path glob (**, *, ?, {a,b}); without ``dot``, wildcards match no name that begins with a dot."""
+    return f"^{_glob(glob, dot, True)}$"
+
+
+def _glob(glob: str, dot: bool, start: bool) -> str:
+    """``start``: the glob begins a name."""
     out, i = "", 0
     while i < len(glob):
-        c = glob[i]
+        c, shown = glob[i], "" if dot or not start else r"(?!\.)"
         if glob.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-            continue
-        if glob.startswith("**", i):
-            out, i = out + ".*", i + 2
-            continue
-        if c == "{" and (end := glob.find("}", i)) > 0:
-            out, i = out + "(?:" + "|".join(glob_pattern(x)[1:-1] for x in glob[i + 1 : end].split(",")) + ")", end + 1
-            continue
-        out += {"*": "[^/]*", "?": "[^/]"}.get(c, "\\" + c if c in r".+()[]^$|\{}" else c)
-        i += 1
-    return f"^{out}$"
+            out, i = out + ("(?:.*/)?" if dot else r"(?:(?!\.)[^/]+/)*"), i + 3
+        elif glob.startswith("**", i):
+            out, i, start = out + (".*" if dot else shown + r"(?:[^/]|/(?!\.))*"), i + 2, False
+        elif c == "{" and (end := glob.find("}", i)) > 0:
+            out, i, start = out + "(?:" + "|".join(_glob(x, dot, start) for x in glob[i + 1 : end].split(",")) + ")", end + 1, False
+        else:
+            out += {"*": shown + "[^/]*", "?": shown + "[^/]"}.get(c, "\\" + c if c in r".+()[]^$|\{}" else c)
+            i, start = i + 1, c == "/"
+    return out
 
 
 #: String literals by their quote (possessive, so that long ones need no stack), and comments.
