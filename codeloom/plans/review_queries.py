@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators import correlation as K
 from codeloom.plans.registry import query
+from codeloom.plans.shared import shared_root
 from codeloom.sources.adapters import SIGNAL, signals
+from codeloom.sources.baselines import BaselineStore
 
 #: Findings: every line of an order is one; those of lines 2 name a function, and all files lie in one package.
 FINDING = f"""{SIGNAL}, finding AS (
@@ -61,3 +65,17 @@ query("correlation_entities", f"""WITH {KEYED}, ordered AS (
 ), seen AS (SELECT kind, value, entity_kind, entity_id, min(spot) AS spot FROM e WHERE n >= 2 GROUP BY ALL)
 SELECT kind, value, CAST(row_number() OVER (PARTITION BY kind, value ORDER BY spot) AS INTEGER) AS place, entity_kind, entity_id FROM seen
 QUALIFY row_number() OVER (PARTITION BY kind, value ORDER BY spot) <= 12""")(lambda s, d: K.group_entities(findings(s, d)))
+
+
+def _saved_baseline(s: SparkSession, d: str) -> DataFrame:
+    """All findings are saved, then those of three lines of each order in their place."""
+    store = BaselineStore(s, f"{shared_root(s)}/codeloom/baselines-{uuid.uuid4().hex}")
+    rows = signals(s, d).select(F.concat_ws("|", "rule_id", "file_path").alias("fingerprint"), F.col("severity").alias("payload"), (F.col("ordinal") * 8 + F.col("line")).alias("ordinal"), "line")
+    store.save("fit", rows)
+    store.save("fit", rows.filter("line <= 3"))
+    store.prune()
+    return store.load("fit")
+
+
+query("saved_baseline", f"""WITH {SIGNAL} SELECT rule_id || '|' || file_path AS fingerprint, severity AS payload FROM signal WHERE line <= 3
+QUALIFY row_number() OVER (PARTITION BY rule_id, file_path ORDER BY ordinal * 8 + line DESC, severity DESC) = 1""")(_saved_baseline)
