@@ -20,6 +20,21 @@ def normalized(body: Column) -> Column:
     return F.trim(F.regexp_replace(body, r"(?U)\s+", " "))
 
 
+#: Kinds that are never worth sharing, and the least lines of a body.
+UNSHARED_KINDS, MIN_LINES = ("arrow", "function-expression", "module-init"), 5
+
+
+def eligible(cands: DataFrame) -> DataFrame:
+    """Candidates (kind, in_test) that could be shared; unknown kinds could, tests' own functions are not."""
+    return cands.filter(F.coalesce(~F.col("kind").isin(*UNSHARED_KINDS), F.lit(True)) & ~F.coalesce("in_test", F.lit(False)))
+
+
+def long_enough(cands: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """Candidates of ``min_lines`` lines or more, by ``body_lines`` where it is there and known, else by line and end_line."""
+    span = F.col("end_line") - F.col("line") + 1
+    return cands.filter((F.coalesce("body_lines", span) if "body_lines" in cands.columns else span) >= min_lines)
+
+
 def exact_groups(cands: DataFrame, hash_col: str = "body_hash", min_size: int = 200) -> DataFrame:
     """Groups of two or more equal bodies that are large enough (or of unknown size), with their anchor."""
     rows = cands.dropDuplicates(["site"]).filter(F.coalesce(F.col("size") >= min_size, F.lit(True)))

@@ -130,7 +130,16 @@ def _cands(s, d):
     return occurrences(s, d).withColumn("site", F.concat_ws(":", "file_path", F.col("line").cast("string"), "name", F.col("occ_id").cast("string")))
 
 
+def _eligible(s, d):
+    """A quarter of the functions are arrows; a sixth say their own count of lines."""
+    kind = F.when(F.col("occ_id") % 4 == 1, "arrow").otherwise(F.col("kind"))
+    rows = _cands(s, d).withColumns({"kind": kind, "body_lines": F.when(F.col("occ_id") % 6 == 0, F.col("size") % 9)})
+    return C.exact_groups(C.long_enough(C.eligible(rows)), min_size=20)
+
+
 query("exact_duplicates", f"{DUP} SELECT * FROM dup")(lambda s, d: C.exact_groups(_cands(s, d), min_size=20))
+query("eligible_duplicates", f"""{OC} SELECT body_hash, count(*) AS n, min(file_path || ':' || CAST(line AS VARCHAR) || ':' || name || ':' || CAST(occ_id AS VARCHAR)) AS anchor, count(DISTINCT package) AS packages, max(size) AS size
+FROM occ WHERE NOT in_test AND occ_id % 4 <> 1 AND CASE WHEN occ_id % 6 = 0 THEN size % 9 ELSE size * 12 + 1 END >= 5 AND size >= 20 GROUP BY body_hash HAVING count(*) >= 2""")(lambda s, d: _eligible(s, d))
 query("duplicate_loc", f"{DUP} SELECT body_hash, CAST(size * (n - 1) AS BIGINT) AS lines FROM dup")(lambda s, d: C.duplicate_lines(C.exact_groups(_cands(s, d), min_size=20)).select("body_hash", "lines"))
 query("cross_package_duplicates", f"{OC} SELECT body_hash, count(*) AS n, array_to_string(list_sort(list(DISTINCT package)), ',') AS packages FROM occ GROUP BY body_hash HAVING count(DISTINCT package) >= 3 AND arg_min(size, file_path || ':' || CAST(line AS VARCHAR) || ':' || name || ':' || CAST(occ_id AS VARCHAR)) >= 8")(
     lambda s, d: C.cross_package_groups(_cands(s, d), min_anchor=8).select("body_hash", "n", F.array_join("packages", ",").alias("packages")))

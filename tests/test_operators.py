@@ -224,3 +224,13 @@ def test_pages_go_through_all_rows_once(spark):
             with pytest.raises(ValueError, match="cursor-invalid"):
                 ledger.decode_cursor(bad[0], ledger.query_digest(bad[1]), bad[2])
     assert seen == list(range(1, 24)) and total == 23
+
+
+def test_clone_eligibility(spark):
+    from codeloom.operators import clones as C
+
+    rows = [(1, "function", False, 1, 5, None), (2, "arrow", False, 1, 9, None), (3, "function", True, 1, 9, None), (4, None, None, 1, 4, None), (5, "method", False, 1, 2, 7), (6, "method", False, 1, 20, 4), (7, "module-init", False, 1, 9, None), (8, "function-expression", False, 1, 9, 9)]
+    cands = spark.createDataFrame(rows, "id int, kind string, in_test boolean, line long, end_line long, body_lines long")
+    assert {r.id for r in C.eligible(cands).collect()} == {1, 4, 5, 6}
+    assert {r.id for r in C.long_enough(C.eligible(cands)).collect()} == {1, 5}
+    assert {r.id for r in C.long_enough(cands.drop("body_lines")).collect()} == {1, 2, 3, 6, 7, 8}
