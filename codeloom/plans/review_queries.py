@@ -31,7 +31,7 @@ GROUPS = f"""WITH {KEYED}, placed AS (
   SELECT *, row_number() OVER (PARTITION BY kind, value ORDER BY {ORDER}) AS place FROM keyed
 ), g AS (
   SELECT kind, value, kind_weight, min(weight) AS weight, bool_or(is_new) AS is_new, max(dependents) AS dependents, count(*) AS n, CAST(min(ref) FILTER (place = 1) AS BIGINT) AS "primary",
-         list(CAST(ref AS BIGINT) ORDER BY place) FILTER (place <= 10) AS members, bit_xor(hash(ref)) AS whole
+         list(CAST(ref AS BIGINT) ORDER BY place) FILTER (place <= 10) AS members, list(ref ORDER BY ref) AS whole
   FROM placed GROUP BY kind, value, kind_weight HAVING count(*) >= 2
 ), based AS (
   SELECT *, 'corr-' || kind || '-' || trim(regexp_replace(lower(value), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM g
