@@ -55,8 +55,11 @@ def longest_prefix_owner(files: DataFrame, roots: DataFrame, default: str) -> Da
 
 
 def stitch(owners: DataFrame, exact: DataFrame, by_hash: DataFrame) -> DataFrame:
-    """Edges of an owner by its full key, else by its hash."""
-    a = owners.join(exact.withColumnRenamed("edges", "own_edges"), ["body_hash", "file_path", "line"], "left")
+    """Edges of an owner by its full key (body_hash, file_path, line, column), else by its hash.
+
+    Without the column, twins on one line would get each other's edges.
+    """
+    a = owners.join(exact.withColumnRenamed("edges", "own_edges"), ["body_hash", "file_path", "line", "column"], "left")
     return a.join(by_hash.withColumnRenamed("edges", "hash_edges"), "body_hash", "left").withColumn("edges", F.coalesce("own_edges", "hash_edges")).drop("own_edges", "hash_edges")
 
 

@@ -221,8 +221,18 @@ query("import_resolution", f"{OC}, k AS (SELECT DISTINCT file_path AS path FROM
     lambda s, d: J.resolve_imports(occurrences(s, d).select(F.col("file_path").alias("importer"), S.strip_extension(F.col("file_path")).alias("target")).distinct(), occurrences(s, d).select(F.col("file_path").alias("path")).distinct()))
 query("semantic_references", f"{OC} SELECT o.occ_id, CASE WHEN n = 1 THEN target END AS target, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unknown' END AS status FROM occ o LEFT JOIN (SELECT body_hash, count(*) AS n, min(occ_id) AS target FROM occ WHERE exported GROUP BY body_hash) e USING (body_hash)")(
     lambda s, d: J.unique_exports(occurrences(s, d).select("occ_id", "body_hash"), occurrences(s, d).filter("exported").select("body_hash", F.col("occ_id").alias("target")), ["body_hash"]).drop("body_hash"))
+
+
+def _stitched(s, d):
+    """A third of the functions has edges of its own; a function's column is its number, as two can begin on one line."""
+    occ = occurrences(s, d).withColumn("column", F.col("occ_id"))
+    own = occ.filter("occ_id % 3 = 0").select("body_hash", "file_path", "line", "column", F.col("occ_id").alias("edges"))
+    by_hash = occ.groupBy("body_hash").agg(F.min("occ_id").alias("edges"))
+    return J.stitch(occ.select("occ_id", "body_hash", "file_path", "line", "column"), own, by_hash).select("occ_id", "edges")
+
+
 query("stitched_edges", f"{OC} SELECT occ_id, CASE WHEN occ_id % 3 = 0 THEN occ_id ELSE (SELECT min(x.occ_id) FROM occ x WHERE x.body_hash = o.body_hash) END AS edges FROM occ o")(
-    lambda s, d: J.stitch(occurrences(s, d).select("occ_id", "body_hash", "file_path", "line"), occurrences(s, d).filter("occ_id % 3 = 0").select("body_hash", "file_path", "line", F.col("occ_id").alias("edges")), occurrences(s, d).groupBy("body_hash").agg(F.min("occ_id").alias("edges"))).select("occ_id", "edges"))
+    lambda s, d: _stitched(s, d))
 query("unused_config", "SELECT DISTINCT p_brand AS property FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_quantity = 50 AND l_discount = 0.1)")(
     lambda s, d: table(s, d, "part").select(F.col("p_brand").alias("property")).distinct().join(table(s, d, "part").join(table(s, d, "lineitem").filter("l_quantity = 50 and l_discount = 0.1"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_brand").alias("property")), "property", "left_anti"))
 query("target_files", r"SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS path FROM pages WHERE regexp_matches(regexp_extract(url, '://[^/]*/([^?#]*)', 1), '^(?:en|de)/[^/]*$') AND NOT regexp_matches(regexp_extract(url, '://[^/]*/([^?#]*)', 1), '^.*1[^/]*\.html$')")(

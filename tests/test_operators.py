@@ -234,3 +234,11 @@ def test_clone_eligibility(spark):
     assert {r.id for r in C.eligible(cands).collect()} == {1, 4, 5, 6}
     assert {r.id for r in C.long_enough(C.eligible(cands)).collect()} == {1, 5}
     assert {r.id for r in C.long_enough(cands.drop("body_lines")).collect()} == {1, 2, 3, 6, 7, 8}
+
+
+def test_twins_on_one_line_keep_their_own_edges(spark):
+    key = "body_hash string, file_path string, line long, column long"
+    owners = spark.createDataFrame([(1, "h", "a.ts", 3, 0), (2, "h", "a.ts", 3, 40), (3, "h", "a.ts", 3, 80)], f"occ_id long, {key}")
+    exact = spark.createDataFrame([("h", "a.ts", 3, 0, 10), ("h", "a.ts", 3, 40, 20)], f"{key}, edges long")
+    got = joins.stitch(owners, exact, spark.createDataFrame([("h", 10)], "body_hash string, edges long"))
+    assert sorted((r.occ_id, r.edges) for r in got.collect()) == [(1, 10), (2, 20), (3, 10)]
