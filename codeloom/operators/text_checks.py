@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from codeloom.functions import scalars as S
-from codeloom.plans.shared import saved
+from codeloom.plans.shared import saved, spread
 
 #: Characters that stand for no text; where a text holds one, it counts as an unknown character.
 _BEGIN, _END, _UNKNOWN = "\ufdd0", "\ufdd1", "\ufffd"
@@ -243,4 +243,4 @@ def inside(spans: DataFrame, points: DataFrame, keys: list[str], lo: str, hi: st
     most = spans.agg(F.max(F.col(hi).cast("long") - F.col(lo).cast("long")).alias("longest")).select(F.coalesce(F.ceil(F.log2(F.greatest("longest", F.lit(0)) + 2)), F.lit(0)).cast("int")).scalar()
     levels = points.filter(F.col(at) >= 0).withColumn("most", most).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("most")))).drop("most")
     levels = levels.withColumn("block", F.expr(f"shiftright(cast(`{at}` as long), level)"))
-    return cut.select("*", "b.level", "b.block").drop("b").join(levels, [*keys, "level", "block"]).drop("level", "block")
+    return cut.select("*", "b.level", "b.block").drop("b").join(spread(levels), [*keys, "level", "block"]).drop("level", "block")

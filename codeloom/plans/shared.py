@@ -32,6 +32,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for a join that shuffles: where it is exploded or read from packed files, Spark takes it for much smaller than
+    it is, and would send it to all executors through the driver."""
+    return df.hint("merge")
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable by the executors' Python workers, once for each application."""
     sc = spark.sparkContext
@@ -53,7 +59,7 @@ def iterate(frontier: DataFrame, step: Callable[[DataFrame, DataFrame], DataFram
     frontier = saved(frontier.dropDuplicates(keys))
     seen, depth = frontier, 0
     while max_depth is None or depth < max_depth:
-        fresh = step(frontier, seen).dropDuplicates(keys).join(seen.select(*keys), keys, "left_anti")
+        fresh = step(frontier, seen).dropDuplicates(keys).join(spread(seen.select(*keys)), keys, "left_anti")
         frontier = saved(fresh)
         if frontier.isEmpty():
             break

@@ -242,3 +242,13 @@ def test_twins_on_one_line_keep_their_own_edges(spark):
     exact = spark.createDataFrame([("h", "a.ts", 3, 0, 10), ("h", "a.ts", 3, 40, 20)], f"{key}, edges long")
     got = joins.stitch(owners, exact, spark.createDataFrame([("h", 10)], "body_hash string, edges long"))
     assert sorted((r.occ_id, r.edges) for r in got.collect()) == [(1, 10), (2, 20), (3, 10)]
+
+
+def joins_by_broadcast(df):
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_spans_are_not_broadcast(spark):
+    occ = spark.createDataFrame([("a.ts", 1, 1, 9), ("a.ts", 2, 2, 5), ("b.ts", 3, 2, 5)], "file_path string, occ_id long, line long, end_line long")
+    nested = joins.nested_spans(occ)
+    assert [tuple(r) for r in nested.collect()] == [(1, 2)] and not joins_by_broadcast(nested)
