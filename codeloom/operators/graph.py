@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from codeloom.plans.shared import iterate, saved
+from codeloom.plans.shared import iterate, saved, spread
 
 
 def hash_edges(edges: DataFrame, occ: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
     start = seeds.select("node", F.lit(0).alias("depth"))
 
     def once(f: DataFrame) -> DataFrame:
-        return f.join(edges, f["node"] == edges["src"]).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
+        return f.join(spread(edges), f["node"] == edges["src"]).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
 
     edges = saved(edges.select("src", "dst"))  # each step reads them
     if max_depth is not None:
@@ -39,7 +39,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
             level = once(level).groupBy("node").agg(F.min("depth").alias("depth"))
             found.append(level)
         fresh = reduce(DataFrame.unionByName, found).groupBy("node").agg(F.min("depth").alias("depth"))
-        frontier = saved(fresh.join(seen.select("node"), "node", "left_anti"))
+        frontier = saved(fresh.join(spread(seen.select("node")), "node", "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = saved(seen.unionByName(frontier))
@@ -52,7 +52,7 @@ def walk(edges: DataFrame, start: DataFrame, max_depth: int = 5, cap: int | None
     first = start.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.array("node").alias("path"))
 
     def step(f: DataFrame, _: DataFrame) -> DataFrame:
-        out = f.join(edges, f["node"] == edges["src"]).select(F.col("dst").alias("to"), (F.col("depth") + 1).alias("depth"), F.col("node").alias("by"), "path")
+        out = f.join(spread(edges), f["node"] == edges["src"]).select(F.col("dst").alias("to"), (F.col("depth") + 1).alias("depth"), F.col("node").alias("by"), "path")
         best = out.groupBy("to").agg(F.min("depth").alias("depth"), F.min("by").alias("parent"), F.min_by("path", "by").alias("path"))
         return best.select(F.col("to").alias("node"), "depth", "parent", F.concat("path", F.array("to")).alias("path"))
 
@@ -64,7 +64,7 @@ def blast(edges: DataFrame, max_depth: int = 5) -> DataFrame:
     """node, direct, transitive, score of every node with callers; a node is never its own caller."""
     edges = saved(edges.select("src", "dst"))
     pairs = edges.filter("src <> dst").select(F.col("dst").alias("node"), F.col("src").alias("caller"), F.lit(1).alias("depth"))
-    step = lambda f, _: f.join(edges.withColumnsRenamed({"src": "s", "dst": "d"}), F.col("caller") == F.col("d")).filter("node <> s").select("node", F.col("s").alias("caller"), (F.col("depth") + 1).alias("depth"))
+    step = lambda f, _: f.join(spread(edges.withColumnsRenamed({"src": "s", "dst": "d"})), F.col("caller") == F.col("d")).filter("node <> s").select("node", F.col("s").alias("caller"), (F.col("depth") + 1).alias("depth"))
     all_ = iterate(pairs, step, ["node", "caller"], max_depth - 1)
     counts = all_.groupBy("node").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"))
     return counts.withColumn("score", F.col("direct") + 0.5 * F.col("transitive"))

@@ -12,7 +12,7 @@ from codeloom.functions.scalars import glob_pattern
 from codeloom.operators.clones import cross_package_groups, exact_groups
 from codeloom.operators.joins import nested_spans
 from codeloom.operators.text_checks import inside
-from codeloom.plans.shared import saved
+from codeloom.plans.shared import saved, spread
 
 #: The rules, in the order of their registry, and the recipes that select some of them.
 GRAPH_RULES = (
@@ -54,10 +54,10 @@ def duplicate_signals(cands: DataFrame, min_size: int = 200, packages: int = 3,
     rows = cands.dropDuplicates(["site"])
     wide = cross_package_groups(rows, packages=packages, min_anchor=min_anchor)
     first = rows.select("body_hash", F.col("site").alias("anchor"), "occ_id")
-    shared = wide.join(first, ["body_hash", "anchor"]).select(rule, "occ_id", F.lit("low").alias("severity"), F.concat_ws(" ", F.lit("shared by"), F.size("packages").cast("string"), F.lit("packages:"), F.array_join("packages", ", ")).alias("message"))
-    rest = exact_groups(rows, min_size=min_size).join(wide, "body_hash", "left_anti").select("body_hash", "anchor")
+    shared = wide.join(spread(first), ["body_hash", "anchor"]).select(rule, "occ_id", F.lit("low").alias("severity"), F.concat_ws(" ", F.lit("shared by"), F.size("packages").cast("string"), F.lit("packages:"), F.array_join("packages", ", ")).alias("message"))
+    rest = exact_groups(rows, min_size=min_size).join(spread(wide), "body_hash", "left_anti").select("body_hash", "anchor")
     large = rows.filter(F.coalesce(F.col("size") >= min_size, F.lit(True)))
-    copies = large.join(rest, "body_hash").filter("site <> anchor").select(rule, "occ_id", F.lit("low").alias("severity"), F.concat_ws(" ", F.lit("same body as"), "anchor").alias("message"))
+    copies = large.join(spread(rest), "body_hash").filter("site <> anchor").select(rule, "occ_id", F.lit("low").alias("severity"), F.concat_ws(" ", F.lit("same body as"), "anchor").alias("message"))
     return shared.unionByName(copies)
 
 
@@ -137,7 +137,7 @@ def wide_function(occ: DataFrame, medium: int = 5, high: int = 7) -> DataFrame:
 
 
 def orphans(occ: DataFrame, reached: DataFrame, exported: bool = False, tests: bool = False) -> DataFrame:
-    rows = occ.join(reached.select(F.col("node").alias("occ_id")), "occ_id", "left_anti").filter("kind <> 'module-init'")
+    rows = occ.join(spread(reached.select(F.col("node").alias("occ_id"))), "occ_id", "left_anti").filter("kind <> 'module-init'")
     rows = rows if exported else rows.filter("not exported")
     return rule_signals(rows if tests else rows.filter("not in_test"), "orphan-subtree", F.lit("medium"), F.lit("not reachable"))
 
@@ -146,25 +146,25 @@ def entry_points(occ: DataFrame, edges: DataFrame) -> DataFrame:
     """module-init, conventional names, and exported without a caller other than itself."""
     names = ("main", "run", "start", "register", "initialize", "init", "bootstrap")
     called = edges.filter("src <> dst").select(F.col("dst").alias("occ_id")).distinct().withColumn("called", F.lit(True))
-    rows = occ.join(called, "occ_id", "left")
+    rows = occ.join(spread(called), "occ_id", "left")
     return rows.filter((F.col("kind") == "module-init") | F.col("name").isin(*names) | (F.col("exported") & F.col("called").isNull())).select(F.col("occ_id").alias("node"))
 
 
 def test_only(occ: DataFrame, edges: DataFrame, reached: DataFrame) -> DataFrame:
     """Not reached from production entries, with callers, all of which lie in test files."""
-    callers = edges.join(occ.select(F.col("occ_id").alias("src"), "in_test"), "src").groupBy(F.col("dst").alias("occ_id")).agg(F.bool_and("in_test").alias("only_tests"))
-    rows = occ.filter("not exported and not in_test and not generated and kind <> 'module-init'").join(reached.select(F.col("node").alias("occ_id")), "occ_id", "left_anti")
-    return rule_signals(rows.join(callers.filter("only_tests"), "occ_id", "left_semi"), "test-only-reachable", F.lit("low"), F.lit("only tests reach it"))
+    callers = edges.join(spread(occ.select(F.col("occ_id").alias("src"), "in_test")), "src").groupBy(F.col("dst").alias("occ_id")).agg(F.bool_and("in_test").alias("only_tests"))
+    rows = occ.filter("not exported and not in_test and not generated and kind <> 'module-init'").join(spread(reached.select(F.col("node").alias("occ_id"))), "occ_id", "left_anti")
+    return rule_signals(rows.join(spread(callers.filter("only_tests")), "occ_id", "left_semi"), "test-only-reachable", F.lit("low"), F.lit("only tests reach it"))
 
 
 def high_blast(occ: DataFrame, scores: DataFrame, test_reachable: DataFrame, medium: float = 75, high: float = 150) -> DataFrame:
-    rows = occ.filter("not in_test").join(scores.withColumnRenamed("node", "occ_id"), "occ_id").join(test_reachable.select(F.col("node").alias("occ_id")), "occ_id", "left_anti")
+    rows = occ.filter("not in_test").join(spread(scores.withColumnRenamed("node", "occ_id")), "occ_id").join(spread(test_reachable.select(F.col("node").alias("occ_id"))), "occ_id", "left_anti")
     return rule_signals(rows, "high-blast-untested", F.when(F.col("score") >= high, "high").when(F.col("score") >= medium, "medium"), F.concat(F.lit("blast "), F.col("score").cast("string")))
 
 
 def cycles(components: DataFrame, occ: DataFrame, pairs: bool = False) -> DataFrame:
     """One row for each component of more than one node: size, anchor, whether it crosses packages, severity."""
-    rows = components.join(occ.select(F.col("occ_id").alias("node"), "package", "in_test"), "node")
+    rows = components.join(spread(occ.select(F.col("occ_id").alias("node"), "package", "in_test")), "node")
     out = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("anchor"), (F.countDistinct("package") > 1).alias("crosses"), F.bool_and("in_test").alias("tests"))
     severity = F.when(F.col("tests"), None).when(F.col("crosses"), "high").when(F.col("size") >= 3, "medium").when(F.lit(pairs), "low")
     return out.filter("size > 1").withColumn("severity", severity).filter("severity is not null").drop("tests")
@@ -175,7 +175,7 @@ def pure_functions(occ: DataFrame, edges: DataFrame, impure: DataFrame) -> DataF
     from codeloom.operators.graph import reachable
 
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return occ.join(reachable(back, impure).select(F.col("node").alias("occ_id")), "occ_id", "left_anti")
+    return occ.join(spread(reachable(back, impure).select(F.col("node").alias("occ_id"))), "occ_id", "left_anti")
 
 
 #: Texts of calls that have an effect, by kind, and return types that carry no value.
@@ -205,7 +205,7 @@ def no_side_effect_path(occ: DataFrame, calls: DataFrame, effects: tuple[str, ..
     dead = told.filter("known = dropped")
     value = ~F.coalesce(F.lower(F.trim("return_type")).isin(*NO_VALUE), F.lit(False))
     rows = occ.filter((F.col("kind") != "module-init") & ~F.col("in_test") & F.col("exported") & (F.col("end_line") - F.col("line") + 1 >= min_span) & value)
-    rows = rows.join(own, "occ_id", "left_semi").join(dead, "occ_id", "left_semi")
+    rows = rows.join(spread(own), "occ_id", "left_semi").join(spread(dead), "occ_id", "left_semi")
     edges = calls.filter("dst is not null").select("src", "dst").distinct()
     return rule_signals(pure_functions(rows, edges, impure), "no-side-effect-path", F.lit("low"), F.lit("its value is thrown away"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.plans.registry import table
+from codeloom.plans.shared import spread
 
 OCC = """occ AS (
   SELECT p_partkey AS occ_id, p_type || '|' || CAST(p_size AS VARCHAR(9)) AS body_hash, p_brand AS package, p_name AS name, p_type AS kind,
@@ -42,7 +43,7 @@ def call_edges(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     a = rows.filter("l_quantity <= 3").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"))
     b = rows.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst"))
-    return a.join(b, ["l_orderkey", "l_linenumber"]).select("src", "dst").distinct()
+    return a.join(spread(b), ["l_orderkey", "l_linenumber"]).select("src", "dst").distinct()
 
 
 def signals(spark: SparkSession, d: str) -> DataFrame:

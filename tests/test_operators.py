@@ -252,3 +252,18 @@ def test_exploded_spans_are_not_broadcast(spark):
     occ = spark.createDataFrame([("a.ts", 1, 1, 9), ("a.ts", 2, 2, 5), ("b.ts", 3, 2, 5)], "file_path string, occ_id long, line long, end_line long")
     nested = joins.nested_spans(occ)
     assert [tuple(r) for r in nested.collect()] == [(1, 2)] and not joins_by_broadcast(nested)
+
+
+def test_graph_steps_are_not_broadcast(spark):
+    from codeloom.operators import rules
+    from codeloom.plans.shared import iterate
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
+    seeds = spark.createDataFrame([(1,)], "node long")
+    occ = spark.createDataFrame([(k, "f", False, True, 1, 20, None) for k in range(1, 5)], "occ_id long, kind string, in_test boolean, exported boolean, line long, end_line long, return_type string")
+    calls = edges.withColumns({"text": F.lit("f()"), "discarded": F.lit(True)})
+    grown = iterate(seeds, lambda f, _: f.join(edges.hint("merge"), f["node"] == edges["src"]).select(F.col("dst").alias("node")), ["node"], 2)
+    assert sorted(r.node for r in grown.collect()) == [1, 2, 3]
+    for found in (rules.no_side_effect_path(occ, calls, min_calls=1), rules.high_blast(occ, graph.blast(edges), graph.reachable(edges, seeds), 1, 2)):
+        assert not joins_by_broadcast(found)
+    assert sorted(r.node for r in graph.reachable(edges, seeds).collect()) == [1, 2, 3, 4]
