@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,7 @@ def duplicate_lines(groups: DataFrame, span: str = "size") -> DataFrame:
     return groups.withColumn("lines", F.col(span) * (F.col("n") - 1))
 
 
+@lru_cache
 def seeds(slots: int = SLOTS) -> list[int]:
     return [int.from_bytes(hashlib.sha256(f"{SEED}{i}".encode()).digest()[:4], "little") for i in range(slots)]
 
@@ -63,18 +65,31 @@ def grams(text: str, gram: int = GRAM) -> set[str]:
 
 def minhash(text: str, slots: int = SLOTS) -> list[int] | None:
     """The smallest mixed hash of the grams in each slot; a gram's hash is the first four bytes of its SHA-256."""
-    found = grams(text)
-    if not found:
-        return None
-    base = np.frombuffer(b"".join(hashlib.sha256(g.encode()).digest()[:4] for g in found), "<u4")
-    x = base[:, None] ^ np.array(seeds(slots), np.uint32)[None, :]
-    for _ in range(2):
-        x = ((x >> np.uint32(16)) ^ x) * np.uint32(MIX)
-    return ((x >> np.uint32(16)) ^ x).min(axis=0).astype(np.int64).tolist()
+    least = _least(text, slots)
+    return None if least is None else least.tolist()
+
+
+#: Characters whose grams are held at once, and grams that are mixed at once; a long text needs no more memory than that.
+PIECE, SLICE = 65_536, 1_024
+
+
+def _least(text: str, slots: int) -> np.ndarray | None:
+    least, mask = None, np.array(seeds(slots), np.uint32)[None, :]
+    for at in range(0, max(1, len(text) - GRAM + 1), PIECE):
+        base = np.frombuffer(b"".join(hashlib.sha256(g.encode()).digest()[:4] for g in grams(text[at : at + PIECE + GRAM - 1])), "<u4")
+        for i in range(0, len(base), SLICE):
+            x = base[i : i + SLICE, None] ^ mask
+            for _ in range(2):
+                x ^= x >> np.uint32(16)
+                x *= np.uint32(MIX)
+            x ^= x >> np.uint32(16)
+            few = x.min(axis=0)
+            least = few if least is None else np.minimum(least, few)
+    return None if least is None else least.astype(np.int64)
 
 
 def _signatures(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: minhash(t or ""))
+    return pd.Series([_least(t or "", SLOTS) for t in text], dtype=object)
 
 
 def signature(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+ROWS_PER_BATCH = 1000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -39,8 +40,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by the executors' Python workers, once for each application."""
+    """Make this package importable by the executors' Python workers, once for each application, and bound Arrow batches."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ROWS_PER_BATCH + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     if sc.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parents[1]

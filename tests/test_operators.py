@@ -267,3 +267,25 @@ def test_graph_steps_are_not_broadcast(spark):
     for found in (rules.no_side_effect_path(occ, calls, min_calls=1), rules.high_blast(occ, graph.blast(edges), graph.reachable(edges, seeds), 1, 2)):
         assert not joins_by_broadcast(found)
     assert sorted(r.node for r in graph.reachable(edges, seeds).collect()) == [1, 2, 3, 4]
+
+
+def test_long_texts_are_signed_in_bounded_memory(spark):
+    import hashlib
+    import tracemalloc
+
+    import numpy as np
+
+    def plain(text):
+        x = np.frombuffer(b"".join(hashlib.sha256(g.encode()).digest()[:4] for g in clones.grams(text)), "<u4")[:, None] ^ np.array(clones.seeds(), np.uint32)[None, :]
+        for _ in range(2):
+            x = ((x >> np.uint32(16)) ^ x) * np.uint32(clones.MIX)
+        return ((x >> np.uint32(16)) ^ x).min(axis=0).tolist()
+
+    rng = random.Random(3)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöü ", k=150_000))
+    for text in ("a", "abcd", "abcde", letters[:1500], letters[: clones.PIECE + 4], letters[: clones.PIECE + 5]):
+        assert clones.minhash(text) == plain(text)
+    tracemalloc.start()
+    clones.minhash(letters)
+    assert tracemalloc.get_traced_memory()[1] < 30e6
+    tracemalloc.stop()
