@@ -69,3 +69,32 @@ def test_hot_key_and_member_limit(spark):
 def test_no_findings(spark):
     empty = spark.createDataFrame([], NAMES)
     assert K.groups(empty).count() == K.group_entities(empty).count() == 0
+
+
+def test_files_alone_hot_files_and_groups_that_need_more_findings(spark, monkeypatch):
+    rows = [finding(f"{k:03}", rule_id=f"r{k % 2}", file_path=("a|b:1.ts", "a|b:1", "b", "c/d.ts")[k % 4], line=k % 3 or None, col=k % 5 or None, fingerprint=f"f{k % 7}" if k < 90 else f"g{k}", severity=("low", "odd", "high")[k % 3], signal_index=k) for k in range(120)]
+    data = spark.createDataFrame(rows, NAMES)
+    got = lambda df: sorted(map(str, df.collect()))
+    shown = [got(K.groups(data, 10, None)), got(K.groups(data, None, None)), got(K.group_entities(data))]
+    monkeypatch.setattr(K, "HOT", 5)
+    monkeypatch.setattr(K, "AHEAD", 3)
+    assert shown == [got(K.groups(data, 10, None)), got(K.groups(data, None, None)), got(K.group_entities(data))]
+    plain = {}  # entities of each key, by order of the findings
+    keys, named, order = {}, {}, {r.ref: r.n for r in K.numbered(data).selectExpr("ref", "rank as n").collect()}
+    for r in K.keys(data).collect():
+        keys.setdefault((r.kind, r.value), set()).add(r.ref)
+    for r in K.entities(data).orderBy("ref", "position").collect():
+        named.setdefault(r.ref, []).append((r.kind, r.id))
+    for key, refs in keys.items():
+        if len(refs) > 1:
+            plain[key] = list(dict.fromkeys(e for ref in sorted(refs, key=order.get) for e in named[ref]))[:12]
+    found = {}
+    for r in K.group_entities(data).orderBy("kind", "value", "place").collect():
+        found.setdefault((r.kind, r.value), []).append((r.entity_kind, r.entity_id))
+    assert found == plain
+
+
+def test_groups_at_files_take_one_shuffle_of_findings(spark):
+    data = spark.createDataFrame([finding(str(k), file_path="a/x.ts", line=k) for k in range(3)], NAMES)
+    (near, by), _ = K._parts(K.numbered(data), ["rank"])
+    assert near.groupBy(*by).count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
