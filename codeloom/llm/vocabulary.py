@@ -1,17 +1,20 @@
 """A byte-level BPE vocabulary (.json of the tokenizers library): splitting, ids, and counts at every prefix.
 
 Tokens never cross the pieces that the vocabulary's splitting pattern makes, and pieces repeat.  Ids come from the
-tokenizers library, which encodes each piece that a worker has not yet seen; prefix counts come from dynamic programming
+tokenizers library: its model encodes each piece that a worker has not yet seen (where a piece has characters that the
+library might split by another version of Unicode, the whole tokenizer does); prefix counts come from dynamic programming
 over each such piece.  What a worker remembers is bounded in bytes, long pieces are never remembered, and neither changes
 a result.
 """
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from array import array
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 
@@ -21,6 +24,8 @@ SPLIT = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 #: As SPLIT, but white space stays with the piece behind it: cuts in there change how the text before them is split.
 UNITS = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|(?>\p{White_Space}+)(?:(?<! )(?:'s|'t|'re|'ve|'m|'ll|'d)|\p{L}+|\p{N}+|[^\p{White_Space}\p{L}\p{N}]+)?"
 ASCII = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\p{White_Space}": r"\t-\r "}
+#: A character whose class may differ between versions of Unicode.
+UNSURE = re.compile("[^\x00-\u024f]").search
 SHORT = 256  # characters of a piece that is remembered
 TOGETHER = 2000  # pieces in one text for the library
 #: Bytes (about) of one table of a worker.  An executor has some workers for each of its cores, and idle ones keep theirs.
@@ -37,19 +42,33 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+@cache
+def _two_byte_classes() -> dict[str, str]:
+    """The classes of ASCII over all characters up to U+FFFF, as the regex module knows them."""
+    import regex
+
+    every = "".join(chr(i) for i in range(1 << 16) if not 0xD800 <= i < 0xE000)
+    return {name: "".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(f"{name}+", every)) for name in ASCII}
+
+
 class _Splitter:
-    """Finds all pieces of a text; in ASCII texts with the standard library, which is faster."""
+    """Finds all pieces of a text; where all characters are of ASCII, or up to U+FFFF, with the standard library, which is faster."""
 
     def __init__(self, pattern: str) -> None:
         import regex
 
-        narrow = re.sub(r"(?<!\[)(?<!\})(\\p\{\w+\})(?![\\\]])", r"[\1]", pattern)
-        for name in ASCII:
-            narrow = narrow.replace(name, ASCII[name])
-        self.ascii, self.full = re.compile(narrow).findall, regex.compile(pattern).findall
+        def narrow(classes: dict[str, str]) -> Callable[[str], list[str]]:
+            out = re.sub(r"(?<!\[)(?<!\})(\\p\{\w+\})(?![\\\]])", r"[\1]", pattern)
+            for name in classes:
+                out = out.replace(name, classes[name])
+            return re.compile(out).findall
+
+        self.ascii, self.two_byte, self.full = narrow(ASCII), narrow(_two_byte_classes()), regex.compile(pattern).findall
 
     def __call__(self, text: str) -> list[str]:
-        return self.ascii(text) if text.isascii() else self.full(text)
+        if text.isascii():
+            return self.ascii(text)
+        return self.two_byte(text) if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else self.full(text)
 
 
 class _Known(dict):
@@ -71,6 +90,15 @@ class _Known(dict):
             self.forget()
         self[piece] = out
 
+    def keep_all(self, pieces: list[str], out: list[bytes] | list[int]) -> None:
+        size = sum(map(len, pieces)) + (180 * len(out) if isinstance(out[0], int) else 250 * len(out) + sum(map(len, out)))
+        if size > self.most:
+            return
+        if self.held + size > self.most:
+            self.forget()
+        self.held += size
+        self.update(zip(pieces, out))
+
     def forget(self) -> None:
         self.clear()
         self.held = 0
@@ -84,6 +112,7 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
+        self.model, self.plain = self.library.model, self._plain(spec)
         self.letters = _byte_letters()
         byte_of = {c: b for b, c in enumerate(self.letters)}
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
@@ -118,6 +147,29 @@ class Vocabulary:
         s = added[0]["content"]
         return None if any(s.startswith(s[-k:]) for k in range(1, len(s))) else s
 
+    @staticmethod
+    def _plain(spec: dict) -> bool:
+        """Whether the library does nothing with a piece but to give its bytes, as letters, to the model."""
+        by_bytes = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        return spec.get("normalizer") is None and by_bytes.items() <= (spec.get("pre_tokenizer") or {}).items() and spec["model"].get("type") == "BPE"
+
+    def _made(self, pieces: list[str], sizes: bool) -> list[int] | list[bytes]:
+        """How many ids the library gives for each piece, or their bytes."""
+        if self.plain and not any(map(UNSURE, pieces)):
+            letters = codecs.charmap_decode(b"\xff".join(map(str.encode, pieces)), "strict", "".join(self.letters))[0]
+            found = map(self.model.tokenize, letters.split(self.letters[0xFF]))  # no UTF-8 text has that byte
+            if sizes:
+                return list(map(len, found))
+            lists = [[t.id for t in x] for x in found]
+            ends = np.cumsum(list(map(len, lists))).tolist()
+            ids, begins = np.array([i for x in lists for i in x], "<u4"), [0, *ends[:-1]]
+        else:
+            ids, begins, ends = self._joined(pieces)
+        if sizes:
+            return [b - a for a, b in zip(begins, ends)]
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(begins, ends)]
+
     def _joined(self, pieces: list[str]) -> tuple[np.ndarray, list[int], list[int]]:
         """Ids, and where those of each piece begin and end; pieces go to the library as one text, parted by the mark."""
         if self.mark is not None and not any(self.mark in p for p in pieces):
@@ -140,28 +192,29 @@ class Vocabulary:
         split, looked = self.split, []
         unknown: set[str] = set()
         for text in texts:
-            pieces: list[str] = []
-            for part in self._parts(text):
-                pieces += [part] if part in self.special else split(part)
+            parts = self._parts(text)
+            pieces = split(text) if len(parts) == 1 else [p for part in parts for p in ([part] if part in self.special else split(part))]
             found = list(map(known.get, pieces))
-            if None in found:
-                unknown.update(p for p, x in zip(pieces, found) if x is None)
-            looked.append((pieces, found))
+            at, place = [], -1
+            for _ in range(found.count(None)):
+                place = found.index(None, place + 1)
+                at.append(place)
+            names = [pieces[i] for i in at]
+            unknown.update(names)
+            looked.append((found, at, names))
         short = [p for p in unknown if len(p) <= SHORT and p not in self.special]
         fresh = {p: known.make(p) for p in unknown.difference(short)}
-        for first in range(0, len(short), TOGETHER):
-            group = short[first : first + TOGETHER]
-            ids, begins, ends = self._joined(group)
-            if known is self.sizes:
-                made = [b - a for a, b in zip(begins, ends)]
-            else:
-                raw = ids.tobytes()
-                made = [raw[4 * a : 4 * b] for a, b in zip(begins, ends)]
+        sure, other = [p for p in short if not UNSURE(p)], [p for p in short if UNSURE(p)]
+        for group in [x[i : i + TOGETHER] for x in (sure, other) for i in range(0, len(x), TOGETHER)]:
+            made = self._made(group, known is self.sizes)
             fresh.update(zip(group, made))
-        for p in unknown:
-            if len(p) <= SHORT:
-                known.keep(p, fresh[p])
-        return [found if None not in found else [fresh[p] if x is None else x for p, x in zip(pieces, found)] for pieces, found in looked]
+            known.keep_all(group, made)
+        for p in unknown.intersection(self.special):
+            known.keep(p, fresh[p])
+        for found, at, names in looked:
+            for i, p in zip(at, names):
+                found[i] = fresh[p]
+        return [found for found, _, _ in looked]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids that the library gives for each text."""

@@ -633,3 +633,17 @@ def test_pieces_that_go_to_the_library_together():
     small = Vocabulary(tokenizer_path("json"), most=2000)  # forgets all the time
     small.mark = None  # each piece by itself
     assert small.counts(texts) == [len(x) for x in wanted] and [x.tolist() for x in small.encode(texts)] == wanted
+
+
+def test_pieces_of_sure_characters_go_to_the_model_alone():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(JSON)
+    every = "".join(chr(i) for i in range(1, 1 << 16) if not 0xD800 <= i < 0xE000)
+    texts = ["Plain words, naïve ones; 12 and  they'll\n\nstay \xff\x00", "Grüße " * 3, "x" * 200, "", "é" * 256]
+    known = vocabulary.Vocabulary(JSON)
+    assert known.split.two_byte(every) == known.split.full(every) and known.units.two_byte(every) == known.units.full(every)
+    known.library = known.split.full = None  # the whole tokenizer, and the slower splitter, aren't asked
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert known.counts(texts) == [len(x) for x in wanted] == known.counts(texts)
+    assert [x.tolist() for x in known.encode(texts)] == wanted
