@@ -153,17 +153,21 @@ def resolve_specifiers(found: DataFrame, known: DataFrame) -> DataFrame:
     """Relative imports (file_path, specifier) with the first known file (``known``: file_path) they can mean: target, or null.
 
     Candidates in order: the path itself; .ts or .tsx for .js, .tsx for .jsx; and for a name without extension the
-    usual ones, as a file and as an index file.
+    usual ones, as a file and as an index file.  They follow from the path that is meant, so each path is tried once,
+    whatever the number of its importers.  Other imports stand under their own file in the join, not all under null; the
+    imports, many and much alike (64 MB of a shuffle hold millions), are streamed past a hash table and not sorted.
     """
-    relative = found.select("file_path", "specifier").filter(F.col("specifier").startswith(".")).distinct()
-    base = S.normalize_path(F.concat_ws("/", S.parent_dir(F.col("file_path")), F.col("specifier")))
+    path = S.normalize_path(F.concat_ws("/", S.parent_dir(F.col("file_path")), F.col("specifier")))
+    rows = found.withColumn("__base", F.when(F.col("file_path").isNotNull() & F.col("specifier").startswith("."), path))
     ends = [(".js", ".ts"), (".js", ".tsx"), (".jsx", ".tsx")]
     more = [".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
     bare = ~F.col("base").rlike(r"[^/.][^/]*\.[^/]*$")
     forms = [F.col("base"), *(F.when(F.col("base").endswith(a), F.concat(F.expr(f"left(base, length(base) - {len(a)})"), F.lit(b))) for a, b in ends), *(F.when(bare, F.concat("base", F.lit(e))) for e in more)]
-    tried = relative.withColumn("base", base).select("file_path", "specifier", F.posexplode(F.array(*forms)).alias("rank", "path")).filter("path is not null")
-    hit = tried.join(known.select(F.col("file_path").alias("path")).distinct(), "path").groupBy("file_path", "specifier").agg(F.min_by("path", "rank").alias("target"))
-    return found.join(hit, ["file_path", "specifier"], "left")
+    tried = rows.select(F.col("__base").alias("base")).filter("base is not null").distinct().select("base", F.posexplode(F.array(*forms)).alias("rank", "path")).filter("path is not null")
+    hit = tried.join(known.select(F.col("file_path").alias("path")).distinct(), "path").groupBy("base").agg(F.min_by("path", "rank").alias("target"))
+    hit = hit.select(F.col("base").alias("__key"), F.lit(True).alias("__relative"), "target")
+    keyed = rows.withColumn("__key", F.coalesce("__base", "file_path")).withColumn("__relative", F.col("__base").isNotNull())
+    return keyed.join(hit.hint("shuffle_hash"), ["__key", "__relative"], "left").select("file_path", "specifier", *(c for c in found.columns if c not in ("file_path", "specifier")), "target")
 
 
 def import_edges(files: DataFrame, path_col: str = "file_path", text_col: str = "text") -> DataFrame:
@@ -176,14 +180,22 @@ def import_edges(files: DataFrame, path_col: str = "file_path", text_col: str =
 def imported_packages(found: DataFrame, packages: DataFrame) -> DataFrame:
     """file_path, package: what each file imports (``found``: file_path, specifier, target), by the first that is known:
 
-    the package of the resolved file (``packages``: file_path, package), the package whose name the specifier begins with,
-    or the bare specifier's own package.
+    the package of the resolved file (``packages``: file_path, package), or the package that a bare specifier names, be it
+    one of ``packages`` or not.
     """
-    of_file = packages.select(F.col("file_path").alias("target"), F.col("package").alias("of_target"))
-    names = packages.select(F.col("package").alias("name")).distinct()
+    return _import_packages(found, packages).filter("package is not null").distinct()
+
+
+def _import_packages(found: DataFrame, packages: DataFrame) -> DataFrame:
+    """file_path, package or null: one row for each import.
+
+    Imports without a target stand under their own file in the join: under null, all of them would go to one task.
+    """
+    of_file = packages.select(F.col("file_path").alias("key"), F.col("package").alias("of_target"), F.lit(True).alias("resolved"))
     bare = F.when(~F.col("specifier").rlike(r"^[./]"), S.package_of_specifier(F.col("specifier")))
-    rows = found.join(of_file, "target", "left").withColumn("name", bare).join(names.withColumn("classified", F.col("name")), "name", "left")
-    return rows.select("file_path", F.coalesce("of_target", "classified", "name").alias("package")).filter("package is not null").distinct()
+    keyed = found.select("file_path", bare.alias("name"), F.coalesce("target", "file_path").alias("key"), F.col("target").isNotNull().alias("resolved"))
+    rows = keyed.join(of_file.hint("shuffle_hash"), ["key", "resolved"], "left")
+    return rows.select("file_path", F.coalesce("of_target", "name").alias("package"))
 
 
 #: Modules that a JavaScript runtime has itself; the second ones only with the prefix node:.

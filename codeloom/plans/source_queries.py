@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import rules as R
 from codeloom.operators import text_checks as T
 from codeloom.plans.registry import query, table
+from codeloom.plans.shared import saved
 from codeloom.sources import ingest as I
 
 RULES = "(VALUES " + ", ".join(f"('{r.slug}', '{r.pattern}', '{r.severity}')" for r in R.LINE_RULES) + ") r(slug, pattern, severity)"
@@ -94,8 +95,8 @@ WHERE kind IN (4, 5) AND coalesce(m.dev, true) AND w.s % 7 IN (SELECT s_suppkey
 
 
 def _packages(s: SparkSession, d: str) -> DataFrame:
-    files = source_files(s, d)
-    found = T.resolve_specifiers(T.imports(files), files.select("file_path"))
+    files = saved(source_files(s, d))
+    found = T.resolve_specifiers(saved(T.imports(files).select("file_path", "specifier")), files.select("file_path"))
     return T.imported_packages(found, files.select("file_path", F.split("file_path", "/")[1].alias("package")))
 
 

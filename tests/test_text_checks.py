@@ -74,6 +74,23 @@ def test_imports_of_a_text(spark):
     assert {r.package for r in got.collect()} == {"own", "@x/y", "pkg", "fs", "lit", "types"}
 
 
+def test_imports_without_a_target_are_spread(spark):
+    found = spark.createDataFrame([(f"src/f{i}.ts", "lib/x" if i % 2 else "./gone", None) for i in range(60)] + [("src/a.ts", "./f3", "src/f3.ts")], "file_path string, specifier string, target string")
+    packages = spark.createDataFrame([(f"src/f{i}.ts", "own") for i in range(60)], "file_path string, package string")
+    options = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        got = T._import_packages(found, packages).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.file_path, r.package) for r in got if r.package) == [("src/a.ts", "own"), *sorted((f"src/f{i}.ts", "lib") for i in range(1, 60, 2))]
+    tasks = [r.task for r in got]
+    assert max(map(tasks.count, tasks)) < len(tasks) / 2
+
+
 def test_phantom_dependencies(spark):
     text = "import 'react';\nimport x from 'react/dom'; import { a } from '@s/p/q';\nimport fs from 'node:fs/promises'; import 'fs'; import 'node:test'; import 'test'; import 'self'; import './x'; import 'dev'"
     files = spark.createDataFrame([("p/src/a.ts", text), ("p/src/a.test.ts", "import 'dev'; import 'gone'"), ("p/vite.config.ts", "import 'dev'"), ("p/in/b.ts", "import 'react'"), ("free/c.ts", "import 'react'")], "file_path string, text string")
