@@ -98,3 +98,44 @@ def test_groups_at_files_take_one_shuffle_of_findings(spark):
     data = spark.createDataFrame([finding(str(k), file_path="a/x.ts", line=k) for k in range(3)], NAMES)
     (near, by), _ = K._parts(K.numbered(data), ["rank"])
     assert near.groupBy(*by).count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_findings_are_written_once_without_keys_and_entities(spark):
+    data = spark.createDataFrame([finding("a", file_path="a/x.ts", line=1)], NAMES)
+    assert not {"keys", "entities", "home"} & set(K.numbered(data).columns)
+
+
+def test_findings_alone_at_their_place_have_the_key_of_their_file_only(spark):
+    rows = [finding(str(k), file_path="a/x.ts", line=k, col=k // 4) for k in range(5)] + [finding("l", file_path="a/y.ts", line=7), finding("m", file_path="a/y.ts", line=7), finding("n", file_path="a/y.ts")]
+    (near, _), _ = K._parts(K.numbered(spark.createDataFrame(rows, NAMES)), ["ref"])
+    got = sorted((r.ref, K.KINDS[int(r.key[0])]) for r in near.collect())
+    assert [kind for ref, kind in got if ref in ("4", "n")] == ["file", "file"]
+    assert [kind for ref, kind in got if ref == "l"] == ["file", "file-range", "rule-location"] and len(got) == 5 + 2 * 4 + 3 + 2 * 2
+
+
+def test_whole_sets_are_summed_up_without_an_order_in_each_group(spark):
+    data = spark.createDataFrame([finding(str(k), file_path="a/x.ts", line=k, fingerprint="f") for k in range(3)], NAMES)
+    plan = K.groups(data, None, None)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" not in plan and "windowspecdefinition(slot" not in plan
+
+
+def test_white_space_many_packages_and_large_numbers(spark):
+    packages = [f"p{k:02}" for k in range(14)]
+    rows = [
+        finding("a", file_path="\u3000s/x.ts\u00a0\n", line=3, fingerprint="\x1cf\x1c", packages=packages, package="s", dependents=2**60), finding("b", file_path="s/x.ts", line=3, packages=[" ", "C:/d", *packages[:5]], dependents=2**58),
+        finding("c", file_path="s\\x.ts", line=None, col=3, fingerprint=" \u2003f", severity="odd", dependents=-(2**60)), finding("d", file_path="é.ts é", qualified_name="é\u2028", severity="odd", dependents=-(2**58)), finding("e", file_path=" /s", package=" /q"),
+    ]
+    data = spark.createDataFrame(rows, NAMES)
+    named, keyed = {}, {}
+    for r in K.entities(data).orderBy("ref", "position").collect():
+        named.setdefault(r.ref, []).append((r.kind, r.id))
+    for r in K.keys(data).collect():
+        keyed.setdefault(r.ref, []).append((r.kind, r.value))
+    assert named["a"] == [("fingerprint", "\x1cf\x1c"), ("file", "s/x.ts"), ("file-range", "s/x.ts:3")] + [("package", p) for p in packages[:9]]
+    assert named["b"] == [("file", "s/x.ts"), ("file-range", "s/x.ts:3")] + [("package", p) for p in [*packages[:5], "s"]]
+    assert named["c"] == [("fingerprint", "f"), ("file", "s/x.ts"), ("package", "s")]
+    assert named["d"] == [("file", "é.ts é"), ("symbol", "é"), ("package", "é.ts é")] and named["e"] == [("file", "/s")]
+    assert len(keyed["a"]) == 12 and ("file", "s/x.ts") not in keyed["a"] and ("file", "s/x.ts") in keyed["b"] and ("rule-location", "r|s/x.ts||3") in keyed["c"]
+    assert [r.ref for r in K.numbered(data).orderBy("rank").select("ref").collect()] == ["a", "b", "e", "d", "c"]
+    groups = {r.id: (r.n, r.primary) for r in K.groups(data, None, None).collect()}
+    assert groups["corr-package-s"] == (2, "b") and groups["corr-rule-location-r-s-x-ts-3"] == (2, "a")
