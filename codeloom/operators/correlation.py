@@ -240,11 +240,9 @@ def group_entities(findings: DataFrame, limit: int = ENTITIES) -> DataFrame:
 
 def _first_entities(rows: DataFrame, by: list[str], limit: int) -> DataFrame:
     """key, entities of a group's first findings, and whether these are all; groups of one finding are none."""
-    order = W.Window.partitionBy(*by).orderBy("rank")
-    rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= AHEAD + 1)
-    rows = rows.withColumn("next", F.lead("rank").over(order)).filter("n > 1 or next is not null")
+    rows = rows.withColumn("n", F.row_number().over(W.Window.partitionBy(*by).orderBy("rank"))).filter(F.col("n") <= AHEAD + 1)
     first = F.sort_array(F.collect_list(F.when(F.col("n") <= AHEAD, F.struct("n", _entities().alias("e"))))).alias("first")  # nulls are not collected
-    seen = rows.groupBy(*by).agg(first, (F.max("n") <= AHEAD).alias("whole"))
+    seen = rows.groupBy(*by).agg(first, F.max("n").alias("n")).filter("n >= 2").withColumn("whole", F.col("n") <= AHEAD)
     # no entity twice, and no nulls
     return seen.select("key", F.slice(F.array_except(F.flatten("first.e"), F.array(F.lit(None).cast("string"))), 1, limit).alias("entities"), "whole")
 

@@ -139,3 +139,14 @@ def test_white_space_many_packages_and_large_numbers(spark):
     assert [r.ref for r in K.numbered(data).orderBy("rank").select("ref").collect()] == ["a", "b", "e", "d", "c"]
     groups = {r.id: (r.n, r.primary) for r in K.groups(data, None, None).collect()}
     assert groups["corr-package-s"] == (2, "b") and groups["corr-rule-location-r-s-x-ts-3"] == (2, "a")
+
+
+def test_first_entities_of_a_group_take_one_window_and_no_row_for_each(spark):
+    data = spark.createDataFrame([finding(str(k), file_path="a/x.ts", line=k, fingerprint=f"f{k}") for k in range(20)], NAMES)
+    parts = K._parts(K.numbered(data), ["rank", *K.NAMED])
+    for part, by in parts:
+        plan = K._first_entities(part, by, 12)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("row_number() windowspecdefinition(") == 1 and "lead(" not in plan and "posexplode" not in plan
+    (near, by), _ = parts
+    got = {r.key: r for r in K._first_entities(near, by, 12).collect()}
+    assert len(got) == 1 and len(got["6a/x.ts"].entities) == 12 and not got["6a/x.ts"].whole
